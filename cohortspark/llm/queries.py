@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, chat, fingerprints, langid, ngram_join, packing, suffix_dedup
+from cohortspark.llm import bpe, chat, fingerprints, langid, licenses, ngram_join, packing, quality_rules, suffix_dedup
 from cohortspark.llm._common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,11 +40,19 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir))
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op4_ngram_jaccard_join, op5_language_id, op6_packing, op8_chat_formatting, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op4_ngram_jaccard_join, op5_language_id, op6_packing, op7_quality_rules, op8_chat_formatting, op9_license_scans, op10_fingerprints)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_formatting": """
