@@ -17,8 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm._common import materialize
+from cohortspark.llm._trie import link
 
 DEALT = "bucket int, n long, items binary, counts binary, hashes binary, payload binary"
+#: Least similarity of linked sets, in hundredths.
+PERCENT = 75
 #: Entries a task gathers before it packs them.
 GATHERED = 3_000_000
 #: Payload that marks a hash as one that many items of a task share.
@@ -125,3 +128,29 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return nodes.join(links, nodes["node"] == links["u"], "left").select("node", F.coalesce("v", "node").alias("root"))
+
+
+def linked_sets(sids: list[int], sets: list[np.ndarray], known: list[int | None]) -> pa.Table:
+    """``a, b``: each set's id, and that of the first it hangs together with; ``known``: an id that it is joined to already."""
+    at: dict[int, int] = {}
+    joined = [at.setdefault(k if k is not None else s, i) for i, (s, k) in enumerate(zip(sids, known, strict=True))]
+    return pa.table({"a": pa.array(sids, pa.int64()), "b": pa.array([sids[i] for i in link(sets, PERCENT, joined)], pa.int64())})
+
+
+def block_components(sets: DataFrame, blocks: DataFrame, id_col: str, set_col: str, run: Callable[[pa.Table], pa.Table], part_size: int) -> DataFrame:
+    """``node, root`` after all links inside ``blocks(node, root)``, from ``sets(id_col, set_col)``.
+
+    A block of more than ``part_size`` sets is dealt to parts; ``run`` (which gets
+    ``id_col, set_col, joined`` and returns ``a, b``) sees each part, then every two.
+    """
+    sized = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / F.lit(part_size)).cast("int")
+    placed = materialize(blocks.join(sized, "root").select(F.col("node").alias(id_col), F.col("root").alias("block"), parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")))
+    inside = sets.join(placed, id_col)
+    within = materialize(inside.select("block", "part", id_col, set_col, F.lit(None).cast("long").alias("joined")).groupBy("block", "part").applyInArrow(run, "a long, b long"))
+    if placed.where("parts > 1").isEmpty():
+        return within.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    large = inside.where("parts > 1").join(within.select(F.col("a").alias(id_col), F.col("b").alias("joined")), id_col)
+    pairs = large.select("block", "part", other, id_col, set_col, "joined").where("part <> other").withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    return components(within.unionByName(pairs.groupBy("block", "low", "high").applyInArrow(run, "a long, b long")))

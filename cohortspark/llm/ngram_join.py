@@ -31,11 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm._common import keyed, materialize
-from cohortspark.llm._links import DEALT, GATHERED, bucket_bits, by_bucket, components, deal, dealt, in_groups
-from cohortspark.llm._trie import link
+from cohortspark.llm._links import DEALT, GATHERED, PERCENT, block_components, bucket_bits, by_bucket, components, deal, dealt, in_groups, linked_sets
 from cohortspark.llm.shingles import in_batches, set_id, shingle_sets
 
-WORDS, PERCENT = 5, 75
+WORDS = 5
 #: Sets in a part of a block.
 BLOCK = 10_000
 #: Share of the hash space that step 2 counts.
@@ -134,31 +133,10 @@ def prefix_links(sets: DataFrame) -> DataFrame:
 
 
 def link_part(table: pa.Table) -> pa.Table:
-    """``sid, shingles, joined`` to ``sid, joined``: the first set that each hangs together with."""
-    sids = table.column("sid").to_pylist()
-    known = table.column("joined").to_pylist()
-    at: dict[int, int] = {}
-    joined = [at.setdefault(k if k is not None else s, i) for i, (s, k) in enumerate(zip(sids, known, strict=True))]
+    """``sid, shingles, joined`` to ``a, b``: sets, and the first one that each hangs together with."""
     shingles = table.column("shingles").combine_chunks()
     shingles = shingles.chunk(0) if isinstance(shingles, pa.ChunkedArray) else shingles
-    found = link([x.values.to_numpy().view(np.uint64) for x in shingles], PERCENT, joined)
-    return pa.table({"a": pa.array(sids, pa.int64()), "b": pa.array([sids[i] for i in found], pa.int64())})
-
-
-def block_links(sets: DataFrame, blocks: DataFrame, part_size: int) -> DataFrame:
-    """``a, b`` that connect what links connect, from ``sets(sid, shingles)`` and ``blocks(node, root)``."""
-    sized = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / F.lit(part_size)).cast("int")
-    placed = materialize(blocks.join(sized, "root").select(F.col("node").alias("sid"), F.col("root").alias("block"), parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")))
-    none = F.lit(None).cast("long")
-    within = sets.join(placed, "sid").select("block", "part", "sid", "shingles", none.alias("joined")).groupBy("block", "part").applyInArrow(link_part, "a long, b long")
-    if placed.where("parts > 1").isEmpty():
-        return within
-    within = materialize(within)
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    large = sets.join(placed.where("parts > 1"), "sid").join(within.select(F.col("a").alias("sid"), F.col("b").alias("joined")), "sid")
-    pairs = large.select("block", "part", other, "sid", "shingles", "joined").where("part <> other").withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-    return within.unionByName(pairs.groupBy("block", "low", "high").applyInArrow(link_part, "a long, b long"))
+    return linked_sets(table.column("sid").to_pylist(), [x.values.to_numpy().view(np.uint64) for x in shingles], table.column("joined").to_pylist())
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_size: int = BLOCK) -> DataFrame:
@@ -177,7 +155,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = materialize(base.select(rid, "text").join(left, "rid").select("sid", "text").mapInArrow(whole_sets, "sid long, shingles array<long>"))
 
     blocks = components(prefix_links(sets))
-    linked = components(block_links(sets, blocks, part_size))
+    linked = block_components(sets, blocks, "sid", "shingles", link_part, part_size)
 
     ids = base.select(rid, "doc_id")
     placed = ids.join(members, "rid").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

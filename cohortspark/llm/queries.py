@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, chat, fingerprints, langid, licenses, ngram_join, packing, quality_rules, suffix_dedup
+from cohortspark.llm import bpe, chat, fingerprints, langid, licenses, line_dedup, ngram_join, packing, quality_rules, suffix_dedup
 from cohortspark.llm._common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(documents(spark, sf_dir), TOKENIZER)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(documents(spark, sf_dir))
 
@@ -52,7 +57,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op4_ngram_jaccard_join, op5_language_id, op6_packing, op7_quality_rules, op8_chat_formatting, op9_license_scans, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_line_dedup, op4_ngram_jaccard_join, op5_language_id, op6_packing, op7_quality_rules, op8_chat_formatting, op9_license_scans, op10_fingerprints)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_formatting": """
