@@ -35,7 +35,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm._common import keyed
 from cohortspark.llm._links import DEALT, MARK, bucket_bits, by_bucket, deal, dealt, gathered, in_groups
 
 MIN_LENGTH = 50
@@ -330,7 +329,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def cut_out(min_length: int):
+def cut_out(min_length: int, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``doc_id, text, copy, spans`` to the result."""
         for batch in batches:
@@ -346,32 +345,33 @@ def cut_out(min_length: int):
                 runs.append([{"start": a, "end": b} for a, b in gone])
                 sizes.append(len(raw))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            texts = [k.decode("utf-8", "ignore") for k in kept]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), *batch.columns[4:]], ["doc_id", "n_bytes", "spans", "kept", "text", *keep])
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, id_col: str = "doc_id", text_col: str = "text", hot_in_task: int = HOT_IN_TASK, hot: int = HOT) -> DataFrame:
-    """``doc_id, n_bytes, spans, kept``: the maximal removed stretches (array of start and end, in bytes) and the remaining bytes of every text. Ids are whole numbers."""
+def suffix_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), hot_in_task: int = HOT_IN_TASK, hot: int = HOT) -> DataFrame:
+    """``doc_id, n_bytes, spans, kept, text``, and the columns of ``keep``: the maximal removed stretches (array of start and end, in bytes), and the remaining bytes of every text, as they are and without those of characters cut in two. Ids are whole numbers."""
     if min_length < GRAM + 8:
         raise ValueError(f"min_length must be at least {GRAM + 8}")
-    base = keyed(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *keep)
     n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bucket_bits(n_bytes, 6_000_000)
     order = F.coalesce("doc_id", F.lit(NO_ID))
     rid = F.xxhash64("doc_id", "text")
-    texts = base.select(rid.alias("rid"), "doc_id", "text").repartition("rid")  # dealt out once; all joins with the texts read this exchange
+    texts = base.select(rid.alias("rid"), "doc_id", "text", *keep).repartition("rid")  # dealt out once; all joins with the texts read this exchange
     info = base.select(rid.alias("rid"), order.alias("ord"), F.sha2("text", 256).alias("sha")).distinct()
     firsts = info.groupBy("sha").agg(F.min("ord").alias("first"))
     info = info.join(firsts, "sha").select("rid", "ord", (F.col("ord") > F.col("first")).alias("copy"))
 
-    looked_at = texts.join(info.where("not copy").select("rid"), "rid").select("rid", "text", order.alias("ord"))
+    looked_at = texts.join(info.where("not copy").select("rid"), "rid").select("rid", "text", order.alias("ord"), *keep)
     flagged = by_bucket(looked_at.mapInArrow(entries_of(min_length, bits, hot_in_task), DEALT), shared_places(hot), FLAGGED)
     places = flagged.groupBy("rid").agg(*(F.collect_set(F.when(F.col("hot") == warm, F.col("place"))).alias(name) for warm, name in ((False, "cold"), (True, "hot"))))
     around = looked_at.join(places, "rid")
 
     def pieces(kind: str) -> DataFrame:
-        return around.where(F.size(kind) > 0).select("rid", "text", "ord", F.col(kind).alias("places")).mapInArrow(pieces_of(min_length, bits, kind == "hot"), PIECE)
+        return around.where(F.size(kind) > 0).select("rid", "text", "ord", F.col(kind).alias("places"), *keep).mapInArrow(pieces_of(min_length, bits, kind == "hot"), PIECE)
 
     cold = by_bucket(pieces("cold"), spans_of(min_length), SPAN)
     single = pieces("hot").select("rid", "ord", "start", "bytes")
@@ -380,4 +380,5 @@ def suffix_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, id_col: str = "d
     warm = single.join(owned, "bytes").where("owner < ord").select("rid", F.col("start").alias("a"), (F.col("start") + min_length).cast("int").alias("b"))
     spans = cold.unionByName(warm).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     found = info.select("rid", "copy").distinct().join(spans, "rid", "left")
-    return texts.join(found, "rid").select("doc_id", "text", "copy", "spans").mapInArrow(cut_out(min_length), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    more = "".join(f", `{c}` {base.schema[c].dataType.simpleString()}" for c in keep)
+    return texts.join(found, "rid").select("doc_id", "text", "copy", "spans", *keep).mapInArrow(cut_out(min_length, keep), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary, text string" + more)
