@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from cohortspark.plans import object_queries  # noqa: F401
+from cohortspark.plans import cohort_queries, object_queries  # noqa: F401
 from cohortspark.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
