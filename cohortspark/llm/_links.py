@@ -23,7 +23,7 @@ DEALT = "bucket int, n long, items binary, counts binary, hashes binary, payload
 #: Least similarity of linked sets, in hundredths.
 PERCENT = 75
 #: Entries a task gathers before it packs them.
-GATHERED = 3_000_000
+GATHERED = 1_000_000
 #: Payload that marks a hash as one that many items of a task share.
 MARK = 0xFFFFFFFF
 
@@ -103,30 +103,23 @@ def by_bucket(rows: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str)
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """``node, root`` for every node of ``edges(a, b)``: the smallest node that it reaches. Self-links keep single nodes.
 
-    Every step is written to the shared folder; only a count and a checksum of the edges come to the driver.
+    Every step is written to the shared folder; whether another is needed is all that comes to the driver.
     """
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-
-    def star(pairs: DataFrame) -> DataFrame:
-        """(u, v) with v < u, to (other neighbours of u, smallest neighbour of u)."""
-        low = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        return pairs.join(low, "u")
-
-    before = None
+    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    links = edges.where("u <> v")
     for _ in range(limit):
-        both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            break  # stars: every node but the centres has one link, to a centre
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = star(large)
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        links = materialize(small)
-        now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            break
-        before = now
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        links = materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError("components did not settle")
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     return nodes.join(links, nodes["node"] == links["u"], "left").select("node", F.coalesce("v", "node").alias("root"))
 
 

@@ -2,9 +2,9 @@
 
 1. Documents with equal shingle sets are one from here on.
 2. A set that links with another has at most ``n - ceil(t * n)`` shingles that no
-   other set holds. Shingles are dealt out by hash and those of a single set
-   counted; half of the hash space is enough to rule out nearly every document
-   that has no near copy, and rules out no other.
+   other set holds. Shingles are dealt out by hash, and each set gets the number
+   of those that others hold too; half of the hash space is enough to rule out
+   nearly every document that has no near copy, and rules out no other.
 3. For what remains, shingles in order of frequency, rarest first: linked sets
    share one of their first ``n - ceil(t * n) + 1``. Sets that hang together
    through such shingles form a block.
@@ -44,7 +44,18 @@ U = np.uint64
 
 
 def count_entries(bits: int):
-    """mapInArrow over ``rid, doc_id, text``: DEALT entries (shingle, set); and in buckets below 0, members (``items`` rows, ``hashes`` sets, ``counts`` sizes)."""
+    """mapInArrow over ``rid, text``: DEALT entries (shingle, set).
+
+    A shingle that several sets of the task hold is dealt out once, without a set,
+    and counted as shared here. In buckets below 0 stand members (``items`` rows,
+    ``hashes`` sets, ``counts`` sizes, ``payload`` shingles in the counted half) and,
+    without ``hashes``, those counts (``items`` sets, ``counts`` shared shingles).
+    """
+
+    def packed(items: np.ndarray, counts: np.ndarray, hashes: bytes = b"", payload: bytes = b"") -> pa.RecordBatch:
+        row = (-1 - random.randrange(1 << 30), len(items), items.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), hashes, payload)
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], ["bucket", "n", "items", "counts", "hashes", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -57,48 +68,53 @@ def count_entries(bits: int):
             order, group, distinct = in_groups(h, item)
             h, item = h[order], item[order]
             several = (distinct > 1)[group]
+            if several.any():
+                yield packed(*np.unique(item[several], return_counts=True))
             first = np.concatenate([[True], h[1:] != h[:-1]]) & several
             yield from deal(np.concatenate([h[~several], h[first]]), np.concatenate([item[~several], np.full(int(first.sum()), -1)]), None, bits)
 
         for batch in batches:
             rid = batch.column(0).to_numpy()
-            ids, sizes = np.zeros(len(rid), "<i8"), np.zeros(len(rid), "<u4")
+            ids, sizes, halves = np.zeros(len(rid), "<i8"), np.zeros(len(rid), "<u4"), np.zeros(len(rid), "<u4")
             for at, texts in in_batches(batch.column(1)):
                 for i, s in enumerate(shingle_sets(texts, WORDS), at):
-                    ids[i], sizes[i] = set_id(s), len(s)
-                    if len(s) and ids[i] not in seen:
+                    half = s[: np.searchsorted(s, U(int(COUNTED * (1 << 64))))]
+                    ids[i], sizes[i], halves[i] = set_id(s), len(s), len(half)
+                    if len(half) and ids[i] not in seen:
                         seen.add(int(ids[i]))
-                        half = s[: np.searchsorted(s, U(int(COUNTED * (1 << 64))))]
                         held.append((half, int(ids[i])))
                         n += len(half)
                 if n >= GATHERED:
                     yield from out()
                     held, n = [], 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1 - random.randrange(1 << 30)], pa.int32()), pa.array([len(rid)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (rid.astype("<i8"), sizes, ids)), pa.array([b""], pa.binary())],
-                ["bucket", "n", "items", "counts", "hashes", "payload"],
-            )
+            yield packed(rid, sizes, ids.tobytes(), halves.tobytes())
         if n:
             yield from out()
 
     return run
 
 
-COUNTS = "member boolean, rid long, sid long, size long, alone long"
+COUNTS = "member boolean, rid long, sid long, size long, half long, shared long"
 
 
-def count_alone(table: pa.Table) -> pa.Table:
-    """Members as they are; for the sets of a bucket, their shingles that no other set holds."""
-    if table.column("bucket")[0].as_py() < 0:
-        rid, sid, size = (np.concatenate([np.frombuffer(x, kind) for x in table.column(k).to_pylist()]) for k, kind in (("items", "<i8"), ("hashes", "<i8"), ("counts", "<u4")))
-        return pa.table({"member": np.ones(len(rid), bool), "rid": rid, "sid": sid, "size": size.astype(np.int64), "alone": np.zeros(len(rid), np.int64)})
-    h, item, _ = dealt(table)
-    order, group, distinct = in_groups(h, item)
-    h, item = h[order], item[order]
-    first = np.concatenate([[True], h[1:] != h[:-1]])
-    sid, alone = np.unique(item[first & (distinct == 1)[group] & (item != -1)], return_counts=True)
-    n = len(sid)
-    return pa.table({"member": np.zeros(n, bool), "rid": np.zeros(n, np.int64), "sid": sid, "size": np.zeros(n, np.int64), "alone": alone.astype(np.int64)})
+def count_shared(table: pa.Table) -> pa.Table:
+    """Members and counts as they are; for the sets of a bucket, their shingles that another set holds too."""
+    arrays = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]).astype(np.int64)
+    rid = size = half = shared = None
+    if table.column("bucket")[0].as_py() >= 0:
+        h, item, _ = dealt(table)
+        order, group, distinct = in_groups(h, item)
+        h, item = h[order], item[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (item[1:] != item[:-1])])
+        alone = (distinct == 1)[group] & (item[np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))][group] != -1)
+        sid, shared = np.unique(item[new & ~alone & (item != -1)], return_counts=True)
+    elif table.column("hashes")[0].as_py():
+        rid, sid, size, half = arrays("items", "<i8"), arrays("hashes", "<i8"), arrays("counts", "<u4"), arrays("payload", "<u4")
+    else:
+        sid, shared = arrays("items", "<i8"), arrays("counts", "<u4")
+    none = np.zeros(len(sid), np.int64)
+    filled = lambda x: none if x is None else x.astype(np.int64)
+    return pa.table({"member": np.full(len(sid), rid is not None), "rid": filled(rid), "sid": sid, "size": filled(size), "half": filled(half), "shared": filled(shared)})
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +161,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rid = F.xxhash64("doc_id", "text").alias("rid")
     n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     entries = base.select(rid, "text").mapInArrow(count_entries(bucket_bits(n_bytes, 5_000_000)), DEALT)
-    counts = by_bucket(entries, count_alone, COUNTS).groupBy("member", "rid", "sid").agg(F.max("size").alias("size"), F.sum("alone").alias("alone"))
+    counts = by_bucket(entries, count_shared, COUNTS).groupBy("member", "rid", "sid").agg(F.max("size").alias("size"), F.max("half").alias("half"), F.sum("shared").alias("shared"))
     counts = materialize(counts)
 
-    members = counts.where("member").select("rid", "sid", "size")
-    distinct = members.where("size > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.first("size").alias("size"))
-    left = distinct.join(counts.where("not member").select("sid", "alone"), "sid", "left")
-    left = left.where(F.coalesce("alone", F.lit(0)) <= F.col("size") - must_share(F.col("size"))).select("rid", "sid")
+    members = counts.where("member").select("rid", "sid", "size", "half")
+    distinct = members.where("size > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.max("size").alias("size"), F.max("half").alias("half"))
+    left = distinct.join(counts.where("not member").select("sid", "shared"), "sid", "left")
+    alone = F.col("half") - F.coalesce("shared", F.lit(0))
+    left = left.where(alone <= F.col("size") - must_share(F.col("size"))).select("rid", "sid")
     sets = materialize(base.select(rid, "text").join(left, "rid").select("sid", "text").mapInArrow(whole_sets, "sid long, shingles array<long>"))
 
     blocks = components(prefix_links(sets))
