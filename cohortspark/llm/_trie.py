@@ -5,17 +5,19 @@ from __future__ import annotations
 import numpy as np
 
 
-class Node:
-    __slots__ = ("children", "depth", "hi", "largest", "lo", "own", "smallest", "tokens")
-
-    def __init__(self, tokens, depth: int, lo: int, hi: int, smallest: int, largest: int) -> None:
-        self.tokens, self.depth, self.lo, self.hi, self.smallest, self.largest = tokens, depth, lo, hi, smallest, largest
-        self.children: list[Node] = []
-        self.own: list[int] = []
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of many stretches, one after the other."""
+    before = np.cumsum(length) - length
+    return np.repeat(start - before, length) + np.arange(int(length.sum()))
 
 
 class PrefixTree:
-    """Sets, as ascending sequences of ranks in one order for all (frequent tokens first), in a compressed trie; a subtree is a range of the sorted sequences."""
+    """Sets, as ascending sequences of ranks in one order for all (frequent tokens first), in a compressed trie.
+
+    Sequences are sorted, so a subtree is a range of them (``lo`` to ``hi``). Nodes
+    are numbered breadth first: children of a node stand together. An edge is the
+    stretch of its first sequence from the parent's depth to its own.
+    """
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         sizes = np.array([len(s) for s in sets], np.int64)
@@ -28,8 +30,9 @@ class PrefixTree:
         self.order = sorted(range(len(seqs)), key=lambda i: seqs[i].astype(">u4").tobytes())
         self.seqs = [seqs[i] for i in self.order]
         self.sizes = sizes[self.order]
-        self.shared = [0] + [self._common(a, b) for a, b in zip(self.seqs, self.seqs[1:])]
-        self.root = self._grow()
+        self.flat = np.concatenate(self.seqs) if self.seqs else np.zeros(0, np.int64)
+        self.at = np.cumsum(self.sizes) - self.sizes
+        self._number(self._grow())
 
     @staticmethod
     def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -37,108 +40,123 @@ class PrefixTree:
         differ = np.flatnonzero(a[:n] != b[:n])
         return int(differ[0]) if len(differ) else n
 
-    def _grow(self) -> Node:
-        """Nodes from the common prefixes of neighbours, without recursion."""
-        root = Node(np.zeros(0, np.int64), 0, 0, len(self.seqs), 0, 0)
-        path = [root]
-        for i, (seq, common) in enumerate(zip(self.seqs, self.shared, strict=True)):
+    def _grow(self) -> list[list]:
+        """Nodes ``[parent's depth, depth, lo, hi, children]`` from the common prefixes of neighbours."""
+        nodes = [[0, 0, 0, len(self.seqs), []]]
+        path = [0]
+        for i, seq in enumerate(self.seqs):
+            common = self._common(self.seqs[i - 1], seq) if i else 0
             last = None
-            while path[-1].depth > common:
+            while nodes[path[-1]][1] > common:
                 last = path.pop()
-                last.hi = i
-            if path[-1].depth < common:  # split the edge to the node just left
-                cut = common - path[-1].depth
-                between = Node(last.tokens[:cut], common, last.lo, 0, 0, 0)
-                last.tokens = last.tokens[cut:]
-                path[-1].children[-1] = between
-                between.children.append(last)
+                nodes[last][3] = i
+            top = nodes[path[-1]]
+            if top[1] < common:  # split the edge to the node just left
+                between = len(nodes)
+                nodes.append([top[1], common, nodes[last][2], 0, [last]])
+                nodes[last][0] = common
+                top[4][-1] = between
                 path.append(between)
-            if len(seq) > path[-1].depth:
-                leaf = Node(seq[path[-1].depth :], len(seq), i, i + 1, 0, 0)
-                path[-1].children.append(leaf)
+            if len(seq) > nodes[path[-1]][1]:
+                leaf = len(nodes)
+                nodes.append([nodes[path[-1]][1], len(seq), i, i + 1, []])
+                nodes[path[-1]][4].append(leaf)
                 path.append(leaf)
-            path[-1].own.append(i)
-        for node in path:
-            node.hi = len(self.seqs)
-        stack = [root]
-        while stack:
-            node = stack.pop()
-            if node.hi > node.lo:
-                node.smallest, node.largest = int(self.sizes[node.lo : node.hi].min()), int(self.sizes[node.lo : node.hi].max())
-            stack.extend(node.children)
-        return root
-
-
-def find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+        for k in path:
+            nodes[k][3] = len(self.seqs)
+        return nodes
+
+    def _number(self, nodes: list[list]) -> None:
+        order, first_child, n_children = [0], [], []
+        for k in order:
+            first_child.append(len(order))
+            n_children.append(len(nodes[k][4]))
+            order.extend(nodes[k][4])
+        made = np.array([nodes[k][:4] for k in order], np.int64).reshape(-1, 4)
+        self.above, self.depth, self.lo, self.hi = made.T
+        self.first_child, self.n_children = np.array(first_child), np.array(n_children)
+        self.start = (self.at[self.lo] + self.above) if len(self.seqs) else self.above
+        self.length = self.depth - self.above
+        n = len(self.seqs)
+        if n:
+            edges = np.stack([self.lo, self.hi], 1).ravel()
+            pad = np.append(self.sizes, 0)
+            self.smallest, self.largest = np.minimum.reduceat(np.append(self.sizes, 1 << 60), edges)[::2], np.maximum.reduceat(pad, edges)[::2]
+            ends = [int(np.searchsorted(self.sizes[a:b] != d, True)) for a, b, d in zip(self.lo.tolist(), self.hi.tolist(), self.depth.tolist(), strict=True)]
+            self.own = np.array(ends, np.int64)  # sequences that end at the node: the first of its range
+            self.own[0] = int((self.sizes == 0).sum())
 
 
 def link(sets: list[np.ndarray], percent: int, joined: list[int] | None = None) -> list[int]:
     """By set, the first of those it hangs together with through links (100 * intersection >= percent * union).
 
     ``joined``: groups known before, by the number of a member. Sets that hang
-    together already are not compared again, which changes no component. What is
-    left to find has an end outside the largest component, so only sets outside
-    it walk the tree; a walk adds to the overlap as it descends and turns back
-    where even all remaining tokens would not do, or where everything below is
-    already joined.
+    together already are not compared again, which changes no component. A set
+    that is not (yet) in the largest component walks the tree, level by level: the
+    overlap of a path grows by that of each edge, and the walk turns back where
+    even all remaining tokens would not do, or everything below is already joined.
+    A link that is missing in the end would have an end that has walked.
     """
-    tree, n = PrefixTree(sets), len(sets)
-    parent = list(range(n))  # by place in the tree's order
+    n = len(sets)
+    if not n:
+        return []
+    tree = PrefixTree(sets)
+    group = np.arange(n)  # by place in the tree's order
+    mask = np.zeros(tree.n_ranks, bool)
 
     def union(a: int, b: int) -> None:
-        a, b = find(parent, a), find(parent, b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
+        x, y = group[a], group[b]
+        if x != y:
+            group[group == max(x, y)] = min(x, y)
+
+    def enough(overlap, both):
+        return 100 * overlap >= percent * (both - overlap)
 
     if joined is not None:
         at = {x: i for i, x in enumerate(tree.order)}
         for i, j in enumerate(joined):
             union(at[i], at[j])
-    enough = lambda o, size: 100 * o >= percent * (size - o)
-    mask = np.zeros(tree.n_ranks, bool)
     for i in range(1, n):
-        if find(parent, i) != find(parent, i - 1):
+        if group[i] != group[i - 1]:
             mask[tree.seqs[i - 1]] = True
             if enough(int(np.count_nonzero(mask[tree.seqs[i]])), int(tree.sizes[i] + tree.sizes[i - 1])):
                 union(i, i - 1)
             mask[tree.seqs[i - 1]] = False
-    roots = np.array([find(parent, i) for i in range(n)])
-    largest = np.bincount(roots).argmax() if n else -1
-    outside = np.flatnonzero(roots != largest)
-    for x in outside.tolist():
+    main = int(np.flatnonzero(group == np.bincount(group).argmax())[0])
+    edges = np.stack([tree.lo, tree.hi], 1).ravel()
+
+    def walk(x: int) -> None:
         seq, size = tree.seqs[x], int(tree.sizes[x])
         mask[seq] = True
-        mine = find(parent, x)
-        current = np.array([find(parent, i) for i in range(n)]) if n < 2000 else roots
-        stack = [(tree.root, 0)]
-        while stack:
-            node, overlap = stack.pop()
-            if node.hi - node.lo == 1 and find(parent, node.lo) == find(parent, x):
-                continue
-            if node.hi - node.lo > 8 and node is not tree.root and (current[node.lo : node.hi] == mine).all():
-                continue
-            if len(node.tokens):
-                overlap += int(np.count_nonzero(mask[node.tokens]))
-                after = size - int(np.searchsorted(seq, node.tokens[-1], "right"))
-            else:
-                after = size
-            if not enough(overlap + min(after, node.largest - node.depth), size + node.smallest):
-                continue
-            for y in node.own:
-                if y != x and enough(overlap, size + int(tree.sizes[y])):
+        padded = np.append(group, 0)
+        one = np.minimum.reduceat(np.append(group, n), edges)[::2] == np.maximum.reduceat(padded, edges)[::2]
+        nodes, overlap = tree.first_child[0] + np.arange(tree.n_children[0]), np.zeros(tree.n_children[0], np.int64)
+        while len(nodes):
+            open_ = ~(one[nodes] & (group[tree.lo[nodes]] == group[x]))
+            nodes, overlap = nodes[open_], overlap[open_]
+            if not len(nodes):
+                break
+            length = tree.length[nodes]
+            hit = mask[tree.flat[ranges(tree.start[nodes], length)]]
+            overlap = overlap + np.add.reduceat(hit, np.cumsum(length) - length, dtype=np.int64)
+            after = size - np.searchsorted(seq, tree.flat[tree.start[nodes] + length - 1], "right")
+            most = overlap + np.minimum(after, tree.largest[nodes] - tree.depth[nodes])
+            good = enough(most, size + tree.smallest[nodes])
+            nodes, overlap = nodes[good], overlap[good]
+            ends = tree.own[nodes]
+            for k in np.flatnonzero((ends > 0) & enough(overlap, size + tree.depth[nodes])).tolist():
+                for y in range(int(tree.lo[nodes[k]]), int(tree.lo[nodes[k]] + ends[k])):
                     union(x, y)
-            stack.extend((c, overlap) for c in node.children)
+            width = tree.n_children[nodes]
+            nodes, overlap = ranges(tree.first_child[nodes], width), np.repeat(overlap, width)
         mask[seq] = False
-    first: dict[int, int] = {}
-    out = [0] * n
-    for i in range(n):
-        member = tree.order[i]
-        r = find(parent, i)
-        first[r] = min(first.get(r, member), member)
-    for i in range(n):
-        out[tree.order[i]] = first[find(parent, i)]
-    return out
+
+    for x in range(n):
+        if group[x] != group[main]:
+            walk(x)
+    first = np.full(n, n, np.int64)
+    members = np.array(tree.order)
+    np.minimum.at(first, group, members)
+    out = np.empty(n, np.int64)
+    out[members] = first[group]
+    return out.tolist()
