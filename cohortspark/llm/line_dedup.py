@@ -61,14 +61,29 @@ def line_shingles(line: str) -> np.ndarray:
     return h
 
 
-def bands(line: str) -> np.ndarray:
+def shingles_of(lines: list[str]) -> list[np.ndarray]:
+    """The same for many lines, end to end in one array; a line shorter than a shingle for itself."""
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+    n = max(0, len(code) - SHINGLE + 1)
+    h = np.full(n, SHINGLE, U)
+    for j in range(SHINGLE):
+        h = (h ^ code[j : j + n]) * U(0x9E3779B97F4A7C15)
+        h ^= h >> U(29)
+    out, at = [], 0
+    for line in lines:
+        out.append(h[at : at + len(line) - SHINGLE + 1] if len(line) >= SHINGLE else line_shingles(line))
+        at += len(line)
+    return out
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
     """BANDS hashes of 64 bits."""
-    low = (line_shingles(line) >> U(32)).astype(np.uint32)
-    least = np.full((BANDS * ROWS, 1), 0xFFFFFFFF, np.uint32)
+    low = (shingles >> U(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for a in range(0, len(low), 2048):
         v = low[a : a + 2048] ^ _SEEDS[0]
         v *= _SEEDS[1]
-        np.minimum(least, v.min(axis=1, keepdims=True), out=least)
+        np.minimum(least, v.min(axis=1), out=least)
     rows = least.reshape(BANDS, ROWS).astype(U)
     h = np.arange(1, BANDS + 1, dtype=U)
     for r in range(ROWS):
@@ -99,11 +114,12 @@ def band_entries(bits: int):
             yield from deal(h[first], item[first], None, bits)
 
         for batch in batches:
-            for lid, line in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if lid not in seen:
-                    seen.add(lid)
-                    hs.append(bands(line.as_py()))
-                    lids.append(lid)
+            every = batch.column(0).to_pylist()
+            new = [i for i, lid in enumerate(every) if lid not in seen and not seen.add(lid)]
+            for at in range(0, len(new), 1000):
+                some = new[at : at + 1000]
+                hs += map(bands, shingles_of(batch.column(1).take(pa.array(some, pa.int64())).to_pylist()))
+                lids += [every[i] for i in some]
             if len(lids) * BANDS >= GATHERED:
                 yield from out()
                 hs.clear()
