@@ -8,9 +8,10 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def norm_cdf(z: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Standard normal distribution; for the few rows that remain after aggregation."""
     n = NormalDist()
@@ -18,7 +19,7 @@ def norm_cdf(z: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda x: n.cdf(x) if x == x else None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def norm_quantile(p: Iterator[pd.Series]) -> Iterator[pd.Series]:
     n = NormalDist()
     for part in p:
