@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm._common import keyed, lower_ascii
+from cohortspark.llm._common import folded, keyed
 
 #: What separates words: ASCII but for digits and lower-case letters. Fixed value.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,12 +54,12 @@ CONTAINED = 0.9
 
 def spaced(text: Column) -> Column:
     """The words, each between single spaces; a space alone if there are none."""
-    words = F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), GAP, " "))
+    words = F.trim(F.regexp_replace(folded(F.coalesce(text, F.lit(""))), GAP, " "))
     return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
 def n_spaces(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, " ", ""))).cast("long")
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
 def phrase_columns(words: Column, n_words: Column, phrase: str) -> tuple[Column, Column, Column]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm._common import WORD_GAP, keyed, lower_ascii, materialize
+from cohortspark.llm._common import WORD_GAP, folded, materialize
 from cohortspark.llm._links import DEALT, block_components, bucket_bits, by_bucket, components, deal, dealt, in_groups, linked_sets
 
 MIN_CHARS = 20
@@ -152,7 +152,7 @@ def link_lines(table: pa.Table) -> pa.Table:
 
 
 def normal(line: Column) -> Column:
-    return F.trim(lower_ascii(F.regexp_replace(line, WORD_GAP, " ")))
+    return F.trim(folded(F.regexp_replace(line, WORD_GAP, " ")))
 
 
 def line_classes(lines: DataFrame, n_bytes: int, part_size: int = PART) -> DataFrame:

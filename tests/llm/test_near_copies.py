@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain_lines(rows, least=20, k=8):
-    norm = lambda x: brute.lower_ascii(re.sub(r"[\x20\x09-\x0D]+", " ", x)).strip(" ")
+    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).lower().strip(" ")
     places = [(i, p, norm(x)) for i, t in rows for p, x in enumerate((t or "").split("\n")) if len(norm(x)) >= least]
     names = sorted({n for *_, n in places})
     sets = [frozenset(n[j : j + k] for j in range(max(1, len(n) - k + 1))) for n in names]
