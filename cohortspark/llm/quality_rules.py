@@ -85,7 +85,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "rid", "doc_id", "lang", "source",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", WORD_GAP, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.size(x).cast("long").alias("n_lines"))).alias("line"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
     )
