@@ -83,13 +83,13 @@ def in_groups(h: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, group, np.bincount(group, new_item, minlength=int(new_h.sum())).astype(np.int64)
 
 
-def gathered(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrays joined until there are GATHERED entries."""
+def gathered(parts: Iterator[tuple[np.ndarray, ...]], most: int = GATHERED) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays joined until there are ``most`` entries."""
     held, n = [], 0
     for p in parts:
         held.append(p)
         n += len(p[0])
-        if n >= GATHERED:
+        if n >= most:
             yield tuple(map(np.concatenate, zip(*held, strict=True)))
             held, n = [], 0
     if n:
@@ -123,11 +123,11 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return nodes.join(links, nodes["node"] == links["u"], "left").select("node", F.coalesce("v", "node").alias("root"))
 
 
-def linked_sets(sids: list[int], sets: list[np.ndarray], known: list[int | None]) -> pa.Table:
+def linked_sets(sids: list[int], sets: list[np.ndarray], known: list[int | None], star: bool = False) -> pa.Table:
     """``a, b``: each set's id, and that of the first it hangs together with; ``known``: an id that it is joined to already."""
     at: dict[int, int] = {}
     joined = [at.setdefault(k if k is not None else s, i) for i, (s, k) in enumerate(zip(sids, known, strict=True))]
-    return pa.table({"a": pa.array(sids, pa.int64()), "b": pa.array([sids[i] for i in link(sets, PERCENT, joined)], pa.int64())})
+    return pa.table({"a": pa.array(sids, pa.int64()), "b": pa.array([sids[i] for i in link(sets, PERCENT, joined, star)], pa.int64())})
 
 
 def block_components(sets: DataFrame, blocks: DataFrame, id_col: str, set_col: str, run: Callable[[pa.Table], pa.Table], part_size: int) -> DataFrame:

@@ -87,7 +87,17 @@ class PrefixTree:
             self.own[0] = int((self.sizes == 0).sum())
 
 
-def link(sets: list[np.ndarray], percent: int, joined: list[int] | None = None) -> list[int]:
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    overlap = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * overlap >= percent * (len(both) - overlap)
+
+
+def link(sets: list[np.ndarray], percent: int, joined: list[int] | None = None, star: bool = False) -> list[int]:
     """By set, the first of those it hangs together with through links (100 * intersection >= percent * union).
 
     ``joined``: groups known before, by the number of a member. Sets that hang
@@ -95,11 +105,17 @@ def link(sets: list[np.ndarray], percent: int, joined: list[int] | None = None)
     that is not (yet) in the largest component walks the tree, level by level: the
     overlap of a path grows by that of each edge, and the walk turns back where
     even all remaining tokens would not do, or everything below is already joined.
-    A link that is missing in the end would have an end that has walked.
+    A link that is missing in the end would have an end that has walked. With
+    ``star``, sets are first compared with the first one, which often joins all.
     """
     n = len(sets)
-    if not n:
-        return []
+    if star and (joined is None or joined == list(range(n))):
+        near = [0, *(i for i in range(1, n) if alike(sets[0], sets[i], percent))]
+        if len(near) >= n:  # the first links with all others: no tree is needed
+            return [0] * n
+        joined = list(range(n))
+        for i in near:
+            joined[i] = 0
     tree = PrefixTree(sets)
     group = np.arange(n)  # by place in the tree's order
     mask = np.zeros(tree.n_ranks, bool)

@@ -148,11 +148,15 @@ def band_edges(table: pa.Table) -> pa.Table:
 def link_lines(table: pa.Table) -> pa.Table:
     """``lid, norm, joined`` of a part of a block to ``a, b``: verified links."""
     sets = [np.unique(line_shingles(t)) for t in table.column("norm").to_pylist()]
-    return linked_sets(table.column("lid").to_pylist(), sets, table.column("joined").to_pylist())
+    return linked_sets(table.column("lid").to_pylist(), sets, table.column("joined").to_pylist(), star=True)
 
 
 def normal(line: Column) -> Column:
-    return F.trim(folded(F.regexp_replace(line, WORD_GAP, " ")))
+    """Lower case, single spaces. Most lines have only single spaces, and plain searches tell so faster than a pattern."""
+    odd = F.lit(False)
+    for gap in ("  ", "\t", "\v", "\f", "\r"):
+        odd = odd | line.contains(gap)
+    return F.trim(folded(F.when(odd, F.regexp_replace(line, WORD_GAP, " ")).otherwise(line)))
 
 
 def line_classes(lines: DataFrame, n_bytes: int, part_size: int = PART) -> DataFrame:
