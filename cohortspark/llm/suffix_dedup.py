@@ -43,7 +43,13 @@ GRAM = 24
 #: Depth of the multikey quicksort in words of eight bytes.
 SHALLOW_WORDS = 2
 #: Texts in one task, and entries in one bucket, from which a minimizer is summed up first.
-HOT_IN_TASK, HOT = 256, 4096
+HOT_IN_TASK, HOT = 4096, 50_000
+#: Bytes of text for each bucket of minimizers.
+BUCKET_BYTES = 1_500_000
+#: Minimizers a task gathers before it deals them out.
+GATHERED = 400_000
+#: Rows that Spark hands to a Python worker at once; whole texts are long, and this many are a few MB.
+ROWS_AT_ONCE = 1000
 #: Least id: that of rows without one.
 NO_ID = -(1 << 63)
 
@@ -99,7 +105,12 @@ class Texts:
         self.chosen &= h != 0
 
 
-def batches_of(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def spread(h: np.ndarray) -> np.ndarray:
+    """Minimizers are small hashes; so that buckets are even, they are made uniform again."""
+    return h * U(0xBF58476D1CE4E5B9)
+
+
+def batches_of(batch: pa.RecordBatch, most: int = 400_000) -> Iterator[tuple[int, list[bytes]]]:
     """Texts of column 1 as bytes, a few MB at a time; a longer one is alone."""
     at, held, n = 0, [], 0
     for i, t in enumerate(batch.column(1).cast(pa.binary())):
@@ -121,14 +132,14 @@ def minimizers(batch: pa.RecordBatch, min_length: int) -> Iterator[tuple[np.ndar
     for at, texts in batches_of(batch):
         t = Texts(texts, min_length)
         place = np.flatnonzero(t.chosen)
-        yield t.h[place], rid[at + t.text[place]], (place - t.start[t.text[place]]).astype(U)
+        yield spread(t.h[place]), rid[at + t.text[place]], (place - t.start[t.text[place]]).astype(U)
 
 
 def entries_of(min_length: int, bits: int, hot_in_task: int):
     """mapInArrow over ``rid, text``: DEALT entries; a minimizer that very many texts of the task hold, as two marks and, beside them, its own entries ready-made (a bucket below 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, rid, place in gathered(x for b in batches for x in minimizers(b, min_length)):
+        for h, rid, place in gathered((x for b in batches for x in minimizers(b, min_length)), GATHERED):
             order, group, distinct = in_groups(h, rid)
             hot = (distinct > hot_in_task)[group]
             h, rid, place = h[order], rid[order], place[order]
@@ -203,10 +214,10 @@ def pieces_of(min_length: int, bits: int, hot: bool):
                 n = np.diff(np.append(first, len(p)))
                 a, m = p[first], m[first]
                 text = t.text[a]
-                bucket = (t.h[m] >> U(64 - bits)).astype(np.int32)
+                bucket = (spread(t.h[m]) >> U(64 - bits)).astype(np.int32)
                 raw = t.buf.tobytes()
-                for x in range(0, len(a), 20_000):
-                    s = slice(x, x + 20_000)
+                for x in range(0, len(a), 10_000):
+                    s = slice(x, x + 10_000)
                     strings = [raw[i : i + j + min_length - 1] for i, j in zip(a[s].tolist(), n[s].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[s]), pa.array(rid[at + text[s]]), pa.array(ords[at + text[s]]), pa.array((a[s] - t.start[text[s]]).astype(np.int32)), pa.array(n[s].astype(np.int32)), pa.array(strings, pa.binary())], ["bucket", "rid", "ord", "start", "n", "bytes"])
 
@@ -355,9 +366,10 @@ def suffix_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, id_col: str = "d
     """``doc_id, n_bytes, spans, kept, text``, and the columns of ``keep``: the maximal removed stretches (array of start and end, in bytes), and the remaining bytes of every text, as they are and without those of characters cut in two. Ids are whole numbers."""
     if min_length < GRAM + 8:
         raise ValueError(f"min_length must be at least {GRAM + 8}")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *keep)
     n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = bucket_bits(n_bytes, 6_000_000)
+    bits = bucket_bits(n_bytes, BUCKET_BYTES)
     order = F.coalesce("doc_id", F.lit(NO_ID))
     rid = F.xxhash64("doc_id", "text")
     texts = base.select(rid.alias("rid"), "doc_id", "text", *keep).repartition("rid")  # dealt out once; all joins with the texts read this exchange
