@@ -47,7 +47,7 @@ def at_spaces(text: str) -> list[str]:
 
 
 class Chunks(dict):
-    """Ids of `` chunk`` (a space, then text without spaces) by chunk; ``make`` gives those not yet known."""
+    """What ``make`` gives for `` chunk`` (a space, then text without spaces), by chunk."""
 
     def __init__(self, make) -> None:
         self.make = make
@@ -57,7 +57,7 @@ class Chunks(dict):
             raise Spans
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[chunk] = tuple(self.make(" " + chunk))
+        found = self[chunk] = self.make(" " + chunk)
         return found
 
 
@@ -114,15 +114,15 @@ class BytePairCoder:
                 heappush(queue, (*found, h, pair))
         return tuple([s for s in symbols if s >= 0])
 
-    def by_pattern(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.merge, self.split(text))))
+    def by_pattern(self, text: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.merge, self.split(text))))
 
     def encode_ordinary(self, text: str) -> list[int]:
         try:
             chunks = at_spaces(text)
-            return self.by_pattern(chunks[0]) + list(chain.from_iterable(map(self.known.__getitem__, chunks[1:])))
+            return list(chain(self.by_pattern(chunks[0]), chain.from_iterable(map(self.known.__getitem__, chunks[1:]))))
         except Spans:
-            return self.by_pattern(text)
+            return list(self.by_pattern(text))
 
     def encode(self, text: str) -> list[int]:
         if self.at_special is None or not any(s in text for s in self.special):

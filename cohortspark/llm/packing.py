@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.llm._common import keyed, materialize
-from cohortspark.llm.bpe import REMEMBERED, Spans, at_spaces, tokenizer_spec
+from cohortspark.llm.bpe import Chunks, Spans, at_spaces, tokenizer_spec
 
 #: Documents whose pieces are numbered in one go.
 BLOCK = 4096
@@ -52,49 +52,41 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = 1024, end_id: i
         tokenizer.no_truncation()
         tokenizer.no_padding()
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        known: dict[str, list[int]] = {}
+        end = end_id.to_bytes(4, "little")
 
-        def split(text: str) -> list[str] | None:
+        def raw(text: str) -> bytes:
+            """Ids as unsigned 32-bit numbers."""
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+        known = Chunks(raw)
+
+        def encode(text: str) -> bytes:
+            """Chunks between spaces are tokenized once and remembered; texts where tokens may span spaces, as a whole."""
             if special and any(s in text for s in special):
-                return None
+                return raw(text)
             try:
-                return at_spaces(text)
+                chunks = at_spaces(text)
+                return raw(chunks[0]) + b"".join(map(known.__getitem__, chunks[1:]))
             except Spans:
-                return None
-
-        def encode(part: list[str]) -> Iterator[list[int]]:
-            """Chunks between spaces are tokenized once and remembered; texts where tokens may span spaces, as a whole."""
-            chunks = [split(t) for t in part]
-            every = set().union(*(c[1:] for c in chunks if c))
-            new = [c for c in every - known.keys() if not c[0].isspace()]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = [c for c in every if not c[0].isspace()]
-            known.update(zip(new, (e.ids for e in tokenizer.encode_batch_fast([" " + c for c in new], add_special_tokens=False)), strict=True))
-            if len(every) > len(new) and not every <= known.keys():
-                chunks = [c if c and all(map(known.__contains__, c[1:])) else None for c in chunks]
-            whole = iter(tokenizer.encode_batch_fast([c[0] if c else t for c, t in zip(chunks, part, strict=True)], add_special_tokens=False))
-            for c in chunks:
-                ids = next(whole).ids
-                yield [*ids, *chain.from_iterable(map(known.__getitem__, c[1:]))] if c else ids
+                return raw(text)
 
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, len(batch), 256):
                 part = [t or "" for t in texts.slice(at, 256).to_pylist()]
                 rows, sums, starts, lengths, totals, pieces = [], [], [], [], [], []
-                for i, got in enumerate(encode(part)):
-                    ids = np.array([*got, end_id], dtype="<u4")
-                    start = 0
-                    for length in binary_lengths(len(ids), max_length):
-                        piece = ids[start : start + length]
+                for i, text in enumerate(part):
+                    ids = encode(text) + end
+                    n, start = len(ids) // 4, 0
+                    for length in binary_lengths(n, max_length):
+                        piece = ids[4 * start : 4 * (start + length)]
                         rows.append(at + i)
-                        sums.append(zlib.crc32(piece.tobytes()))
+                        sums.append(zlib.crc32(piece))
                         starts.append(start)
                         lengths.append(length)
-                        totals.append(len(ids))
+                        totals.append(n)
                         if with_ids:
-                            pieces.append(piece.astype(np.int32))
+                            pieces.append(np.frombuffer(piece, np.int32))
                         start += length
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
