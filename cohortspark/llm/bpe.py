@@ -26,7 +26,7 @@ from cohortspark.llm._common import keyed
 #: The split pattern of byte-level tokenizers of this family; white space as Unicode defines it. Fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Chunks a worker remembers, at some 250 bytes each; beyond that it forgets all and starts again, so memory is bounded.
-REMEMBERED = 800_000
+REMEMBERED = 1_600_000
 
 
 class Spans(Exception):
