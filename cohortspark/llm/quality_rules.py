@@ -14,10 +14,13 @@ The steps are grouped aggregates of sums and of approximate percentiles, which
 Spark combines before the shuffle, so a source with a third of all rows is no
 heavier than others; distances come from a Cholesky factor written out as column
 expressions. Only estimates (a row for each language and source) are joined back.
+A group with fewer than ``LEAST_GROUP`` vectors is judged by the estimates of its
+language, and where that has too few as well, by those of all texts.
 
 Defined results: null texts have no words and fail the base rules; null language
-and null source are groups of their own; groups with fewer than ``LEAST_GROUP``
-vectors, where no estimate holds, reject nothing; each coordinate has a variance
+and null source are groups of their own; every text that passes the base rules has a
+distance; estimates of all texts that rest on fewer than ``LEAST_GROUP`` vectors
+have no covariances, only variances; each coordinate has a variance
 of ``FLOOR`` at least, so ties and constant coordinates reject nothing by
 themselves; repeated rows have equal results; an empty table gives an empty
 result.
@@ -33,7 +36,7 @@ from cohortspark.llm._common import WORD_GAP, keyed, materialize
 SYMBOLS = "#*$%&|<>"
 #: Share of the vectors that an estimate rests on, and number of concentration steps.
 SUPPORT, STEPS = 0.75, 3
-#: Least variance of a coordinate, and least number of vectors in a group.
+#: Least variance of a coordinate, and least number of vectors in a group or language with estimates of its own.
 FLOOR, LEAST_GROUP = 0.02, 30
 #: Squared distance of rejection: beyond the 0.9999 quantile of chi-squared with four degrees (23.5), since real statistics have heavier tails than normal ones.
 LIMIT = 24.0
@@ -139,24 +142,36 @@ def with_estimates(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
     return vectors.join(estimates, vectors["lang"].eqNullSafe(estimates["of_lang"]) & vectors["source"].eqNullSafe(estimates["of_source"]), "left").drop("of_lang", "of_source")
 
 
+def pools_of(vectors: DataFrame) -> DataFrame:
+    """``of_lang, of_source, pools``: the pools of vectors that a group counts in, smallest first: its own, its language's (each with ``LEAST_GROUP`` vectors at least) and that of all. The first one judges it."""
+    groups = vectors.groupBy(F.col("lang").alias("of_lang"), F.col("source").alias("of_source")).agg(F.count(F.lit(1)).alias("n_group"))
+    langs = groups.groupBy(F.col("of_lang").alias("lang")).agg(F.sum("n_group").alias("n_lang"))
+    none = {c: F.lit(None).cast(vectors.schema[c].dataType).alias(c) for c in ("lang", "source")}
+    pool = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang, source)
+    own = F.when(F.col("n_group") >= LEAST_GROUP, pool(0, F.col("of_lang").alias("lang"), F.col("of_source").alias("source")))
+    wider = F.when(F.col("n_lang") >= LEAST_GROUP, pool(1, F.col("of_lang").alias("lang"), none["source"]))
+    return groups.join(langs, F.col("of_lang").eqNullSafe(F.col("lang"))).select("of_lang", "of_source", F.array_compact(F.array(own, wider, pool(2, none["lang"], none["source"]))).alias("pools"))
+
+
 def mcd_estimates(vectors: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
-    """``of_lang, of_source, n_group``, centre ``m*`` and factor ``l**`` from rows of ``lang, source`` and coordinates. Each step's estimates are written to the shared folder."""
+    """``of_lang, of_source, n_group``, centre ``m*`` and factor ``l**`` from rows of ``lang, source`` and coordinates; ``n_group`` vectors are in the pool that judges the group. Each step's estimates are written to the shared folder."""
     p = len(COORDINATES)
-    group = [F.col("lang").alias("of_lang"), F.col("source").alias("of_source")]
-    centre = vectors.groupBy(*group).agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(COORDINATES)), F.count(F.lit(1)).alias("n_group"))
-    spread = with_estimates(vectors, centre).groupBy(*group, *(f"m{i}" for i in range(p)), "n_group").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(COORDINATES)))
+    pools = materialize(pools_of(vectors))
+    pooled = with_estimates(vectors, pools).select(F.explode("pools").alias("pool"), *COORDINATES)
+    centre = pooled.groupBy("pool").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(COORDINATES)), F.count(F.lit(1)).alias("n_group"))
+    spread = pooled.join(centre, "pool").groupBy("pool", *(f"m{i}" for i in range(p)), "n_group").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(COORDINATES)))
     zero = {covariance_name(i, j): F.lit(0.0) for i in range(p) for j in range(i)}
     estimates = materialize(with_factor(spread.withColumns(zero | {covariance_name(i, i): (F.col(f"s{i}") * 1.4826) ** 2 for i in range(p)}).drop(*(f"s{i}" for i in range(p)))))
     for _ in range(steps):
-        far = with_distance(with_estimates(vectors, estimates), "d")
-        limits = far.groupBy(*group).agg(F.percentile_approx("d", support, 10_000).alias("limit"))
-        near = with_estimates(far.select("lang", "source", *COORDINATES, "d"), limits).where("d <= limit")
+        far = with_distance(pooled.join(estimates, "pool"), "d").select("pool", "n_group", *COORDINATES, "d")
+        limits = far.groupBy("pool").agg(F.percentile_approx("d", support, 10_000).alias("limit"))
+        near = far.join(limits, "pool").where("d <= limit")
         sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(COORDINATES)]
         sums += [(F.covar_pop(COORDINATES[i], COORDINATES[j]) * CONSISTENT).alias(covariance_name(i, j)) for i in range(p) for j in range(i + 1)]
-        sizes = estimates.select(F.col("of_lang").alias("lang"), F.col("of_source").alias("source"), "n_group")
-        now = with_factor(near.groupBy(*group).agg(*sums))
-        estimates = materialize(with_estimates(sizes, now).select(*group, "n_group", *(c for c in now.columns if c not in ("of_lang", "of_source"))))
-    return estimates
+        now = near.groupBy("pool", "n_group").agg(*sums)
+        few = {c: F.when(F.col("n_group") >= LEAST_GROUP, F.col(c)).otherwise(0.0) for c in zero}  # covariances of a few vectors do not hold
+        estimates = materialize(with_factor(now.withColumns(few)))
+    return pools.select("of_lang", "of_source", F.col("pools")[0].alias("pool")).join(estimates, "pool").drop("pool")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limit: float = LIMIT, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
@@ -164,6 +179,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = materialize(coordinates(base_counts(docs, id_col, text_col, lang_col, source_col)))
     passed = counts.where("not base_failed")
     estimates = mcd_estimates(passed.select("lang", "source", *COORDINATES), support, steps)
-    judged = with_distance(with_estimates(counts, estimates), "d").withColumn("distance", F.when(F.col("n_group") >= LEAST_GROUP, F.col("d")))
+    judged = with_distance(with_estimates(counts, estimates), "distance")
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

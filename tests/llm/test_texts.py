@@ -173,3 +173,14 @@ def test_distances_are_those_of_a_plain_mcd(spark):
         near = x[d <= np.quantile(d, quality_rules.SUPPORT, method="inverted_cdf")]
         m, c = near.mean(axis=0), np.cov(near.T, bias=True) * quality_rules.CONSISTENT
     assert np.allclose(got, np.sort(far()), rtol=1e-6)
+
+
+def test_small_groups_are_judged_by_larger_ones(spark):
+    normal = [" ".join(f"w{(i * 7 + k * k) % 997}x{k}" for k in range(80)) for i in range(43)]
+    loud = " ".join(f"##${k}%%&&**||<<>>#{k}##" for k in range(90))
+    place = [("en", "large")] * 40 + [("en", "rare"), (None, "large"), (None, None)]
+    rows = [(i, t, *p) for i, (t, p) in enumerate(zip(normal, place, strict=True))]
+    rows += [(100 + i, loud, *p) for i, p in enumerate([("en", "rare"), (None, "large"), (None, None), ("xx", "rare")])]
+    found = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r["distance"] is not None for r in found.values())
+    assert {i for i, r in found.items() if not r["kept"]} == {100, 101, 102, 103}
