@@ -20,9 +20,11 @@ language, and where that has too few as well, by those of all texts.
 Defined results: null texts have no words and fail the base rules; null language
 and null source are groups of their own; every text that passes the base rules has a
 distance; estimates of all texts that rest on fewer than ``LEAST_GROUP`` vectors
-have no covariances, only variances; each coordinate has a variance
-of ``FLOOR`` at least, so ties and constant coordinates reject nothing by
-themselves; repeated rows have equal results; an empty table gives an empty
+have no covariances, only variances; a coordinate that is tied for half of a
+group's vectors or more has at least the variance of its corpus-wide median
+absolute deviation, or where that is 0 too, of its corpus-wide mean absolute
+deviation, so a rare value is far where it is far for the corpus; a coordinate
+constant in the corpus rejects nothing; repeated rows have equal results; an empty table gives an empty
 result.
 """
 
@@ -36,10 +38,12 @@ from cohortspark.llm._common import WORD_GAP, keyed, materialize
 SYMBOLS = "#*$%&|<>"
 #: Share of the vectors that an estimate rests on, and number of concentration steps.
 SUPPORT, STEPS = 0.75, 3
-#: Least variance of a coordinate, and least number of vectors in a group or language with estimates of its own.
-FLOOR, LEAST_GROUP = 0.02, 30
-#: Squared distance of rejection: beyond the 0.9999 quantile of chi-squared with four degrees (23.5), since real statistics have heavier tails than normal ones.
-LIMIT = 24.0
+#: Added to each variance, so that a change of word length by 1 % or a share of 1 in 10,000 counts for little even where vectors hardly differ; and least number of vectors in a group or language with estimates of its own.
+FLOOR, LEAST_GROUP = 1e-4, 30
+#: Squared distance of rejection: the 0.9999 quantile of chi-squared with four degrees.
+LIMIT = 23.5127
+#: Make the median and the mean absolute deviation the standard deviation, for normal data.
+NORMAL_MEDIAN, NORMAL_MEAN = 1.4826, 1.2533
 #: Makes the variance of the nearest three quarters that of all, for normal data in four dimensions.
 CONSISTENT = 1.6
 
@@ -153,24 +157,35 @@ def pools_of(vectors: DataFrame) -> DataFrame:
     return groups.join(langs, F.col("of_lang").eqNullSafe(F.col("lang"))).select("of_lang", "of_source", F.array_compact(F.array(own, wider, pool(2, none["lang"], none["source"]))).alias("pools"))
 
 
+def with_spread(estimates: DataFrame, tied: DataFrame) -> DataFrame:
+    """Variances of at least ``v*``, the corpus-wide ones of coordinates whose median deviation is 0 in the pool."""
+    p = len(COORDINATES)
+    return estimates.join(tied, "pool").withColumns({covariance_name(i, i): F.greatest(F.col(covariance_name(i, i)), F.col(f"v{i}")) for i in range(p)}).drop(*(f"v{i}" for i in range(p)))
+
+
 def mcd_estimates(vectors: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
     """``of_lang, of_source, n_group``, centre ``m*`` and factor ``l**`` from rows of ``lang, source`` and coordinates; ``n_group`` vectors are in the pool that judges the group. Each step's estimates are written to the shared folder."""
     p = len(COORDINATES)
     pools = materialize(pools_of(vectors))
     pooled = with_estimates(vectors, pools).select(F.explode("pools").alias("pool"), *COORDINATES)
-    centre = pooled.groupBy("pool").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(COORDINATES)), F.count(F.lit(1)).alias("n_group"))
-    spread = pooled.join(centre, "pool").groupBy("pool", *(f"m{i}" for i in range(p)), "n_group").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(COORDINATES)))
+    centre = materialize(pooled.groupBy("pool").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(COORDINATES)), F.count(F.lit(1)).alias("n_group")))
+    off = [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(COORDINATES)]
+    spread = pooled.join(centre, "pool").groupBy("pool", *(f"m{i}" for i in range(p)), "n_group").agg(*(F.percentile_approx(x, 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(off)), *(F.avg(x).alias(f"a{i}") for i, x in enumerate(off)))
+    spread = materialize(spread)
+    every = spread.where("pool.level = 2").select(*(F.when(F.col(f"s{i}") > 0, (F.col(f"s{i}") * NORMAL_MEDIAN) ** 2).otherwise((F.col(f"a{i}") * NORMAL_MEAN) ** 2).alias(f"w{i}") for i in range(p)))
+    tied = materialize(spread.crossJoin(F.broadcast(every)).select("pool", *(F.when(F.col(f"s{i}") == 0, F.col(f"w{i}")).otherwise(0.0).alias(f"v{i}") for i in range(p))))  # a single row of statistics
     zero = {covariance_name(i, j): F.lit(0.0) for i in range(p) for j in range(i)}
-    estimates = materialize(with_factor(spread.withColumns(zero | {covariance_name(i, i): (F.col(f"s{i}") * 1.4826) ** 2 for i in range(p)}).drop(*(f"s{i}" for i in range(p)))))
+    start = {covariance_name(i, i): (F.col(f"s{i}") * NORMAL_MEDIAN) ** 2 for i in range(p)}
+    estimates = materialize(with_factor(with_spread(spread.withColumns(zero | start).drop(*(f"{c}{i}" for c in "sa" for i in range(p))), tied)))
     for _ in range(steps):
         far = with_distance(pooled.join(estimates, "pool"), "d").select("pool", "n_group", *COORDINATES, "d")
-        limits = far.groupBy("pool").agg(F.percentile_approx("d", support, 10_000).alias("limit"))
+        limits = materialize(far.groupBy("pool").agg(F.percentile_approx("d", support, 10_000).alias("limit")))
         near = far.join(limits, "pool").where("d <= limit")
         sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(COORDINATES)]
         sums += [(F.covar_pop(COORDINATES[i], COORDINATES[j]) * CONSISTENT).alias(covariance_name(i, j)) for i in range(p) for j in range(i + 1)]
         now = near.groupBy("pool", "n_group").agg(*sums)
         few = {c: F.when(F.col("n_group") >= LEAST_GROUP, F.col(c)).otherwise(0.0) for c in zero}  # covariances of a few vectors do not hold
-        estimates = materialize(with_factor(now.withColumns(few)))
+        estimates = materialize(with_factor(with_spread(now.withColumns(few), tied)))
     return pools.select("of_lang", "of_source", F.col("pools")[0].alias("pool")).join(estimates, "pool").drop("pool")
 
 

@@ -184,3 +184,17 @@ def test_small_groups_are_judged_by_larger_ones(spark):
     found = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(r["distance"] is not None for r in found.values())
     assert {i for i, r in found.items() if not r["kept"]} == {100, 101, 102, 103}
+
+
+def test_small_shares_of_junk_are_outliers(spark):
+    """A share of symbols of a seventh, or of repeated lines of a third, stands out where other texts have none; a few repeated words among texts that have some do not."""
+    words = lambda i: [f"w{(i * 7 + k * k) % 997}x{k}" for k in range(80)]
+    few = lambda i: [*words(i), "so", "we", "go", *words(i)[:9], "so", "we", "go"] if i % 3 == 0 else words(i)
+    rows = [(i, " ".join(few(i)), "en", "s") for i in range(120)]
+    rows.append((200, " ".join(w + ("|" if k % 5 else "") for k, w in enumerate(words(200))), "en", "s"))
+    rows.append((201, "\n".join([*(" ".join(words(201)[k * 13 : k * 13 + 13]) for k in range(6)), "x", "y", "x", "y", "x"]), "en", "s"))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in quality_rules.quality_rules(table).collect()}
+    assert not any(r["base_failed"] for r in found.values())
+    assert 0.1 < found[200]["n_symbols"] / found[200]["word_chars"] < 0.2
+    assert {i for i, r in found.items() if not r["kept"]} == {200, 201}
