@@ -3,14 +3,17 @@
 Native: DataFrame operations only.
 
 Words are runs of digits, letters and all characters beyond ASCII; A-Z count as
-a-z. A block is a line of a text, a template a fixed sentence. Every block whose
-set of words contains at least ``CONTAINED`` of a template's words is found:
+a-z. A template is a fixed sentence, a block a window of ``WINDOW`` times as many
+successive words of a text, across its line ends; windows start at every word.
+Every block whose set of words contains at least ``CONTAINED`` of a template's
+words is found. The filters first find the texts that hold so many of a template's
+words anywhere, then the windows around its rarest words in those:
 
 * words of templates are put in one order for all, by the number of documents
   that hold them over the whole corpus, rarest first;
-* prefix filter: a block that holds ``a`` of a template's ``n`` words in this order
+* prefix filter: a text or block that holds ``a`` of a template's ``n`` words in this order
   holds one of its first ``n - a + 1``, so only those are joined on;
-* length filter: a block with fewer than ``a`` template words goes before the join;
+* length filter: a text or block with fewer than ``a`` template words goes first;
 * positional filter: at the first common word, what is left of both must do.
 
 Beside it stand the base phrases, whose words must follow one another.
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm._common import folded, keyed
+from cohortspark.llm._common import folded, keyed, materialize
 
 #: What separates words: ASCII but for digits and lower-case letters. Fixed value.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,6 +53,8 @@ TEMPLATES = (
 )
 #: Least share of a template's words.
 CONTAINED = 0.9
+#: Words of a window for each word of the template: room for as many others in between.
+WINDOW = 2
 
 
 def spaced(text: Column) -> Column:
@@ -86,10 +91,10 @@ def template_table(docs: DataFrame, contained: float) -> DataFrame:
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contained: float = CONTAINED) -> DataFrame:
-    """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks``; ``n_blocks``: pairs of a block and a template found."""
+    """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks``; ``n_blocks``: places where a template is found; windows that overlap are one."""
     base = keyed(docs, id_col, text_col)
     key = F.xxhash64("doc_id", "text").alias("rid")
-    lined = base.select(key, "doc_id", "text", spaced(F.col("text")).alias("words"))
+    lined = base.select(key, "doc_id", spaced(F.col("text")).alias("words"))
     found = blocks_found(lined, contained)
     n_words = F.when(F.col("words") == " ", F.lit(0).cast("long")).otherwise(n_spaces(F.col("words")) - 1)
     counted = lined.select("rid", "doc_id", "words", n_words.alias("n_words"))
@@ -104,19 +109,31 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def blocks_found(lined: DataFrame, contained: float) -> DataFrame:
-    """``rid, found, score, n_blocks`` of the texts with a block that meets a template's threshold, from ``rid, text, words``."""
+    """``rid, found, score, n_blocks`` of the texts with a window that meets a template's threshold, from ``rid, words``."""
     table = template_table(lined.select("words"), contained)
     own = table.groupBy("template", "label", "size", "least").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ordered")).withColumn("ordered", F.col("ordered")["word"])
     every = sorted({w for _, t in TEMPLATES for w in t.split(" ")})
     least = min(len(set(t.split(" "))) for _, t in TEMPLATES)
     known = F.array(*map(F.lit, every))
-    lines = lined.select("rid", F.posexplode(F.split("text", "\n")).alias("line", "block"))
-    held = lines.select("rid", "line", F.array_intersect(F.split(spaced(F.col("block")), " "), known).alias("held")).where(F.size("held") >= int(least * contained))
-    prefix = table.where(F.col("place") < F.col("size") - F.col("least") + 1).select("template", "label", "size", "least", "place", "word")
-    single = held.select("rid", "line", "held", F.explode("held").alias("word"))
+    # The texts that hold enough of a template anywhere, few of all
+    held = lined.select("rid", F.array_intersect(F.split("words", " "), known).alias("held")).where(F.size("held") >= int(least * contained))
+    prefix = table.where(F.col("place") < F.col("size") - F.col("least") + 1).select("template", "size", "least", "place", "word")
+    single = held.select("rid", "held", F.explode("held").alias("word"))
     met = single.join(F.broadcast(prefix), "word").where(F.size("held") >= F.col("least"))
-    first = met.groupBy("rid", "line", "held", "template", "label", "size", "least").agg(F.min("place").alias("place"))
+    first = met.groupBy("rid", "held", "template", "size", "least").agg(F.min("place").alias("place"))
     first = first.where(F.col("size") - F.col("place") >= F.col("least"))  # positional: what is left from the first common word on
-    pairs = first.join(F.broadcast(own.select("template", "ordered")), "template")
-    share = F.size(F.array_intersect("held", "ordered"))
-    return pairs.where(share >= F.col("least")).groupBy("rid").agg(F.collect_set("label").alias("found"), F.max(share / F.col("size")).alias("score"), F.count(F.lit(1)).alias("n_blocks"))
+    pairs = first.select("rid", "held", "template").join(F.broadcast(own.select("template", "least", "ordered")), "template")
+    texts = materialize(pairs.where(F.size(F.array_intersect("held", "ordered")) >= F.col("least")).select("rid", "template"))
+    # Their windows: each that meets the threshold has a word of the prefix, so only those around such words are looked at
+    width = F.element_at(F.array(*(F.lit(WINDOW * len(t.split(" "))) for _, t in TEMPLATES)), F.col("template") + 1)
+    split = lined.select("rid", F.split(F.trim("words"), " ").alias("words")).join(texts, "rid").join(F.broadcast(own.withColumn("width", width)), "template")
+    rare = F.slice("ordered", F.lit(1), F.col("size") - F.col("least") + 1)
+    placed = split.withColumn("rare", rare).withColumn("at", F.explode(F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("rare", w), i)), lambda i: i.isNotNull())))
+    begin = F.greatest(F.col("at") - F.col("width") + 1, F.lit(0))
+    near = placed.select("rid", "template", "label", "size", "least", "width", "ordered", "at", begin.alias("begin"), F.slice("words", begin + 1, F.col("at") - begin + F.col("width")).alias("around"))
+    near = near.where(F.size(F.array_intersect("around", "ordered")) >= F.col("least"))
+    common = lambda start: F.size(F.array_intersect(F.slice("around", start - F.col("begin") + 1, F.col("width")), F.col("ordered")))
+    windows = near.withColumn("start", F.explode(F.sequence("begin", "at"))).withColumn("share", common(F.col("start"))).where("share >= least")
+    best = windows.groupBy("rid", "template", "label", "size", "width").agg(F.array_sort(F.collect_set("start")).alias("starts"), F.max("share").alias("share"))
+    apart = F.filter("starts", lambda x, i: (i == 0) | (x - F.get("starts", i - 1) >= F.col("width")))
+    return best.groupBy("rid").agg(F.collect_set("label").alias("found"), F.max(F.col("share") / F.col("size")).alias("score"), F.sum(F.size(apart)).alias("n_blocks"))

@@ -198,3 +198,18 @@ def test_small_shares_of_junk_are_outliers(spark):
     assert not any(r["base_failed"] for r in found.values())
     assert 0.1 < found[200]["n_symbols"] / found[200]["word_chars"] < 0.2
     assert {i for i, r in found.items() if not r["kept"]} == {200, 201}
+
+
+def test_licenses_are_found_across_lines_but_not_from_scattered_words(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"
+    other = " ".join(f"word{i}" for i in range(40))
+    scattered = f" {other} ".join(["released", "under", "the", "mit", "license"])
+    twice = f"{mit} {other} {mit}"
+    texts = [mit, bsd, mpl, scattered, twice, f"{other} {bsd}", f"{mpl}\n{other}\n{bsd}", "Released under\nthe terms of the MIT\nlicense"]
+    got = {r["doc_id"]: (r["labels"], r["n_blocks"]) for r in licenses.license_scan(docs(spark, [*texts, *texts])).collect()}
+    want = [("mit", 1), ("bsd", 1), ("mpl-2.0", 1), ("", 0), ("mit", 2), ("bsd", 1), ("bsd,mpl-2.0", 2), ("mit", 1)]
+    assert got == dict(enumerate([*want, *want]))
+    rows = [(1, mit, 7, "x")] * 3
+    assert [r["n_blocks"] for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string, ids int, rid string")).collect()] == [1, 1, 1]
