@@ -136,19 +136,30 @@ def s12(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Events as a stream, with a last event far later in each so that the watermark closes every window that counts."""
+    """Events as a stream."""
     schema = table(spark, d, "events").schema
     return streams.stream_table(spark, d, "events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def closed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream, with a last event a year later so that the watermark closes every window that counts. Nothing closes that event's own window, so it is never emitted."""
+    events = table(spark, d, "events")
+    last = events.agg((F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 366 DAYS")).alias("last"))
+    closing = last.select(*((F.col("last") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema))
+    folder = streams.shared_folder(events)
+    closing.write.parquet(folder)
+    end = streams.stream_table(spark, folder, "*.parquet", events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    return event_stream(spark, d).unionByName(end)
+
+
 @query("w02_stream_counts")
 def w02(spark: SparkSession, d: str) -> DataFrame:
-    return streams.run_once(streams.audit_counts(event_stream(spark, d)))
+    return streams.run_once(streams.audit_counts(closed_stream(spark, d)))
 
 
 @query("w06_stream_sessions")
 def w06(spark: SparkSession, d: str) -> DataFrame:
-    return streams.run_once(streams.sessions(event_stream(spark, d)))
+    return streams.run_once(streams.sessions(closed_stream(spark, d)))
 
 
 @query("w01_unique_arrivals", "SELECT user_id, event_type, count(DISTINCT (user_id, event_type)) AS n FROM events GROUP BY user_id, event_type")
