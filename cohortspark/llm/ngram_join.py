@@ -155,8 +155,8 @@ def link_part(table: pa.Table) -> pa.Table:
     return linked_sets(table.column("sid").to_pylist(), [x.values.to_numpy().view(np.uint64) for x in shingles], table.column("joined").to_pylist())
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_size: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_equal``; ``n_equal``: documents with the same shingle set (0 if it is empty)."""
+def placed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_size: int = BLOCK) -> DataFrame:
+    """``doc_id, rid, sid, size, root``: each row with its hash, its shingle set, the number of shingles and its component."""
     base = keyed(docs, id_col, text_col)
     rid = F.xxhash64("doc_id", "text").alias("rid")
     n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -176,7 +176,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ids = base.select(rid, "doc_id")
     placed = ids.join(members, "rid").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    placed = materialize(placed.select("doc_id", "rid", "sid", "size", "root"))
+    return materialize(placed.select("doc_id", "rid", "sid", "size", "root"))
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_size: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_equal``; ``n_equal``: documents with the same shingle set (0 if it is empty)."""
+    placed = placed_rows(docs, id_col, text_col, part_size)
     equal = placed.where("size > 0").groupBy("root", "sid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_equal"))
     roots = equal.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = equal.select("root", "sid", "n_equal").join(roots, "root").select("sid", "n_equal", "component_id")

@@ -2,7 +2,7 @@
 
 1. ``language_id``: documents without letters (null and empty texts too) go; the others keep their rows as they are, since a label is not a filter.
 2. ``line_dedup``: fuzzy copies of lines go, but for the first; documents left without a word go with their last line.
-3. ``ngram_jaccard_join``: of documents that hang together by near-equal shingle sets the one with the smallest id stays.
+3. ``ngram_jaccard_join``: of documents that hang together by near-equal shingle sets the row with the smallest id (and hash of its text, where ids are the same or null) stays.
 4. ``suffix_dedup``: passages of 50 bytes or more that a document with a smaller id holds are cut out.
 5. ``packing``: what is left, as pieces of power-of-two length.
 
@@ -21,8 +21,6 @@ from cohortspark.llm import langid, line_dedup, ngram_join, packing, suffix_dedu
 from cohortspark.llm._common import documents, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: What language identification must be sure of to keep a document.
-LEAST_SCORE = 0.5
 
 
 def with_text(docs: DataFrame) -> DataFrame:
@@ -33,7 +31,7 @@ def with_text(docs: DataFrame) -> DataFrame:
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     found = langid.identify(docs.withColumn("body", F.col("text")), model, keep=("body", "lang", "source", "n_chars"))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id", F.col("body").alias("text"), "lang", "source", "n_chars")
+    return found.where((F.col("lang_pred") != "und") | F.col("body").rlike(r"\p{L}")).select("doc_id", F.col("body").alias("text"), "lang", "source", "n_chars")
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +39,12 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its group stays; so do documents without a group of their own. A repeated row stays once."""
-    groups = ngram_join.ngram_jaccard_join(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("body", F.xxhash64("text"))
-    return left.dropDuplicates(["doc_id", "body"]).select(*COLUMNS)
+    """Of each group the row with the smallest id and hash stays, null ids last; so do rows without a group of their own. A repeated row stays once."""
+    rows = ngram_join.placed_rows(docs).where("size > 0").select("root", "rid", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid").alias("rank"))
+    first = rows.groupBy("root").agg(F.min("rank").alias("first"))
+    gone = rows.join(first, "root").where(F.col("rid") != F.col("first.rid")).select("rid").distinct()
+    left = docs.withColumn("rid", F.xxhash64("doc_id", "text")).join(gone, "rid", "left_anti")
+    return left.dropDuplicates(["rid"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

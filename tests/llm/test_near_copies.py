@@ -117,3 +117,14 @@ def test_pipeline_runs_over_the_table(spark):
 
     found = p.run(spark, SF)
     assert found.count() == found.select("sequence_id").distinct().count() > 0
+
+
+def test_pipeline_decides_by_row(spark):
+    import corpus_pipeline as p
+
+    own = [" ".join(f"v{i}u{k}" for k in range(60)) for i in range(4)]
+    rows = [(None, own[0]), (None, own[0] + " tail"), (5, own[1]), (5, own[1] + " tail"), (6, own[2]), (7, own[2] + " tail"), (7, own[3])]
+    docs = spark.createDataFrame([(i, t, None, None, 5) for i, t in rows], ", ".join(f"{c} {k}" for c, k in zip(p.COLUMNS, ("long", "string", "string", "string", "long"), strict=True)))
+    assert p.identify_languages(spark, docs, SF).count() == len(rows)
+    left = sorted(r["text"].split(" ")[0] for r in p.join_near_copies(spark, docs, SF).collect())
+    assert left == ["v0u0", "v1u0", "v2u0", "v3u0"]
