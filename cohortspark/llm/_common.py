@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -25,13 +28,19 @@ def folded(text: Column) -> Column:
     return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b")))
 
 
+#: Most keys that ``join_by_key`` sends to every task.
+HEAVY_KEYS = 10_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the cluster names none, as in tests, one is made."""
+    """The folder all executors share. Only where the session names none and all tasks run in this process, as in tests, one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -42,3 +51,32 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def give_back() -> None:
+    """At the end of a task: memory that its worker has freed goes back to the system, since the worker stays for other tasks."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A whole number for each row: its id where no two rows share one and none is null; else 64 bits of hash of id and text, so that rows equal in both share it."""
+    ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    if ids.where(f"n > 1 or `{id_col}` is null").isEmpty():
+        return F.col(id_col).cast("long")
+    return F.xxhash64(id_col, text_col)
+
+
+def join_by_key(rows: DataFrame, found: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """``rows`` joined with ``found`` (a row for each key at most), where a key may hold any share of all rows.
+
+    ``counts(key, n)`` has the number of rows by key. Keys with a ``HEAVY_KEYS``-th
+    of all rows, so HEAVY_KEYS at most, are joined by broadcast where their rows
+    are; the others are dealt out.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = counts.where(F.col("n") >= max(total / HEAVY_KEYS, 8)).select(key)
+    heavy = F.broadcast(materialize(heavy))
+    near = rows.join(F.broadcast(found.join(heavy, key)), key)
+    return near.unionByName(rows.join(heavy, key, "left_anti").join(found, key))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm._common import materialize
+from cohortspark.llm._common import join_by_key, materialize
 from cohortspark.llm._trie import link
 
 DEALT = "bucket int, n long, items binary, counts binary, hashes binary, payload binary"
@@ -24,6 +24,7 @@ DEALT = "bucket int, n long, items binary, counts binary, hashes binary, payload
 PERCENT = 75
 #: Entries a task gathers before it packs them.
 GATHERED = 1_000_000
+U = np.uint64
 #: Payload that marks a hash as one that many items of a task share.
 MARK = 0xFFFFFFFF
 
@@ -73,6 +74,41 @@ def dealt(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hs), np.concatenate(items), np.concatenate(payloads)
 
 
+def group_of(x: int) -> int:
+    """A bucket below 0 for what needs none: by content, so that a task that runs again gives the same."""
+    return -1 - (int(x) * 0x9E3779B97F4A7C15 >> 20 & (1 << 30) - 1)
+
+
+ENTRY = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("items", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("payload", pa.binary())])
+
+
+def ready_rows(a: np.ndarray, b: np.ndarray, each: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Edges as rows of DEALT that no bucket has to sort: ``items`` and ``hashes`` are their ends."""
+    if len(a):
+        pairs = np.unique(np.stack([a, b], 1), axis=0)
+        for x in range(0, len(pairs), each):
+            ends = np.ascontiguousarray(pairs[x : x + each].T.astype("<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((group_of(ends.sum()), ends.shape[1], ends[0].tobytes(), b"", ends[1].tobytes(), b""), ENTRY, strict=True)], schema=ENTRY)
+
+
+def deal_rows(h: np.ndarray, item: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows of DEALT from entries in order of their hashes, each with an item of its own."""
+    bucket = (h >> U(64 - bits)).astype(np.int64)
+    low = (h >> U(24 - bits)) & U((1 << 40) - 1)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist()
+    spans = [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+    for at in range(0, len(spans), 512):
+        rows = [(int(bucket[a]), b - a, item[a:b].astype("<i8").tobytes(), b"", planes(low[a:b], 5), b"") for a, b in spans[at : at + 512]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ENTRY, strict=True)], schema=ENTRY)
+
+
+def dealt_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (40 bits) and items of a bucket of ``deal_rows``."""
+    columns = (table.column(k).to_pylist() for k in ("n", "items", "hashes"))
+    rows = [(unplanes(x, n, 5), np.frombuffer(i, "<i8")) for n, i, x in zip(*columns, strict=True)]
+    return np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+
+
 def in_groups(h: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by (hash, item); in that order, the number of each entry's group of equal hashes, and by group the number of different items."""
     order = np.lexsort((item, h))
@@ -130,20 +166,39 @@ def linked_sets(sids: list[int], sets: list[np.ndarray], known: list[int | None]
     return pa.table({"a": pa.array(sids, pa.int64()), "b": pa.array([sids[i] for i in link(sets, PERCENT, joined, star)], pa.int64())})
 
 
-def block_components(sets: DataFrame, blocks: DataFrame, id_col: str, set_col: str, run: Callable[[pa.Table], pa.Table], part_size: int) -> DataFrame:
-    """``node, root`` after all links inside ``blocks(node, root)``, from ``sets(id_col, set_col)``.
+def block_components(sets: DataFrame, id_col: str, set_col: str, run: Callable[[pa.Table], pa.Table], part_size: int) -> DataFrame:
+    """``node, root`` after all links inside blocks, from ``sets(id_col, set_col, block, weight)``, a written table.
 
-    A block of more than ``part_size`` sets is dealt to parts; ``run`` (which gets
-    ``id_col, set_col, joined`` and returns ``a, b``) sees each part, then every two.
+    Small blocks are dealt to tasks' shares of some ``part_size`` in weight; a block
+    that weighs more than that is dealt to parts. ``run`` (which gets ``id_col,
+    set_col, joined`` and returns ``a, b``) sees each block or part, then of a block
+    with parts every two.
     """
-    sized = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / F.lit(part_size)).cast("int")
-    placed = materialize(blocks.join(sized, "root").select(F.col("node").alias(id_col), F.col("root").alias("block"), parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")))
-    inside = sets.join(placed, id_col)
-    within = materialize(inside.select("block", "part", id_col, set_col, F.lit(None).cast("long").alias("joined")).groupBy("block", "part").applyInArrow(run, "a long, b long"))
-    if placed.where("parts > 1").isEmpty():
+    sized = materialize(sets.groupBy("block").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")))
+    total = sized.agg(F.sum("weight")).first()[0] or 0
+    n_shares = max(1, -(-total // part_size)) * 2
+    large = sized.where(F.col("weight") > part_size).select("block", F.ceil(F.col("weight") / F.lit(part_size)).cast("int").alias("parts"))
+    tasks = int(min(max(n_shares, sets.sparkSession.sparkContext.defaultParallelism), 100_000))
+
+    def blocks_of(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block").drop_columns(["share"])
+        block = table.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        inner = table.drop_columns(["block"])
+        return pa.concat_tables([run(inner.slice(x, y - x)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
+
+    none = F.lit(None).cast("long").alias("joined")
+    few = large.isEmpty()
+    small = sets if few else sets.join(large, "block", "left_anti")
+    small = small.select("block", F.pmod(F.xxhash64("block"), F.lit(n_shares)).alias("share"), id_col, set_col, none)
+    within = small.repartition(tasks, "share").groupBy("share").applyInArrow(blocks_of, "a long, b long")
+    if few:
         return within.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    parted = join_by_key(sets.select("block", id_col, set_col), large, "block", sized.select("block", "n"))
+    parted = parted.withColumn("part", F.pmod(F.xxhash64(id_col), "parts").cast("int"))
+    apart = materialize(parted.select("block", "part", id_col, set_col, none).groupBy("block", "part").applyInArrow(lambda t: run(t.drop_columns(["block", "part"])), "a long, b long"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    large = inside.where("parts > 1").join(within.select(F.col("a").alias(id_col), F.col("b").alias("joined")), id_col)
-    pairs = large.select("block", "part", other, id_col, set_col, "joined").where("part <> other").withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-    return components(within.unionByName(pairs.groupBy("block", "low", "high").applyInArrow(run, "a long, b long")))
+    again = parted.join(apart.select(F.col("a").alias(id_col), F.col("b").alias("joined")), id_col)
+    pairs = again.select("block", "part", other, id_col, set_col, "joined").where("part <> other").withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    met = pairs.select("block", "low", "high", id_col, set_col, "joined").groupBy("block", "low", "high").applyInArrow(lambda t: run(t.drop_columns(["block", "low", "high"])), "a long, b long")
+    return components(within.unionByName(apart).unionByName(met))

@@ -26,7 +26,7 @@ ORDERS = 4
 #: Labelled rows to learn from; from more than that, a sample by hash of the id.
 SAMPLE_ROWS = 20_000
 #: Rows and characters scored at once.
-CHUNK_ROWS, CHUNK_CHARS = 2_000, 1_000_000
+CHUNK_ROWS, CHUNK_CHARS = 2_000, 200_000
 _ALPHA: list[np.ndarray] = []
 
 

@@ -1,188 +1,241 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines of ``MIN_CHARS`` code points or more, compared in lower case and with single
-spaces, are sets of hashed character shingles. ``BANDS`` bands of ``ROWS`` minimal
-hashes find candidates (99.5 % of pairs at the threshold of 0.75, 99.96 % at 0.8);
-lines that hang together through bands form a block, in which all pairs are
-verified exactly, with what is already joined skipped. Components of verified
-links keep one line: the first, by document id, then place.
-
-A task adds up what its own lines share before anything is dealt out, so a line
-that a third of all documents hold is one entry from each task.
-
-Defined results: a null text is empty; shorter lines are never removed, equal ones
-included; a text all of whose lines go is empty; rows with equal ids are put in
-order by a hash of their texts, null ids first; repeated rows have equal results;
-an empty table gives an empty result.
+Lines, compared in lower case and with single spaces, are sets of hashed character
+shingles. ``BANDS`` bands of ``ROWS`` minimal hashes find candidates (99.5 % of
+pairs at the threshold of 0.75, 99.96 % at 0.8); lines that hang together through
+bands form a block, in which all pairs are verified exactly, with what is already
+joined skipped. Components of verified links keep one line: the first, by document
+id, then place.
+
+Lines are equal if 128 bits of hash are. Candidates go by 64 of these; different
+lines that agree in those are told apart by their text and are in no block. A task
+adds up what its own lines share before anything is dealt out, so a line that a
+third of all documents hold is one entry from each task; where places meet their
+line's first one, the few lines with a share of all places go by broadcast.
+
+Defined results: a null text is empty; lines without a character other than white
+space are never removed; a line shorter than a shingle is one shingle; a text all of
+whose lines go is empty; very long texts and lines are processed whole; rows with
+equal ids are put in order by a hash of their texts, null ids first; repeated rows
+have equal results; an empty table gives an empty result; columns that are not
+named are never read, so extra ones cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-import random
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm._common import WORD_GAP, folded, materialize
-from cohortspark.llm._links import DEALT, block_components, bucket_bits, by_bucket, components, deal, dealt, in_groups, linked_sets
+from cohortspark.llm._common import join_by_key, materialize, row_key
+from cohortspark.llm._links import DEALT, block_components, bucket_bits, by_bucket, components, deal_rows, dealt_rows, linked_sets, ready_rows
 
-MIN_CHARS = 20
 SHINGLE = 8
 BANDS, ROWS = 20, 5
-#: Lines in a part of a block, and band entries a task gathers before it deals them out.
-PART, GATHERED = 10_000, 1_500_000
+#: Characters of the lines in a part of a block, and lines a task gathers before it deals their bands out.
+PART, GATHERED = 4_000_000, 100_000
+#: Shingles hashed at once: as many numbers as fit the processor's cache.
+STRIP = 16_384
 NO_ID = -(1 << 63)
+GAP = re.compile(r"[\x20\x09-\x0D]+")
+ODD = re.compile(r"[\x09\x0B-\x0D]|\x20\x20")
 
 U = np.uint64
 
 
-def seeds() -> np.ndarray:
+def seeds() -> tuple[np.ndarray, np.ndarray]:
     """A mask and an odd multiplier for each hash function, by a rule."""
-    raw = np.frombuffer(hashlib.shake_128(b"line minhash").digest(8 * BANDS * ROWS), "<u4").reshape(2, BANDS * ROWS, 1).copy()
-    raw[1] |= np.uint32(1)
-    return raw
-
-
-_SEEDS = seeds()
-
-
-def line_shingles(line: str) -> np.ndarray:
-    """Hashes of the character shingles of a line, not yet a set; one of the whole line if it is shorter."""
-    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-    k = min(SHINGLE, len(code))
-    h = np.full(len(code) - k + 1, k, U)
-    for j in range(k):
-        h = (h ^ code[j : j + len(h)]) * U(0x9E3779B97F4A7C15)
-        h ^= h >> U(29)
-    return h
-
-
-def shingles_of(lines: list[str]) -> list[np.ndarray]:
-    """The same for many lines, end to end in one array; a line shorter than a shingle for itself."""
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-    n = max(0, len(code) - SHINGLE + 1)
-    h = np.full(n, SHINGLE, U)
-    for j in range(SHINGLE):
-        h = (h ^ code[j : j + n]) * U(0x9E3779B97F4A7C15)
-        h ^= h >> U(29)
-    out, at = [], 0
-    for line in lines:
-        out.append(h[at : at + len(line) - SHINGLE + 1] if len(line) >= SHINGLE else line_shingles(line))
-        at += len(line)
-    return out
-
-
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """BANDS hashes of 64 bits."""
-    low = (shingles >> U(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for a in range(0, len(low), 2048):
-        v = low[a : a + 2048] ^ _SEEDS[0]
-        v *= _SEEDS[1]
-        np.minimum(least, v.min(axis=1), out=least)
-    rows = least.reshape(BANDS, ROWS).astype(U)
-    h = np.arange(1, BANDS + 1, dtype=U)
+    raw = np.frombuffer(hashlib.shake_128(b"line minhash").digest(8 * BANDS * ROWS), "<u4").reshape(2, BANDS * ROWS)
+    return raw[0].copy(), raw[1] | np.uint32(1)
+
+
+_MASK, _MULTIPLY = seeds()
+
+
+def norms(text: str) -> list[str]:
+    """The lines of a text as they are compared."""
+    lines = text.lower().split("\n")
+    if ODD.search(text):
+        return [GAP.sub(" ", x).strip(" ") for x in lines]
+    return [x.strip(" ") for x in lines]
+
+
+def names(line: str) -> tuple[int, int]:
+    """128 bits that stand for a line, as two whole numbers."""
+    raw = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+def shingles_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the character shingles of some lines, end to end and not yet sets, and where each line's begin."""
+    padded = [x if len(x) >= SHINGLE else x + "\0" * (SHINGLE - len(x)) for x in lines]
+    sizes = np.array([len(x) for x in padded], np.int64)
+    code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+    h = (code + U(1)) * U(0x9E3779B97F4A7C15)
+    h ^= h >> U(32)
+    done = 1
+    while done < SHINGLE:  # of twice as many characters each time
+        h = h[:-done] * U(0xD6E8FEB86659FD93 + 2 * done) + h[done:]
+        done *= 2
+    h ^= h >> U(32)
+    h *= U(0xBF58476D1CE4E5B9)
+    h ^= h >> U(29)
+    inside = np.ones(len(h), bool)
+    ends = np.cumsum(sizes)[:-1]
+    inside[(ends[:, None] - np.arange(1, SHINGLE)).ravel()] = False  # shingles across two lines
+    counts = sizes - SHINGLE + 1
+    return h[inside], np.cumsum(counts) - counts
+
+
+def bands(lines: list[str]) -> np.ndarray:
+    """By line, BANDS hashes of 64 bits. A strip of shingles at a time goes through all hash functions."""
+    h, begin = shingles_of(lines)
+    low = (h >> U(32)).astype(np.uint32)
+    bounds = np.append(begin, len(low))
+    least = np.full((BANDS * ROWS, len(lines)), 0xFFFFFFFF, np.uint32)
+    at = 0
+    while at < len(low):
+        to = min(at + STRIP, len(low))
+        first, last = int(np.searchsorted(bounds, at, "right")) - 1, int(np.searchsorted(bounds, to, "left"))
+        starts = np.maximum(bounds[first:last] - at, 0)
+        strip = low[at:to]
+        v = np.empty_like(strip)
+        part = np.empty(len(starts), np.uint32)
+        for k in range(BANDS * ROWS):
+            np.bitwise_xor(strip, _MASK[k], out=v)
+            np.multiply(v, _MULTIPLY[k], out=v)
+            np.minimum.reduceat(v, starts, out=part)
+            np.minimum(least[k, first:last], part, out=least[k, first:last])
+        at = to
+    rows = least.reshape(BANDS, ROWS, len(lines))
+    out = np.repeat(np.arange(1, BANDS + 1, dtype=U)[:, None], len(lines), 1)
     for r in range(ROWS):
-        h = (h ^ rows[:, r]) * U(0xD6E8FEB86659FD93)
-        h ^= h >> U(31)
-    return h
+        out = (out ^ rows[:, r]) * U(0xD6E8FEB86659FD93)
+        out ^= out >> U(31)
+    return out.T
+
+
+def some_lines(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[dict[int, str]]:
+    """Lines of a task by name, each once, about ``most`` at a time; the texts are in column ``text``."""
+    held: dict[int, str] = {}
+    for batch in batches:
+        for value in batch.column(text):
+            for line in norms(value.as_py() or ""):
+                if line:
+                    held[names(line)[0]] = line
+            if len(held) >= most:
+                yield held
+                held = {}
+    if held:
+        yield held
 
 
 def band_entries(bits: int):
-    """mapInArrow over ``lid, norm``: DEALT entries (band, line). Of lines of the task that share a band only the smallest is dealt out; the others' edges to it follow ready-made, in buckets below 0."""
+    """mapInArrow over ``text``: DEALT entries (band, line). Of lines of the task that share a band only the first is dealt out; the others' edges to it follow ready-made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        hs: list[np.ndarray] = []
-        lids: list[int] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            h, item = np.concatenate(hs), np.repeat(np.array(lids, np.int64), BANDS)
-            order, group, _ = in_groups(h, item)
-            h, item = h[order], item[order]
+        for held in some_lines(batches, 0, GATHERED):
+            lids, lines = np.fromiter(held, np.int64, len(held)), list(held.values())
+            held.clear()
+            h, a, chars = np.empty((len(lines), BANDS), U), 0, 0
+            for i, line in enumerate(lines):
+                chars += len(line) + 1
+                if chars >= 4 * STRIP or i + 1 == len(lines):
+                    h[a : i + 1] = bands(lines[a : i + 1])
+                    a, chars = i + 1, 0
+            h = h.ravel()
+            width = U(int(len(h)).bit_length())
+            place = np.sort((h >> width << width) | np.arange(len(h), dtype=U))  # by hash; the place in its low bits
+            place = (place & ((U(1) << width) - U(1))).astype(np.int64)
+            h, item = h[place], lids[place // BANDS]
             first = np.concatenate([[True], h[1:] != h[:-1]])
-            a, b = item[~first], item[first][group][~first]
-            if len(a):
-                pairs = np.unique(np.stack([a, b], 1), axis=0)
-                for x in range(0, len(pairs), 100_000):
-                    part = np.ascontiguousarray(pairs[x : x + 100_000].T.astype("<i8"))
-                    yield pa.RecordBatch.from_arrays([pa.array([-1 - random.randrange(1 << 30)], pa.int32()), pa.array([part.shape[1]], pa.int64()), *(pa.array([r], pa.binary()) for r in (part[0].tobytes(), b"", part[1].tobytes(), b""))], ["bucket", "n", "items", "counts", "hashes", "payload"])
-            yield from deal(h[first], item[first], None, bits)
-
-        for batch in batches:
-            every = batch.column(0).to_pylist()
-            new = [i for i, lid in enumerate(every) if lid not in seen and not seen.add(lid)]
-            for at in range(0, len(new), 1000):
-                some = new[at : at + 1000]
-                hs += map(bands, shingles_of(batch.column(1).take(pa.array(some, pa.int64())).to_pylist()))
-                lids += [every[i] for i in some]
-            if len(lids) * BANDS >= GATHERED:
-                yield from out()
-                hs.clear()
-                lids.clear()
-        if lids:
-            yield from out()
+            lead = item[first][np.cumsum(first) - 1]
+            yield from ready_rows(item[~first], lead[~first])
+            yield from deal_rows(h[first], item[first], bits)
 
     return run
 
 
 def band_edges(table: pa.Table) -> pa.Table:
-    """``a, b``: every line of a bucket and the smallest that shares a band with it."""
+    """``a, b``: every line of a bucket and one that shares a band with it, the same for all that share it."""
     if table.column("bucket")[0].as_py() < 0:
         a, b = (np.concatenate([np.frombuffer(x, "<i8") for x in table.column(k).to_pylist()]) for k in ("items", "hashes"))
         return pa.table({"a": a, "b": b})
-    h, item, _ = dealt(table)
-    order, group, _ = in_groups(h, item)
+    h, item = dealt_rows(table)
+    order = np.argsort(h)
     h, item = h[order], item[order]
-    first = np.concatenate([[True], h[1:] != h[:-1]])
-    low = item[first][group]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    low = np.repeat(np.minimum.reduceat(item, first), np.diff(np.append(first, len(item))))
     keep = item != low
-    pairs = np.unique(np.stack([item[keep], low[keep]], 1), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return pa.table({"a": item[keep], "b": low[keep]})
 
 
 def link_lines(table: pa.Table) -> pa.Table:
     """``lid, norm, joined`` of a part of a block to ``a, b``: verified links."""
-    sets = [np.unique(line_shingles(t)) for t in table.column("norm").to_pylist()]
+    lines = table.column("norm").to_pylist()
+    h, begin = shingles_of(lines)
+    sets = [np.unique(x) for x in np.split(h, begin[1:])]
     return linked_sets(table.column("lid").to_pylist(), sets, table.column("joined").to_pylist(), star=True)
 
 
-def normal(line: Column) -> Column:
-    """Lower case, single spaces. Most lines have only single spaces, and plain searches tell so faster than a pattern."""
-    odd = F.lit(False)
-    for gap in ("  ", "\t", "\v", "\f", "\r"):
-        odd = odd | line.contains(gap)
-    return F.trim(folded(F.when(odd, F.regexp_replace(line, WORD_GAP, " ")).otherwise(line)))
+def texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``text`` to ``lid, norm``."""
+    for held in some_lines(batches, 0, GATHERED // 20):
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.string())], ["lid", "norm"])
 
 
-def line_classes(lines: DataFrame, n_bytes: int, part_size: int = PART) -> DataFrame:
-    """``node, root`` of the lines (``lid, norm``) that some other line is like."""
-    entries = lines.mapInArrow(band_entries(bucket_bits(n_bytes, 6_000_000)), DEALT)
-    edges = materialize(by_bucket(entries, band_edges, "a long, b long").distinct())
-    blocks = components(edges)
-    once = lines.groupBy("lid").agg(F.first("norm").alias("norm"))
-    return block_components(once, blocks, "lid", "norm", link_lines, part_size)
+def places_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``rid, ord, text`` to ``lid, more, rid, ord, pos``: every line that is not blank."""
+    for batch in batches:
+        row, lid, more, pos = [], [], [], []
+        for i, value in enumerate(batch.column(2)):
+            for p, line in enumerate(norms(value.as_py() or "")):
+                if line:
+                    a, b = names(line)
+                    row.append(i)
+                    lid.append(a)
+                    more.append(b)
+                    pos.append(p)
+        of = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(lid, pa.int64()), pa.array(more, pa.int64()), batch.column(0).take(of), batch.column(1).take(of), pa.array(pos, pa.int32())], ["lid", "more", "rid", "ord", "pos"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_chars: int = MIN_CHARS, part_size: int = PART) -> DataFrame:
+def line_classes(texts: DataFrame, n_bytes: int, part_size: int = PART) -> DataFrame:
+    """``node, root`` of the lines of ``text`` that some other line is like."""
+    entries = texts.select("text").mapInArrow(band_entries(bucket_bits(n_bytes, 6_000_000)), DEALT)
+    blocks = components(by_bucket(entries, band_edges, "a long, b long").where("a <> b"))
+    lines = texts.select("text").mapInArrow(texts_of_lines, "lid long, norm string")
+    found = lines.join(blocks.select(F.col("node").alias("lid"), F.col("root").alias("block")), "lid").groupBy("lid", "block").agg(F.min("norm").alias("norm"), F.max("norm").alias("other"))
+    found = found.where("norm = other").select("lid", "norm", "block", F.length("norm").cast("long").alias("weight"))
+    return block_components(materialize(found), "lid", "norm", link_lines, part_size)
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), part_size: int = PART) -> DataFrame:
     """``doc_id, text`` (what is left), ``n_lines, n_removed``, and the columns of ``keep``."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *keep)
     n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rid = F.xxhash64("doc_id", "text")
-    every = base.select(rid.alias("rid"), F.coalesce("doc_id", F.lit(NO_ID)).alias("ord"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    long = every.withColumn("norm", normal(F.col("line"))).where(F.length("norm") >= min_chars).withColumn("lid", F.xxhash64("norm"))
-    classes = line_classes(long.select("lid", "norm"), n_bytes, part_size)
-
-    placed = long.select("lid", "rid", "ord", "pos").join(classes, F.col("lid") == F.col("node"), "left")
-    placed = placed.select(F.coalesce("root", "lid").alias("class"), F.struct("ord", "rid", "pos").alias("at"))
-    first = placed.groupBy("class").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = placed.join(first, "class").where("at <> first").select("at.rid", "at.pos").groupBy("rid").agg(F.collect_set("pos").alias("gone"))
-    found = base.withColumn("rid", rid).join(gone, "rid", "left")
-    lines = F.split("text", "\n")
-    left = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
+    base = base.withColumn("rid", row_key(base, "doc_id", "text"))
+    classes = line_classes(base, n_bytes, part_size)
+    places = materialize(base.select("rid", F.coalesce("doc_id", F.lit(NO_ID)).alias("ord"), "text").mapInArrow(places_of_lines, "lid long, more long, rid long, ord long, pos int"))
+
+    lines = places.groupBy("lid", "more").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "rid", "pos")).alias("first"))
+    lines = materialize(lines.join(classes, F.col("lid") == F.col("node"), "left").where("n > 1 or node is not null").select("lid", "more", "n", "first", "root"))
+    near = lines.where("root is not null")
+    roots = near.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("lines"))
+    firsts = join_by_key(near.select("root", "lid", "more", "n"), roots.where("n > 1").select("root", "first"), "root", roots.select("root", F.col("lines").alias("n")))
+    firsts = firsts.unionByName(lines.where("root is null and n > 1").select("root", "lid", "more", "n", "first"))
+    firsts = firsts.select(F.struct("lid", "more").alias("line"), "n", "first")
+    at = F.struct("ord", "rid", "pos")
+    gone = join_by_key(places.select(F.struct("lid", "more").alias("line"), at.alias("at")), firsts.select("line", "first"), "line", firsts.select("line", "n"))
+    gone = gone.where("at <> first").groupBy("at.rid").agg(F.collect_set("at.pos").alias("gone"))
+    found = base.join(gone, "rid", "left")
+    split = F.split("text", "\n")
+    left = F.filter(split, lambda x, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return found.select("doc_id", text.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), *keep)
+    return found.select("doc_id", text.alias("text"), F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), *keep)

@@ -10,7 +10,7 @@
    through such shingles form a block.
 4. In each block the sets, globally ordered, stand in a trie; a traversal shares
    partial overlaps and leaves subtrees by bounds on the remaining length. Blocks
-   of more than ``BLOCK`` sets are split: each part by itself, then every two
+   of more than ``BLOCK`` shingles are split: each part by itself, then every two
    parts, with what is already joined skipped.
 5. Components over all links give the smallest document id that each reaches.
 
@@ -22,7 +22,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm._common import keyed, materialize
-from cohortspark.llm._links import DEALT, GATHERED, PERCENT, block_components, bucket_bits, by_bucket, components, deal, dealt, in_groups, linked_sets
+from cohortspark.llm._common import give_back, join_by_key, keyed, materialize, row_key
+from cohortspark.llm._links import DEALT, GATHERED, PERCENT, block_components, bucket_bits, by_bucket, components, deal, dealt, group_of, in_groups, linked_sets
 from cohortspark.llm.shingles import in_batches, set_id, shingle_sets
 
 WORDS = 5
-#: Sets in a part of a block.
-BLOCK = 10_000
+#: Shingles in a part of a block.
+BLOCK = 2_000_000
 #: Share of the hash space that step 2 counts.
 COUNTED = 0.5
 
@@ -48,12 +47,13 @@ def count_entries(bits: int):
 
     A shingle that several sets of the task hold is dealt out once, without a set,
     and counted as shared here. In buckets below 0 stand members (``items`` rows,
-    ``hashes`` sets, ``counts`` sizes, ``payload`` shingles in the counted half) and,
-    without ``hashes``, those counts (``items`` sets, ``counts`` shared shingles).
+    ``hashes`` sets in 128 bits, ``counts`` sizes, ``payload`` shingles in the counted
+    half) and, without ``hashes``, those counts (``items`` sets, ``counts`` shared
+    shingles).
     """
 
     def packed(items: np.ndarray, counts: np.ndarray, hashes: bytes = b"", payload: bytes = b"") -> pa.RecordBatch:
-        row = (-1 - random.randrange(1 << 30), len(items), items.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), hashes, payload)
+        row = (group_of(int(items.sum()) + len(items)), len(items), items.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), hashes, payload)
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], ["bucket", "n", "items", "counts", "hashes", "payload"])
 
@@ -75,11 +75,11 @@ def count_entries(bits: int):
 
         for batch in batches:
             rid = batch.column(0).to_numpy()
-            ids, sizes, halves = np.zeros(len(rid), "<i8"), np.zeros(len(rid), "<u4"), np.zeros(len(rid), "<u4")
+            ids, more, sizes, halves = np.zeros(len(rid), "<i8"), np.zeros(len(rid), "<i8"), np.zeros(len(rid), "<u4"), np.zeros(len(rid), "<u4")
             for at, texts in in_batches(batch.column(1)):
                 for i, s in enumerate(shingle_sets(texts, WORDS), at):
                     half = s[: np.searchsorted(s, U(int(COUNTED * (1 << 64))))]
-                    ids[i], sizes[i], halves[i] = set_id(s), len(s), len(half)
+                    (ids[i], more[i]), sizes[i], halves[i] = set_id(s), len(s), len(half)
                     if len(half) and ids[i] not in seen:
                         seen.add(int(ids[i]))
                         held.append((half, int(ids[i])))
@@ -87,20 +87,21 @@ def count_entries(bits: int):
                 if n >= GATHERED:
                     yield from out()
                     held, n = [], 0
-            yield packed(rid, sizes, ids.tobytes(), halves.tobytes())
+            yield packed(rid, sizes, ids.tobytes() + more.tobytes(), halves.tobytes())
         if n:
             yield from out()
+        give_back()
 
     return run
 
 
-COUNTS = "member boolean, rid long, sid long, size long, half long, shared long"
+COUNTS = "member boolean, rid long, sid long, more long, size long, half long, shared long"
 
 
 def count_shared(table: pa.Table) -> pa.Table:
     """Members and counts as they are; for the sets of a bucket, their shingles that another set holds too."""
     arrays = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]).astype(np.int64)
-    rid = size = half = shared = None
+    rid = more = size = half = shared = None
     if table.column("bucket")[0].as_py() >= 0:
         h, item, _ = dealt(table)
         order, group, distinct = in_groups(h, item)
@@ -109,12 +110,13 @@ def count_shared(table: pa.Table) -> pa.Table:
         alone = (distinct == 1)[group] & (item[np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))][group] != -1)
         sid, shared = np.unique(item[new & ~alone & (item != -1)], return_counts=True)
     elif table.column("hashes")[0].as_py():
-        rid, sid, size, half = arrays("items", "<i8"), arrays("hashes", "<i8"), arrays("counts", "<u4"), arrays("payload", "<u4")
+        rid, size, half = arrays("items", "<i8"), arrays("counts", "<u4"), arrays("payload", "<u4")
+        sid, more = (np.concatenate(x) for x in zip(*(np.frombuffer(x, "<i8").reshape(2, -1) for x in table.column("hashes").to_pylist()), strict=True))
     else:
         sid, shared = arrays("items", "<i8"), arrays("counts", "<u4")
     none = np.zeros(len(sid), np.int64)
     filled = lambda x: none if x is None else x.astype(np.int64)
-    return pa.table({"member": np.full(len(sid), rid is not None), "rid": filled(rid), "sid": sid, "size": filled(size), "half": filled(half), "shared": filled(shared)})
+    return pa.table({"member": np.full(len(sid), rid is not None), "rid": filled(rid), "sid": sid, "more": filled(more), "size": filled(size), "half": filled(half), "shared": filled(shared)})
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,15 +139,16 @@ def must_share(size: Column) -> Column:
 def prefix_links(sets: DataFrame) -> DataFrame:
     """``a, b``: every set with the first of those that share one of its rare shingles."""
     single = sets.select("sid", F.explode("shingles").alias("shingle"))
-    common = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = single.join(common, "shingle").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
+    common = materialize(single.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    ranked = join_by_key(single, common, "shingle", common.select("shingle", F.col("df").alias("n"))).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
     size = F.size("shingles").cast("long")
     n_prefix = size - must_share(size) + 1
     sized = sets.select("sid", (n_prefix - size).alias("over"))
     wanted = F.greatest(F.col("over") + F.size("ranked"), F.lit(0)).cast("int")
-    prefix = ranked.join(sized, "sid").select("sid", F.explode(F.slice("ranked", F.lit(1), wanted)["shingle"]).alias("shingle"))
+    prefix = materialize(ranked.join(sized, "sid").select("sid", F.explode(F.slice("ranked", F.lit(1), wanted)["shingle"]).alias("shingle")))
     first = prefix.groupBy("shingle").agg(F.min("sid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return prefix.join(first, "shingle").where("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b")).distinct()
+    met = join_by_key(prefix, first.select("shingle", "first"), "shingle", first.select("shingle", "n"))
+    return met.where("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b")).distinct()
 
 
 def link_part(table: pa.Table) -> pa.Table:
@@ -158,24 +161,28 @@ def link_part(table: pa.Table) -> pa.Table:
 def placed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_size: int = BLOCK) -> DataFrame:
     """``doc_id, rid, sid, size, root``: each row with its hash, its shingle set, the number of shingles and its component."""
     base = keyed(docs, id_col, text_col)
-    rid = F.xxhash64("doc_id", "text").alias("rid")
+    base = base.withColumn("rid", row_key(base))
     n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    entries = base.select(rid, "text").mapInArrow(count_entries(bucket_bits(n_bytes, 5_000_000)), DEALT)
-    counts = by_bucket(entries, count_shared, COUNTS).groupBy("member", "rid", "sid").agg(F.max("size").alias("size"), F.max("half").alias("half"), F.sum("shared").alias("shared"))
+    entries = base.select("rid", "text").mapInArrow(count_entries(bucket_bits(n_bytes, 5_000_000)), DEALT)
+    counts = by_bucket(entries, count_shared, COUNTS).groupBy("member", "rid", "sid", "more").agg(F.max("size").alias("size"), F.max("half").alias("half"), F.sum("shared").alias("shared"))
     counts = materialize(counts)
 
-    members = counts.where("member").select("rid", "sid", "size", "half")
-    distinct = members.where("size > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.max("size").alias("size"), F.max("half").alias("half"))
-    left = distinct.join(counts.where("not member").select("sid", "shared"), "sid", "left")
+    # Sets of one name are told apart by the other 64 bits: where these differ, the name is made of both. Counts of shared shingles by the first name are then too high, which loses no set.
+    members = counts.where("member").select("rid", "sid", "more", "size", "half")
+    several = members.groupBy("sid").agg(F.min("more").alias("least"), F.max("more").alias("most")).where("least <> most").select("sid")
+    named = members.join(several.withColumn("odd", F.lit(True)), "sid", "left").withColumn("old", F.col("sid"))
+    members = named.select("rid", F.when(F.col("odd"), F.xxhash64("sid", "more")).otherwise(F.col("sid")).alias("sid"), "old", "size", "half")
+    distinct = members.where("size > 0").groupBy("sid", "old").agg(F.min("rid").alias("rid"), F.max("size").alias("size"), F.max("half").alias("half"))
+    left = distinct.join(counts.where("not member").select(F.col("sid").alias("old"), "shared"), "old", "left")
     alone = F.col("half") - F.coalesce("shared", F.lit(0))
     left = left.where(alone <= F.col("size") - must_share(F.col("size"))).select("rid", "sid")
-    sets = materialize(base.select(rid, "text").join(left, "rid").select("sid", "text").mapInArrow(whole_sets, "sid long, shingles array<long>"))
+    sets = materialize(base.select("rid", "text").join(left, "rid").select("sid", "text").mapInArrow(whole_sets, "sid long, shingles array<long>"))
 
-    blocks = components(prefix_links(sets))
-    linked = block_components(sets, blocks, "sid", "shingles", link_part, part_size)
+    blocks = components(prefix_links(sets)).select(F.col("node").alias("sid"), F.col("root").alias("block"))
+    inside = materialize(sets.join(blocks, "sid").select("sid", "shingles", "block", F.size("shingles").cast("long").alias("weight")))
+    linked = block_components(inside, "sid", "shingles", link_part, part_size)
 
-    ids = base.select(rid, "doc_id")
-    placed = ids.join(members, "rid").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    placed = base.select("rid", "doc_id").join(members, "rid").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     return materialize(placed.select("doc_id", "rid", "sid", "size", "root"))
 
 

@@ -14,9 +14,7 @@ checksums, so only pieces equal in all columns can change places.
 
 from __future__ import annotations
 
-import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm._common import keyed, materialize
-from cohortspark.llm.bpe import Chunks, Spans, at_spaces, tokenizer_spec
+from cohortspark.llm._common import give_back, keyed, materialize
+from cohortspark.llm._merge import many_words
+from cohortspark.llm.bpe import tokenizer_spec
 
 #: Documents whose pieces are numbered in one go.
 BLOCK = 4096
@@ -45,38 +44,15 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = 1024, end_id: i
     spec = spark.sparkContext.broadcast(tokenizer_spec(tokenizer_path))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(spec.value)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        words = many_words(spec.value)
         end = end_id.to_bytes(4, "little")
-
-        def raw(text: str) -> bytes:
-            """Ids as unsigned 32-bit numbers."""
-            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-        known = Chunks(raw)
-
-        def encode(text: str) -> bytes:
-            """Chunks between spaces are tokenized once and remembered; texts where tokens may span spaces, as a whole."""
-            if special and any(s in text for s in special):
-                return raw(text)
-            try:
-                chunks = at_spaces(text)
-                return raw(chunks[0]) + b"".join(map(known.__getitem__, chunks[1:]))
-            except Spans:
-                return raw(text)
-
         for batch in batches:
             texts = batch.column(1)
-            for at in range(0, len(batch), 256):
-                part = [t or "" for t in texts.slice(at, 256).to_pylist()]
+            for at in range(0, len(batch), 512):
+                part = words.encode([t or "" for t in texts.slice(at, 512).to_pylist()])
                 rows, sums, starts, lengths, totals, pieces = [], [], [], [], [], []
-                for i, text in enumerate(part):
-                    ids = encode(text) + end
+                for i, ids in enumerate(part):
+                    ids += end
                     n, start = len(ids) // 4, 0
                     for length in binary_lengths(n, max_length):
                         piece = ids[4 * start : 4 * (start + length)]
@@ -94,6 +70,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = 1024, end_id: i
                     columns.append(pa.array(pieces, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     source = keyed(docs, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()

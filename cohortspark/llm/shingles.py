@@ -67,9 +67,10 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     return np.split(every, np.searchsorted(owner, np.arange(1, len(texts))))
 
 
-def set_id(s: np.ndarray) -> int:
-    """64 bits that name a set; 0 the empty one."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else 0
+def set_id(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, as two whole numbers; 0 the empty one."""
+    raw = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else bytes(16)
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
 def in_batches(texts: Iterator, most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
