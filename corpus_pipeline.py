@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import langid, line_dedup, ngram_join, packing, suffix_dedup
-from cohortspark.llm._common import documents, shared_dir
+from cohortspark.llm._common import documents, join_by_key, row_key, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -41,9 +41,10 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the row with the smallest id and hash stays, null ids last; so do rows without a group of their own. A repeated row stays once."""
     rows = ngram_join.placed_rows(docs).where("size > 0").select("root", "rid", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid").alias("rank"))
-    first = rows.groupBy("root").agg(F.min("rank").alias("first"))
-    gone = rows.join(first, "root").where(F.col("rid") != F.col("first.rid")).select("rid").distinct()
-    left = docs.withColumn("rid", F.xxhash64("doc_id", "text")).join(gone, "rid", "left_anti")
+    first = rows.groupBy("root").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = join_by_key(rows, first.select("root", "first"), "root", first.select("root", "n"))
+    gone = gone.where(F.col("rid") != F.col("first.rid")).select("rid").distinct()
+    left = docs.withColumn("rid", row_key(docs)).join(gone, "rid", "left_anti")
     return left.dropDuplicates(["rid"]).select(*COLUMNS)
 
 
