@@ -61,9 +61,9 @@ def give_back() -> None:
 
 
 def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A whole number for each row: its id where no two rows share one and none is null; else 64 bits of hash of id and text, so that rows equal in both share it."""
+    """A whole number for each row: its id where no two rows share one and none is null or below -2**62; else 64 bits of hash of id and text, so that rows equal in both share it."""
     ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-    if ids.where(f"n > 1 or `{id_col}` is null").isEmpty():
+    if ids.where(f"n > 1 or `{id_col}` is null or `{id_col}` < {-(1 << 62)}").isEmpty():
         return F.col(id_col).cast("long")
     return F.xxhash64(id_col, text_col)
 

@@ -17,16 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm._common import join_by_key, materialize
-from cohortspark.llm._trie import link
 
+ENTRY = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("items", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("payload", pa.binary())])
 DEALT = "bucket int, n long, items binary, counts binary, hashes binary, payload binary"
+Join = Callable[[list[np.ndarray], int, list[int]], list[int]]
 #: Least similarity of linked sets, in hundredths.
 PERCENT = 75
 #: Entries a task gathers before it packs them.
 GATHERED = 1_000_000
 U = np.uint64
-#: Payload that marks a hash as one that many items of a task share.
-MARK = 0xFFFFFFFF
 
 
 def bucket_bits(n_entries: float, each: float = 500_000) -> int:
@@ -45,33 +44,26 @@ def unplanes(raw: bytes, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def deal(h: np.ndarray, item: np.ndarray, payload: np.ndarray | None, bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows of DEALT from entries in any order. Of a hash, the top ``bits`` bits choose the bucket and the next 40 stay."""
-    bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+def deal(h: np.ndarray, item: np.ndarray, bits: int, width: int = 5) -> Iterator[pa.RecordBatch]:
+    """Rows of DEALT from entries in any order. Of a hash, the top ``bits`` bits choose the bucket and the next ``width`` bytes stay."""
+    bucket = (h >> U(64 - bits)).astype(np.int64)
     order = np.lexsort((item, bucket))
-    bucket, item, low = bucket[order], item[order], (h[order] >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)
-    more = None if payload is None else payload[order]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-    rows: dict[str, list] = {k: [] for k in ("bucket", "n", "items", "counts", "hashes", "payload")}
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if a == b:
-            continue
-        first = np.concatenate([[a], a + 1 + np.flatnonzero(np.diff(item[a:b]))])
-        for k, v in (("bucket", int(bucket[a])), ("n", int(b - a)), ("items", item[first].astype("<i8").tobytes()), ("counts", np.diff(np.append(first, b)).astype("<u4").tobytes()), ("hashes", planes(low[a:b], 5)), ("payload", b"" if more is None else planes(more[a:b], 4))):
-            rows[k].append(v)
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    for at in range(0, len(rows["bucket"]), 512):
-        yield pa.RecordBatch.from_arrays([pa.array(v[at : at + 512], kind) for v, kind in zip(rows.values(), kinds, strict=True)], list(rows))
-
-
-def dealt(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (40 bits), items and payloads of a bucket."""
-    hs, items, payloads = [], [], []
-    for n, i, c, h, p in zip(*(table.column(k).to_pylist() for k in ("n", "items", "counts", "hashes", "payload")), strict=True):
-        hs.append(unplanes(h, n, 5))
-        items.append(np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(c, "<u4")))
-        payloads.append(unplanes(p, n, 4) if p else np.zeros(n, np.uint64))
-    return np.concatenate(hs), np.concatenate(items), np.concatenate(payloads)
+    bucket, item, low = bucket[order], item[order], (h[order] >> U(64 - bits - 8 * width)) & U((1 << 8 * width) - 1)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist()
+    spans = [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+    for at in range(0, len(spans), 512):
+        rows = []
+        for a, b in spans[at : at + 512]:
+            first = np.concatenate([[a], a + 1 + np.flatnonzero(np.diff(item[a:b]))])
+            rows.append((int(bucket[a]), b - a, item[first].astype("<i8").tobytes(), np.diff(np.append(first, b)).astype("<u4").tobytes(), planes(low[a:b], width), b""))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ENTRY, strict=True)], schema=ENTRY)
+
+
+def dealt(table: pa.Table, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (``width`` bytes) and items of a bucket."""
+    columns = (table.column(k).to_pylist() for k in ("n", "items", "counts", "hashes"))
+    rows = [(unplanes(x, n, width), np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(c, "<u4"))) for n, i, c, x in zip(*columns, strict=True)]
+    return np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
 
 
 def group_of(x: int) -> int:
@@ -79,9 +71,6 @@ def group_of(x: int) -> int:
     return -1 - (int(x) * 0x9E3779B97F4A7C15 >> 20 & (1 << 30) - 1)
 
 
-ENTRY = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("items", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("payload", pa.binary())])
-
-
 def ready_rows(a: np.ndarray, b: np.ndarray, each: int = 100_000) -> Iterator[pa.RecordBatch]:
     """Edges as rows of DEALT that no bucket has to sort: ``items`` and ``hashes`` are their ends."""
     if len(a):
@@ -159,20 +148,20 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     return nodes.join(links, nodes["node"] == links["u"], "left").select("node", F.coalesce("v", "node").alias("root"))
 
 
-def linked_sets(sids: list[int], sets: list[np.ndarray], known: list[int | None], star: bool = False) -> pa.Table:
-    """``a, b``: each set's id, and that of the first it hangs together with; ``known``: an id that it is joined to already."""
+def linked_sets(sids: list[int], sets: list[np.ndarray], known: list[int | None], join: Join) -> list[int]:
+    """For each set, the id of the first it hangs together with; ``known``: an id that it is joined to already."""
     at: dict[int, int] = {}
     joined = [at.setdefault(k if k is not None else s, i) for i, (s, k) in enumerate(zip(sids, known, strict=True))]
-    return pa.table({"a": pa.array(sids, pa.int64()), "b": pa.array([sids[i] for i in link(sets, PERCENT, joined, star)], pa.int64())})
+    return [sids[i] for i in join(sets, PERCENT, joined)]
 
 
-def block_components(sets: DataFrame, id_col: str, set_col: str, run: Callable[[pa.Table], pa.Table], part_size: int) -> DataFrame:
+def block_components(sets: DataFrame, id_col: str, set_col: str, sets_of: Callable[[pa.Table], list[np.ndarray]], join: Join, part_size: int) -> DataFrame:
     """``node, root`` after all links inside blocks, from ``sets(id_col, set_col, block, weight)``, a written table.
 
     Small blocks are dealt to tasks' shares of some ``part_size`` in weight; a block
-    that weighs more than that is dealt to parts. ``run`` (which gets ``id_col,
-    set_col, joined`` and returns ``a, b``) sees each block or part, then of a block
-    with parts every two.
+    that weighs more than that is dealt to parts. ``join`` (sets, threshold and what is
+    joined already; by set, the first that it hangs together with) sees each block or
+    part, then of a block with parts every two. ``sets_of`` makes the sets of some rows.
     """
     sized = materialize(sets.groupBy("block").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n")))
     total = sized.agg(F.sum("weight")).first()[0] or 0
@@ -180,25 +169,30 @@ def block_components(sets: DataFrame, id_col: str, set_col: str, run: Callable[[
     large = sized.where(F.col("weight") > part_size).select("block", F.ceil(F.col("weight") / F.lit(part_size)).cast("int").alias("parts"))
     tasks = int(min(max(n_shares, sets.sparkSession.sparkContext.defaultParallelism), 100_000))
 
-    def blocks_of(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block").drop_columns(["share"])
-        block = table.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-        inner = table.drop_columns(["block"])
-        return pa.concat_tables([run(inner.slice(x, y - x)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
+    def run(table: pa.Table, keys: list[str], known: str | None = None) -> pa.Table:
+        table = table.sort_by([(k, "ascending") for k in keys]) if keys else table
+        sids, found = table.column(id_col).to_pylist(), sets_of(table)
+        joined = table.column(known).to_pylist() if known else [None] * len(sids)
+        differ = np.zeros(max(len(sids) - 1, 0), bool)
+        for k in keys:
+            differ |= np.diff(table.column(k).to_numpy()) != 0
+        cuts = [0, *(np.flatnonzero(differ) + 1).tolist(), len(sids)]
+        firsts: list[int] = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            firsts += linked_sets(sids[a:b], found[a:b], joined[a:b], join)
+        return pa.table({"a": pa.array(sids, pa.int64()), "b": pa.array(firsts, pa.int64())})
 
-    none = F.lit(None).cast("long").alias("joined")
     few = large.isEmpty()
     small = sets if few else sets.join(large, "block", "left_anti")
-    small = small.select("block", F.pmod(F.xxhash64("block"), F.lit(n_shares)).alias("share"), id_col, set_col, none)
-    within = small.repartition(tasks, "share").groupBy("share").applyInArrow(blocks_of, "a long, b long")
+    small = small.select("block", F.pmod(F.xxhash64("block"), F.lit(n_shares)).alias("share"), id_col, set_col)
+    within = small.repartition(tasks, "share").groupBy("share").applyInArrow(lambda t: run(t, ["block"]), "a long, b long")
     if few:
         return within.select(F.col("a").alias("node"), F.col("b").alias("root"))
     parted = join_by_key(sets.select("block", id_col, set_col), large, "block", sized.select("block", "n"))
     parted = parted.withColumn("part", F.pmod(F.xxhash64(id_col), "parts").cast("int"))
-    apart = materialize(parted.select("block", "part", id_col, set_col, none).groupBy("block", "part").applyInArrow(lambda t: run(t.drop_columns(["block", "part"])), "a long, b long"))
+    apart = materialize(parted.select("block", "part", id_col, set_col).groupBy("block", "part").applyInArrow(lambda t: run(t, []), "a long, b long"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     again = parted.join(apart.select(F.col("a").alias(id_col), F.col("b").alias("joined")), id_col)
     pairs = again.select("block", "part", other, id_col, set_col, "joined").where("part <> other").withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-    met = pairs.select("block", "low", "high", id_col, set_col, "joined").groupBy("block", "low", "high").applyInArrow(lambda t: run(t.drop_columns(["block", "low", "high"])), "a long, b long")
+    met = pairs.select("block", "low", "high", id_col, set_col, "joined").groupBy("block", "low", "high").applyInArrow(lambda t: run(t, [], "joined"), "a long, b long")
     return components(within.unionByName(apart).unionByName(met))

@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm._common import join_by_key, materialize, row_key
-from cohortspark.llm._links import DEALT, block_components, bucket_bits, by_bucket, components, deal_rows, dealt_rows, linked_sets, ready_rows
+from cohortspark.llm._links import DEALT, block_components, bucket_bits, by_bucket, components, deal_rows, dealt_rows, ready_rows
 
 SHINGLE = 8
 BANDS, ROWS = 20, 5
 #: Characters of the lines in a part of a block, and lines a task gathers before it deals their bands out.
-PART, GATHERED = 4_000_000, 100_000
+PART, GATHERED = 1_000_000, 100_000
 #: Shingles hashed at once: as many numbers as fit the processor's cache.
 STRIP = 16_384
 NO_ID = -(1 << 63)
@@ -176,12 +176,43 @@ def band_edges(table: pa.Table) -> pa.Table:
     return pa.table({"a": item[keep], "b": low[keep]})
 
 
-def link_lines(table: pa.Table) -> pa.Table:
-    """``lid, norm, joined`` of a part of a block to ``a, b``: verified links."""
-    lines = table.column("norm").to_pylist()
-    h, begin = shingles_of(lines)
-    sets = [np.unique(x) for x in np.split(h, begin[1:])]
-    return linked_sets(table.column("lid").to_pylist(), sets, table.column("joined").to_pylist(), star=True)
+def sets_of(table: pa.Table) -> list[np.ndarray]:
+    h, begin = shingles_of(table.column("norm").to_pylist())
+    return [np.unique(x) for x in np.split(h, begin[1:])]
+
+
+def verified(sets: list[np.ndarray], percent: int, joined: list[int]) -> list[int]:
+    """By set, the first of those it hangs together with by exact Jaccard similarity.
+
+    In order of size, each set meets those after it that are small enough to be alike:
+    its shingles are marked, and the marks in all of these counted in one sweep. Where
+    all of these hang together with it already, there is nothing to find.
+    """
+    n = len(sets)
+    group = np.array(joined)
+    if n > 1:
+        size = np.array([len(s) for s in sets])
+        order = np.argsort(size, kind="stable")
+        size = size[order]
+        flat = np.concatenate([sets[i] for i in order])
+        values, flat = np.unique(flat, return_inverse=True)
+        start = np.append(np.cumsum(size) - size, len(flat))
+        last = np.searchsorted(size, size * 100 // percent, "right")
+        own, mark = group[order], np.zeros(len(values), bool)
+        for i in range(n - 1):
+            a, b = i + 1, int(last[i])
+            if a >= b or (own[a:b] == own[i]).all():
+                continue
+            mark[flat[start[i] : start[a]]] = True
+            both = np.add.reduceat(mark[flat[start[a] : start[b]]], start[a:b] - start[a], dtype=np.int64)
+            mark[flat[start[i] : start[a]]] = False
+            alike = np.flatnonzero(100 * both >= percent * (size[i] + size[a:b] - both)) + a
+            for x in set(own[alike].tolist()) - {own[i]}:
+                own[own == x] = own[i]
+        group[order] = own
+    first = np.full(n, n)
+    np.minimum.at(first, group, np.arange(n))
+    return first[group].tolist()
 
 
 def texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +244,7 @@ def line_classes(texts: DataFrame, n_bytes: int, part_size: int = PART) -> DataF
     lines = texts.select("text").mapInArrow(texts_of_lines, "lid long, norm string")
     found = lines.join(blocks.select(F.col("node").alias("lid"), F.col("root").alias("block")), "lid").groupBy("lid", "block").agg(F.min("norm").alias("norm"), F.max("norm").alias("other"))
     found = found.where("norm = other").select("lid", "norm", "block", F.length("norm").cast("long").alias("weight"))
-    return block_components(materialize(found), "lid", "norm", link_lines, part_size)
+    return block_components(materialize(found), "lid", "norm", sets_of, verified, part_size)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), part_size: int = PART) -> DataFrame:

@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm._common import give_back, join_by_key, keyed, materialize, row_key
-from cohortspark.llm._links import DEALT, GATHERED, PERCENT, block_components, bucket_bits, by_bucket, components, deal, dealt, group_of, in_groups, linked_sets
+from cohortspark.llm._links import DEALT, GATHERED, PERCENT, block_components, bucket_bits, by_bucket, components, deal, dealt, group_of, in_groups
+from cohortspark.llm._trie import link
 from cohortspark.llm.shingles import in_batches, set_id, shingle_sets
 
 WORDS = 5
@@ -71,7 +72,7 @@ def count_entries(bits: int):
             if several.any():
                 yield packed(*np.unique(item[several], return_counts=True))
             first = np.concatenate([[True], h[1:] != h[:-1]]) & several
-            yield from deal(np.concatenate([h[~several], h[first]]), np.concatenate([item[~several], np.full(int(first.sum()), -1)]), None, bits)
+            yield from deal(np.concatenate([h[~several], h[first]]), np.concatenate([item[~several], np.full(int(first.sum()), -1)]), bits)
 
         for batch in batches:
             rid = batch.column(0).to_numpy()
@@ -103,7 +104,7 @@ def count_shared(table: pa.Table) -> pa.Table:
     arrays = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]).astype(np.int64)
     rid = more = size = half = shared = None
     if table.column("bucket")[0].as_py() >= 0:
-        h, item, _ = dealt(table)
+        h, item = dealt(table)
         order, group, distinct = in_groups(h, item)
         h, item = h[order], item[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (item[1:] != item[:-1])])
@@ -151,11 +152,10 @@ def prefix_links(sets: DataFrame) -> DataFrame:
     return met.where("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b")).distinct()
 
 
-def link_part(table: pa.Table) -> pa.Table:
-    """``sid, shingles, joined`` to ``a, b``: sets, and the first one that each hangs together with."""
+def sets_of(table: pa.Table) -> list[np.ndarray]:
     shingles = table.column("shingles").combine_chunks()
     shingles = shingles.chunk(0) if isinstance(shingles, pa.ChunkedArray) else shingles
-    return linked_sets(table.column("sid").to_pylist(), [x.values.to_numpy().view(np.uint64) for x in shingles], table.column("joined").to_pylist())
+    return [x.values.to_numpy().view(np.uint64) for x in shingles]
 
 
 def placed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_size: int = BLOCK) -> DataFrame:
@@ -180,7 +180,7 @@ def placed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     blocks = components(prefix_links(sets)).select(F.col("node").alias("sid"), F.col("root").alias("block"))
     inside = materialize(sets.join(blocks, "sid").select("sid", "shingles", "block", F.size("shingles").cast("long").alias("weight")))
-    linked = block_components(inside, "sid", "shingles", link_part, part_size)
+    linked = block_components(inside, "sid", "shingles", sets_of, link, part_size)
 
     placed = base.select("rid", "doc_id").join(members, "rid").join(linked.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     return materialize(placed.select("doc_id", "rid", "sid", "size", "root"))

@@ -27,7 +27,6 @@ results; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm._links import DEALT, MARK, bucket_bits, by_bucket, deal, dealt, gathered, in_groups
+from cohortspark.llm._common import give_back, join_by_key, materialize, row_key
+from cohortspark.llm._links import DEALT, bucket_bits, by_bucket, deal, dealt, gathered, group_of, in_groups
 
 MIN_LENGTH = 50
 #: Bytes of the strings that minimizers are chosen from.
@@ -48,8 +48,10 @@ HOT_IN_TASK, HOT = 4096, 50_000
 BUCKET_BYTES = 1_500_000
 #: Minimizers a task gathers before it deals them out.
 GATHERED = 400_000
-#: Rows that Spark hands to a Python worker at once; whole texts are long, and this many are a few MB.
-ROWS_AT_ONCE = 1000
+#: Bytes of a minimizer's hash that stay beside its bucket.
+WIDTH = 4
+#: Rows, which no text has, that mark a minimizer as hot.
+MARKS = (-(1 << 63), -(1 << 63) + 1)
 #: Least id: that of rows without one.
 NO_ID = -(1 << 63)
 
@@ -127,50 +129,54 @@ def batches_of(batch: pa.RecordBatch, most: int = 400_000) -> Iterator[tuple[int
 # --- step 2: which minimizers two texts share
 
 
-def minimizers(batch: pa.RecordBatch, min_length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def minimizers(batch: pa.RecordBatch, min_length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     rid = batch.column(0).to_numpy()
     for at, texts in batches_of(batch):
         t = Texts(texts, min_length)
         place = np.flatnonzero(t.chosen)
-        yield spread(t.h[place]), rid[at + t.text[place]], (place - t.start[t.text[place]]).astype(U)
+        yield spread(t.h[place]), rid[at + t.text[place]]
 
 
 def entries_of(min_length: int, bits: int, hot_in_task: int):
-    """mapInArrow over ``rid, text``: DEALT entries; a minimizer that very many texts of the task hold, as two marks and, beside them, its own entries ready-made (a bucket below 0)."""
+    """mapInArrow over ``rid, text``: DEALT entries; a minimizer that very many texts of the task hold, as two marks and, beside them, its own entries ready-made (a bucket below 0, the true one in ``payload``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, rid, place in gathered((x for b in batches for x in minimizers(b, min_length)), GATHERED):
+        for h, rid in gathered((x for b in batches for x in minimizers(b, min_length)), GATHERED):
             order, group, distinct = in_groups(h, rid)
             hot = (distinct > hot_in_task)[group]
-            h, rid, place = h[order], rid[order], place[order]
+            h, rid = h[order], rid[order]
             if hot.any():
-                first = np.concatenate([[True], h[1:] != h[:-1]]) & hot
-                marks = h[first]
-                for b in deal(h[hot], rid[hot], place[hot], bits):
-                    own = [-1 - random.randrange(1 << 30) for _ in range(len(b))]  # a group of its own, wherever that is
-                    yield b.set_column(0, "bucket", pa.array(own, pa.int32()))
-                h, rid, place = (np.concatenate(x) for x in ((h[~hot], marks, marks), (rid[~hot], np.full(len(marks), -1), np.full(len(marks), -2)), (place[~hot], *[np.full(len(marks), MARK, U)] * 2)))
-            yield from deal(h, rid, place, bits)
+                marks = h[np.concatenate([[True], h[1:] != h[:-1]]) & hot]
+                for b in deal(h[hot], rid[hot], bits, WIDTH):
+                    true = b.column(0).to_pylist()
+                    own = [group_of((x << 40) + int(np.frombuffer(i, "<i8").sum())) for x, i in zip(true, b.column(2).to_pylist(), strict=True)]  # a group of its own, wherever that is
+                    yield b.set_column(0, "bucket", pa.array(own, pa.int32())).set_column(5, "payload", pa.array([x.to_bytes(4, "little") for x in true], pa.binary()))
+                h, rid = np.concatenate([h[~hot], marks, marks]), np.concatenate([rid[~hot], *(np.full(len(marks), m) for m in MARKS)])
+            yield from deal(h, rid, bits, WIDTH)
+        give_back()
 
     return run
 
 
-FLAGGED = "rid long, place int, hot boolean"
+FLAGGED = "rid long, minimizer long, hot boolean"
 
 
-def shared_places(hot_from: int):
+def shared_minimizers(hot_from: int):
     def run(table: pa.Table) -> pa.Table:
-        """Places of a bucket whose minimizer two texts or more hold; all those of a group that a task has found to be hot."""
-        h, rid, place = dealt(table)
+        """Minimizers of a bucket, by text, that two texts or more hold; all those of a group that a task has found to be hot."""
+        h, rid = dealt(table, WIDTH)
         if table.column("bucket")[0].as_py() < 0:
-            return pa.table({"rid": rid, "place": place.astype(np.int32), "hot": np.ones(len(rid), bool)})
+            true = np.array([int.from_bytes(x, "little") for x in table.column("payload").to_pylist()], np.int64)
+            full = (np.repeat(true, table.column("n").to_numpy()) << 8 * WIDTH) + h.astype(np.int64)
+            return pa.table({"rid": rid, "minimizer": full, "hot": np.ones(len(rid), bool)})
         order, group, distinct = in_groups(h, rid)
-        rid, place = rid[order], place[order]
-        marked = place == MARK
+        rid, full = rid[order], (table.column("bucket")[0].as_py() << 8 * WIDTH) + h[order].astype(np.int64)
+        marked = rid <= MARKS[1]
         n = len(distinct)
         hot = (np.bincount(group, marked, minlength=n) > 0) | (np.bincount(group, minlength=n) > hot_from)
         keep = (distinct > 1)[group] & ~marked
-        return pa.table({"rid": rid[keep], "place": place[keep].astype(np.int32), "hot": hot[group][keep]})
+        keep[1:] &= (rid[1:] != rid[:-1]) | (group[1:] != group[:-1])
+        return pa.table({"rid": rid[keep], "minimizer": full[keep], "hot": hot[group][keep]})
 
     return run
 
@@ -181,7 +187,7 @@ PIECE = "bucket int, rid long, ord long, start int, n int, bytes binary"
 
 
 def pieces_of(min_length: int, bits: int, hot: bool):
-    """mapInArrow over ``rid, text, ord, places``: the strings whose first minimizer is at one of the places, as a stretch of text; if ``hot``, one by one, with no bucket yet."""
+    """mapInArrow over ``rid, text, ord, shared``: the strings whose first minimizer is one of those shared, as a stretch of text; if ``hot``, one by one, with no bucket yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = min_length - GRAM + 1
@@ -189,12 +195,13 @@ def pieces_of(min_length: int, bits: int, hot: bool):
             rid, ords = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for at, texts in batches_of(batch):
                 t = Texts(texts, min_length)
-                flagged = np.zeros(len(t.h) + 1, bool)
                 of = batch.column(3).slice(at, len(texts))
-                lengths = np.array([len(x) for x in of], np.int64)
-                flagged[np.repeat(t.start, lengths) + of.flatten().to_numpy().astype(np.int64)] = True
+                owner = np.repeat(np.arange(len(texts)), np.array([len(x) for x in of], np.int64)).astype(U)
+                wanted = of.flatten().to_numpy().astype(U) + owner * U(0x9E3779B97F4A7C15)  # text and minimizer as one number; one that meets another by chance is only sorted in vain
                 # by window, its first minimizer: the first chosen place from its start on with its smallest hash
                 chosen = np.flatnonzero(t.chosen)
+                own = (spread(t.h[chosen]) >> U(64 - bits - 8 * WIDTH)) + t.text[chosen].astype(U) * U(0x9E3779B97F4A7C15)
+                flagged = np.isin(own, wanted)
                 p = np.flatnonzero(t.window)
                 if not len(p) or not len(chosen):
                     continue
@@ -204,9 +211,8 @@ def pieces_of(min_length: int, bits: int, hot: bool):
                     wrong = t.h[chosen[np.minimum(k[todo], len(chosen) - 1)]] != t.low[p[todo]]
                     todo = todo[wrong]
                     k[todo] += 1
-                m = chosen[k]
-                ok = flagged[m]
-                p, m = p[ok], m[ok]
+                ok = flagged[k]
+                p, m = p[ok], chosen[k[ok]]
                 if not len(p):
                     continue
                 new = np.ones(len(p), bool) if hot else np.concatenate([[True], (m[1:] != m[:-1]) | (p[1:] != p[:-1] + 1)])
@@ -366,24 +372,24 @@ def suffix_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, id_col: str = "d
     """``doc_id, n_bytes, spans, kept, text``, and the columns of ``keep``: the maximal removed stretches (array of start and end, in bytes), and the remaining bytes of every text, as they are and without those of characters cut in two. Ids are whole numbers."""
     if min_length < GRAM + 8:
         raise ValueError(f"min_length must be at least {GRAM + 8}")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *keep)
     n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bucket_bits(n_bytes, BUCKET_BYTES)
     order = F.coalesce("doc_id", F.lit(NO_ID))
-    rid = F.xxhash64("doc_id", "text")
+    rid = row_key(base, "doc_id", "text")
     texts = base.select(rid.alias("rid"), "doc_id", "text", *keep).repartition("rid")  # dealt out once; all joins with the texts read this exchange
-    info = base.select(rid.alias("rid"), order.alias("ord"), F.sha2("text", 256).alias("sha")).distinct()
-    firsts = info.groupBy("sha").agg(F.min("ord").alias("first"))
-    info = info.join(firsts, "sha").select("rid", "ord", (F.col("ord") > F.col("first")).alias("copy"))
+    info = materialize(base.select(rid.alias("rid"), order.alias("ord"), F.unhex(F.sha2("text", 256)).alias("sha")).distinct())
+    firsts = info.groupBy("sha").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = join_by_key(info, firsts.select("sha", "first"), "sha", firsts.select("sha", "n")).where("ord > first").select("rid", F.lit(True).alias("found"))
+    info = info.join(copies, "rid", "left").select("rid", "ord", F.coalesce("found", F.lit(False)).alias("copy"))
 
     looked_at = texts.join(info.where("not copy").select("rid"), "rid").select("rid", "text", order.alias("ord"), *keep)
-    flagged = by_bucket(looked_at.mapInArrow(entries_of(min_length, bits, hot_in_task), DEALT), shared_places(hot), FLAGGED)
-    places = flagged.groupBy("rid").agg(*(F.collect_set(F.when(F.col("hot") == warm, F.col("place"))).alias(name) for warm, name in ((False, "cold"), (True, "hot"))))
+    flagged = by_bucket(looked_at.mapInArrow(entries_of(min_length, bits, hot_in_task), DEALT), shared_minimizers(hot), FLAGGED)
+    places = flagged.groupBy("rid").agg(*(F.collect_set(F.when(F.col("hot") == warm, F.col("minimizer"))).alias(name) for warm, name in ((False, "cold"), (True, "hot"))))
     around = looked_at.join(places, "rid")
 
     def pieces(kind: str) -> DataFrame:
-        return around.where(F.size(kind) > 0).select("rid", "text", "ord", F.col(kind).alias("places"), *keep).mapInArrow(pieces_of(min_length, bits, kind == "hot"), PIECE)
+        return around.where(F.size(kind) > 0).select("rid", "text", "ord", F.col(kind).alias("shared"), *keep).mapInArrow(pieces_of(min_length, bits, kind == "hot"), PIECE)
 
     cold = by_bucket(pieces("cold"), spans_of(min_length), SPAN)
     single = pieces("hot").select("rid", "ord", "start", "bytes")
