@@ -78,15 +78,3 @@ OUTCOMES_SQL = "oc AS (SELECT user_id AS participant_id, CAST(user_id % 2 AS INT
 
 def context_items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text", F.lower("text").alias("haystack"))
-
-
-def terms(spark: SparkSession, d: str) -> DataFrame:
-    """A label catalogue: the first two words of each benchmark passage, in lower case."""
-    b = table(spark, d, "benchmark")
-    return b.select(F.col("item_id").alias("term_id"), F.lower(F.array_join(F.slice(F.split("text", " "), 1, 2), " ")).alias("term"))
-
-
-TERMS_SQL = """
-items AS (SELECT doc_id AS item_id, text, lower(text) AS haystack FROM documents),
-terms AS (SELECT item_id AS term_id, lower(array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ')) AS term FROM benchmark)
-"""

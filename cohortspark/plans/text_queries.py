@@ -6,39 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.operators import context, deid, spatial
-from cohortspark.plans.fixtures import OBJECTS_SQL, TERMS_SQL, context_items, objects, table, terms
+from cohortspark.plans.fixtures import OBJECTS_SQL, context_items, objects, table
 
 from cohortspark.plans.registry import query
 from cohortspark.sources import writers
 from cohortspark.streaming import streams
 
 O = f"WITH {OBJECTS_SQL}"  # noqa: E741
-T = f"WITH {TERMS_SQL}"
-WORD = "[^a-z0-9]+"
-SCORES = f"""{T}, tw AS (SELECT DISTINCT term_id, term, unnest(regexp_split_to_array(term, '{WORD}')) AS word FROM terms), iw AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(haystack, '{WORD}')) AS word FROM items),
-m AS (SELECT item_id, term_id, term, count(*) AS hits FROM iw JOIN (SELECT * FROM tw WHERE length(word) > 2) USING (word) GROUP BY ALL),
-sc AS (SELECT m.item_id, term_id, hits, round(CASE WHEN regexp_matches(haystack, '(^|[^a-z0-9])' || regexp_escape(term) || '($|[^a-z0-9])') THEN 0.92 ELSE least(0.82, 0.46 + 0.12*hits) END, 6) AS score FROM m JOIN items USING (item_id))"""
-
-
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    return context.score_bindings(context_items(spark, d), terms(spark, d))
-
-
-@query("c04_binding_scores", f"{SCORES} SELECT * FROM sc")
-def c04(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d)
-
-
-@query("c05_best_bindings", f"{SCORES} SELECT item_id, term_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, term_id) AS n FROM sc) WHERE n = 1")
-def c05(spark: SparkSession, d: str) -> DataFrame:
-    return context.bind_best(scored(spark, d))
-
-
-@query("c06_fallback_bindings", f"{SCORES} SELECT item_id, 'patient' AS target, 0.5 AS score, 'manual' AS method FROM items WHERE item_id NOT IN (SELECT item_id FROM sc)")
-def c06(spark: SparkSession, d: str) -> DataFrame:
-    return context.bind_fallback(context_items(spark, d), context.bind_best(scored(spark, d)))
-
-
 @query("c10_distinct_items", "SELECT min(doc_id) AS item_id, count(*) AS copies FROM documents GROUP BY text")
 def c10(spark: SparkSession, d: str) -> DataFrame:
     return context.dedupe_items(context_items(spark, d)).select("item_id", "copies")
@@ -54,29 +28,11 @@ def l01(spark: SparkSession, d: str) -> DataFrame:
     return context.find_object(objects(spark, d), "PROMO")
 
 
-@query("l02_find_objects", "WITH q AS (SELECT r_regionkey AS query_id, lower(r_name) AS query FROM region), w AS (SELECT DISTINCT query_id, unnest(string_split(query, ' ')) AS word FROM q), l AS (SELECT lower(n_name) AS label, min(n_nationkey) AS object_id FROM nation GROUP BY 1), s AS (SELECT query_id, object_id, count(*) AS score FROM w JOIN l ON contains(label, substr(word, 1, 1)) GROUP BY ALL) SELECT query_id, object_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, object_id) AS rank FROM s) WHERE rank <= 5")
-def l02(spark: SparkSession, d: str) -> DataFrame:
-    catalogue = table(spark, d, "nation").select(F.col("n_nationkey").alias("object_id"), F.col("n_name").alias("label"))
-    return context.find_objects(catalogue, table(spark, d, "region").select(F.col("r_regionkey").alias("query_id"), F.substring("r_name", 1, 1).alias("query")))
-
-
-@query("l10_intents", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(clear|reset|remove)\\b') THEN 'clear' WHEN regexp_matches(lower(text), '\\b(axial|coronal|sagittal|rotate|zoom)\\b') THEN 'view' WHEN regexp_matches(lower(text), '\\b(highlight|show|find|where)\\b') THEN 'highlight' ELSE 'unknown' END AS intent FROM conversations")
-def l10(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", context.classify_intent(F.col("text")).alias("intent"))
-
-
 @query("l11_vocabulary", "SELECT lower(p_type) AS word FROM part GROUP BY lower(p_type) ORDER BY min(p_partkey), word LIMIT 64")
 def l11(spark: SparkSession, d: str) -> DataFrame:
     return context.label_vocabulary(table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_type").alias("label")))
 
 
-@query("l03_l09_resolved_utterances")
-def l09(spark: SparkSession, d: str) -> DataFrame:
-    catalogue = table(spark, d, "part").groupBy(F.col("p_type").alias("label")).agg(F.min("p_partkey").alias("object_id")).withColumn("obj_type", F.lit("region"))
-    spoken = table(spark, d, "part").select(F.col("p_partkey").alias("utterance_id"), F.concat(F.lit("please show the "), F.lower("p_type"), F.lit(" and the "), F.lower("p_brand")).alias("text"))
-    return context.resolve_utterances(spoken, catalogue)
-
-
 @query("d01_scrubbed", "SELECT c_custkey, replace(concat('Seen ', c_custkey, '99 on 2024-05-01, uid 1.2.840.10008.5.1, by ', c_name), c_name, '[redacted]') AS raw, concat('Seen ', c_custkey, '99 on [date], uid [uid], by [redacted]') AS clean FROM customer WHERE c_custkey < 100000")
 def d01(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").where("c_custkey < 100000")
