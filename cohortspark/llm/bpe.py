@@ -7,7 +7,9 @@ concatenates the bytes of the vocabulary strings.
 
 Defined results: a null text counts as empty and has no ids; a special token
 written out in a text becomes its own id, as the tokenizer's defaults do; equal
-texts have equal ids; an empty table gives an empty result.
+texts have equal ids; very long texts are encoded whole; a null id is an id like
+others, and repeated rows have equal results; an empty table gives an empty result;
+columns that are not named are never read, so extra ones cannot clash.
 """
 
 from __future__ import annotations

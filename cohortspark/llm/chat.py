@@ -9,7 +9,8 @@ conversations the one with the smallest id stays.
 Defined results: rows without conversation id or turn number belong to no
 conversation and are left out; a null role is ``unknown``, a null text is empty;
 turns with the same number are put in order of role and text, so a repeated row
-is a repeated turn; an empty table gives an empty result.
+is a repeated turn; very long texts stay whole; an empty table gives an empty result;
+columns that are not named are never read, so extra ones cannot clash.
 """
 
 from __future__ import annotations

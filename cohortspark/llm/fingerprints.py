@@ -10,7 +10,9 @@ Defined results: a null text is empty; texts shorter than k are one k-mer, the
 empty text one empty k-mer; a text with fewer elements than ``TUPLE`` selects
 them all; equal texts have equal fingerprints; the next document of the last is
 the first; rows with equal ids follow one another in order of their texts, null
-ids come first; an empty table gives an empty result.
+ids come first, and repeated rows have equal fingerprints; very long texts are read
+whole; an empty table gives an empty result; columns that are not named are never
+read, so extra ones cannot clash.
 """
 
 from __future__ import annotations

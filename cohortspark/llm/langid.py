@@ -8,7 +8,9 @@ batches of texts are scored sparsely in numpy.
 Defined results: a null text, or one without letters, is ``und`` with score 0;
 labels that are null are not learned from; without any labelled row every text
 is ``und``; ties go to the language first in alphabetical order; equal texts have
-equal results.
+equal results, so repeated rows do; very long texts are scored whole; a null id is held
+out; an empty table gives an empty result; columns that are not named are never read,
+so extra ones cannot clash.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.llm._common import give_back
+
 BITS = 16
 ORDERS = 4
 #: Labelled rows to learn from; from more than that, a sample by hash of the id.
 SAMPLE_ROWS = 20_000
 #: Rows and characters scored at once.
-CHUNK_ROWS, CHUNK_CHARS = 2_000, 200_000
+CHUNK_ROWS, CHUNK_CHARS = 500, 200_000
 _ALPHA: list[np.ndarray] = []
 
 
@@ -37,17 +41,20 @@ def alphabetic() -> np.ndarray:
     return _ALPHA[0]
 
 
-def chunked(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
-    """Slices of few enough rows and characters; a longer text is alone."""
+def chunked(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Slices of few enough rows and characters; a longer text is alone. Only a slice is ever held as Python strings."""
     start, chars = 0, 0
-    for i, t in enumerate(texts):
+    held: list[str | None] = []
+    for i, value in enumerate(texts):
+        t = value.as_py()
         n = len(t or "")
-        if i > start and (i - start >= CHUNK_ROWS or chars + n > CHUNK_CHARS):
-            yield start, texts[start:i]
-            start, chars = i, 0
+        if held and (len(held) >= CHUNK_ROWS or chars + n > CHUNK_CHARS):
+            yield start, held
+            start, chars, held = i, 0, []
+        held.append(t)
         chars += n
-    if start < len(texts):
-        yield start, texts[start:]
+    if held:
+        yield start, held
 
 
 def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +93,8 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, part in chunked(texts):
+            langs = batch.column(0).to_pylist()
+            for at, part in chunked(batch.column(1)):
                 bucket, row = ngrams(part)
                 names = sorted(set(langs[at : at + len(part)]))
                 index = {x: i for i, x in enumerate(names)}
@@ -124,7 +131,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         logs = shared.value
         for batch in batches:
             names, scores = [], []
-            for _, part in chunked(batch.column(1).to_pylist()):
+            for _, part in chunked(batch.column(1)):
                 bucket, row = ngrams(part)
                 total = np.stack([np.bincount(row, logs[bucket, k], minlength=len(part)) for k in range(len(langs))], axis=1) if langs else np.zeros((len(part), 0))
                 known = np.bincount(row, minlength=len(part)) > 0
@@ -133,6 +140,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 names += [langs[b] if k and langs else "und" for b, k in zip(best, known, strict=True)]
                 scores += [float(p) if k and math.isfinite(p) else 0.0 for p, k in zip(odds, known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], ["doc_id", "lang_pred", "score", *keep])
+        give_back()
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}

@@ -13,35 +13,45 @@ words anywhere, then the windows around its rarest words in those:
   that hold them over the whole corpus, rarest first;
 * prefix filter: a text or block that holds ``a`` of a template's ``n`` words in this order
   holds one of its first ``n - a + 1``, so only those are joined on;
-* length filter: a text or block with fewer than ``a`` template words goes first;
-* positional filter: at the first common word, what is left of both must do.
-
-Beside it stand the base phrases, whose words must follow one another.
-
-Defined results: a null or empty text has no words, no places and score 0; ties in
-score change nothing; rows that repeat have equal results; an empty table gives
-an empty result.
+* length filter: a text or block with fewer than ``a`` words of all templates goes first;
+* positional filter: from the first common word on, in this order, both the template
+  and what the text holds of all templates' words must have ``a`` words left.
+
+Every text is read once for its counts and the templates' words that it holds; only
+those that pass the filters are read again for their windows. Beside it stand the
+base phrases, whose words must follow one another.
+
+Defined results: a null or empty text has no words, no places and score 0; very long
+texts are read whole; ties in score change nothing; a null id is an id like others;
+rows that repeat have equal results; an empty table gives an empty result; columns
+that are not named are never read, so extra ones cannot clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm._common import folded, keyed, materialize
+from cohortspark.llm._common import folded, keyed, materialize, row_key
 
 #: What separates words: ASCII but for digits and lower-case letters. Fixed value.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels. Fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Templates of statements and their labels, as words.
+#: Templates of statements and their labels, as words: sentences of well-known licenses and the names by which texts refer to them. Fixed values.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("lgpl", "gnu lesser general public license version"),
     ("agpl", "gnu affero general public license version"),
+    ("gfdl", "under the terms of the gnu free documentation license version 1 3"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-nd", "licensed under cc by nd 4 0"),
@@ -49,6 +59,14 @@ TEMPLATES = (
     ("cc0", "cc0 1 0 universal public domain dedication"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("epl-2.0", "made available under the terms of the eclipse public license v 2 0"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty"),
+    ("artistic-2.0", "under the terms of the artistic license 2 0"),
+    ("ofl-1.1", "licensed under the sil open font license version 1 1"),
+    ("odbl", "made available under the open database license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 #: Least share of a template's words.
@@ -78,62 +96,74 @@ def phrase_columns(words: Column, n_words: Column, phrase: str) -> tuple[Column,
     return count, first, last
 
 
-def template_table(docs: DataFrame, contained: float) -> DataFrame:
-    """``template, label, size, least, word, place``: a row for each word of each template, in order of the corpus' document counts. A few hundred rows."""
-    spark = docs.sparkSession
-    rows = [(i, label, word) for i, (label, text) in enumerate(TEMPLATES) for word in sorted(set(text.split(" ")))]
-    words = sorted({w for _, _, w in rows})
-    held = docs.select(F.explode(F.array_intersect(F.split("words", " "), F.array(*map(F.lit, words)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    table = spark.createDataFrame(rows, "template int, label string, word string").join(F.broadcast(held), "word", "left")  # one row for each template word at most
-    ordered = table.groupBy("template", "label").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("ordered"))
-    size = F.size("ordered")
-    return ordered.select("template", "label", size.alias("size"), F.ceil(size * F.lit(contained) - F.lit(1e-9)).cast("int").alias("least"), F.posexplode("ordered").alias("place", "at")).select("template", "label", "size", "least", "place", F.col("at.word").alias("word"), F.col("at.df").alias("df"))
+class Templates:
+    """Templates with their words in the corpus' order: ``ordered`` of all, and by template the words, the least number of them, and the prefix."""
+
+    def __init__(self, df: dict[str, int], contained: float) -> None:
+        rank = lambda w: (df.get(w, 0), w)
+        self.ordered = sorted(KNOWN, key=rank)
+        self.words = [sorted(set(text.split(" ")), key=rank) for _, text in TEMPLATES]
+        self.least = [math.ceil(len(w) * contained - 1e-9) for w in self.words]
+        self.prefix = [w[: len(w) - n + 1] for w, n in zip(self.words, self.least, strict=True)]
+
+    def of(self, values: list) -> Column:
+        """The value of the row's ``template``."""
+        return F.element_at(F.array(*(F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for v in values)), F.col("template") + 1)
+
+    def prefixes(self, spark: SparkSession) -> DataFrame:
+        """``template, word, place``: a few hundred rows."""
+        return spark.createDataFrame([(t, w, i) for t, words in enumerate(self.prefix) for i, w in enumerate(words)], "template int, word string, place int")
+
+
+#: All words of templates.
+KNOWN = sorted({w for _, t in TEMPLATES for w in t.split(" ")})
+
+
+def candidates(held: DataFrame, templates: Templates, positional: bool = True) -> DataFrame:
+    """``rid, template, held`` (in the corpus' order) of texts ``rid, held`` that pass the filters, each pair once."""
+    ordered = held.where(F.size("held") >= min(templates.least)).select("rid", F.array_intersect(F.array(*map(F.lit, templates.ordered)), "held").alias("held"))
+    met = ordered.select("rid", "held", F.posexplode("held").alias("pos", "word")).join(F.broadcast(templates.prefixes(held.sparkSession)), "word")
+    first = met.where(F.size("held") >= templates.of(templates.least)).groupBy("rid", "held", "template").agg(F.min("place").alias("place"), F.min("pos").alias("pos"))
+    left = F.least(templates.of([len(w) for w in templates.words]) - F.col("place"), F.size("held") - F.col("pos"))
+    return (first.where(left >= templates.of(templates.least)) if positional else first).select("rid", "template", "held")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contained: float = CONTAINED) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks``; ``n_blocks``: places where a template is found; windows that overlap are one."""
     base = keyed(docs, id_col, text_col)
-    key = F.xxhash64("doc_id", "text").alias("rid")
-    lined = base.select(key, "doc_id", spaced(F.col("text")).alias("words"))
-    found = blocks_found(lined, contained)
+    base = base.withColumn("rid", row_key(base))
+    lined = base.select("rid", "doc_id", spaced(F.col("text")).alias("words"))
     n_words = F.when(F.col("words") == " ", F.lit(0).cast("long")).otherwise(n_spaces(F.col("words")) - 1)
     counted = lined.select("rid", "doc_id", "words", n_words.alias("n_words"))
     parts = {p: phrase_columns(F.col("words"), F.col("n_words"), p) for p in PHRASES}
     n_base = sum((c for c, _, _ in parts.values()), F.lit(0).cast("long"))
-    labels = F.array_compact(F.array(*(F.when(c > 0, F.lit(PHRASES[p])) for p, (c, _, _) in parts.items())))
-    scanned = counted.select("rid", "doc_id", "n_words", n_base.alias("n_base"), F.least(*(f for _, f, _ in parts.values())).alias("first_word"), F.greatest(*(x for _, _, x in parts.values())).alias("last_word"), labels.alias("base"))
+    labels = F.array_sort(F.array_compact(F.array(*(F.when(c > 0, F.lit(PHRASES[p])) for p, (c, _, _) in parts.items()))))
+    held = F.array_intersect(F.split("words", " "), F.array(*map(F.lit, KNOWN)))
+    scanned = materialize(counted.select("rid", "doc_id", "n_words", n_base.alias("n_base"), F.least(*(f for _, f, _ in parts.values())).alias("first_word"), F.greatest(*(x for _, _, x in parts.values())).alias("last_word"), labels.alias("base"), held.alias("held")))
+    found = blocks_found(base.select("rid", "text"), scanned.select("rid", "held"), contained)
     joined = scanned.join(found, "rid", "left")
     both = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("score", F.lit(0.0)))
-    return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), score.alias("score"), F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"))
-
-
-def blocks_found(lined: DataFrame, contained: float) -> DataFrame:
-    """``rid, found, score, n_blocks`` of the texts with a window that meets a template's threshold, from ``rid, words``."""
-    table = template_table(lined.select("words"), contained)
-    own = table.groupBy("template", "label", "size", "least").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ordered")).withColumn("ordered", F.col("ordered")["word"])
-    every = sorted({w for _, t in TEMPLATES for w in t.split(" ")})
-    least = min(len(set(t.split(" "))) for _, t in TEMPLATES)
-    known = F.array(*map(F.lit, every))
-    # The texts that hold enough of a template anywhere, few of all
-    held = lined.select("rid", F.array_intersect(F.split("words", " "), known).alias("held")).where(F.size("held") >= int(least * contained))
-    prefix = table.where(F.col("place") < F.col("size") - F.col("least") + 1).select("template", "size", "least", "place", "word")
-    single = held.select("rid", "held", F.explode("held").alias("word"))
-    met = single.join(F.broadcast(prefix), "word").where(F.size("held") >= F.col("least"))
-    first = met.groupBy("rid", "held", "template", "size", "least").agg(F.min("place").alias("place"))
-    first = first.where(F.col("size") - F.col("place") >= F.col("least"))  # positional: what is left from the first common word on
-    pairs = first.select("rid", "held", "template").join(F.broadcast(own.select("template", "least", "ordered")), "template")
-    texts = materialize(pairs.where(F.size(F.array_intersect("held", "ordered")) >= F.col("least")).select("rid", "template"))
+    return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), score.alias("score"), F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"))
+
+
+def blocks_found(texts: DataFrame, held: DataFrame, contained: float) -> DataFrame:
+    """``rid, found, score, n_blocks`` of the texts (``rid, text``) with a window that meets a template's threshold; ``held`` has the templates' words of each."""
+    df = {r["word"]: r["df"] for r in held.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).collect()}  # one row for each word of a template at most
+    templates = Templates(df, contained)
+    ordered, least = templates.of(templates.words), templates.of(templates.least)
+    wanted = materialize(candidates(held, templates).where(F.size(F.array_intersect("held", ordered)) >= least).select("rid", "template"))
     # Their windows: each that meets the threshold has a word of the prefix, so only those around such words are looked at
-    width = F.element_at(F.array(*(F.lit(WINDOW * len(t.split(" "))) for _, t in TEMPLATES)), F.col("template") + 1)
-    split = lined.select("rid", F.split(F.trim("words"), " ").alias("words")).join(texts, "rid").join(F.broadcast(own.withColumn("width", width)), "template")
-    rare = F.slice("ordered", F.lit(1), F.col("size") - F.col("least") + 1)
-    placed = split.withColumn("rare", rare).withColumn("at", F.explode(F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("rare", w), i)), lambda i: i.isNotNull())))
+    again = texts.join(wanted, "rid").dropDuplicates(["rid", "template"])
+    split = again.select("rid", "template", F.split(F.trim(spaced(F.col("text"))), " ").alias("words"), templates.of([WINDOW * len(t.split(" ")) for _, t in TEMPLATES]).alias("width"))
+    places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(templates.of(templates.prefix), w), i)), lambda i: i.isNotNull())
+    placed = split.withColumn("at", F.explode(places))
     begin = F.greatest(F.col("at") - F.col("width") + 1, F.lit(0))
-    near = placed.select("rid", "template", "label", "size", "least", "width", "ordered", "at", begin.alias("begin"), F.slice("words", begin + 1, F.col("at") - begin + F.col("width")).alias("around"))
-    near = near.where(F.size(F.array_intersect("around", "ordered")) >= F.col("least"))
-    common = lambda start: F.size(F.array_intersect(F.slice("around", start - F.col("begin") + 1, F.col("width")), F.col("ordered")))
-    windows = near.withColumn("start", F.explode(F.sequence("begin", "at"))).withColumn("share", common(F.col("start"))).where("share >= least")
-    best = windows.groupBy("rid", "template", "label", "size", "width").agg(F.array_sort(F.collect_set("start")).alias("starts"), F.max("share").alias("share"))
+    near = placed.select("rid", "template", "width", "at", begin.alias("begin"), F.slice("words", begin + 1, F.col("at") - begin + F.col("width")).alias("around"))
+    near = near.where(F.size(F.array_intersect("around", ordered)) >= least)
+    common = lambda start: F.size(F.array_intersect(F.slice("around", start - F.col("begin") + 1, F.col("width")), ordered))
+    windows = near.withColumn("start", F.explode(F.sequence("begin", "at"))).withColumn("share", common(F.col("start"))).where(F.col("share") >= least)
+    best = windows.groupBy("rid", "template", "width").agg(F.array_sort(F.collect_set("start")).alias("starts"), F.max("share").alias("share"))
     apart = F.filter("starts", lambda x, i: (i == 0) | (x - F.get("starts", i - 1) >= F.col("width")))
-    return best.groupBy("rid").agg(F.collect_set("label").alias("found"), F.max(F.col("share") / F.col("size")).alias("score"), F.sum(F.size(apart)).alias("n_blocks"))
+    label, size = templates.of([label for label, _ in TEMPLATES]), templates.of([len(w) for w in templates.words])
+    return best.select("rid", label.alias("label"), (F.col("share") / size).alias("share"), F.size(apart).alias("n")).groupBy("rid").agg(F.collect_set("label").alias("found"), F.max("share").alias("score"), F.sum("n").alias("n_blocks"))

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,59 +34,64 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm._common import join_by_key, materialize, row_key
+from cohortspark.llm._common import give_back, join_by_key, materialize, row_key
 from cohortspark.llm._links import DEALT, block_components, bucket_bits, by_bucket, components, deal_rows, dealt_rows, ready_rows
 
 SHINGLE = 8
 BANDS, ROWS = 20, 5
 #: Characters of the lines in a part of a block, and lines a task gathers before it deals their bands out.
-PART, GATHERED = 1_000_000, 100_000
-#: Shingles hashed at once: as many numbers as fit the processor's cache.
-STRIP = 16_384
+PART, GATHERED = 4_000_000, 60_000
+#: Characters hashed at once: few enough for the processor's cache, and enough that calls do not count.
+STRIP = 65_536
 NO_ID = -(1 << 63)
+#: Odd multipliers of the shingles' hashes.
+MIXERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)
 GAP = re.compile(r"[\x20\x09-\x0D]+")
-ODD = re.compile(r"[\x09\x0B-\x0D]|\x20\x20")
+#: What a line with other gaps than single spaces holds.
+ODD = ("  ", "\t", "\v", "\f", "\r")
 
 U = np.uint64
+_TWO = struct.Struct("<qq")
 
 
-def seeds() -> tuple[np.ndarray, np.ndarray]:
-    """A mask and an odd multiplier for each hash function, by a rule."""
-    raw = np.frombuffer(hashlib.shake_128(b"line minhash").digest(8 * BANDS * ROWS), "<u4").reshape(2, BANDS * ROWS)
-    return raw[0].copy(), raw[1] | np.uint32(1)
+def seeds() -> np.ndarray:
+    """An odd multiplier for each hash function, by a rule: products modulo 2**32 put the hashes of shingles in an order of their own."""
+    return np.frombuffer(hashlib.shake_128(b"line minhash").digest(4 * BANDS * ROWS), "<u4") | np.uint32(1)
 
 
-_MASK, _MULTIPLY = seeds()
+_MULTIPLY = seeds()
 
 
 def norms(text: str) -> list[str]:
     """The lines of a text as they are compared."""
     lines = text.lower().split("\n")
-    if ODD.search(text):
-        return [GAP.sub(" ", x).strip(" ") for x in lines]
+    if any(gap in text for gap in ODD):
+        return [GAP.sub(" ", x).strip(" ") if any(gap in x for gap in ODD) else x.strip(" ") for x in lines]
     return [x.strip(" ") for x in lines]
 
 
 def names(line: str) -> tuple[int, int]:
     """128 bits that stand for a line, as two whole numbers."""
-    raw = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+    return _TWO.unpack(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
 
 
-def shingles_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character shingles of some lines, end to end and not yet sets, and where each line's begin."""
+def shingles_of(lines: list[str], kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of 64 or 32 bits of the character shingles of some lines, end to end and not yet sets, and where each line's begin."""
+    half = 4 * np.dtype(kind).itemsize
+    mixers = [kind(x & (1 << 2 * half) - 1 | 1) for x in MIXERS]
     padded = [x if len(x) >= SHINGLE else x + "\0" * (SHINGLE - len(x)) for x in lines]
     sizes = np.array([len(x) for x in padded], np.int64)
-    code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-    h = (code + U(1)) * U(0x9E3779B97F4A7C15)
-    h ^= h >> U(32)
+    code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(kind)
+    h = (code + kind(1)) * mixers[0]
+    h ^= h >> kind(half)
     done = 1
     while done < SHINGLE:  # of twice as many characters each time
-        h = h[:-done] * U(0xD6E8FEB86659FD93 + 2 * done) + h[done:]
+        pair = h[:-done] * mixers[done.bit_length()]
+        pair += h[done:]
+        h = pair ^ (pair >> kind(half - 3))
         done *= 2
-    h ^= h >> U(32)
-    h *= U(0xBF58476D1CE4E5B9)
-    h ^= h >> U(29)
+    h *= mixers[-1]
+    h ^= h >> kind(half)
     inside = np.ones(len(h), bool)
     ends = np.cumsum(sizes)[:-1]
     inside[(ends[:, None] - np.arange(1, SHINGLE)).ravel()] = False  # shingles across two lines
@@ -94,25 +100,17 @@ def shingles_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bands(lines: list[str]) -> np.ndarray:
-    """By line, BANDS hashes of 64 bits. A strip of shingles at a time goes through all hash functions."""
-    h, begin = shingles_of(lines)
-    low = (h >> U(32)).astype(np.uint32)
-    bounds = np.append(begin, len(low))
+    """By line, BANDS hashes of 64 bits. Lines of about STRIP characters go through all hash functions together; a longer line is alone, a strip at a time."""
+    low, begin = shingles_of(lines, np.uint32)
     least = np.full((BANDS * ROWS, len(lines)), 0xFFFFFFFF, np.uint32)
-    at = 0
-    while at < len(low):
-        to = min(at + STRIP, len(low))
-        first, last = int(np.searchsorted(bounds, at, "right")) - 1, int(np.searchsorted(bounds, to, "left"))
-        starts = np.maximum(bounds[first:last] - at, 0)
-        strip = low[at:to]
-        v = np.empty_like(strip)
-        part = np.empty(len(starts), np.uint32)
+    cuts = [(0, len(low))] if len(lines) > 1 else [(a, min(a + STRIP, len(low))) for a in range(0, len(low), STRIP)]
+    for a, b in cuts:
+        strip = low[a:b]
+        v, part = np.empty_like(strip), np.empty(len(lines), np.uint32)
         for k in range(BANDS * ROWS):
-            np.bitwise_xor(strip, _MASK[k], out=v)
-            np.multiply(v, _MULTIPLY[k], out=v)
-            np.minimum.reduceat(v, starts, out=part)
-            np.minimum(least[k, first:last], part, out=least[k, first:last])
-        at = to
+            np.multiply(strip, _MULTIPLY[k], out=v)
+            np.minimum.reduceat(v, begin, out=part)
+            np.minimum(least[k], part, out=least[k])
     rows = least.reshape(BANDS, ROWS, len(lines))
     out = np.repeat(np.arange(1, BANDS + 1, dtype=U)[:, None], len(lines), 1)
     for r in range(ROWS):
@@ -121,6 +119,18 @@ def bands(lines: list[str]) -> np.ndarray:
     return out.T
 
 
+def some_at_once(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Stretches of lines of STRIP characters at most; a longer line is alone."""
+    a = chars = 0
+    for i, line in enumerate(lines):
+        if i > a and chars + len(line) > STRIP:
+            yield a, i
+            a, chars = i, 0
+        chars += max(len(line), SHINGLE)
+    if a < len(lines):
+        yield a, len(lines)
+
+
 def some_lines(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[dict[int, str]]:
     """Lines of a task by name, each once, about ``most`` at a time; the texts are in column ``text``."""
     held: dict[int, str] = {}
@@ -143,12 +153,9 @@ def band_entries(bits: int):
         for held in some_lines(batches, 0, GATHERED):
             lids, lines = np.fromiter(held, np.int64, len(held)), list(held.values())
             held.clear()
-            h, a, chars = np.empty((len(lines), BANDS), U), 0, 0
-            for i, line in enumerate(lines):
-                chars += len(line) + 1
-                if chars >= 4 * STRIP or i + 1 == len(lines):
-                    h[a : i + 1] = bands(lines[a : i + 1])
-                    a, chars = i + 1, 0
+            h = np.empty((len(lines), BANDS), U)
+            for a, b in some_at_once(lines):
+                h[a:b] = bands(lines[a:b])
             h = h.ravel()
             width = U(int(len(h)).bit_length())
             place = np.sort((h >> width << width) | np.arange(len(h), dtype=U))  # by hash; the place in its low bits
@@ -158,6 +165,7 @@ def band_entries(bits: int):
             lead = item[first][np.cumsum(first) - 1]
             yield from ready_rows(item[~first], lead[~first])
             yield from deal_rows(h[first], item[first], bits)
+        give_back()
 
     return run
 
@@ -217,7 +225,7 @@ def verified(sets: list[np.ndarray], percent: int, joined: list[int]) -> list[in
 
 def texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``text`` to ``lid, norm``."""
-    for held in some_lines(batches, 0, GATHERED // 20):
+    for held in some_lines(batches, 0, GATHERED // 10):
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.string())], ["lid", "norm"])
 
 
@@ -242,7 +250,7 @@ def line_classes(texts: DataFrame, n_bytes: int, part_size: int = PART) -> DataF
     entries = texts.select("text").mapInArrow(band_entries(bucket_bits(n_bytes, 6_000_000)), DEALT)
     blocks = components(by_bucket(entries, band_edges, "a long, b long").where("a <> b"))
     lines = texts.select("text").mapInArrow(texts_of_lines, "lid long, norm string")
-    found = lines.join(blocks.select(F.col("node").alias("lid"), F.col("root").alias("block")), "lid").groupBy("lid", "block").agg(F.min("norm").alias("norm"), F.max("norm").alias("other"))
+    found = lines.join(blocks.select(F.col("node").alias("lid"), F.col("root").alias("block")).hint("shuffle_hash"), "lid").groupBy("lid", "block").agg(F.min("norm").alias("norm"), F.max("norm").alias("other"))
     found = found.where("norm = other").select("lid", "norm", "block", F.length("norm").cast("long").alias("weight"))
     return block_components(materialize(found), "lid", "norm", sets_of, verified, part_size)
 
@@ -265,7 +273,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = F.struct("ord", "rid", "pos")
     gone = join_by_key(places.select(F.struct("lid", "more").alias("line"), at.alias("at")), firsts.select("line", "first"), "line", firsts.select("line", "n"))
     gone = gone.where("at <> first").groupBy("at.rid").agg(F.collect_set("at.pos").alias("gone"))
-    found = base.join(gone, "rid", "left")
+    found = base.join(gone.hint("shuffle_hash"), "rid", "left")
     split = F.split("text", "\n")
     left = F.filter(split, lambda x, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))

@@ -17,7 +17,8 @@
 Defined results: null and empty texts, and those without words, have an empty set
 and link with nothing; fewer than five words are one shingle; repeated rows have
 equal results; a null id is never the smallest unless there is no other; an empty
-table gives an empty result.
+table gives an empty result; very long texts are processed whole; columns that are
+not named are never read, so extra ones cannot clash.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ gaps, bucket after bucket, by document and start.
 Defined results: a null or empty text has just the closing id, so one piece of
 length 1; a null doc_id is kept and numbered first; rows that repeat a doc_id are
 packed each for itself and their order among one another is that of their ids'
-checksums, so only pieces equal in all columns can change places.
+checksums, so only pieces equal in all columns can change places; very long texts are
+packed whole; an empty table gives an empty result; columns that are not named are
+never read, so extra ones cannot clash.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from cohortspark.llm._common import give_back, keyed, materialize
 from cohortspark.llm._merge import many_words
 from cohortspark.llm.bpe import tokenizer_spec
 
-#: Documents whose pieces are numbered in one go.
-BLOCK = 4096
+#: Pieces that are numbered in one go, on average, and most ranges of them.
+RANGE_ROWS, MOST_RANGES = 200_000, 10_000
 
 
 def binary_lengths(n: int, max_length: int) -> list[int]:
@@ -79,16 +81,12 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = 1024, end_id: i
 
 
 def number_sequences(pieces: DataFrame) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset``. Blocks of documents are counted first, so no window spans more than a block's pieces of one length."""
-    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("long"), F.lit(-(1 << 62)))
-    blocked = pieces.withColumn("block", block)
-    counts = blocked.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
-    longest_first = Window.partitionBy("length").orderBy("block")
-    within = counts.withColumn("before_block", F.sum("n").over(longest_first) - F.col("n"))
-    totals = counts.groupBy("length").agg(F.sum("n").alias("total"))
-    shorter = totals.alias("a").join(F.broadcast(totals.alias("b")), F.col("a.length") > F.col("b.length"), "left")  # a few dozen rows: one for each power of two
-    before = shorter.groupBy(F.col("a.length").alias("length")).agg(F.coalesce(F.sum("b.total"), F.lit(0)).alias("before_length"))
-    places = within.join(F.broadcast(before), "length").select("length", "block", (F.col("before_block") + F.col("before_length")).alias("before"))
-    in_block = Window.partitionBy("length", "block").orderBy(F.col("doc_id").asc_nulls_first(), "start", "ids_crc32", "doc_tokens")
-    numbered = blocked.withColumn("rank", F.row_number().over(in_block)).join(places, ["length", "block"])
+    """Adds ``sequence_id`` and ``offset``. Pieces are dealt out by ranges of their order, whatever their ids are, and counted by range, so no window spans more than a range."""
+    order = [F.col("length"), F.col("doc_id").asc_nulls_first(), F.col("start"), F.col("ids_crc32"), F.col("doc_tokens")]
+    n_ranges = min(MOST_RANGES, pieces.count() // RANGE_ROWS + 1)
+    placed = materialize(pieces.repartitionByRange(n_ranges, *order).withColumn("range", F.spark_partition_id()))
+    counts = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # MOST_RANGES rows at most
+    rank = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    numbered = placed.withColumn("rank", rank).join(F.broadcast(before), "range")
     return numbered.select(*pieces.columns, (F.col("before") + F.col("rank") - 1).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

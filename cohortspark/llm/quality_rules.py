@@ -5,10 +5,12 @@ Native: DataFrame operations only.
 Base rules count words, symbols, repeated lines and repeated three-word windows.
 Texts that pass them are then judged within their language and source: their
 statistics, transformed to near-normal scales, are vectors whose centre and
-covariance come from minimum-covariance-determinant estimates. Starting from the
-coordinates' medians and median absolute deviations, concentration steps take the
-``SUPPORT`` nearest vectors by Mahalanobis distance and estimate anew. A text is
-rejected whose squared distance exceeds ``LIMIT``.
+covariance come from minimum-covariance-determinant estimates. From several starts
+(the coordinates' medians and median absolute deviations, all vectors, and subsets by
+hash) concentration steps take the ``SUPPORT`` nearest vectors by Mahalanobis distance
+and estimate anew. After ``TRIED`` steps the start with the smallest determinant stays,
+and goes on until its determinant no longer shrinks. A text is rejected whose squared
+distance exceeds ``LIMIT``.
 
 The steps are grouped aggregates of sums and of approximate percentiles, which
 Spark combines before the shuffle, so a source with a third of all rows is no
@@ -24,8 +26,9 @@ have no covariances, only variances; a coordinate that is tied for half of a
 group's vectors or more has at least the variance of its corpus-wide median
 absolute deviation, or where that is 0 too, of its corpus-wide mean absolute
 deviation, so a rare value is far where it is far for the corpus; a coordinate
-constant in the corpus rejects nothing; repeated rows have equal results; an empty table gives an empty
-result.
+constant in the corpus rejects nothing; very long texts are counted whole; a null id is an id
+like others; repeated rows have equal results; an empty table gives an empty result; columns that are
+not named are never read, so extra ones cannot clash.
 """
 
 from __future__ import annotations
@@ -36,8 +39,12 @@ from pyspark.sql import functions as F
 from cohortspark.llm._common import WORD_GAP, keyed, materialize
 
 SYMBOLS = "#*$%&|<>"
-#: Share of the vectors that an estimate rests on, and number of concentration steps.
-SUPPORT, STEPS = 0.75, 3
+#: Share of the vectors that an estimate rests on, concentration steps of all starts, most steps, and the share by which a determinant must still shrink.
+SUPPORT, TRIED, STEPS, SHRINKS = 0.75, 2, 20, 1e-6
+#: Of so many parts by hash two are starts of their own.
+SUBSETS = 8
+#: Words from which repeated windows are found by 128 bits of hash and a number beside them, rather than by a hash and a place in one number of 64 bits.
+MANY_WORDS = 4096
 #: Added to each variance, so that a change of word length by 1 % or a share of 1 in 10,000 counts for little even where vectors hardly differ; and least number of vectors in a group or language with estimates of its own.
 FLOOR, LEAST_GROUP = 1e-4, 30
 #: Squared distance of rejection: the 0.9999 quantile of chi-squared with four degrees.
@@ -56,40 +63,44 @@ def let(value: Column, body) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words in three-word windows that stand twice or more in the text.
 
-    Windows are sorted as numbers, a hash above and the place below, so equal ones
-    are neighbours; the places of those that have an equal neighbour are sorted
-    again, and each covers as many words as are left before the next.
+    Windows are sorted by hash, then place, so equal ones are neighbours; the places
+    of those that have an equal neighbour are sorted again, and each covers as many
+    words as are left before the next. Short texts have hash (52 bits at least) and place
+    in one number, which sorts faster.
     """
     n = F.size(words)
+    hashed = lambda w, i, seed: F.xxhash64(F.lit(seed), F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
 
     def covered(places: Column) -> Column:
         width = lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3).cast("long")))
         return F.aggregate(F.transform(places, width), F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def places_of(keys: Column, bits: Column) -> Column:
-        hash_of = lambda k: F.call_function("shiftright", k, bits)
-        twice = lambda k, i: F.coalesce(hash_of(F.get(keys, i - 1)) == hash_of(k), F.lit(False)) | F.coalesce(hash_of(F.get(keys, i + 1)) == hash_of(k), F.lit(False))
+    def repeated(keys: Column, hash_of, place_of) -> Column:
+        same = lambda k, other: F.coalesce(hash_of(F.get(keys, other)) == hash_of(k), F.lit(False))
+        return F.sort_array(F.transform(F.filter(keys, lambda k, i: same(k, i - 1) | same(k, i + 1)), place_of))
+
+    def short(w: Column) -> Column:
+        bits = F.length(F.bin(n.cast("long")))
+        cut = lambda h: F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits)
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        return F.sort_array(F.transform(F.filter(keys, twice), lambda k: k.bitwiseAND(mask)))
+        keys = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: cut(hashed(w, i, 3)).bitwiseOR(i.cast("long"))))
+        return let(keys, lambda k: let(repeated(k, lambda x: F.call_function("shiftright", x, bits), lambda x: x.bitwiseAND(mask)), covered))
 
-    def keys_of(w: Column, bits: Column) -> Column:
-        window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-        key = lambda i: F.call_function("shiftleft", F.call_function("shiftright", window(i), bits), bits).bitwiseOR(i.cast("long"))
-        return F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), key))
+    def long(w: Column) -> Column:
+        keys = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.struct(hashed(w, i, 3).alias("a"), hashed(w, i, 7).alias("b")).alias("hash"), i.cast("long").alias("place"))))
+        return let(keys, lambda k: let(repeated(k, lambda x: x["hash"], lambda x: x["place"]), covered))
 
-    bits = F.length(F.bin(n.cast("long")))
-    found = let(words, lambda w: let(keys_of(w, bits), lambda k: let(places_of(k, bits), covered)))
-    return F.when(n < 3, F.lit(0).cast("long")).otherwise(found)
+    return let(words, lambda w: F.when(n < 3, F.lit(0).cast("long")).when(n < MANY_WORDS, short(w)).otherwise(long(w)))
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``rid, doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed``."""
+    """``doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed``."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     words = F.filter(F.split("text", WORD_GAP), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    split = named.select("*", F.xxhash64("doc_id", "text").alias("rid"), words.alias("words"))
+    split = named.select("*", words.alias("words"))
     counted = split.select(
-        "rid", "doc_id", "lang", "source",
+        "doc_id", "lang", "source",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", WORD_GAP, "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
@@ -97,7 +108,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         repeated_words(F.col("words")).alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.select("rid", "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "line.n_dup_lines", "n_repeat_words", "line.n_lines", failed.alias("base_failed"))
+    return counted.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "line.n_dup_lines", "n_repeat_words", "line.n_lines", failed.alias("base_failed"))
 
 
 #: Coordinates: mean length of a word, and the shares of symbols, repeated lines and repeated words on square-root scales.
@@ -163,8 +174,33 @@ def with_spread(estimates: DataFrame, tied: DataFrame) -> DataFrame:
     return estimates.join(tied, "pool").withColumns({covariance_name(i, i): F.greatest(F.col(covariance_name(i, i)), F.col(f"v{i}")) for i in range(p)}).drop(*(f"v{i}" for i in range(p)))
 
 
+def with_determinant(estimates: DataFrame) -> DataFrame:
+    """``det``: the determinant of the covariance, from its factor."""
+    root = F.lit(1.0)
+    for i in range(len(COORDINATES)):
+        root = root * F.col(f"l{i}{i}")
+    return estimates.withColumn("det", root * root)
+
+
+def from_members(members: DataFrame, tied: DataFrame, scale: float) -> DataFrame:
+    """Estimates by ``pool`` and ``start`` from the vectors of each. Covariances of a few vectors do not hold and are 0."""
+    p = len(COORDINATES)
+    sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(COORDINATES)]
+    sums += [(F.covar_pop(COORDINATES[i], COORDINATES[j]) * scale).alias(covariance_name(i, j)) for i in range(p) for j in range(i + 1)]
+    now = members.groupBy("pool", "start", "n_group").agg(*sums)
+    few = {covariance_name(i, j): F.when(F.col("n_group") >= LEAST_GROUP, F.col(covariance_name(i, j))).otherwise(0.0) for i in range(p) for j in range(i)}
+    return with_determinant(with_factor(with_spread(now.withColumns(few), tied)))
+
+
+def concentrated(pooled: DataFrame, estimates: DataFrame, tied: DataFrame, support: float) -> DataFrame:
+    """One concentration step: estimates from the nearest vectors of each pool under each of its estimates; written to the shared folder."""
+    far = with_distance(pooled.join(estimates, "pool"), "d").select("pool", "start", "n_group", *COORDINATES, "d")
+    limits = materialize(far.groupBy("pool", "start").agg(F.percentile_approx("d", support, 10_000).alias("limit")))
+    return materialize(from_members(far.join(limits, ["pool", "start"]).where("d <= limit"), tied, CONSISTENT))
+
+
 def mcd_estimates(vectors: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
-    """``of_lang, of_source, n_group``, centre ``m*`` and factor ``l**`` from rows of ``lang, source`` and coordinates; ``n_group`` vectors are in the pool that judges the group. Each step's estimates are written to the shared folder."""
+    """``of_lang, of_source, n_group``, centre ``m*``, factor ``l**`` and ``det`` from rows of ``lang, source`` and coordinates; ``n_group`` vectors are in the pool that judges the group. Whether any determinant still shrinks is all that comes to the driver."""
     p = len(COORDINATES)
     pools = materialize(pools_of(vectors))
     pooled = with_estimates(vectors, pools).select(F.explode("pools").alias("pool"), *COORDINATES)
@@ -176,17 +212,22 @@ def mcd_estimates(vectors: DataFrame, support: float = SUPPORT, steps: int = STE
     tied = materialize(spread.crossJoin(F.broadcast(every)).select("pool", *(F.when(F.col(f"s{i}") == 0, F.col(f"w{i}")).otherwise(0.0).alias(f"v{i}") for i in range(p))))  # a single row of statistics
     zero = {covariance_name(i, j): F.lit(0.0) for i in range(p) for j in range(i)}
     start = {covariance_name(i, i): (F.col(f"s{i}") * NORMAL_MEDIAN) ** 2 for i in range(p)}
-    estimates = materialize(with_factor(with_spread(spread.withColumns(zero | start).drop(*(f"{c}{i}" for c in "sa" for i in range(p))), tied)))
-    for _ in range(steps):
-        far = with_distance(pooled.join(estimates, "pool"), "d").select("pool", "n_group", *COORDINATES, "d")
-        limits = materialize(far.groupBy("pool").agg(F.percentile_approx("d", support, 10_000).alias("limit")))
-        near = far.join(limits, "pool").where("d <= limit")
-        sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(COORDINATES)]
-        sums += [(F.covar_pop(COORDINATES[i], COORDINATES[j]) * CONSISTENT).alias(covariance_name(i, j)) for i in range(p) for j in range(i + 1)]
-        now = near.groupBy("pool", "n_group").agg(*sums)
-        few = {c: F.when(F.col("n_group") >= LEAST_GROUP, F.col(c)).otherwise(0.0) for c in zero}  # covariances of a few vectors do not hold
-        estimates = materialize(with_factor(with_spread(now.withColumns(few), tied)))
-    return pools.select("of_lang", "of_source", F.col("pools")[0].alias("pool")).join(estimates, "pool").drop("pool")
+    medians = with_determinant(with_factor(with_spread(spread.withColumns(zero | start).drop(*(f"{c}{i}" for c in "sa" for i in range(p))), tied))).withColumn("start", F.lit(0))
+    part = F.pmod(F.xxhash64(*COORDINATES), F.lit(SUBSETS))
+    starts = F.array_compact(F.array(F.lit(1), F.when(part < 2, part.cast("int") + 2)))
+    others = from_members(pooled.join(centre.select("pool", "n_group"), "pool").withColumn("start", F.explode(starts)), tied, 1.0)
+    estimates = materialize(medians.unionByName(others))
+    for _ in range(TRIED):
+        estimates = concentrated(pooled, estimates, tied, support)
+    least = lambda df: df.groupBy("pool").agg(F.min_by(F.struct(*(c for c in df.columns if c != "pool")), F.struct("det", "start")).alias("e")).select("pool", "e.*")
+    best = materialize(least(estimates))
+    for _ in range(steps - TRIED):
+        now = concentrated(pooled, best, tied, support)
+        smaller = now.join(best.select("pool", F.col("det").alias("before")), "pool").where(F.col("det") < F.col("before") * (1 - SHRINKS))
+        if smaller.isEmpty():
+            break
+        best = materialize(least(best.unionByName(now)))
+    return pools.select("of_lang", "of_source", F.col("pools")[0].alias("pool")).join(best, "pool").drop("pool", "start")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limit: float = LIMIT, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
@@ -194,6 +235,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = materialize(coordinates(base_counts(docs, id_col, text_col, lang_col, source_col)))
     passed = counts.where("not base_failed")
     estimates = mcd_estimates(passed.select("lang", "source", *COORDINATES), support, steps)
-    judged = with_distance(with_estimates(counts, estimates), "distance")
+    judged = with_distance(with_estimates(counts, estimates.drop("det")), "distance")
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

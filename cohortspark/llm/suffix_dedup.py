@@ -20,9 +20,10 @@ cross documents.
 4. What was found goes back to the texts and is cut out.
 
 Defined results: a null text is empty, with nothing removed; a text shorter than
-``min_length`` bytes stays whole; a null id counts as smaller than all others; rows
-with the same id never remove parts of each other, and repeated rows have equal
-results; an empty table gives an empty result.
+``min_length`` bytes stays whole; very long texts are processed whole; a null id
+counts as smaller than all others; rows with the same id never remove parts of each
+other, and repeated rows have equal results; an empty table gives an empty result;
+columns that are not named are never read, so extra ones cannot clash.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ HOT_IN_TASK, HOT = 4096, 50_000
 BUCKET_BYTES = 1_500_000
 #: Minimizers a task gathers before it deals them out.
 GATHERED = 400_000
+#: Texts that are cut at once.
+AT_ONCE = 500
 #: Bytes of a minimizer's hash that stay beside its bucket.
 WIDTH = 4
 #: Rows, which no text has, that mark a minimizer as hot.
@@ -226,6 +229,7 @@ def pieces_of(min_length: int, bits: int, hot: bool):
                     s = slice(x, x + 10_000)
                     strings = [raw[i : i + j + min_length - 1] for i, j in zip(a[s].tolist(), n[s].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[s]), pa.array(rid[at + text[s]]), pa.array(ords[at + text[s]]), pa.array((a[s] - t.start[text[s]]).astype(np.int32)), pa.array(n[s].astype(np.int32)), pa.array(strings, pa.binary())], ["bucket", "rid", "ord", "start", "n", "bytes"])
+        give_back()
 
     return run
 
@@ -349,7 +353,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def cut_out(min_length: int, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``doc_id, text, copy, spans`` to the result."""
-        for batch in batches:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, len(b), AT_ONCE)):
             kept, runs, sizes = [], [], []
             for text, copy, spans in zip(batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3), strict=True):
                 raw = text.as_py()
@@ -361,9 +366,9 @@ def cut_out(min_length: int, keep: tuple[str, ...]):
                 kept.append(b"".join([*parts, raw[at:]]))
                 runs.append([{"start": a, "end": b} for a, b in gone])
                 sizes.append(len(raw))
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             texts = [k.decode("utf-8", "ignore") for k in kept]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), *batch.columns[4:]], ["doc_id", "n_bytes", "spans", "kept", "text", *keep])
+        give_back()
 
     return run
 

@@ -19,6 +19,35 @@ def plain(rows):
     return out
 
 
+def plain_signature(text):
+    """The same choice with sorted lists and Python's own numbers; only the hash of a k-mer with its number is shared."""
+    from cohortspark.llm import fingerprints as f
+
+    e = [int(x) for x in f.elements(text)]
+    out = []
+    for multiply, mask in zip(f._MULTIPLY.ravel().tolist(), f._MASK.ravel().tolist(), strict=True):
+        order = sorted(range(len(e)), key=lambda i: (((e[i] >> 32) ^ mask) * multiply % 2**32, i))
+        h = len(e) if len(e) < f.TUPLE else 0
+        for i in sorted(order[: f.TUPLE]):
+            h = (h ^ e[i]) * 0x9E3779B97F4A7C15 % 2**64
+            h ^= h >> 31
+        out.append(h >> 16 & 0xFFFFFFFF)
+    return out
+
+
+def test_signature_is_that_of_a_plain_version():
+    from cohortspark.llm import fingerprints as f
+
+    for text in ("", "a", "abcd", "abcde", "abcabcabcabcabc", "a" * 300, "é日本🙂 some text, some more " * 30, "x" * 4095 + "y" * 8 + "x" * 4100):
+        assert signature(text).tolist() == plain_signature(text), text[:20]
+        code = [ord(c) for c in text]
+        k = min(f.K, len(code))
+        grams = [tuple(code[i : i + k]) for i in range(len(code) - k + 1)]
+        numbered = [(g, grams[:i].count(g)) for i, g in enumerate(grams)] if len(grams) < 1000 else []
+        e = f.elements(text).tolist()
+        assert all((numbered[i] == numbered[j]) == (e[i] == e[j]) for i in range(len(numbered)) for j in range(0, i, 7))
+
+
 def test_query_matches_plain_version(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = {r[0]: tuple(r[1:]) for r in queries.op10_fingerprints(spark, SF).collect()}

@@ -77,6 +77,36 @@ def test_languages_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_languages_are_those_of_a_plain_naive_bayes(spark):
+    """Dictionaries of n-grams instead of arrays of buckets; scores differ by the few n-grams that share a bucket."""
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/documents.parquet").collect()
+
+    def grams(text):
+        t = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        t = re.sub(" +", " ", f" {t} ") if any(c != " " for c in t) else ""
+        return [t[i : i + n] for n in range(1, langid.ORDERS + 1) for i in range(len(t) - n + 1)]
+
+    counts: dict[str, dict[str, int]] = {}
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            for g in grams(r["text"]):
+                own = counts.setdefault(r["lang"], {})
+                own[g] = own.get(g, 0) + 1
+    total = {x: sum(c.values()) + 0.1 * (1 << langid.BITS) for x, c in counts.items()}
+    found = {r["doc_id"]: r["lang_pred"] for r in queries.op5_language_id(spark, d).collect()}
+    agree = known = 0
+    for r in rows:
+        g = grams(r["text"])
+        if not g:
+            assert found[r["doc_id"]] == "und"
+            continue
+        known += 1
+        best = max(sorted(counts), key=lambda x: sum(np.log((counts[x].get(k, 0) + 0.1) / total[x]) for k in g))
+        agree += best == found[r["doc_id"]]
+    assert known > 150 and agree >= 0.99 * known
+
+
 def test_languages_of_odd_texts(spark):
     rows = [(1, "the cat sat on the mat", "en", 1), (2, "le chat est sur la table", "fr", 1), (3, "dans la maison", "fr", 1), (4, None, "en", 1), (5, "12 !?", "en", 1), (6, "", None, 1), (None, "the mat", None, 1)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
@@ -158,21 +188,56 @@ def test_quality_counts_and_verdicts(spark):
     assert quality_rules.quality_rules(table.limit(0)).count() == 0
 
 
-def test_distances_are_those_of_a_plain_mcd(spark):
+def test_estimates_are_a_smallest_determinant(spark):
+    """With a quarter of outliers to one side: no step of the plain method changes the estimates, and no start of a plain search finds a smaller determinant."""
     rnd = np.random.default_rng(3)
     x = rnd.normal(size=(400, 4)) @ np.array([[0.5, 0.1, 0, 0], [0, 0.4, 0.1, 0], [0, 0, 0.6, 0.2], [0, 0, 0, 0.3]])
+    x[:90] = x[:90] * 0.3 + [4, 4, 0, 0]
     table = spark.createDataFrame([("en", "s", *map(float, r)) for r in x], "lang string, source string, x0 double, x1 double, x2 double, x3 double")
     estimates = quality_rules.mcd_estimates(table)
-    got = sorted(r["d"] for r in quality_rules.with_distance(quality_rules.with_estimates(table, estimates), "d").select("d").collect())
-    lower = lambda v: np.quantile(v, 0.5, axis=0, method="inverted_cdf")
-    m = lower(x)
-    c = np.diag((lower(np.abs(x - m)) * 1.4826) ** 2)
-    far = lambda: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + np.eye(4) * quality_rules.FLOOR), x - m)
-    for _ in range(quality_rules.STEPS):
-        d = far()
+    judged = quality_rules.with_distance(quality_rules.with_estimates(table, estimates), "d").select("d", "x0", "x1", "x2", "x3", "det").collect()
+    got = {tuple(r[1:5]): r["d"] for r in judged}
+
+    def step(m, c):
+        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + np.eye(4) * quality_rules.FLOOR), x - m)
         near = x[d <= np.quantile(d, quality_rules.SUPPORT, method="inverted_cdf")]
-        m, c = near.mean(axis=0), np.cov(near.T, bias=True) * quality_rules.CONSISTENT
-    assert np.allclose(got, np.sort(far()), rtol=1e-6)
+        return near.mean(axis=0), np.cov(near.T, bias=True) * quality_rules.CONSISTENT
+
+    def settled(m, c):
+        for _ in range(60):
+            m, c = step(m, c)
+        return np.linalg.det(c + np.eye(4) * quality_rules.FLOOR), m, c
+
+    lower = np.quantile(x, 0.5, axis=0, method="inverted_cdf")
+    tries = [settled(lower, np.diag((np.quantile(np.abs(x - lower), 0.5, axis=0, method="inverted_cdf") * 1.4826) ** 2)), settled(x.mean(axis=0), np.cov(x.T, bias=True))]
+    for _ in range(20):
+        some = x[rnd.choice(400, 12, replace=False)]
+        tries.append(settled(some.mean(axis=0), np.cov(some.T, bias=True)))
+    det, m, c = min(tries, key=lambda t: t[0])
+    assert judged[0]["det"] <= det * (1 + 1e-6)
+    far = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + np.eye(4) * quality_rules.FLOOR), x - m)
+    assert np.allclose([got[tuple(map(float, r))] for r in x], far, rtol=1e-5)
+    assert far[:90].min() > quality_rules.LIMIT > np.quantile(far[90:], 0.99)
+
+
+def test_quality_query_follows_counts_and_distances(spark):
+    """Counts of the query over its table are those of a plain version, and verdicts those of base rules and distance."""
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = queries.op7_quality_rules(spark, SF).collect()
+    assert {r["doc_id"] for r in found} == set(rows)
+    for r in found:
+        n = seven(rows[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == n
+        assert r["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0])
+        assert r["kept"] == (not r["base_failed"] and r["distance"] <= quality_rules.LIMIT)
+
+
+def test_repeated_words_of_long_texts(spark):
+    rnd = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in rnd.integers(0, top, n)) for n, top in ((4095, 30), (4096, 30), (9000, 60), (20000, 3000), (50000, 2))]
+    table = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.base_counts(table).collect()}
+    assert got == {i: seven(t)[4] for i, t in enumerate(texts)}
 
 
 def test_small_groups_are_judged_by_larger_ones(spark):
@@ -213,3 +278,66 @@ def test_licenses_are_found_across_lines_but_not_from_scattered_words(spark):
     assert got == dict(enumerate([*want, *want]))
     rows = [(1, mit, 7, "x")] * 3
     assert [r["n_blocks"] for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string, ids int, rid string")).collect()] == [1, 1, 1]
+
+
+def test_positional_filter_cuts_what_cannot_meet_the_threshold(spark):
+    """Of words in the corpus' order, a text whose first common word with a template comes late, or is late in the template, has too few left."""
+    df = {w: i for i, w in enumerate(licenses.KNOWN)}
+    t = licenses.Templates(df, licenses.CONTAINED)
+    place = t.ordered.index
+    before = lambda i: [w for w in t.ordered[: place(t.prefix[i][-1])] if w not in t.words[i]]
+    longest = next(i for i in range(len(t.words)) if len(before(i)) >= t.least[i] > 2)
+    words, least = t.words[longest], t.least[longest]
+    late = [*before(longest)[:least], t.prefix[longest][-1]]  # the last word of the prefix, with nothing after it
+    rows = spark.createDataFrame([(1, words), (2, late), (3, words[: least - 1])], "rid long, held array<string>")
+    pairs = lambda positional: {r["rid"] for r in licenses.candidates(rows, t, positional).where(f"template = {longest}").collect()}
+    assert pairs(True) == {1} and pairs(False) == {1, 2}
+
+
+def test_scores_and_blocks_are_those_of_plain_windows(spark):
+    """Windows of all templates over every document, one by one."""
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    odd = ["Permission is hereby granted, to any person, free of charge, obtaining a copy of this software", "gnu lesser public license version", None, "unless " + "required by applicable law or agreed to in writing software distributed under the license is distributed on an as is " * 2]
+    table = docs(spark, [*rows.values(), *odd])
+    got = {r["doc_id"]: (r["score"], r["n_blocks"]) for r in licenses.license_scan(table).collect()}
+    for i, text in enumerate([*rows.values(), *odd]):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower_ascii(text or ""))
+        score, blocks = 1.0 if nine(text)[1] else 0.0, 0
+        for _, template in licenses.TEMPLATES:
+            own = set(template.split())
+            width, last = licenses.WINDOW * len(template.split()), None
+            if len(own & set(w)) < licenses.CONTAINED * len(own) - 1e-9:
+                continue
+            for a in range(len(w)):
+                n = len(own & set(w[a : a + width]))
+                if n >= licenses.CONTAINED * len(own) - 1e-9:
+                    score = max(score, n / len(own))
+                    blocks += last is None or a - last >= width
+                    last = a
+        assert got[i][0] == pytest.approx(score), i
+        assert (got[i][1] > 0) == (blocks > 0), i
+
+
+@pytest.mark.parametrize("name", ["op2_bpe", "op5_language_id", "op6_packing", "op7_quality_rules", "op9_license_scans"])
+def test_nulls_repeated_rows_empty_tables_and_other_columns(spark, tmp_path, name):
+    """Null ids and texts, rows that repeat, two texts under one id, a very long text and word, and columns named as those of results."""
+    long = "word and other words " * 20_000 + "x" * 300_000
+    rows = [(None, "the null one has words", "en", "s"), (None, None, None, None), (5, "the same text of the same id", "en", "s"), (5, "the same text of the same id", "en", "s"), (5, "another one", "fr", None), (6, long, "en", "s"), (7, "", "en", "s")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for c in ("rid", "sid", "n_words", "score", "labels", "kept", "d", "start", "length", "words", "pool", "held"):
+        table = table.withColumn(c, F.lit("x"))
+    table.write.parquet(f"{tmp_path}/some/documents.parquet")
+    table.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    run = queries.QUERIES[name]
+    assert run(spark, f"{tmp_path}/none").count() == 0
+    found = run(spark, f"{tmp_path}/some").collect()
+    by_id: dict = {}
+    for r in found:
+        by_id.setdefault(r["doc_id"], []).append(tuple(v for k, v in r.asDict().items() if k not in ("doc_id", "sequence_id")))
+    if name == "op6_packing":
+        assert sum(r["length"] for r in found if r["doc_id"] == 6) == max(r["doc_tokens"] for r in found if r["doc_id"] == 6) > 50_000
+        assert sorted(r["sequence_id"] for r in found) == list(range(len(found)))
+        assert [r["length"] for r in found if r["doc_id"] == 7] == [1]
+    else:
+        assert {k: len(v) for k, v in by_id.items()} == {None: 2, 5: 3, 6: 1, 7: 1}
+        assert len(set(by_id[5])) == 2
