@@ -53,8 +53,8 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = 1024, end_id: i
             for at in range(0, len(batch), 512):
                 part = words.encode([t or "" for t in texts.slice(at, 512).to_pylist()])
                 rows, sums, starts, lengths, totals, pieces = [], [], [], [], [], []
-                for i, ids in enumerate(part):
-                    ids += end
+                for i, own in enumerate(part):
+                    ids = own.astype("<u4").tobytes() + end
                     n, start = len(ids) // 4, 0
                     for length in binary_lengths(n, max_length):
                         piece = ids[4 * start : 4 * (start + length)]
