@@ -40,6 +40,11 @@ def box_distance(a: str, b: str) -> Column:
     return norm([axis_gap(a, b, x) for x in AXES])
 
 
+def minimum_surface_distance(a: str, b: str) -> tuple[Column, Column]:
+    """``distance`` between the boxes, and the ``method`` that says it is an approximation of that between surfaces."""
+    return box_distance(a, b).alias("distance"), F.lit("axis-aligned boxes (approximate)").alias("method")
+
+
 def contains(a: str, b: str) -> Column:
     """Whether ``a`` holds all of ``b``, faces included."""
     return _all([(F.col(f"{a}{x}0") <= F.col(f"{b}{x}0")) & (F.col(f"{a}{x}1") >= F.col(f"{b}{x}1")) for x in AXES])

@@ -29,7 +29,7 @@ def flatten_text(body: Column) -> Column:
     found = F.filter(F.regexp_extract_all(body, F.lit(pattern), 0), lambda t: ~t.rlike(r':$'))
     scalars = F.from_json(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")), "array<string>")
     nested = body.rlike(r'^\s*[\[{"]')
-    return F.when(nested, F.coalesce(F.array_join(scalars, " "), F.lit(""))).otherwise(F.coalesce(body, F.lit("")))
+    return F.when(nested & scalars.isNotNull(), F.array_join(scalars, " ")).otherwise(F.coalesce(body, F.lit("")))
 
 
 def code_text(body: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Keys of one block; blocks of one group.
+BLOCK = 4096
 FEATURES = ("object_count", "anatomy_count", "finding_count", "region_count", "confirmed_count", "total_volume", "largest_volume", "finding_volume")
 
 
@@ -22,6 +24,35 @@ def graph_features(edges: DataFrame) -> DataFrame:
     return edges.groupBy("model_id").agg(F.count(F.lit(1)).cast("double").alias("relationship_count"), F.count_if(F.col("type") == "contains").cast("double").alias("containment_count"))
 
 
+#: All features of a model, in order. Fixed values.
+ALL_FEATURES = (
+    "object_count", "anatomy_count", "finding_count", "region_count", "relationship_count", "context_binding_count", "temporal_link_count", "mesh_count", "confirmed_object_count", "total_volume_mm3",
+    "largest_object_volume_mm3", "mean_temporal_volume_change_percent", "source_series_count", "source_instance_count", "source_mean_intensity", "source_min_intensity", "source_max_intensity", "source_frame_mean_variability", "finding_volume_mm3",
+)
+
+
+def cohort_features(objects: DataFrame, edges: DataFrame, bindings: DataFrame, links: DataFrame, frames: DataFrame) -> DataFrame:
+    """``model_id`` and ALL_FEATURES, 0 where a model has nothing to count; ``frames`` are ``model_id, series, mean, least, most``.
+
+    Each child table is added up by model first, so the joins meet a row for each model.
+    """
+    kind = lambda *k: F.col("obj_type").isin(*k)
+    volume = lambda when, f: f(F.when(when, F.col("volume_mm3")))
+    every = F.lit(True)
+    own = objects.groupBy("model_id").agg(
+        F.count(F.lit(1)).alias("object_count"), F.count_if(kind("anatomy")).alias("anatomy_count"), F.count_if(kind("finding", "lesion")).alias("finding_count"), F.count_if(kind("region")).alias("region_count"),
+        F.count("mesh_id").alias("mesh_count"), F.count_if(F.col("review_status") == "confirmed").alias("confirmed_object_count"), volume(every, F.sum).alias("total_volume_mm3"), volume(every, F.max).alias("largest_object_volume_mm3"), volume(kind("finding", "lesion"), F.sum).alias("finding_volume_mm3"),
+    )
+    counted = lambda rows, name: rows.groupBy("model_id").agg(F.count(F.lit(1)).alias(name))
+    changed = links.groupBy("model_id").agg(F.count(F.lit(1)).alias("temporal_link_count"), F.avg("volume_percent").alias("mean_temporal_volume_change_percent"))
+    seen = frames.groupBy("model_id").agg(
+        F.count_distinct("series").alias("source_series_count"), F.count(F.lit(1)).alias("source_instance_count"), F.avg("mean").alias("source_mean_intensity"), F.min("least").alias("source_min_intensity"), F.max("most").alias("source_max_intensity"), F.stddev_pop("mean").alias("source_frame_mean_variability"),
+    )
+    for part in (counted(edges, "relationship_count"), counted(bindings, "context_binding_count"), changed, seen):
+        own = own.join(part, "model_id", "left")
+    return own.select("model_id", *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in ALL_FEATURES))
+
+
 def coerce_label(label: Column, task: str) -> Column:
     """Binary 0 or 1, or a finite number; null for anything else."""
     if task == "binary":
@@ -65,17 +96,26 @@ def standardize(dataset: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFr
 
 
 def holdout_split(dataset: DataFrame, key: str = "model_id") -> DataFrame:
-    """``holdout``: the last fifth of the rows by key, none below five rows. Found by a quantile, so no rows meet in one task."""
+    """``holdout``: the last fifth of the rows by key, none below five rows; rows of one key stay together, at the end of the training rows. Keys are counted by block first, then those of the block where the fifth begins, so no rows meet in one task."""
     n = dataset.count()
     if n < 5:
         return dataset.withColumn("holdout", F.lit(False))
-    first = dataset.agg(F.percentile(key, (n - n // 5) / (n - 1)).alias("q")).first()["q"]
+    block = F.floor(F.col(key) / F.lit(BLOCK))
+    sizes = dataset.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    groups = sizes.groupBy(F.floor(F.col("block") / F.lit(BLOCK)).alias("group")).agg(F.sum("n").alias("n"))
+    first, left = None, max(1, n // 5)
+    for counts, part, inside in ((groups, "group", F.lit(True)), (sizes, "block", None), (dataset.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, None)):
+        if inside is None:
+            inside = F.floor(F.col(part) / F.lit(BLOCK)) == F.lit(first)
+        rows = counts.where(inside).withColumn("after", F.sum("n").over(Window.orderBy(F.desc(part))))
+        found = rows.where(F.col("after") >= left).orderBy(F.desc(part)).select(part, (F.col("after") - F.col("n")).alias("beyond")).first()
+        first, left = found[0], left - found[1]
     return dataset.withColumn("holdout", F.col(key) >= first)
 
 
-def fold_numbers(dataset: DataFrame, folds: int, key: str = "model_id", label: str = "y", blocks: int = 64) -> DataFrame:
+def fold_numbers(dataset: DataFrame, folds: int, key: str = "model_id", label: str = "y") -> DataFrame:
     """Round-robin folds by class in order of key. Ranks are counted by block of keys first, so a large class is not sorted in one task."""
-    placed = dataset.withColumn("block", F.floor(F.col(key) / F.lit(4096)))
+    placed = dataset.withColumn("block", F.floor(F.col(key) / F.lit(BLOCK)))
     counts = placed.groupBy(label, "block").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(label).orderBy("block")) - F.col("n")).drop("n")
     rank = F.row_number().over(Window.partitionBy(label, "block").orderBy(key))

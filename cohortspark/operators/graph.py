@@ -49,3 +49,37 @@ def edge_ids_per_object(edges: DataFrame) -> DataFrame:
 def lookup(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Wanted keys with ``found``; unknown ones as rows without the rest."""
     return wanted.join(rows.withColumn("found", F.lit(True)), keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+OPERATIONS = ("neighbors", "ancestors", "descendants", "relationships", "context", "prior_versions")
+
+
+def graph_query(operation: str, wanted: DataFrame, edges: DataFrame, bindings: DataFrame, links: DataFrame) -> DataFrame:
+    """``operation, model_id, object_id, result_id`` for wanted objects (``model_id, object_id``); ``subgraph`` is all operations at once.
+
+    Results are ids of objects, but edges (``source>type>target``) for relationships
+    and bindings for context; prior versions are those that links point at.
+    """
+    if operation not in (*OPERATIONS, "subgraph"):
+        raise ValueError(f"operation must be one of {', '.join(OPERATIONS)} or subgraph")
+    found = {
+        "neighbors": lambda: neighbors(edges).withColumnRenamed("other_id", "result_id"),
+        "ancestors": lambda: ancestors(edges).withColumnRenamed("ancestor_id", "result_id"),
+        "descendants": lambda: descendants(edges).withColumnRenamed("descendant_id", "result_id"),
+        "relationships": lambda: both_ends(edges).select("model_id", "object_id", F.concat_ws(">", "source_id", "type", "target_id").alias("result_id")).distinct(),
+        "context": lambda: bindings.where("target_type = 'object'").select("model_id", F.col("target_id").alias("object_id"), F.col("binding_id").alias("result_id")),
+        "prior_versions": lambda: links.where("link_type in ('same_as_prior', 'changed_from')").select("model_id", "object_id", F.col("prior_object_id").alias("result_id")),
+    }
+    out = None
+    for name in OPERATIONS if operation == "subgraph" else (operation,):
+        rows = found[name]().select(F.lit(name).alias("operation"), "model_id", "object_id", "result_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out.join(wanted.select("model_id", "object_id").distinct(), ["model_id", "object_id"], "left_semi")
+
+
+def subgraph(wanted: DataFrame, edges: DataFrame, bindings: DataFrame, links: DataFrame) -> DataFrame:
+    """A row for each wanted object, with the results of each operation as a sorted array."""
+    rows = graph_query("subgraph", wanted, edges, bindings, links)
+    lists = [F.sort_array(F.collect_list(F.when(F.col("operation") == name, F.col("result_id")))).alias(name) for name in OPERATIONS]
+    empty = {name: F.coalesce(name, F.array().cast("array<string>")) for name in OPERATIONS}
+    return wanted.select("model_id", "object_id").distinct().join(rows.groupBy("model_id", "object_id").agg(*lists), ["model_id", "object_id"], "left").withColumns(empty)

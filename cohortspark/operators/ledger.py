@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REVIEWS = ("confirmed", "modified", "rejected")
 
 
+AUDIT = "event_id long, created_at timestamp_ntz, type string, subject long, detail string, day date"
+
+
+def append_audit(events: DataFrame, path: str) -> None:
+    """Append ``event_id, created_at, type, subject, detail`` to the audit trail, a Parquet table by day; what stands there is never written again."""
+    events.withColumn("day", F.to_date("created_at")).write.partitionBy("day").mode("append").parquet(path)
+
+
+def audit_trail(spark: SparkSession, path: str) -> DataFrame:
+    """All events of the trail; a filter on ``day`` reads only those days."""
+    return spark.read.schema(AUDIT).parquet(path)
+
+
 def read_audit(events: DataFrame, subject: DataFrame | None = None, limit: int = 100, compat: bool = False) -> DataFrame:
     """Newest first, 1 to 500 rows; filtered by subject before the limit, or after it if ``compat``."""
     n = max(1, min(500, limit))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions import geometry as g
+from cohortspark.operators.voxels import shared_table
 
 BOX = [f"{x}{i}" for x in "xyz" for i in (0, 1)]
 SHAPE = ["object_id", "obj_seq", "label", "obj_type", "cx", "cy", "cz", *BOX]
@@ -83,16 +84,49 @@ def ordered_pairs(objects: DataFrame) -> DataFrame:
     return side(objects, "a_").join(side(objects, "b_"), "model_id").where("a_obj_seq <> b_obj_seq")
 
 
-def nearest(objects: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` nearest other objects of each, without those that contain it; ties in order of the model."""
-    rank = Window.partitionBy("model_id", "a_obj_seq").orderBy("gap", "b_obj_seq")
-    found = ordered_pairs(objects).where(~g.contains("b_", "a_")).withColumn("gap", g.box_distance("a_", "b_"))
-    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("model_id", F.col("a_object_id").alias("object_id"), F.col("b_object_id").alias("near_id"), "rank", "gap")
+def close_pairs(objects: DataFrame, within: float) -> DataFrame:
+    """Pairs in both orders whose boxes are at most ``within`` apart, met by the cells of a grid: work that grows with a large model's objects and not with their square."""
+    met = grid_pairs(objects, within, max(CELL, within)).where(g.box_distance("a_", "b_") <= within)
+    swap = [F.col(("b_" if c.startswith("a_") else "a_") + c[2:]).alias(c) if c != "model_id" else F.col(c) for c in met.columns]
+    return met.unionByName(met.select(*swap))
 
 
-def within_radius(objects: DataFrame, radius: float) -> DataFrame:
-    """Other objects up to ``radius`` away, containers left out. All of them: no cap before the filter."""
-    found = ordered_pairs(objects).where(~g.contains("b_", "a_") & (g.box_distance("a_", "b_") <= radius))
+def ranked_near(met: DataFrame, k: int) -> DataFrame:
+    rank = Window.partitionBy("model_id", "a_obj_seq").orderBy("gap", "b_obj_seq")
+    found = met.where(~g.contains("b_", "a_")).withColumn("gap", g.box_distance("a_", "b_")).withColumn("rank", F.row_number().over(rank))
+    return found.where(F.col("rank") <= k).select("model_id", F.col("a_object_id").alias("object_id"), F.col("b_object_id").alias("near_id"), "rank", "gap")
+
+
+def nearest(objects: DataFrame, k: int = 5, grid: bool = False) -> DataFrame:
+    """The ``k`` nearest other objects of each, without those that contain it; ties in order of the model.
+
+    Pairs are those of a model; where models are large, ``grid`` looks in growing rings
+    instead: objects with ``k`` others within the ring are settled, and the ring of the
+    rest doubles until it holds the whole scene.
+    """
+    if not grid:
+        return ranked_near(ordered_pairs(objects), k)
+    span = objects.agg(*(F.max(f"{x}1") - F.min(f"{x}0") for x in "xyz")).first()
+    widest = sum((v or 0.0) ** 2 for v in span) ** 0.5
+    ring, left, out = CELL, objects.select("model_id", "object_id"), None
+    while True:
+        found = ranked_near(close_pairs(objects, ring), k).join(left, ["model_id", "object_id"], "left_semi")
+        if ring < widest:
+            full = found.groupBy("model_id", "object_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("model_id", "object_id")
+            found = shared_table(found.join(full, ["model_id", "object_id"], "left_semi"))
+        out = found if out is None else out.unionByName(found)
+        if ring >= widest:
+            return out
+        left = shared_table(left.join(found.select("model_id", "object_id").distinct(), ["model_id", "object_id"], "left_anti"))
+        if left.isEmpty():
+            return out
+        ring *= 2
+
+
+def within_radius(objects: DataFrame, radius: float, grid: bool = False) -> DataFrame:
+    """Other objects up to ``radius`` away, containers left out. All of them: no cap before the filter. ``grid`` meets pairs by cells, for large models."""
+    met = close_pairs(objects, radius) if grid else ordered_pairs(objects).where(g.box_distance("a_", "b_") <= radius)
+    found = met.where(~g.contains("b_", "a_"))
     return found.select("model_id", F.col("a_object_id").alias("object_id"), F.col("b_object_id").alias("near_id"), g.box_distance("a_", "b_").alias("gap"))
 
 

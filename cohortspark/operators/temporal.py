@@ -33,7 +33,14 @@ def match_score(same_label: Column, distance: Column) -> Column:
     return F.when(same_label, 0.8).otherwise(0.0) + 0.2 * F.greatest(F.lit(0.0), 1 - distance / 1000)
 
 
-def match_objects(objects: DataFrame, priors: DataFrame) -> DataFrame:
+def prior_objects(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None = None) -> DataFrame:
+    """Objects of the prior of each model, with that ``model_id`` and their own as ``prior_id``, in the space of the model where it has a registration."""
+    pairs = priors.where("prior_id is not null").select("model_id", "prior_id")
+    before = objects.withColumnRenamed("model_id", "prior_id").join(pairs, "prior_id")
+    return registered(before, registrations) if registrations is not None else before
+
+
+def match_objects(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None = None) -> DataFrame:
     """Greedy links of current to prior objects: ``model_id, prior_id, object_id, prior_object_id, score``.
 
     Without equal labels a score stays below the threshold, so pairs meet by label.
@@ -46,7 +53,7 @@ def match_objects(objects: DataFrame, priors: DataFrame) -> DataFrame:
     pairs = priors.where("prior_id is not null").select("model_id", "prior_id")
     shape = lambda p: F.sort_array(F.collect_list(F.struct(F.col("obj_seq").alias("seq"), F.col("object_id").alias("id"), "cx", "cy", "cz"))).alias(p)
     current = named.join(pairs, "model_id").groupBy(*key).agg(shape("current"))
-    before = named.select(F.col("model_id").alias("prior_id"), "norm_label", "obj_seq", "object_id", "cx", "cy", "cz").join(pairs, "prior_id").groupBy(*key).agg(shape("before"))
+    before = prior_objects(named, priors, registrations).groupBy(*key).agg(shape("before"))
     both = current.join(before, key)
 
     def score(a: Column, b: Column) -> Column:
@@ -78,23 +85,24 @@ def change_columns(a: str = "", b: str = "p_") -> dict[str, Column]:
         "diameter_delta": size(a) - size(b),
         "diameter_percent": percent(size(a), size(b)),
         "surface_delta": F.col(f"{a}surface_area_mm2") - F.col(f"{b}surface_area_mm2"),
+        "surface_percent": percent(F.col(f"{a}surface_area_mm2"), F.col(f"{b}surface_area_mm2")),
     }
 
 
-def compare_models(objects: DataFrame, priors: DataFrame) -> DataFrame:
-    """Links of every current and every lost prior object, with changes and type: same_as_prior, changed_from, new, resolved."""
-    matched = match_objects(objects, priors)
+def compare_models(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None = None) -> DataFrame:
+    """Links of every current and every lost prior object, with changes and type: same_as_prior, changed_from, new, resolved. Models with a row of ``registrations`` (see ``rigid_transform``) are compared with their prior in their own space."""
+    matched = match_objects(objects, priors, registrations)
     measures = ["cx", "cy", "cz", *(f"{x}{i}" for x in "xyz" for i in (0, 1)), "volume_mm3", "surface_area_mm2"]
     now = objects.select("model_id", "object_id", *measures)
-    then = objects.select(F.col("model_id").alias("prior_id"), F.col("object_id").alias("prior_object_id"), *(F.col(c).alias(f"p_{c}") for c in measures))
-    linked = matched.join(now, ["model_id", "object_id"]).join(then, ["prior_id", "prior_object_id"]).withColumns(change_columns())
+    then = prior_objects(objects, priors, registrations).select("model_id", "prior_id", F.col("object_id").alias("prior_object_id"), *(F.col(c).alias(f"p_{c}") for c in measures))
+    linked = matched.join(now, ["model_id", "object_id"]).join(then, ["model_id", "prior_id", "prior_object_id"]).withColumns(change_columns())
     kind = F.when((F.abs("volume_percent") >= 20) | (F.col("centroid_distance") >= 50), "changed_from").otherwise("same_as_prior")
     names = list(change_columns())
     linked = linked.select("model_id", "prior_id", "object_id", "prior_object_id", kind.alias("link_type"), F.col("score").alias("confidence"), *names)
     pairs = priors.where("prior_id is not null").select("model_id", "prior_id")
     none = [F.lit(None).cast("double").alias(c) for c in names]
     new = now.select("model_id", "object_id").join(pairs, "model_id").join(matched, ["model_id", "object_id"], "left_anti").select("model_id", "prior_id", "object_id", F.col("object_id").alias("prior_object_id"), F.lit("new").alias("link_type"), F.lit(1.0).alias("confidence"), *none)
-    lost = then.select("prior_id", "prior_object_id").join(pairs, "prior_id").join(matched, ["model_id", "prior_object_id"], "left_anti").select("model_id", "prior_id", F.col("prior_object_id").alias("object_id"), "prior_object_id", F.lit("resolved").alias("link_type"), F.lit(1.0).alias("confidence"), *none)
+    lost = then.select("model_id", "prior_id", "prior_object_id").join(matched, ["model_id", "prior_object_id"], "left_anti").select("model_id", "prior_id", F.col("prior_object_id").alias("object_id"), "prior_object_id", F.lit("resolved").alias("link_type"), F.lit(1.0).alias("confidence"), *none)
     return linked.unionByName(new).unionByName(lost)
 
 
@@ -109,9 +117,51 @@ def interpolate(linked: DataFrame, t: float) -> DataFrame:
     return linked.select("model_id", "object_id", *((F.col(f"p_{c}") + (F.col(c) - F.col(f"p_{c}")) * t).alias(c) for c in names))
 
 
-def rigid_transform(points: DataFrame, registrations: DataFrame) -> DataFrame:
-    """Points ``model_id, cx, cy, cz`` under Euler3D parameters ``rx ry rz tx ty tz`` about ``ox oy oz``, in order z, y, x (``zyx``) or z, x, y; without a row, as they are."""
-    r = points.join(registrations, "model_id", "left")
+def history(links: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Links with a wanted object (``model_id, object_id``) at either end, or all."""
+    if wanted is None:
+        return links
+    ends = wanted.select("model_id", F.col("object_id").alias("wanted_id")).distinct()
+    at = links.withColumn("wanted_id", F.explode(F.array_distinct(F.array("object_id", "prior_object_id"))))
+    return at.join(ends, ["model_id", "wanted_id"], "left_semi").select(*links.columns).distinct()
+
+
+def change_report(links: DataFrame, objects: DataFrame, registered_: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What changed, is new or is resolved, with the volume before and now (``centroid_shift`` only of registered models); and by model the number of unchanged objects."""
+    volume = lambda model, of, name: objects.select(F.col("model_id").alias(model), F.col("object_id").alias(of), F.col("volume_mm3").alias(name))
+    changed = links.where("link_type <> 'same_as_prior'")
+    told = changed.join(volume("prior_id", "prior_object_id", "volume_prior"), ["prior_id", "prior_object_id"], "left").join(volume("model_id", "object_id", "volume_now"), ["model_id", "object_id"], "left")
+    shift = F.col("centroid_distance") if registered_ else F.lit(None).cast("double")
+    rows = told.select("model_id", "object_id", "link_type", "confidence", F.when(F.col("link_type") != "new", F.col("volume_prior")).alias("volume_prior"), F.when(F.col("link_type") != "resolved", F.col("volume_now")).alias("volume_now"), "volume_percent", "diameter_delta", shift.alias("centroid_shift"))
+    return rows, links.groupBy("model_id").agg(F.count_if(F.col("link_type") == "same_as_prior").alias("unchanged"))
+
+
+def prior_version(objects: DataFrame, links: DataFrame, priors: DataFrame) -> DataFrame:
+    """``model_id, object_id, prior_id, version_id``: of every object of a model with a prior, the prior object that its first link points at, or without a link the one of the same id; null where the prior has none."""
+    first = links.groupBy("model_id", "object_id").agg(F.min("prior_object_id").alias("linked_id"))
+    pairs = priors.where("prior_id is not null").select("model_id", "prior_id")
+    wanted = objects.select("model_id", "object_id").join(pairs, "model_id").join(first, ["model_id", "object_id"], "left").withColumn("version_id", F.coalesce("linked_id", "object_id"))
+    known = objects.select(F.col("model_id").alias("prior_id"), F.col("object_id").alias("version_id"), F.lit(True).alias("known"))
+    return wanted.join(known, ["prior_id", "version_id"], "left").select("model_id", "object_id", "prior_id", F.when(F.col("known"), F.col("version_id")).alias("version_id"))
+
+
+def overlay(objects: DataFrame, priors: DataFrame) -> DataFrame:
+    """Objects of a model and of its prior under that model, tagged ``current`` and ``prior``."""
+    now = objects.select("model_id", "object_id", F.lit("current").alias("side"))
+    return prior_objects(objects, priors).select("model_id", "object_id", F.lit("prior").alias("side")).unionByName(now)
+
+
+def difference(objects: DataFrame, links: DataFrame) -> DataFrame:
+    """Objects of a model by ``style``: ``changed`` and ``new`` ones, ``resolved`` ones of its prior, and the others as ``baseline``."""
+    styles = {"changed_from": "changed", "new": "new", "resolved": "resolved"}
+    style = F.coalesce(*(F.when(F.col("link_type") == kind, name) for kind, name in styles.items()))
+    told = links.where(F.col("link_type").isin(*styles)).select("model_id", "object_id", style.alias("style"))
+    current = objects.select("model_id", "object_id").join(told.where("style <> 'resolved'"), ["model_id", "object_id"], "left").withColumn("style", F.coalesce("style", F.lit("baseline")))
+    return current.unionByName(told.where("style = 'resolved'"))
+
+
+def rotation() -> list[list[Column]]:
+    """The matrix of Euler angles ``rx ry rz``, in order z, y, x where ``axes`` is ``zyx``, else z, x, y."""
     s, c = {x: F.sin(f"r{x}") for x in "xyz"}, {x: F.cos(f"r{x}") for x in "xyz"}
     one, zero = F.lit(1.0), F.lit(0.0)
     turn = {
@@ -119,14 +169,37 @@ def rigid_transform(points: DataFrame, registrations: DataFrame) -> DataFrame:
         "y": [[c["y"], zero, s["y"]], [zero, one, zero], [-s["y"], zero, c["y"]]],
         "z": [[c["z"], -s["z"], zero], [s["z"], c["z"], zero], [zero, zero, one]],
     }
+    times = lambda a, b: [[sum((a[i][k] * b[k][j] for k in range(3)), F.lit(0.0)) for j in range(3)] for i in range(3)]
+    zyx, zxy = times(turn["z"], times(turn["y"], turn["x"])), times(turn["z"], times(turn["x"], turn["y"]))
+    return [[F.when(F.col("axes") == "zyx", a).otherwise(b) for a, b in zip(p, q, strict=True)] for p, q in zip(zyx, zxy, strict=True)]
+
+
+def with_rotation(rows: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Rows with the nine entries ``m00`` to ``m22`` of their model's rotation, null without a registration."""
+    return rows.join(registrations, "model_id", "left").withColumns({f"m{i}{j}": m for i, row in enumerate(rotation()) for j, m in enumerate(row)})
+
 
-    def applied(order: str, v: list[Column]) -> list[Column]:
-        for axis in reversed(order):
-            v = [sum((m * p for m, p in zip(row, v, strict=True)), F.lit(0.0)) for row in turn[axis]]
-        return v
+def moved(point: list[Column]) -> list[Column]:
+    """A point turned about ``ox oy oz`` and shifted by ``tx ty tz``."""
+    off = [p - F.col(f"o{x}") for p, x in zip(point, "xyz", strict=True)]
+    return [sum((F.col(f"m{i}{j}") * off[j] for j in range(3)), F.lit(0.0)) + F.col(f"o{x}") + F.col(f"t{x}") for i, x in enumerate("xyz")]
 
-    centred = [F.col(f"c{x}") - F.col(f"o{x}") for x in "xyz"]
-    zyx, zxy = applied("zyx", centred), applied("zxy", centred)
+
+def registered(before: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Prior objects in the space of their ``model_id``: centroids moved, boxes those around their moved corners. A box' half extents under a rotation are its entries' sizes times the old ones."""
+    r = with_rotation(before, registrations)
+    centre = moved([(F.col(f"{x}0") + F.col(f"{x}1")) / 2 for x in "xyz"])
+    half = [(F.col(f"{x}1") - F.col(f"{x}0")) / 2 for x in "xyz"]
+    reach = [sum((F.abs(F.col(f"m{i}{j}")) * half[j] for j in range(3)), F.lit(0.0)) for i in range(3)]
+    new = {f"c{x}": v for x, v in zip("xyz", moved([F.col(f"c{x}") for x in "xyz"]), strict=True)}
+    for x, c, h in zip("xyz", centre, reach, strict=True):
+        new |= {f"{x}0": c - h, f"{x}1": c + h}
+    known = F.col("rx").isNotNull()
+    return r.select(*(F.when(known, new[k]).otherwise(F.col(k)).alias(k) if k in new else F.col(k) for k in before.columns))
+
+
+def rigid_transform(points: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Points ``model_id, cx, cy, cz`` under Euler3D parameters ``rx ry rz tx ty tz`` about ``ox oy oz``, in order z, y, x (``axes`` ``zyx``) or z, x, y; without a row, as they are."""
+    new = dict(zip(("cx", "cy", "cz"), moved([F.col(f"c{x}") for x in "xyz"]), strict=True))
     known = F.col("rx").isNotNull()
-    moved = {f"c{x}": F.when(known, F.when(F.col("axes") == "zyx", a).otherwise(b) + F.col(f"o{x}") + F.col(f"t{x}")).otherwise(F.col(f"c{x}")) for x, a, b in zip("xyz", zyx, zxy, strict=True)}
-    return r.select(*(moved.get(k, F.col(k)).alias(k) for k in points.columns))
+    return with_rotation(points, registrations).select(*(F.when(known, new[k]).otherwise(F.col(k)).alias(k) if k in new else F.col(k) for k in points.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -73,18 +73,24 @@ def neighbor_edges(voxels: DataFrame) -> DataFrame:
     return moved.join(at.withColumnRenamed("a", "b"), ["frame", "x", "y"]).select("a", "b")
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder all executors share, and read again: lineage ends there."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder where all executors can read and write. Only where the session names none and all tasks run in this process, as in tests, one is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         folder = context.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder all executors share, and read again: lineage ends there."""
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -119,6 +125,54 @@ def top_components(components: DataFrame, min_size: int = 3, k: int = 8) -> Data
     return sizes.orderBy(F.desc("n"), "component").limit(k)
 
 
+def patient_axes() -> dict[str, Column]:
+    """Geometry of a frame with what is missing filled in: origin ``ox oy oz``, row axis ``rx ry rz``, column axis ``ux uy uz`` and spacing ``sx sy``."""
+    usual = {"ox": 0.0, "oy": 0.0, "oz": 0.0, "rx": 1.0, "ry": 0.0, "rz": 0.0, "ux": 0.0, "uy": 1.0, "uz": 0.0, "sx": 1.0, "sy": 1.0}
+    return {k: F.coalesce(F.col(k), F.lit(v)) for k, v in usual.items()}
+
+
+def patient_point(x: Column, y: Column, g: dict[str, Column]) -> dict[str, Column]:
+    """``px py pz`` of column ``x`` and row ``y``."""
+    return {f"p{a}": g[f"o{a}"] + g[f"r{a}"] * x * g["sy"] + g[f"u{a}"] * y * g["sx"] for a in "xyz"}
+
+
+def voxel_to_patient(voxels: DataFrame, frames: DataFrame) -> DataFrame:
+    """Voxels with their place in patient space, by the geometry of ``frames(frame, ox..., rx..., ux..., sx, sy)``; a frame without one has the usual axes at the origin."""
+    placed = voxels.join(frames, "frame", "left")
+    return placed.select(*voxels.columns, *(c.alias(k) for k, c in patient_point(F.col("x"), F.col("y"), patient_axes()).items()))
+
+
+def series_volume_objects(instances: DataFrame, keys: list[str]) -> DataFrame:
+    """A ``volume`` object for each series: the box around the four corners of all its instances (``rows, columns``, geometry as in ``patient_axes``), with the measures of the box."""
+    have = set(instances.columns)
+    g = {k: v if k in have else v_ for (k, v), v_ in zip(patient_axes().items(), map(F.lit, (0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0, 1.0)), strict=True)}
+    width, height = F.greatest(F.coalesce("columns", F.lit(1)), F.lit(1)), F.greatest(F.coalesce("rows", F.lit(1)), F.lit(1))
+    corners = [patient_point(a, b, g) for a in (F.lit(0), width) for b in (F.lit(0), height)]
+    edge = {f"{x}{i}": f(*(c[f"p{x}"] for c in corners)) for x in "xyz" for i, f in ((0, F.least), (1, F.greatest))}
+    box = instances.select(*keys, *(c.alias(k) for k, c in edge.items())).groupBy(*keys).agg(F.count(F.lit(1)).alias("instance_count"), *(f(f"{x}{i}").alias(f"{x}{i}") for x in "xyz" for i, f in ((0, F.min), (1, F.max))))
+    w, h, l = (F.col(f"{x}1") - F.col(f"{x}0") for x in "xyz")  # noqa: E741
+    return box.withColumns({f"c{x}": (F.col(f"{x}0") + F.col(f"{x}1")) / 2 for x in "xyz"} | {"obj_type": F.lit("volume"), "volume_mm3": w * h * l, "surface_area_mm2": 2 * (w * h + w * l + h * l)})
+
+
+def resample_labels(labels: DataFrame, targets: DataFrame, axes: dict[str, tuple[int, float, float, float, float]], scale: float) -> DataFrame:
+    """``tx, ty, tz, label``: the nearest label of ``x, y, z, label`` at each target voxel (``tx..`` and its place ``mx..`` in mm), 0 outside.
+
+    ``axes`` has the size, first place and step of the source grid and the first and
+    last place of the target grid; both centres meet, and the source is scaled about it.
+    """
+    at = {}
+    for x, (size, start, step, first, last) in axes.items():
+        centre = start + (size - 1) * step / 2
+        at[f"s{x}"] = F.bround((centre + (F.col(f"m{x}") - (first + last) / 2) / scale - start) / step, 0).cast("int")
+    found = targets.withColumns(at)
+    inside = F.lit(True)
+    for x, (size, *_) in axes.items():
+        inside = inside & (F.col(f"s{x}") >= 0) & (F.col(f"s{x}") < size)
+    known = labels.select(*(F.col(x).alias(f"s{x}") for x in "xyz"), "label")
+    joined = found.withColumn("inside", inside).join(known, ["sx", "sy", "sz"], "left")
+    return joined.select("tx", "ty", "tz", F.when(F.col("inside"), F.coalesce("label", F.lit(0))).otherwise(F.lit(0)).alias("label"))
+
+
 def region_objects(components: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 2.0), min_size: int = 1) -> DataFrame:
     """A box and volume for each component, of at least one voxel's depth."""
     sx, sy, sz = spacing

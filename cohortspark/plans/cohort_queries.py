@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +132,47 @@ def v12(spark: SparkSession, d: str) -> DataFrame:
     return voxels.labelmap_objects(voxel_rows(spark, d).select(F.month("frame").alias("series"), (F.col("x") % 5).alias("segment"), "x", "y"), names)
 
 
+GEOMETRY = {"ox": 5.0, "oy": -3.0, "rx": 0.6, "ry": 0.8, "rz": 0.0, "ux": -0.8, "uy": 0.6, "uz": 0.0, "sx": 0.5, "sy": 0.75}
+
+
+@query(
+    "v10_patient_points",
+    f"{V} SELECT CAST(frame AS VARCHAR) AS frame, x, y, round(CASE WHEN day(frame) % 5 = 0 THEN 0 ELSE 5 END + CASE WHEN day(frame) % 5 = 0 THEN x ELSE 0.6::DOUBLE * x * 0.75::DOUBLE - 0.8::DOUBLE * y * 0.5::DOUBLE END, 9) AS px, round(CASE WHEN day(frame) % 5 = 0 THEN 0 ELSE -3 END + CASE WHEN day(frame) % 5 = 0 THEN y ELSE 0.8::DOUBLE * x * 0.75::DOUBLE + 0.6::DOUBLE * y * 0.5::DOUBLE END, 9) AS py, CASE WHEN day(frame) % 5 = 0 THEN 0.0::DOUBLE ELSE day(frame) * 2.0::DOUBLE END AS pz FROM vx",
+)
+def v10(spark: SparkSession, d: str) -> DataFrame:
+    v = voxel_rows(spark, d)
+    frames = v.select("frame").distinct().where(F.dayofmonth("frame") % 5 != 0)
+    known = frames.select("frame", *(F.lit(n).alias(k) for k, n in GEOMETRY.items()), (F.dayofmonth("frame") * 2.0).alias("oz"))
+    found = voxels.voxel_to_patient(v, known)
+    return found.select(day(), "x", "y", F.round("px", 9).alias("px"), F.round("py", 9).alias("py"), "pz")
+
+
+@query(
+    "v14_series_volumes",
+    f"{I}, c AS (SELECT study_uid, series_uid, modality, path, z, k.px, k.py FROM inst, (VALUES (0.0, 0.0), (3.0, 0.0), (0.0, 4.0), (3.0, 4.0)) k(px, py)), b AS (SELECT study_uid, series_uid, count(DISTINCT path) AS instance_count, CAST(min(px) AS DOUBLE) AS x0, CAST(max(px) AS DOUBLE) AS x1, CAST(min(py) AS DOUBLE) AS y0, CAST(max(py) AS DOUBLE) AS y1, min(z) AS z0, max(z) AS z1 FROM c WHERE modality <> 'SEG' GROUP BY ALL) SELECT *, 'volume' AS obj_type, 12.0::DOUBLE * (z1 - z0) AS volume_mm3, 2 * (12.0::DOUBLE + 3 * (z1 - z0) + 4 * (z1 - z0)) AS surface_area_mm2 FROM b",
+)
+def v14(spark: SparkSession, d: str) -> DataFrame:
+    i = instances(spark, d).select("study_uid", "series_uid", "modality", F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.col("z").alias("oz"), F.lit(8).alias("rows"), F.lit(4).alias("columns"), F.lit(0.5).alias("sx"), F.lit(0.75).alias("sy"))
+    return voxels.series_volume_objects(i.where(SEG), ["study_uid", "series_uid"]).drop("cx", "cy", "cz")
+
+
+#: Source grid (size, first place, step) and target grid (first and last place) of each axis, in mm.
+AXES = {"x": (12, -6.0, 1.0, 0.0, 22.0), "y": (12, -6.0, 1.0, 0.0, 22.0), "z": (31, 10.0, 2.0, 0.0, 60.0)}
+_SOURCE = {x: f"CAST(round_even(({a} + ({n} - 1) * {s} / 2 + (t{x} * 2.0::DOUBLE - {(lo + hi) / 2}) / 1.6::DOUBLE - ({a})) / {s}, 0) AS INTEGER)" for x, (n, a, s, lo, hi) in AXES.items()}
+
+
+@query(
+    "v19_resampled_labels",
+    f"{V}, g AS (SELECT x, y, CAST(date_diff('day', DATE '1970-01-01', frame) % 31 AS INTEGER) AS z, CAST(max(floor(v / 25)) AS INTEGER) AS label FROM vx GROUP BY ALL), t AS (SELECT DISTINCT x AS tx, y AS ty, CAST(date_diff('day', DATE '1970-01-01', frame) % 31 AS INTEGER) AS tz FROM vx), s AS (SELECT *, {', '.join(f'{e} AS s{x}' for x, e in _SOURCE.items())} FROM t) SELECT tx, ty, tz, coalesce(g.label, 0) AS label FROM s LEFT JOIN g ON g.x = sx AND g.y = sy AND g.z = sz",
+)
+def v19(spark: SparkSession, d: str) -> DataFrame:
+    z = (F.datediff("frame", F.lit("1970-01-01").cast("date")) % 31).alias("z")
+    v = voxel_rows(spark, d).select("x", "y", z, "v")
+    labels = v.groupBy("x", "y", "z").agg(F.max(F.floor(F.col("v") / 25)).cast("int").alias("label"))
+    targets = v.select(*(F.col(x).alias(f"t{x}") for x in "xyz"), *((F.col(x) * 2.0).alias(f"m{x}") for x in "xyz")).distinct()
+    return voxels.resample_labels(labels, targets, AXES, 1.6)
+
+
 GROUPED = f"{V}, g AS (SELECT month(frame) AS grp, x, y, CAST(date_diff('day', DATE '1970-01-01', frame) AS INTEGER) AS z FROM vx WHERE v > 60)"
 
 
@@ -250,14 +293,6 @@ def f09(spark: SparkSession, d: str) -> DataFrame:
     return m.select(*(F.round(c, 8).alias(c) for c in m.columns))
 
 
-@query("f12_linear_fit")
-def f12(spark: SparkSession, d: str) -> DataFrame:
-    names = ("object_count", "finding_count", "total_volume")
-    data = features.standardize(features.build_dataset(featured(spark, d), labelled(spark, d))[0], names)
-    weights, bias = features.train_linear(data, names)
-    return features.predict_linear(data, weights, bias, classify=False)
-
-
 @query("f18_f19_clusters")
 def f18(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -271,6 +306,15 @@ def audit(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.col("ts").alias("created_at"), F.col("user_id").alias("subject"), "event_type")
 
 
+@query("a01_appended_audit", "SELECT event_id, ts AS created_at, event_type AS type, user_id AS subject, props AS detail, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def a01(spark: SparkSession, d: str) -> DataFrame:
+    path = voxels.shared_path(spark, "audit")
+    rows = table(spark, d, "events").select("event_id", F.col("ts").alias("created_at"), F.col("event_type").alias("type"), F.col("user_id").alias("subject"), F.col("props").alias("detail"))
+    for part in (0, 1):
+        ledger.append_audit(rows.where(F.col("event_id") % 2 == part), path)
+    return ledger.audit_trail(spark, path).withColumn("day", F.col("day").cast("string"))
+
+
 @query("a02_audit", f"{AUDIT} SELECT * FROM au WHERE subject % 10 = 3 ORDER BY created_at DESC, event_id DESC LIMIT 500")
 def a02(spark: SparkSession, d: str) -> DataFrame:
     a = audit(spark, d)
@@ -340,9 +384,13 @@ def x04(spark: SparkSession, d: str) -> DataFrame:
     return rounded(experiments.two_proportion_test(outcomes(spark, d)), p0=9, p1=9, effect=9, z=6)
 
 
-@query("x01_two_sided_p")
+#: The tail beyond z by Simpson's rule over 2,000 strips up to z + 12.
+_TAIL = "list_sum([(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(abs(z) + i * 0.006) * (abs(z) + i * 0.006) / 2) FOR i IN range(2001)]) * 0.006 / 3 / sqrt(2 * pi())"
+
+
+@query("x01_two_sided_p", f"{X}, t AS (WITH {PROPORTIONS.format('oc')}) SELECT experiment, round(2 * {_TAIL}, 6) AS p FROM t")
 def x01(spark: SparkSession, d: str) -> DataFrame:
-    return experiments.two_proportion_test(outcomes(spark, d)).select("experiment", "z", experiments.p_two_sided(F.col("z")).alias("p"))
+    return experiments.two_proportion_test(outcomes(spark, d)).select("experiment", F.round(experiments.p_two_sided(F.col("z")), 6).alias("p"))
 
 
 @query("x05_mean_difference", f"{X} SELECT experiment, round(avg(value) FILTER (WHERE arm=1) - avg(value) FILTER (WHERE arm=0), 6) AS effect, round((avg(value) FILTER (WHERE arm=1) - avg(value) FILTER (WHERE arm=0))/(25.0*sqrt(1.0/count(*) FILTER (WHERE arm=0) + 1.0/count(*) FILTER (WHERE arm=1))), 6) AS z FROM oc GROUP BY experiment")
@@ -377,13 +425,15 @@ def x10(spark: SparkSession, d: str) -> DataFrame:
     return experiments.randomize(table(spark, d, "events").select(F.col("user_id").alias("participant_id")).distinct(), 1.0, 19)
 
 
-DESIGNS = "WITH ds AS (SELECT p_partkey AS design_id, CASE WHEN p_size % 2 = 0 THEN 'binary' ELSE 'continuous' END AS kind, 0.05 AS alpha, 0.8 AS target_power, (p_size % 10)/10.0 AS dropout, 1.0 + p_size % 3 AS ratio, 0.3 AS p0, 0.3 + (p_size % 5)/20.0 AS p1, 1.0 + p_size % 4 AS delta, 5.0 AS sd, 1.959963984540054 AS za, 0.8416212335729143 AS zb FROM part)"
+_KINDS = ("binary", "continuous", "time-to-event")
+DESIGNS = f"""WITH ds AS (SELECT p_partkey AS design_id, CASE p_size % 3 WHEN 0 THEN 'binary' WHEN 1 THEN 'continuous' ELSE 'time-to-event' END AS kind, 0.05::DOUBLE AS alpha, CASE WHEN p_size % 2 = 0 THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS target_power, (p_size % 10)/10.0::DOUBLE AS dropout, 1.0::DOUBLE + p_size % 3 AS ratio,
+  0.3::DOUBLE AS p0, 0.3::DOUBLE + (p_size % 5)/20.0::DOUBLE AS p1, 1.0::DOUBLE + p_size % 4 AS delta, 5.0::DOUBLE AS sd, 0.5::DOUBLE + (p_size % 4)/10.0::DOUBLE AS hazard_ratio, 0.4::DOUBLE AS event_rate, {NormalDist().inv_cdf(0.975)!r} AS za, CASE WHEN p_size % 2 = 0 THEN {NormalDist().inv_cdf(0.8)!r} ELSE {NormalDist().inv_cdf(0.9)!r} END AS zb FROM part)"""
 
 
 def designs(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("p_size")
-    kind = F.when(s % 2 == 0, "binary").otherwise("continuous")
-    numbers = {"alpha": F.lit(0.05), "target_power": F.lit(0.8), "dropout": (s % 10) / 10.0, "ratio": 1.0 + s % 3, "p0": F.lit(0.3), "p1": 0.3 + (s % 5) / 20.0, "delta": 1.0 + s % 4, "sd": F.lit(5.0), "za": F.lit(1.959963984540054), "zb": F.lit(0.8416212335729143)}
+    kind = F.coalesce(*(F.when(s % 3 == i, k) for i, k in enumerate(_KINDS)))
+    numbers = {"alpha": F.lit(0.05), "target_power": F.when(s % 2 == 0, 0.8).otherwise(0.9), "dropout": (s % 10) / 10.0, "ratio": 1.0 + s % 3, "p0": F.lit(0.3), "p1": 0.3 + (s % 5) / 20.0, "delta": 1.0 + s % 4, "sd": F.lit(5.0), "hazard_ratio": 0.5 + (s % 4) / 10.0, "event_rate": F.lit(0.4)}
     return table(spark, d, "part").select(F.col("p_partkey").alias("design_id"), kind.alias("kind"), *(c.alias(k) for k, c in numbers.items()))
 
 
@@ -392,7 +442,13 @@ def x02(spark: SparkSession, d: str) -> DataFrame:
     return experiments.validate_designs(designs(spark, d)).select("design_id", "reasons")
 
 
-@query("x03_sample_size")
+@query(
+    "x03_sample_size",
+    f"""{DESIGNS}, v AS (SELECT *, (p0 + ratio * p1) / (1 + ratio) AS p FROM ds WHERE dropout <= 0.8 AND p0 <> p1),
+n AS (SELECT *, CASE kind WHEN 'binary' THEN ceil(pow((za * sqrt((1 + 1/ratio) * p * (1 - p)) + zb * sqrt(p0 * (1 - p0) + p1 * (1 - p1) / ratio)) / abs(p1 - p0), 2))
+  WHEN 'continuous' THEN ceil(pow(za + zb, 2) * sd * sd * (1 + 1/ratio) / (delta * delta)) ELSE ceil(ceil(ceil(4 * pow(za + zb, 2) / pow(ln(hazard_ratio), 2)) / event_rate) / (1 + ratio)) END AS n FROM v)
+SELECT design_id, kind, CAST(greatest(2, ceil(greatest(2, n) / (1 - dropout))) AS BIGINT) AS control, CAST(greatest(2, ceil(greatest(2, ceil(n * ratio)) / (1 - dropout))) AS BIGINT) AS treatment FROM n""",
+)
 def x03(spark: SparkSession, d: str) -> DataFrame:
     valid = experiments.validate_designs(designs(spark, d)).where("reasons = ''")
     return experiments.sample_size(valid).select("design_id", "kind", "control", "treatment")
@@ -401,9 +457,3 @@ def x03(spark: SparkSession, d: str) -> DataFrame:
 @query("x11_resampled_power")
 def x11(spark: SparkSession, d: str) -> DataFrame:
     return experiments.resampled_power(outcomes(spark, d), 40, 123)
-
-
-@query("t03_greedy_matches")
-def t03(spark: SparkSession, d: str) -> DataFrame:
-    o = objects(spark, d)
-    return tm.match_objects(o, tm.select_prior(tm.models(o)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions import geometry as g
 from cohortspark.operators import graph, spatial, temporal
 from cohortspark.plans.fixtures import OBJECTS_SQL, objects
-from cohortspark.plans.registry import query
+from cohortspark.plans.registry import ORACLE_SQL, query
 
 O = f"WITH {OBJECTS_SQL}"  # noqa: E741
 
@@ -60,6 +60,11 @@ def g02(spark: SparkSession, d: str) -> DataFrame:
     return paired(spark, d).select("model_id", F.col("a_object_id").alias("a_id"), F.col("b_object_id").alias("b_id"), g.box_distance("a_", "b_").alias("gap"))
 
 
+@query("g03_surface_distance", f"{O} SELECT a.model_id, a.object_id AS a_id, b.object_id AS b_id, {gap_sql('a', 'b')} AS distance, 'axis-aligned boxes (approximate)' AS method FROM o a JOIN o b ON a.model_id=b.model_id AND a.obj_seq<b.obj_seq")
+def g03(spark: SparkSession, d: str) -> DataFrame:
+    return paired(spark, d).select("model_id", F.col("a_object_id").alias("a_id"), F.col("b_object_id").alias("b_id"), *g.minimum_surface_distance("a_", "b_"))
+
+
 @query(
     "g04_box_predicates",
     f"{O} SELECT a.model_id, a.object_id AS a_id, b.object_id AS b_id, {contains_sql('a', 'b')} AS a_contains_b, {contains_sql('b', 'a')} AS b_contains_a, {intersects_sql('a', 'b')} AS overlap, (NOT {intersects_sql('a', 'b')} AND {gap_sql('a', 'b')} <= 1.0) AS adjacent FROM o a JOIN o b ON a.model_id=b.model_id AND a.obj_seq<b.obj_seq",
@@ -118,6 +123,11 @@ def g12(spark: SparkSession, d: str) -> DataFrame:
     return spatial.within_radius(objects(spark, d), 20.0)
 
 
+@query("g12_within_radius_grid", f"{O} SELECT a.model_id, a.object_id, b.object_id AS near_id, {gap_sql('a', 'b')} AS gap FROM o a JOIN o b ON a.model_id=b.model_id AND a.obj_seq<>b.obj_seq WHERE NOT {contains_sql('b', 'a')} AND {gap_sql('a', 'b')} <= 20")
+def g12b(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.within_radius(objects(spark, d), 20.0, grid=True)
+
+
 PATHS_SQL = "p AS (SELECT model_id, concat('path:', model_id) AS path_id, min(cx) AS sx, min(cy) AS sy, min(cz) AS sz, max(cx) AS ex, max(cy) AS ey, max(cz) AS ez FROM o GROUP BY model_id HAVING count(*) > 1)"
 
 
@@ -170,10 +180,10 @@ def g15(spark: SparkSession, d: str) -> DataFrame:
     return spatial.trajectory_clearance(o, paths(o)).withColumn("clearance", F.round("clearance", 6))
 
 
-@query("g18_spatial_query", f"{O} SELECT a.model_id, a.object_id AS a_object_id, b.object_id AS b_object_id, {gap_sql('a', 'b')} AS value, 'axis-aligned boxes' AS method FROM o a JOIN o b ON a.model_id=b.model_id AND a.obj_seq=1 AND b.obj_seq=2")
+@query("g18_spatial_query", f"{O} SELECT a.model_id, a.object_id AS a_object_id, b.object_id AS b_object_id, {gap_sql('a', 'b')} AS value, 'axis-aligned boxes' AS method FROM o a JOIN o b ON a.model_id=b.model_id AND a.obj_seq<b.obj_seq")
 def g18(spark: SparkSession, d: str) -> DataFrame:
     o = objects(spark, d)
-    wanted = spatial.pairs(o).where("a_obj_seq = 1 and b_obj_seq = 2").select("model_id", "a_object_id", "b_object_id")
+    wanted = spatial.pairs(o).select("model_id", "a_object_id", "b_object_id")
     return spatial.spatial_query(o, "surface_distance", wanted)
 
 
@@ -182,10 +192,10 @@ def g19(spark: SparkSession, d: str) -> DataFrame:
     return spatial.measure(objects(spark, d), "surface_area")
 
 
-@query("g20_measure_between", f"{O} SELECT a.model_id, a.object_id AS a_object_id, b.object_id AS b_object_id, {distance_sql('a', 'b')} AS distance, {gap_sql('a', 'b')} AS gap, {contains_sql('a', 'b')} AS a_contains_b, {contains_sql('b', 'a')} AS b_contains_a, {intersects_sql('a', 'b')} AS overlap FROM o a JOIN o b ON a.model_id=b.model_id AND a.obj_seq=1 AND b.obj_seq=2")
+@query("g20_measure_between", f"{O} SELECT a.model_id, a.object_id AS a_object_id, b.object_id AS b_object_id, {distance_sql('a', 'b')} AS distance, {gap_sql('a', 'b')} AS gap, {contains_sql('a', 'b')} AS a_contains_b, {contains_sql('b', 'a')} AS b_contains_a, {intersects_sql('a', 'b')} AS overlap FROM o a JOIN o b ON a.model_id=b.model_id AND a.obj_seq<b.obj_seq")
 def g20(spark: SparkSession, d: str) -> DataFrame:
     o = objects(spark, d)
-    return spatial.measure_between(o, spatial.pairs(o).where("a_obj_seq = 1 and b_obj_seq = 2").select("model_id", "a_object_id", "b_object_id"))
+    return spatial.measure_between(o, spatial.pairs(o).select("model_id", "a_object_id", "b_object_id"))
 
 
 @query("g21_extent_v16_box_measures", f"{O} SELECT model_id, object_id, greatest(x1-x0, y1-y0, z1-z0) AS diameter, greatest(x1-x0,0)*greatest(y1-y0,0)*greatest(z1-z0,0) AS box_volume, 2*(greatest(x1-x0,0)*greatest(y1-y0,0)+greatest(x1-x0,0)*greatest(z1-z0,0)+greatest(y1-y0,0)*greatest(z1-z0,0)) AS box_area FROM o")
@@ -205,9 +215,9 @@ def g23(spark: SparkSession, d: str) -> DataFrame:
     return spatial.scene_bounds(objects(spark, d))
 
 
-@query("r01_incident_edges", f"{E_} SELECT DISTINCT model_id, source_id, target_id, type, value FROM edges WHERE source_id = concat(model_id, ':1') OR target_id = concat(model_id, ':1')")
+@query("r01_incident_edges", f"{E_} SELECT DISTINCT e.model_id, source_id, target_id, type, value FROM edges e JOIN o ON o.model_id = e.model_id AND o.object_id IN (source_id, target_id) AND o.obj_type = 'finding'")
 def r01(spark: SparkSession, d: str) -> DataFrame:
-    wanted = objects(spark, d).where("obj_seq = 1").select("model_id", "object_id")
+    wanted = objects(spark, d).where("obj_type = 'finding'").select("model_id", "object_id")
     return graph.incident_edges(edges(spark, d), wanted)
 
 
@@ -246,6 +256,24 @@ def r07(spark: SparkSession, d: str) -> DataFrame:
     return graph.lookup(o.select("model_id", "object_id", "label"), wanted, ["model_id", "object_id"])
 
 
+@query("r04_graph_query")
+def r04(spark: SparkSession, d: str) -> DataFrame:
+    o = objects(spark, d)
+    return graph.graph_query("subgraph", o, edges(spark, d), object_bindings(o), links(spark, d))
+
+
+@query("r04_subgraphs")
+def r04b(spark: SparkSession, d: str) -> DataFrame:
+    o = objects(spark, d)
+    found = graph.subgraph(o, edges(spark, d), object_bindings(o), links(spark, d))
+    return found.select("model_id", "object_id", *(F.array_join(c, ",").alias(c) for c in graph.OPERATIONS))
+
+
+def object_bindings(o: DataFrame) -> DataFrame:
+    """A binding of every other object."""
+    return o.where("obj_seq % 2 = 0").select("model_id", F.lit("object").alias("target_type"), F.col("object_id").alias("target_id"), F.concat(F.lit("binding:"), "object_id").alias("binding_id"))
+
+
 MODELS_SQL = "m AS (SELECT DISTINCT patient_id, model_id, study_date FROM o), pr AS (SELECT patient_id, model_id, study_date, lag(model_id) OVER w AS prior_id, lead(model_id) OVER w AS next_id, CAST(row_number() OVER w AS INTEGER) AS place, CAST(date_diff('day', CAST(lag(study_date) OVER w AS DATE), CAST(study_date AS DATE)) AS INTEGER) AS interval_days FROM m WINDOW w AS (PARTITION BY patient_id ORDER BY study_date, model_id))"
 
 
@@ -268,23 +296,43 @@ def t10(spark: SparkSession, d: str) -> DataFrame:
     return temporal.build_timeline(temporal.models(objects(spark, d)))
 
 
-#: Labels with one current and one prior object: there greedy matching is an equi-join, so SQL can say it.
-SINGLE_SQL = f"""{O}, {MODELS_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY model_id, label) AS same FROM o),
-l AS (SELECT a.model_id, pr.prior_id, a.object_id, b.object_id AS prior_object_id, 0.8 + 0.2 * greatest(0.0::DOUBLE, 1 - {distance_sql("a", "b")}/1000) AS confidence, {distance_sql("a", "b")} AS centroid_distance,
-  a.volume_mm3 - b.volume_mm3 AS volume_delta, CASE WHEN b.volume_mm3 <> 0 THEN (a.volume_mm3-b.volume_mm3)/b.volume_mm3*100 END AS volume_percent, a.cx AS cx, b.cx AS p_cx
-  FROM c a JOIN pr ON a.model_id=pr.model_id JOIN c b ON b.model_id=pr.prior_id AND b.label=a.label WHERE a.same=1 AND b.same=1)
+#: Greedy matching, one current object of a label after the other: each takes the first of its candidates that none before it took.
+MATCH_SQL = f"""WITH RECURSIVE {OBJECTS_SQL}, {MODELS_SQL},
+ca AS (SELECT a.model_id, pr.prior_id, a.label, a.object_id, a.obj_seq, list(b.object_id ORDER BY 0.8::DOUBLE + 0.2::DOUBLE * greatest(0.0::DOUBLE, 1 - {distance_sql("a", "b")}/1000) DESC, b.obj_seq) AS cands
+  FROM o a JOIN pr ON a.model_id = pr.model_id JOIN o b ON b.model_id = pr.prior_id AND b.label = a.label GROUP BY ALL),
+cu AS (SELECT *, row_number() OVER (PARTITION BY model_id, label ORDER BY obj_seq) AS n FROM ca),
+ch AS (SELECT model_id, prior_id, label, n, object_id, cands[1] AS picked, [cands[1]] AS used FROM cu WHERE n = 1
+  UNION ALL SELECT cu.model_id, cu.prior_id, cu.label, cu.n, cu.object_id, [c FOR c IN cu.cands IF NOT list_contains(ch.used, c)][1], list_append(ch.used, [c FOR c IN cu.cands IF NOT list_contains(ch.used, c)][1])
+  FROM ch JOIN cu ON cu.model_id = ch.model_id AND cu.label = ch.label AND cu.n = ch.n + 1),
+l AS (SELECT ch.model_id, ch.prior_id, ch.object_id, picked AS prior_object_id, 0.8 + 0.2 * greatest(0.0::DOUBLE, 1 - {distance_sql("a", "b")}/1000) AS confidence, {distance_sql("a", "b")} AS centroid_distance,
+  a.volume_mm3 - b.volume_mm3 AS volume_delta, CASE WHEN b.volume_mm3 <> 0 THEN (a.volume_mm3-b.volume_mm3)/b.volume_mm3*100 END AS volume_percent,
+  greatest(a.x1-a.x0, a.y1-a.y0, a.z1-a.z0) - greatest(b.x1-b.x0, b.y1-b.y0, b.z1-b.z0) AS diameter_delta, (greatest(a.x1-a.x0, a.y1-a.y0, a.z1-a.z0) - greatest(b.x1-b.x0, b.y1-b.y0, b.z1-b.z0)) / greatest(b.x1-b.x0, b.y1-b.y0, b.z1-b.z0) * 100 AS diameter_percent,
+  a.surface_area_mm2 - b.surface_area_mm2 AS surface_delta, (a.surface_area_mm2 - b.surface_area_mm2) / b.surface_area_mm2 * 100 AS surface_percent, a.cx AS cx, b.cx AS p_cx, a.volume_mm3 AS volume, b.volume_mm3 AS p_volume
+  FROM ch JOIN o a ON a.model_id = ch.model_id AND a.object_id = ch.object_id JOIN o b ON b.model_id = ch.prior_id AND b.object_id = picked),
+ld AS (SELECT *, CASE WHEN abs(volume_percent) >= 20 OR centroid_distance >= 50 THEN 'changed_from' ELSE 'same_as_prior' END AS link_type FROM l),
+lk AS (
+  SELECT model_id, prior_id, object_id, prior_object_id, link_type, confidence, centroid_distance, volume_delta, volume_percent, diameter_delta, diameter_percent, surface_delta, surface_percent FROM ld
+  UNION ALL SELECT pr.model_id, prior_id, object_id, object_id, 'new', 1.0::DOUBLE, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM pr JOIN o ON o.model_id = pr.model_id WHERE prior_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l WHERE l.model_id = pr.model_id AND l.object_id = o.object_id)
+  UNION ALL SELECT pr.model_id, prior_id, object_id, object_id, 'resolved', 1.0::DOUBLE, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM pr JOIN o ON o.model_id = pr.prior_id WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.model_id = pr.model_id AND l.prior_object_id = o.object_id))
 """
+CHANGES = ("confidence", "centroid_distance", "volume_delta", "volume_percent", "diameter_delta", "diameter_percent", "surface_delta", "surface_percent")
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in CHANGES)
 
 
-@query("t05_t08_compared_models", f"{SINGLE_SQL} SELECT model_id, prior_id, object_id, prior_object_id, CASE WHEN abs(volume_percent) >= 20 OR centroid_distance >= 50 THEN 'changed_from' ELSE 'same_as_prior' END AS link_type, round(confidence, 9) AS confidence, round(centroid_distance, 6) AS centroid_distance, round(volume_delta, 6) AS volume_delta, round(volume_percent, 6) AS volume_percent FROM l")
-def t08(spark: SparkSession, d: str) -> DataFrame:
+def links(spark: SparkSession, d: str) -> DataFrame:
     o = objects(spark, d)
-    links = temporal.compare_models(o, priors(o)).where("link_type in ('same_as_prior', 'changed_from')")
-    one = o.groupBy("model_id", "label").agg(F.min("object_id").alias("object_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    current = one.select("model_id", "object_id")
-    before = one.select(F.col("model_id").alias("prior_id"), F.col("object_id").alias("prior_object_id"))
-    single = links.join(current, ["model_id", "object_id"], "left_semi").join(before, ["prior_id", "prior_object_id"], "left_semi")
-    return single.select("model_id", "prior_id", "object_id", "prior_object_id", "link_type", *(F.round(c, 9 if c == "confidence" else 6).alias(c) for c in ("confidence", "centroid_distance", "volume_delta", "volume_percent")))
+    return temporal.compare_models(o, priors(o))
+
+
+@query("t03_greedy_matches", f"{MATCH_SQL} SELECT model_id, prior_id, object_id, prior_object_id, round(confidence, 9) AS score FROM l")
+def t03(spark: SparkSession, d: str) -> DataFrame:
+    o = objects(spark, d)
+    return temporal.match_objects(o, priors(o)).withColumn("score", F.round("score", 9))
+
+
+@query("t05_t08_compared_models", f"{MATCH_SQL} SELECT model_id, prior_id, object_id, prior_object_id, link_type, {_ROUNDED} FROM lk")
+def t08(spark: SparkSession, d: str) -> DataFrame:
+    return links(spark, d).select("model_id", "prior_id", "object_id", "prior_object_id", "link_type", *(F.round(c, 6).alias(c) for c in CHANGES))
 
 
 @query("t18_change_counts", f"{O}, {MODELS_SQL}, n AS (SELECT model_id, label, count(*) AS n FROM o GROUP BY ALL), j AS (SELECT pr.model_id, coalesce(a.label, b.label) AS label, coalesce(a.n, 0) AS now, coalesce(b.n, 0) AS was FROM (SELECT pr.model_id, pr.prior_id, n.label, n.n FROM pr JOIN n ON n.model_id=pr.model_id WHERE prior_id IS NOT NULL) a FULL JOIN (SELECT pr.model_id, pr.prior_id, n.label, n.n FROM pr JOIN n ON n.model_id=pr.prior_id) b ON a.model_id=b.model_id AND a.label=b.label JOIN pr ON pr.model_id=coalesce(a.model_id, b.model_id)) SELECT model_id, CAST(sum(least(now, was)) AS BIGINT) AS matched, CAST(sum(greatest(now-was, 0)) AS BIGINT) AS new, CAST(sum(greatest(was-now, 0)) AS BIGINT) AS resolved FROM j GROUP BY model_id")
@@ -294,38 +342,112 @@ def t18(spark: SparkSession, d: str) -> DataFrame:
     return counts.select("model_id", (F.col("same_as_prior") + F.col("changed_from")).alias("matched"), "new", "resolved")
 
 
-@query("t12_history", f"{SINGLE_SQL} SELECT model_id, object_id, prior_object_id FROM l WHERE object_id = concat(model_id, ':1') OR prior_object_id = concat(prior_id, ':1')")
+@query("t12_history", f"{MATCH_SQL} SELECT model_id, object_id, prior_object_id, link_type FROM lk WHERE suffix(object_id, ':1') OR suffix(prior_object_id, ':1')")
 def t12(spark: SparkSession, d: str) -> DataFrame:
     o = objects(spark, d)
-    n = F.count(F.lit(1)).over(Window.partitionBy("model_id", "label"))
-    single = o.withColumn("same", n).where("same = 1")
-    links = temporal.match_objects(single, priors(o))
-    return links.where("object_id = concat(model_id, ':1') or prior_object_id = concat(prior_id, ':1')").select("model_id", "object_id", "prior_object_id")
+    own = o.where("obj_seq = 1").select("model_id", "object_id")
+    before = temporal.prior_objects(o, priors(o)).where("obj_seq = 1").select("model_id", "object_id")
+    return temporal.history(links(spark, d), own.unionByName(before)).select("model_id", "object_id", "prior_object_id", "link_type")
 
 
-@query("t16_interpolated", f"{SINGLE_SQL} SELECT model_id, object_id, p_cx + (cx-p_cx)*0.25 AS cx FROM l")
+@query(
+    "t13_change_report",
+    f"{MATCH_SQL} SELECT lk.model_id, lk.object_id, link_type, round(confidence, 9) AS confidence, CASE WHEN link_type <> 'new' THEN b.volume_mm3 END AS volume_prior, CASE WHEN link_type <> 'resolved' THEN a.volume_mm3 END AS volume_now, round(volume_percent, 6) AS volume_percent, round(diameter_delta, 6) AS diameter_delta FROM lk LEFT JOIN o a ON a.model_id = lk.model_id AND a.object_id = lk.object_id LEFT JOIN o b ON b.model_id = lk.prior_id AND b.object_id = lk.prior_object_id WHERE link_type <> 'same_as_prior'",
+)
+def t13(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = temporal.change_report(links(spark, d), objects(spark, d))
+    return rows.select("model_id", "object_id", "link_type", F.round("confidence", 9).alias("confidence"), "volume_prior", "volume_now", *(F.round(c, 6).alias(c) for c in ("volume_percent", "diameter_delta")))
+
+
+@query("t13_unchanged_counts", f"{MATCH_SQL} SELECT model_id, count(*) FILTER (WHERE link_type = 'same_as_prior') AS unchanged FROM lk GROUP BY model_id")
+def t13b(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.change_report(links(spark, d), objects(spark, d))[1]
+
+
+@query("t15_prior_versions", f"{MATCH_SQL} SELECT o.model_id, o.object_id, pr.prior_id, l.prior_object_id AS version_id FROM o JOIN pr ON pr.model_id = o.model_id LEFT JOIN l ON l.model_id = o.model_id AND l.object_id = o.object_id WHERE pr.prior_id IS NOT NULL")
+def t15(spark: SparkSession, d: str) -> DataFrame:
+    o = objects(spark, d)
+    return temporal.prior_version(o, links(spark, d), priors(o))
+
+
+@query("t16_interpolated", f"{MATCH_SQL} SELECT model_id, object_id, p_cx + (cx-p_cx)*0.25 AS cx, round(p_volume + (volume-p_volume)*0.25, 6) AS volume_mm3 FROM l")
 def t16(spark: SparkSession, d: str) -> DataFrame:
     o = objects(spark, d)
-    single = o.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("model_id", "label"))).where("same = 1")
     names = ["cx", "cy", "cz", "volume_mm3"]
-    before = o.select(F.col("model_id").alias("prior_id"), F.col("object_id").alias("prior_object_id"), *(F.col(c).alias(f"p_{c}") for c in names))
-    linked = temporal.match_objects(single, priors(o)).join(o.select("model_id", "object_id", *names), ["model_id", "object_id"]).join(before, ["prior_id", "prior_object_id"])
-    return temporal.interpolate(linked, 0.25).select("model_id", "object_id", "cx")
+    before = temporal.prior_objects(o, priors(o)).select("model_id", F.col("object_id").alias("prior_object_id"), *(F.col(c).alias(f"p_{c}") for c in names))
+    linked = temporal.match_objects(o, priors(o)).join(o.select("model_id", "object_id", *names), ["model_id", "object_id"]).join(before, ["model_id", "prior_object_id"])
+    return temporal.interpolate(linked, 0.25).select("model_id", "object_id", "cx", F.round("volume_mm3", 6).alias("volume_mm3"))
 
 
-@query("t17_difference", f"{O}, {MODELS_SQL} SELECT pr.model_id, 'current' AS side, count(*) AS n FROM pr JOIN o ON o.model_id=pr.model_id WHERE prior_id IS NOT NULL GROUP BY ALL UNION ALL SELECT pr.model_id, 'prior', count(*) FROM pr JOIN o ON o.model_id=pr.prior_id GROUP BY ALL")
+@query("t17_overlay", f"{O}, {MODELS_SQL} SELECT model_id, object_id, 'current' AS side FROM o UNION ALL SELECT pr.model_id, object_id, 'prior' FROM pr JOIN o ON o.model_id = pr.prior_id")
 def t17(spark: SparkSession, d: str) -> DataFrame:
     o = objects(spark, d)
-    pairs = priors(o).where("prior_id is not null").select("model_id", "prior_id")
-    now = o.join(pairs, "model_id").select("model_id", F.lit("current").alias("side"))
-    then = o.withColumnRenamed("model_id", "prior_id").join(pairs, "prior_id").select("model_id", F.lit("prior").alias("side"))
-    return now.unionByName(then).groupBy("model_id", "side").agg(F.count(F.lit(1)).alias("n"))
+    return temporal.overlay(o, priors(o))
+
+
+@query("t17_difference", f"{MATCH_SQL} SELECT o.model_id, o.object_id, CASE lk.link_type WHEN 'changed_from' THEN 'changed' WHEN 'new' THEN 'new' ELSE 'baseline' END AS style FROM o LEFT JOIN lk ON lk.model_id = o.model_id AND lk.object_id = o.object_id AND lk.link_type IN ('changed_from', 'new') UNION ALL SELECT model_id, object_id, 'resolved' FROM lk WHERE link_type = 'resolved'")
+def t17b(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.difference(objects(spark, d), links(spark, d))
+
+
+#: A rotation and shift for every model; the order of the axes by whether its number is even.
+TURN = {"rx": 0.1, "ry": -0.2, "rz": 0.3, "tx": 5.0, "ty": -3.0, "tz": 2.0, "ox": 10.0, "oy": 20.0, "oz": 30.0}
+
 
+def registrations(o: DataFrame) -> DataFrame:
+    return o.select("model_id").distinct().select("model_id", *(F.lit(v).alias(k) for k, v in TURN.items()), F.when(F.col("model_id") % 2 == 0, "zyx").otherwise("zxy").alias("axes"))
 
-@query("t07_rigid_transform", f"{O} SELECT model_id, object_id, round(cos(0.1)*cx - sin(0.1)*cy + 5, 6) AS cx, round(sin(0.1)*cx + cos(0.1)*cy, 6) AS cy, cz FROM o")
+
+def turned_sql(p: str) -> str:
+    """``tx_, ty_, tz_``: a point's coordinates after TURN: about x then y (even models) or y then x, then about z."""
+    cx, sx, cy, sy, cz, sz = (f"{f}({TURN[k]})" for k in ("rx", "ry", "rz") for f in ("cos", "sin"))
+    u = {x: f"({p}{x} - {TURN['o' + x]})" for x in "xyz"}
+    about_x = lambda v: (v[0], f"({cx}*{v[1]} - {sx}*{v[2]})", f"({sx}*{v[1]} + {cx}*{v[2]})")
+    about_y = lambda v: (f"({cy}*{v[0]} + {sy}*{v[2]})", v[1], f"({cy}*{v[2]} - {sy}*{v[0]})")
+    even, odd = about_y(about_x(tuple(u.values()))), about_x(about_y(tuple(u.values())))
+    v = [f"(CASE WHEN model_id % 2 = 0 THEN {a} ELSE {b} END)" for a, b in zip(even, odd, strict=True)]
+    done = (f"{cz}*{v[0]} - {sz}*{v[1]}", f"{sz}*{v[0]} + {cz}*{v[1]}", v[2])
+    return ", ".join(f"{e} + {TURN['o' + x]} + {TURN['t' + x]} AS t{x}_" for e, x in zip(done, "xyz", strict=True))
+
+
+@query("t07_rigid_transform", f"{O}, t AS (SELECT model_id, object_id, {turned_sql('c')} FROM o) SELECT model_id, object_id, round(tx_, 6) AS cx, round(ty_, 6) AS cy, round(tz_, 6) AS cz FROM t")
 def t07(spark: SparkSession, d: str) -> DataFrame:
     o = objects(spark, d).select("model_id", "object_id", "cx", "cy", "cz")
-    numbers = {"rx": 0.0, "ry": 0.0, "rz": 0.1, "tx": 5.0, "ty": 0.0, "tz": 0.0, "ox": 0.0, "oy": 0.0, "oz": 0.0}
-    registrations = o.select("model_id").distinct().select("model_id", *(F.lit(v).alias(k) for k, v in numbers.items()), F.lit("zyx").alias("axes"))
-    moved = temporal.rigid_transform(o, registrations)
-    return moved.select("model_id", "object_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "cz")
+    moved = temporal.rigid_transform(o, registrations(o))
+    return moved.select("model_id", "object_id", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "cz")))
+
+
+_CORNERS = " UNION ALL ".join(f"SELECT pr.model_id, object_id, x{i} AS kx, y{j} AS ky, z{k} AS kz FROM pr JOIN o ON o.model_id = pr.prior_id" for i in (0, 1) for j in (0, 1) for k in (0, 1))
+
+
+@query(
+    "t08_registered_priors",
+    f"{O}, {MODELS_SQL}, k AS ({_CORNERS}), t AS (SELECT model_id, object_id, {turned_sql('k')} FROM k) SELECT model_id, object_id, round(min(tx_), 5) AS x0, round(max(tx_), 5) AS x1, round(min(ty_), 5) AS y0, round(max(ty_), 5) AS y1, round(min(tz_), 5) AS z0, round(max(tz_), 5) AS z1 FROM t GROUP BY ALL",
+)
+def t08b(spark: SparkSession, d: str) -> DataFrame:
+    o = objects(spark, d)
+    moved = temporal.prior_objects(o, priors(o), registrations(o))
+    return moved.select("model_id", "object_id", *(F.round(f"{x}{i}", 5).alias(f"{x}{i}") for x in "xyz" for i in (0, 1)))
+
+
+_TURNED_MATCH = MATCH_SQL.replace("JOIN o b ON", "JOIN ot b ON").replace("\nca AS (", f"\not AS (SELECT t.* EXCLUDE (tx_, ty_, tz_, cx, cy, cz), tx_ AS cx, ty_ AS cy, tz_ AS cz FROM (SELECT *, {turned_sql('c')} FROM (SELECT o.* EXCLUDE (model_id), pr.prior_id, pr.model_id FROM o JOIN pr ON o.model_id = pr.prior_id)) t),\nca AS (", 1).replace("b.model_id = pr.prior_id AND", "b.model_id = pr.model_id AND").replace("b.model_id = ch.prior_id AND", "b.model_id = ch.model_id AND")
+
+
+@query("t08_registered_links", f"{_TURNED_MATCH} SELECT model_id, object_id, prior_object_id, link_type, round(confidence, 6) AS confidence, round(centroid_distance, 5) AS centroid_distance FROM ld")
+def t08c(spark: SparkSession, d: str) -> DataFrame:
+    o = objects(spark, d)
+    found = temporal.compare_models(o, priors(o), registrations(o)).where("link_type in ('same_as_prior', 'changed_from')")
+    return found.select("model_id", "object_id", "prior_object_id", "link_type", F.round("confidence", 6).alias("confidence"), F.round("centroid_distance", 5).alias("centroid_distance"))
+
+
+GRAPH_SQL = f"""{MATCH_SQL}, {EDGES_SQL}, be AS (SELECT model_id, source_id AS object_id, target_id AS other_id, source_id, target_id, type FROM edges UNION ALL SELECT model_id, target_id, source_id, source_id, target_id, type FROM edges),
+gr AS (SELECT DISTINCT 'neighbors' AS operation, model_id, object_id, other_id AS result_id FROM be
+  UNION ALL SELECT DISTINCT 'ancestors', model_id, target_id, source_id FROM edges WHERE type = 'contains'
+  UNION ALL SELECT DISTINCT 'descendants', model_id, source_id, target_id FROM edges WHERE type = 'contains'
+  UNION ALL SELECT DISTINCT 'relationships', model_id, object_id, concat(source_id, '>', type, '>', target_id) FROM be
+  UNION ALL SELECT 'context', model_id, object_id, concat('binding:', object_id) FROM o WHERE obj_seq % 2 = 0
+  UNION ALL SELECT 'prior_versions', model_id, object_id, prior_object_id FROM l)
+"""
+ORACLE_SQL["r04_graph_query"] = f"{GRAPH_SQL} SELECT * FROM gr"
+ORACLE_SQL["r04_subgraphs"] = f"""{GRAPH_SQL} SELECT o.model_id, o.object_id, {", ".join(f"coalesce(string_agg(result_id, ',' ORDER BY result_id) FILTER (WHERE operation = '{n}'), '') AS {n}" for n in graph.OPERATIONS)}
+FROM o LEFT JOIN gr ON gr.model_id = o.model_id AND gr.object_id = o.object_id GROUP BY ALL"""

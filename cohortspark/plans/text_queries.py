@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.operators import context, deid, spatial
+from cohortspark.operators import context, deid, graph, spatial, temporal
 from cohortspark.plans.fixtures import OBJECTS_SQL, context_items, objects, table
 
 from cohortspark.plans.registry import query
@@ -33,18 +33,43 @@ def l11(spark: SparkSession, d: str) -> DataFrame:
     return context.label_vocabulary(table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_type").alias("label")))
 
 
-@query("d01_scrubbed", "SELECT c_custkey, replace(concat('Seen ', c_custkey, '99 on 2024-05-01, uid 1.2.840.10008.5.1, by ', c_name), c_name, '[redacted]') AS raw, concat('Seen ', c_custkey, '99 on [date], uid [uid], by [redacted]') AS clean FROM customer WHERE c_custkey < 100000")
+@query("d01_scrubbed", "SELECT c_custkey, concat('Seen ', c_custkey, CASE WHEN length(CAST(c_custkey AS VARCHAR)) < 8 THEN 'x99' ELSE 'x' END, ' on [date], uid [uid], by [redacted]') AS clean FROM customer")
 def d01(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_custkey < 100000")
-    text = F.concat(F.lit("Seen "), F.col("c_custkey").cast("string"), F.lit("99 on 2024-05-01, uid 1.2.840.10008.5.1, by "), F.col("c_name"))
-    ids = deid.identifier_tokens(F.concat(F.lit("P"), F.col("c_custkey").cast("string")), F.col("c_name"))
-    return c.select("c_custkey", F.replace(text, F.col("c_name"), F.lit("[redacted]")).alias("raw"), deid.scrub(text, ids).alias("clean"))
+    c = table(spark, d, "customer")
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("Seen "), key, F.when(F.length(key) < 8, "x99").otherwise("x"), F.lit(" on 2024-05-01, uid 1.2.840.10008.5.1, by "), F.col("c_name"))
+    ids = deid.identifier_tokens(F.concat(F.lit("P"), key), F.col("c_name"))
+    return c.select("c_custkey", deid.scrub(text, ids).alias("clean"))
 
 
-@query("d04_violations", "SELECT o_orderkey FROM orders WHERE contains(concat('order ', o_orderkey, ' of ', o_custkey), CAST(o_custkey AS VARCHAR)) AND o_orderkey % 2 = 0")
+@query("d02_identifiers", "SELECT c_custkey, array_to_string([t FOR t IN list_distinct(list_prepend(concat('P', c_custkey), regexp_split_to_array(c_name, '[\\^\\s,]+'))) IF length(t) >= 3].list_sort(), ',') AS tokens FROM customer")
+def d02(spark: SparkSession, d: str) -> DataFrame:
+    found = deid.identifier_tokens(F.concat(F.lit("P"), F.col("c_custkey").cast("string")), F.col("c_name"))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(F.array_sort(found), ",").alias("tokens"))
+
+
+#: Notes that hold a UID, a patient's id (three digits or more), or neither.
+NOTE = "CASE o_orderkey % 3 WHEN 0 THEN concat('order ', o_orderkey, ' uid 1.2.840.10008.5') WHEN 1 THEN concat('seen by x', o_custkey, 'y') ELSE 'nothing to see' END"
+
+
+@query("d04_violations", f"SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND length(CAST(o_custkey AS VARCHAR)) >= 3)")
 def d04(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_custkey").cast("string").alias("pid"))
-    return deid.violations(o.withColumn("text", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" of "), F.col("pid"))), "text", "pid").select("o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("pid"), F.expr(NOTE).alias("text"))
+    return deid.violations(o, "text", "pid").select("o_orderkey")
+
+
+@query("d04_asserted", f"SELECT o_orderkey, {NOTE} AS text FROM orders WHERE o_orderkey % 3 = 2")
+def d04b(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("pid"), F.expr(NOTE).alias("text")).where("o_orderkey % 3 = 2")
+    return deid.assert_deidentified(o, "text", "pid").select("o_orderkey", "text")
+
+
+@query("d05_synthetic", "SELECT o_orderkey, (o_orderkey % 4 = 0 OR o_custkey % 5 = 0) AS synthetic FROM orders")
+def d05(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    text = F.when(F.col("o_orderkey") % 4 == 0, "A Phantom of the chest").when(F.col("o_orderkey") % 4 == 1, None).otherwise("chest")
+    pid = F.when(F.col("o_custkey") % 5 == 0, "demo-1").otherwise("P-1")
+    return o.select("o_orderkey", deid.is_synthetic(text, pid).alias("synthetic"))
 
 
 @query("d03_d06_object_rows", f"{O} SELECT model_id, concat('O', obj_seq) AS ref, label, obj_type, volume_mm3, greatest(x1-x0, y1-y0, z1-z0) AS extent, cx, cy, cz, review_status FROM o")
@@ -57,9 +82,26 @@ def d09(spark: SparkSession, d: str) -> DataFrame:
     return objects(spark, d).select("object_id", deid.object_key(F.col("model_id"), F.col("object_id")).alias("key"))
 
 
+#: Bytes of a digest: few enough that models of every size fall under some step of the shortening.
+BYTES = 1200
+
+
+def digests(spark: SparkSession, d: str) -> DataFrame:
+    o = objects(spark, d)
+    refs = deid.alias_refs(o)
+    rows = deid.object_rows(o).join(o.join(refs, ["model_id", "object_id"]).select("model_id", "ref", "obj_seq"), ["model_id", "ref"])
+    end = lambda of, to: refs.select("model_id", F.col("object_id").alias(of), F.col("ref").alias(to))
+    near = graph.collapse_relations(spatial.derive_relationships(o)).join(end("source_id", "a"), ["model_id", "source_id"]).join(end("target_id", "b"), ["model_id", "target_id"]).select("model_id", "a", F.col("type").alias("relation"), "b", F.round("value", 1).alias("gap"))
+    links = temporal.compare_models(o, temporal.select_prior(temporal.models(o)))
+    told, _ = temporal.change_report(links, o)
+    changes = told.join(end("object_id", "ref"), ["model_id", "object_id"]).select("model_id", "ref", F.col("link_type").alias("change"), "volume_prior", "volume_now")
+    notes = o.where("obj_seq = 1").select("model_id", F.col("object_id").alias("item_id"), F.lit("note").alias("title"), F.lit("O1").alias("about"), F.repeat("label", 20).alias("text"))
+    return deid.model_digest(rows, near, changes, notes, BYTES)
+
+
 @query("d07_d08_digests")
 def d07(spark: SparkSession, d: str) -> DataFrame:
-    return deid.model_digest(objects(spark, d), max_bytes=600)
+    return digests(spark, d)
 
 
 @query("s03_frame_voxels", "SELECT vec_id AS series, label AS frame, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(embedding[y*8+x+1] AS DOUBLE) AS value FROM embeddings, range(8) a(y), range(8) b(x)")
@@ -69,9 +111,20 @@ def s03(spark: SparkSession, d: str) -> DataFrame:
     return writers.frames_to_voxels(frames).withColumn("value", F.col("value").cast("double"))
 
 
-@query("s11_search_documents", f"{O} SELECT model_id, string_agg(label, '; ' ORDER BY obj_seq) AS labels, string_agg(DISTINCT obj_type, ',' ORDER BY obj_type) AS types, string_agg(DISTINCT review_status, ',' ORDER BY review_status) AS states, count(*) AS object_count FROM o GROUP BY model_id")
+@query(
+    "s11_search_documents",
+    f"{O} SELECT model_id, string_agg(label, '; ' ORDER BY obj_seq) AS labels, string_agg(DISTINCT obj_type, ',' ORDER BY obj_type) AS types, string_agg(DISTINCT review_status, ',' ORDER BY review_status) AS states, string_agg(concat(label, ' volume ', CAST(round(volume_mm3) AS BIGINT), ' surface ', CAST(round(surface_area_mm2) AS BIGINT)), '; ' ORDER BY obj_seq) AS measures, count(*) AS object_count FROM o GROUP BY model_id",
+)
 def s11(spark: SparkSession, d: str) -> DataFrame:
-    return writers.search_documents(objects(spark, d)).drop("measures")
+    return writers.search_documents(objects(spark, d).withColumns({c: F.round(c).cast("long") for c in ("volume_mm3", "surface_area_mm2")}))
+
+
+@query("s10_context_bundles")
+def s10(spark: SparkSession, d: str) -> DataFrame:
+    o = objects(spark, d)
+    bindings = o.where("obj_seq % 2 = 0").select("model_id", F.lit("object").alias("target_type"), F.col("object_id").alias("target_id"), F.concat(F.lit("binding:"), "object_id").alias("binding_id"))
+    links = temporal.compare_models(o, temporal.select_prior(temporal.models(o)))
+    return writers.export_context_bundles(o, spatial.nearest(o, 6), bindings, links)
 
 
 @query("s08_nested_models")
@@ -118,6 +171,21 @@ def w06(spark: SparkSession, d: str) -> DataFrame:
     return streams.run_once(streams.sessions(closed_stream(spark, d)))
 
 
+@query("w02_sliding_counts", "WITH k AS (SELECT CAST(floor(epoch(ts) / 900) AS BIGINT) * 900 - 900 * i AS start, event_type FROM events, range(4) r(i)) SELECT start, start + 3600 AS \"end\", event_type, count(*) AS n FROM k GROUP BY ALL")
+def w02b(spark: SparkSession, d: str) -> DataFrame:
+    found = streams.run_once(streams.audit_counts(closed_stream(spark, d), "1 hour", "15 minutes"))
+    return found.select(F.unix_seconds("start").alias("start"), F.unix_seconds("end").alias("end"), "event_type", "n")
+
+
+@query(
+    "w06_session_spans",
+    "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 1800000000 AS \"end\", count(*) AS n FROM s GROUP BY user_id, k",
+)
+def w06b(spark: SparkSession, d: str) -> DataFrame:
+    found = streams.run_once(streams.sessions(closed_stream(spark, d)))
+    return found.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
 @query("w01_unique_arrivals", "SELECT user_id, event_type, count(DISTINCT (user_id, event_type)) AS n FROM events GROUP BY user_id, event_type")
 def w01(spark: SparkSession, d: str) -> DataFrame:
     found = streams.unique_arrivals(event_stream(spark, d), ["user_id", "event_type"], "ts", "3650 days")
@@ -129,3 +197,17 @@ def w04(spark: SparkSession, d: str) -> DataFrame:
     return streams.upsert_batches(event_stream(spark, d).select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
+
+
+@query("w05_stream_priors", "SELECT o_custkey AS patient_id, o_orderkey AS model_id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prior_id FROM orders")
+def w05(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    named = lambda o: o.select(F.col("o_custkey").alias("patient_id"), F.col("o_orderkey").alias("model_id"), F.col("o_orderdate").alias("study_date"))
+    return streams.enrich_prior(named(streams.stream_table(spark, d, "orders.parquet", orders.schema)), named(orders))
+
+
+@query("w03_stream_job_state", "SELECT user_id AS job_id, CASE arg_max(event_type, (ts, event_type)) WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, arg_max(event_type, (ts, event_type)) AS stage FROM events GROUP BY user_id")
+def w03(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "purchase", "completed").otherwise("running")
+    updates = closed_stream(spark, d).select(F.coalesce("user_id", F.lit(-1)).alias("job_id"), status.alias("status"), F.coalesce("event_type", F.lit("")).alias("stage"), F.col("ts").alias("updated_at"))
+    return streams.run_once(streams.job_state(updates, timeout="200 days")).where("job_id >= 0").select("job_id", "status", "stage")

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from cohortspark.operators.voxels import shared_path
 
 
 def shared_folder(df: DataFrame) -> str:
     """A new folder in the one that all executors share."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_path(df.sparkSession, "stream")
 
 
 def stream_table(spark, path: str, pattern: str, schema) -> DataFrame:
@@ -46,26 +47,81 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
     return s.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), F.col("count").alias("n"))
 
 
-def upsert_batches(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Last write of each key: each batch is merged with the table so far and written as the next version."""
-    out = shared_folder(stream)
-    spark, version = stream.sparkSession, {"path": None}
+def upsert_batches(stream: DataFrame, key: str, order: list[str], folder: str | None = None) -> DataFrame:
+    """Last write of each key: each batch is merged with the table of the batch before and written as the next version, under its number, so that a batch that runs again writes the same. With a ``folder`` of an earlier run the stream goes on where that ended."""
+    out = folder or shared_folder(stream)
+    spark = stream.sparkSession
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        old = [spark.read.parquet(version["path"])] if version["path"] else []
-        every = batch
-        for o in old:
-            every = every.unionByName(o)
+        every = batch.unionByName(spark.read.parquet(f"{out}/v{epoch - 1}")) if epoch else batch
         rest = [c for c in batch.columns if c != key]
         last = every.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last")).select(key, "last.*")
-        path = f"{out}/v{epoch}"
-        last.write.mode("overwrite").parquet(path)
-        version["path"] = path
+        last.write.mode("overwrite").parquet(f"{out}/v{epoch}")
+
+    last = each_batch(stream, merge, f"{out}/_state")
+    return spark.read.parquet(f"{out}/v{last}") if last is not None else spark.createDataFrame([], stream.schema)
+
 
-    each_batch(stream, merge, f"{out}/_state")
-    return spark.read.parquet(version["path"]) if version["path"] else spark.createDataFrame([], stream.schema)
+def enrich_prior(models: DataFrame, known: DataFrame) -> DataFrame:
+    """New models (``patient_id, model_id, study_date``), as they arrive, with the newest earlier one that is known of the same patient; ties of date go by id."""
+    out = shared_folder(models)
+    spark = models.sparkSession
 
+    def work(batch: DataFrame, epoch: int) -> None:
+        before = known.select("patient_id", F.struct("study_date", "model_id").alias("before"))
+        met = batch.join(before, "patient_id").where(F.col("before") < F.struct("study_date", "model_id"))
+        prior = met.groupBy("model_id").agg(F.max("before").alias("before")).select("model_id", F.col("before.model_id").alias("prior_id"))
+        batch.join(prior, "model_id", "left").select("patient_id", "model_id", "prior_id").write.mode("overwrite").parquet(f"{out}/rows/batch={epoch}")
 
-def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], state: str) -> None:
+    each_batch(models, work, f"{out}/_state")
+    return spark.read.parquet(f"{out}/rows").drop("batch")
+
+
+def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], state: str) -> int | None:
+    """Run ``work`` on every batch until the stream is drained; the number of the last batch, if any."""
     query = stream.writeStream.foreachBatch(work).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
+    done = query.lastProgress
+    return None if done is None else int(done["batchId"] if isinstance(done, dict) else done.batchId)
+
+
+JOB_STATE = "job_id long, status string, stage string, updated_at timestamp"
+
+
+class LastState(StatefulProcessor):
+    """Keeps the last update of a job; a job without news for ``timeout_ms`` that has not ended is failed."""
+
+    def __init__(self, timeout_ms: int, ended: tuple[str, ...]) -> None:
+        self.timeout_ms, self.ended = timeout_ms, ended
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "status string, stage string, at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best = self.last.get() if self.last.exists() else None
+        for part in rows:
+            at = part["updated_at"].astype("datetime64[us]").astype("int64")
+            for status, stage, t in zip(part["status"], part["stage"], at, strict=True):
+                if best is None or (t, stage) >= (best[2], best[1]):
+                    best = (status, stage, int(t))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.last.update(best)
+        self.handle.registerTimer(best[2] // 1000 + self.timeout_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        status, stage, at = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({"job_id": [key[0]], "status": [status if status in self.ended else "failed"], "stage": [stage], "updated_at": pd.to_datetime([at], unit="us")})
+
+    def close(self) -> None:
+        pass
+
+
+def job_state(updates: DataFrame, timeout: str = "1 hour", ended: tuple[str, ...] = ("completed", "failed"), delay: str = "1 hour") -> DataFrame:
+    """The final state of each job of ``job_id, status, stage, updated_at``, once it has had no update for ``timeout``: failed, if it has not ended by then. Needs the RocksDB state store."""
+    updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    return updates.withWatermark("updated_at", delay).groupBy("job_id").transformWithStateInPandas(LastState(ms, ended), JOB_STATE, "append", "EventTime")

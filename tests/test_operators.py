@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
+import math
 import random
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.functions import geometry as g
-from cohortspark.operators import context, deid, experiments, features, spatial, temporal, voxels
+from cohortspark.operators import context, deid, experiments, features, spatial, temporal, utterances, voxels
 from cohortspark.sources import readers
 
-BOXES = [("nodule", "finding", "Nodule", (10, 10, 10), (12, 12, 12)), ("lung", "anatomy", "Right lung", (0, 0, 0), (30, 30, 30)), ("artery", "anatomy", "Artery", (16, 10, 10), (18, 12, 12))]
+#: A stone in a kidney, and a duct 3 mm beside the stone and inside the kidney as well.
+BOXES = [("stone", "finding", "Stone", (20, 5, 5), (24, 8, 8)), ("kidney", "anatomy", "Left kidney", (10, 0, 0), (60, 40, 30)), ("duct", "anatomy", "Duct", (27, 5, 5), (30, 8, 8)), ("spine", "anatomy", "Spine", (130, 0, 0), (150, 40, 90))]
 
 
 def boxes(spark, rows=BOXES, model="m"):
@@ -26,17 +29,26 @@ def boxes(spark, rows=BOXES, model="m"):
 def test_relations_and_nearest(spark):
     o = boxes(spark)
     found = {(r["source_id"], r["target_id"]): r["type"] for r in spatial.derive_relationships(o).collect()}
-    assert found["lung", "nodule"] == "contains" and found["nodule", "lung"] == "inside"
-    assert found["nodule", "artery"] == "near"
+    assert found == {("kidney", "stone"): "contains", ("stone", "kidney"): "inside", ("kidney", "duct"): "contains", ("duct", "kidney"): "inside", ("stone", "duct"): "near", ("duct", "stone"): "near"}
     assert found == {(r["source_id"], r["target_id"]): r["type"] for r in spatial.derive_relationships(o, grid=True).collect()}
-    near = spatial.nearest(o, 1).where("object_id = 'nodule'").first()
-    assert (near["near_id"], near["gap"]) == ("artery", 4.0)
+    near = {r["object_id"]: (r["near_id"], r["gap"]) for r in spatial.nearest(o, 1).collect()}
+    assert near == {"stone": ("duct", 3.0), "duct": ("stone", 3.0), "kidney": ("stone", 0.0), "spine": ("kidney", 70.0)}
 
 
-@pytest.mark.parametrize(("low", "high", "end", "hit", "clearance"), [((4, -1, -1), (6, 1, 1), (10, 0, 0), True, 0.0), ((5, 5, -1), (6, 6, 1), (10, 0, 0), False, 5.0), ((50, 50, 50), (60, 60, 60), (100, 100, 100), True, 0.0)])
-def test_trajectories(spark, low, high, end, hit, clearance):
-    o = boxes(spark, [("vessel", "anatomy", "Vessel", low, high)])
-    path = spark.createDataFrame([("p", "m", 0.0, 0.0, 0.0, *map(float, end))], "path_id string, model_id string, sx double, sy double, sz double, ex double, ey double, ez double")
+def test_grid_finds_what_pairs_find(spark):
+    rnd = random.Random(9)
+    place = lambda wide: tuple(rnd.uniform(0, wide) for _ in range(3))
+    rows = [(f"o{i}", "anatomy", "x", low, tuple(v + rnd.uniform(0, 40) for v in low)) for i, low in enumerate([place(1500) for _ in range(60)] + [place(100) for _ in range(20)])]
+    o = boxes(spark, rows)
+    plain = lambda df: sorted((r["object_id"], r["near_id"], round(r["gap"], 9)) for r in df.collect())
+    assert plain(spatial.within_radius(o, 150.0, grid=True)) == plain(spatial.within_radius(o, 150.0))
+    assert plain(spatial.nearest(o, 3, grid=True)) == plain(spatial.nearest(o, 3))
+
+
+@pytest.mark.parametrize(("low", "high", "start", "end", "hit", "clearance"), [((-2, 3, 3), (2, 5, 5), (-8, 4, 4), (8, 4, 4), True, 0.0), ((1, 1, 1), (2, 2, 2), (0, 6, 1), (6, 6, 1), False, 4.0), ((3, 4, 0), (9, 9, 9), (0, 0, 0), (-5, 0, 0), False, 5.0), ((0, 0, 0), (4, 4, 4), (4, 9, 2), (4, 1, 2), True, 0.0)])
+def test_trajectories(spark, low, high, start, end, hit, clearance):
+    o = boxes(spark, [("box", "anatomy", "Box", low, high)])
+    path = spark.createDataFrame([("p", "m", *map(float, start), *map(float, end))], "path_id string, model_id string, sx double, sy double, sz double, ex double, ey double, ez double")
     assert spatial.trajectory_hits(o, path).count() == int(hit)
     assert spatial.trajectory_clearance(o, path).first()["clearance"] == pytest.approx(clearance)
 
@@ -53,13 +65,18 @@ def test_segment_distance_against_sampling(spark):
 
 
 def test_change_of_a_matched_object(spark):
-    now = boxes(spark, [("nodule", "finding", "Pulmonary nodule", (8.5, 8.5, 8.5), (11.5, 11.5, 11.5))], "b").withColumns({"volume_mm3": F.lit(150.0), "surface_area_mm2": F.lit(36.0)})
-    then = boxes(spark, [("nodule", "finding", "pulmonary-nodule", (9, 9, 9), (11, 11, 11))], "a").withColumns({"volume_mm3": F.lit(100.0), "surface_area_mm2": F.lit(24.0)})
+    now = boxes(spark, [("k1", "finding", "Cyst, left", (0, 0, 0), (6, 4, 2))], "b").withColumns({"volume_mm3": F.lit(48.0), "surface_area_mm2": F.lit(88.0)})
+    then = boxes(spark, [("k9", "finding", "cyst left", (0, 0, 0), (5, 4, 2))], "a").withColumns({"volume_mm3": F.lit(40.0), "surface_area_mm2": F.lit(76.0)})
     priors = spark.createDataFrame([("b", "a")], "model_id string, prior_id string")
     link = temporal.compare_models(now.unionByName(then), priors).first()
-    assert (link["link_type"], link["volume_percent"], link["diameter_delta"], link["surface_delta"]) == ("changed_from", 50.0, 1.0, 12.0)
+    assert (link["link_type"], link["volume_delta"], link["diameter_delta"], link["surface_delta"], link["centroid_distance"]) == ("changed_from", 8.0, 1.0, 12.0, 0.5)
+    assert (link["volume_percent"], link["diameter_percent"]) == (pytest.approx(20), pytest.approx(20))
     lost = temporal.compare_models(then, priors).first()
     assert lost["link_type"] == "resolved"
+    # half a turn about z and a shift bring the prior to where the object is now
+    turn = spark.createDataFrame([("b", 0.0, 0.0, math.pi, 5.0, 4.0, 0.0, 0.0, 0.0, 0.0, "zyx")], "model_id string, rx double, ry double, rz double, tx double, ty double, tz double, ox double, oy double, oz double, axes string")
+    moved = temporal.prior_objects(now.unionByName(then), priors, turn).first()
+    assert [round(moved[c], 9) for c in ("x0", "x1", "y0", "y1", "z0", "z1", "cx")] == [0, 5, 0, 4, 0, 2, 2.5]
 
 
 def test_labelmap_cube(spark):
@@ -87,18 +104,91 @@ def test_components_do_not_depend_on_partitions(spark):
 def test_scrub_and_utterances(spark):
     row = spark.createDataFrame([("P12", "Doe^Jane", "Jane Doe, doe's id P12\tseen 20240102, uid 1.2.840.1.5")], "pid string, name string, text string")
     assert row.select(deid.scrub(F.col("text"), deid.identifier_tokens(F.col("pid"), F.col("name")))).first()[0] == "[redacted] [redacted], [redacted]'s id [redacted] seen [date], uid [uid]"
-    catalogue = spark.createDataFrame([(i, n, "anatomy") for i, n in enumerate(["lung_upper_lobe_left", "lung_lower_lobe_left", "lung_upper_lobe_right", "lung_middle_lobe_right", "lung_lower_lobe_right", "trachea", "heart"])], "object_id int, label string, obj_type string")
-    spoken = spark.createDataFrame([(1, "highlight right lung"), (2, "show me the left lung and the heart")], "utterance_id int, text string")
-    found = context.resolve_utterances(spoken, catalogue).groupBy("utterance_id").agg(F.sort_array(F.collect_set("object_id")).alias("ids")).collect()
-    assert {r["utterance_id"]: r["ids"] for r in found} == {1: [2, 3, 4], 2: [0, 1, 6]}
+
+
+def said(spark, labels, *texts):
+    """What each text means among the objects ``labels`` (names, or name and type) of one model."""
+    rows = [("m", str(i), i, *(n if isinstance(n, tuple) else (n, "anatomy"))) for i, n in enumerate(labels)]
+    objects = spark.createDataFrame(rows, "model_id string, object_id string, obj_seq int, label string, obj_type string")
+    spoken = spark.createDataFrame([(i, "m", t) for i, t in enumerate(texts)], "utterance_id int, model_id string, text string")
+    found = {r["utterance_id"]: (r["intent"], r["action"], [int(t) for t in r["targets"]]) for r in utterances.resolve_utterances(spoken, objects).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def test_utterances(spark):
+    labels = ["kidney_right", "kidney_left", "rib_left_1", "rib_left_2", "rib_right_2", "nasal_sinus", "vertebrae_T5", "heart", ("series", "volume"), ("Dark spot", "region")]
+    got = said(
+        spark, labels,
+        "Highlight the right kidneys, please", "show me the second rib", "the left and right kidney", "Select the nasal sinus", "t five", "right heart", "Reset the view", "clear it", "everything", "any abnormality", "left rib and the backbone", "nothing known", "stop spinning", "zoom in on the heart", None,
+    )
+    assert got == [
+        ("highlight", None, [0]), ("highlight", None, [3, 4]), ("highlight", None, [1, 0]), ("highlight", None, [5]), ("highlight", None, [6]), ("unknown", None, []), ("view", "reset_view", []), ("clear", None, []),
+        ("highlight", None, [0, 1, 2, 3, 4, 5, 6, 7, 9]), ("highlight", None, [9]), ("highlight", None, [2, 3, 6]), ("unknown", None, []), ("view", "spin_off", []), ("view", "zoom_in", []), ("unknown", None, []),
+    ]
+
+
+def test_findings_come_before_regions(spark):
+    assert said(spark, ["heart", ("a lump", "finding"), ("Region 1", "region")], "is there anything wrong") == [("highlight", None, [1])]
+
+
+def test_displayed_labels(spark):
+    labels = ["lung_upper_lobe_left", "vertebrae_L1", "heart", "clavicula_right", "Liver lesion 2", "autochthon_left"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, label string").orderBy("i")
+    assert [r[0] for r in rows.select(utterances.display_label(F.col("label"))).collect()] == ["Left lung · upper lobe", "Vertebra L1", "Heart", "Right clavicle", "Liver lesion 2", "Left deep back muscle"]
+
+
+def test_json_texts_and_codes(spark):
+    body = json.dumps({"id": "a", "code": {"text": "Ko, \"so\": {", "coding": [{"system": "s", "code": "c1", "display": "Knee"}, {"code": "c2"}]}, "bodySite": [{"text": "leg"}], "content": ["x, y", {"n": 3, "ok": True}], "subject": {"reference": "P/1"}})
+    item = context.normalize_context(spark.createDataFrame([(0, body)], "seq int, body string"), "2024-01-01").first()
+    assert (item["item_id"], item["type"], item["title"], item["date"]) == ("a", "context", 'Ko, "so": {', "2024-01-01")
+    assert item["text"] == "x, y 3 true" and item["subject"] == "P/1"
+    assert item["codes"] == 'Ko, "so": { s c1 Knee c2 leg'
+
+
+def test_binding_by_code_label_and_words(spark):
+    objects = spark.createDataFrame([("m", "o1", 1, "Left lung", None, "K-77"), ("m", "o2", 2, "heart valve", ["mitral"], None), ("m", "o3", 3, "lung", None, None)], "model_id string, object_id string, obj_seq int, label string, terms array<string>, code string")
+    texts = ["see K-77 now", "the mitral one", "both lungs are left", "valves of hearts", "the lung", "none"]
+    items = spark.createDataFrame([("m", i, "note", "", t, "", "") for i, t in enumerate(texts)], "model_id string, item_id int, type string, title string, text string, codes string, subject string")
+    models = spark.createDataFrame([("m", "S1", "P1")], "model_id string, study_id string, patient_id string")
+    found = {r["item_id"]: (r["target_type"], r["target_id"], r["score"], r["method"]) for r in context.bind_context(items, objects, models).collect()}
+    assert found == {0: ("object", "o1", 0.98, "structured"), 1: ("object", "o2", 0.92, "text-extraction"), 2: ("object", "o1", 0.7, "text-extraction"), 3: ("object", "o2", 0.7, "text-extraction"), 4: ("object", "o3", 0.92, "text-extraction"), 5: ("patient", "P1", 0.5, "manual")}
+
+
+def test_digests_are_shortened_step_by_step(spark):
+    def one(model, n_regions, n_anatomy, note):
+        kinds = [("finding", 1)] + [("region", k) for k in range(n_regions)] + [("anatomy", k) for k in range(n_anatomy)]
+        rows = [(model, i, f"O{i}", f"{kind} number {k}", kind, float(k), 1.0, "unreviewed") for i, (kind, k) in enumerate(kinds)]
+        edges = [(model, f"O{i}", "near", f"O{i + 1}", 2.0) for i in range(len(rows) - 1)]
+        return rows, edges, [(model, 1, "note", None, note)]
+
+    parts = [one("small", 2, 2, "x"), one("regions", 12, 0, "x"), one("long note", 2, 2, "y" * 3000), one("many", 3, 200, "x")]
+    rows = spark.createDataFrame([r for p in parts for r in p[0]], "model_id string, obj_seq int, ref string, label string, obj_type string, volume_mm3 double, extent double, review_status string")
+    edges = spark.createDataFrame([r for p in parts for r in p[1]], "model_id string, a string, relation string, b string, gap double")
+    notes = spark.createDataFrame([r for p in parts for r in p[2]], "model_id string, item_id int, title string, about string, text string")
+    none = spark.createDataFrame([], "model_id string, ref string, change string, volume_prior double, volume_now double")
+    found = {r["model_id"]: (r["level"], json.loads(r["digest"])) for r in deid.model_digest(rows, edges, none, notes, 2600).collect()}
+    assert {k: v[0] for k, v in found.items()} == {"small": 0, "regions": 0, "long note": 4, "many": 5}
+    kept = [o for o in found["regions"][1]["objects"] if o["obj_type"] == "region"]
+    assert sorted(o["volume_mm3"] for o in kept) == [4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0, 11.0] and found["regions"][1]["omitted"] == 4
+    assert found["long note"][1]["context"][0]["text"] == "y" * 200
+    many = found["many"][1]
+    assert many["relations"] == [] and many["omitted"] + len(many["objects"]) == 204
+    assert len(json.dumps(many, separators=(",", ":"))) <= 2600 < len(json.dumps(many, separators=(",", ":"))) + 60
 
 
 def test_normal_functions_and_sample_size(spark):
     p = spark.createDataFrame([(1.959963984540054,)], "z double").select(experiments.p_two_sided(F.col("z"))).first()[0]
     assert p == pytest.approx(0.05)
-    d = spark.createDataFrame([("binary", 0.3, 0.48, 1.0, 1.0, 1.0, 0.1, 1.959963984540054, 0.8416212335729143)], "kind string, p0 double, p1 double, delta double, sd double, ratio double, dropout double, za double, zb double")
-    r = experiments.sample_size(d).first()
-    assert 110 <= r["control"] <= 140 and r["control"] == r["treatment"]
+    q = spark.createDataFrame([(p / 1000,) for p in (1, 20, 24, 25, 500, 800, 975, 999)], "p double").select("p", experiments.norm_quantile(F.col("p")).alias("z"), experiments.norm_cdf(experiments.norm_quantile(F.col("p"))).alias("back"))
+    for r in q.collect():
+        assert r["z"] == pytest.approx(NormalDist().inv_cdf(r["p"]), abs=1e-12) and r["back"] == pytest.approx(r["p"], abs=1e-14)
+    z = spark.createDataFrame([(x / 2,) for x in range(-18, 19)], "z double").select("z", experiments.norm_cdf(F.col("z")).alias("p"))
+    assert all(r["p"] == pytest.approx(NormalDist().cdf(r["z"]), rel=1e-9, abs=1e-15) for r in z.collect())
+    shape = "kind string, alpha double, target_power double, p0 double, p1 double, delta double, sd double, hazard_ratio double, event_rate double, ratio double, dropout double"
+    d = spark.createDataFrame([("binary", 0.05, 0.9, 0.25, 0.4, 1.0, 1.0, 0.5, 0.5, 1.0, 0.0), ("continuous", 0.05, 0.8, 0.1, 0.2, 5.0, 10.0, 0.5, 0.5, 1.0, 0.2), ("time-to-event", 0.05, 0.8, 0.1, 0.2, 1.0, 1.0, 0.5, 0.5, 1.0, 0.0)], shape)
+    got = {r["kind"]: (r["control"], r["treatment"]) for r in experiments.sample_size(d).collect()}
+    # (1.96 * sqrt(2 * 0.325 * 0.675) + 1.2816 * sqrt(0.1875 + 0.24))^2 / 0.15^2 = 202.8; 2 * 2.8016^2 * 100 / 25 = 62.8, over 0.8; 4 * 2.8016^2 / ln(2)^2 = 65.4 events
+    assert got == {"binary": (203, 203), "continuous": (79, 79), "time-to-event": (66, 66)}
 
 
 def test_linear_fit_recovers_a_line(spark):
@@ -108,9 +198,13 @@ def test_linear_fit_recovers_a_line(spark):
 
 
 def test_readers(spark, tmp_path):
-    (tmp_path / "h.json").write_text(json.dumps({"0020000D": {"vr": "UI", "Value": ["1.2"]}, "00100010": {"vr": "PN", "Value": [{"Alphabetic": "Doe^Jane"}]}, "00280010": {"vr": "US", "Value": [8]}}))
+    (tmp_path / "h.json").write_text(json.dumps({"0020000D": {"vr": "UI", "Value": ["1.2"]}, "00100010": {"vr": "PN", "Value": [{"Alphabetic": "Doe^Jane"}]}, "00280010": {"vr": "US", "Value": ["no number"]}, "00280011": {"vr": "US", "Value": [8]}}, indent=2))
     h = readers.read_dicom_json(spark, str(tmp_path / "h.json")).first()
-    assert (h["study_uid"], h["patient_name"], h["rows"]) == ("1.2", "Doe^Jane", 8)
+    assert (h["study_uid"], h["patient_name"], h["rows"], h["columns"]) == ("1.2", "Doe^Jane", None, 8)
+    (tmp_path / "many.json").write_text('[{"0020000D": {"Value": ["1"]}},\n {"0020000D": {"Value": ["2"]}}]')
+    assert sorted(r["study_uid"] for r in readers.read_dicom_json(spark, str(tmp_path / "many.json")).collect()) == ["1", "2"]
+    (tmp_path / "lines.json").write_text('{"0020000D": {"Value": ["1"]}}\n{"0020000D": {"Value": ["2"]}}\n')
+    assert readers.read_dicom_json(spark, str(tmp_path / "lines.json"), lines=True).count() == 2
     (tmp_path / "b.json").write_text(json.dumps({"resourceType": "Bundle", "entry": [{"resource": {"resourceType": "DiagnosticReport", "id": "r1", "code": {"text": "Follow-up"}, "valueString": "stable"}}, {"resource": {"resourceType": "Note"}}]}))
     items = context.normalize_context(readers.read_context(spark, str(tmp_path / "b.json")), "2024-01-01").collect()
     assert [(i["item_id"], i["type"], i["title"], i["text"]) for i in items] == [("r1", "diagnosticreport", "Follow-up", "stable"), ("source-1", "note", "Note", "")]
@@ -120,7 +214,7 @@ def test_readers(spark, tmp_path):
     assert sorted(r["reason"] for r in bad.collect()) == ["no label", "repeated", "repeated"]
     (tmp_path / "m.json").write_text('{"model_id": "a", "patient_id": "p", "objects": [{"object_id": "x", "type": "finding"}]}\n{broken\n')
     assert readers.flatten_models(readers.read_models(spark, str(tmp_path / "m.json"))).count() == 1
-    assert readers.file_manifest(spark, str(tmp_path)).count() == 4
+    assert readers.file_manifest(spark, str(tmp_path)).count() == 6
 
 
 def test_plans_stay_in_the_jvm_and_without_products(spark):
