@@ -390,7 +390,8 @@ _TAIL = "list_sum([(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2
 
 @query("x01_two_sided_p", f"{X}, t AS (WITH {PROPORTIONS.format('oc')}) SELECT experiment, round(2 * {_TAIL}, 6) AS p FROM t")
 def x01(spark: SparkSession, d: str) -> DataFrame:
-    return experiments.two_proportion_test(outcomes(spark, d)).select("experiment", F.round(experiments.p_two_sided(F.col("z")), 6).alias("p"))
+    z = F.round("z", 6)
+    return experiments.two_proportion_test(outcomes(spark, d)).select("experiment", F.round(experiments.p_two_sided(z), 6).alias("p"))
 
 
 @query("x05_mean_difference", f"{X} SELECT experiment, round(avg(value) FILTER (WHERE arm=1) - avg(value) FILTER (WHERE arm=0), 6) AS effect, round((avg(value) FILTER (WHERE arm=1) - avg(value) FILTER (WHERE arm=0))/(25.0*sqrt(1.0/count(*) FILTER (WHERE arm=0) + 1.0/count(*) FILTER (WHERE arm=1))), 6) AS z FROM oc GROUP BY experiment")
