@@ -30,7 +30,7 @@ U = np.uint64
 
 def bucket_bits(n_entries: float, each: float = 500_000) -> int:
     """Bits of the number of buckets, for ``each`` entries a bucket at most on average."""
-    return int(np.clip(np.ceil(np.log2(max(n_entries / each, 1))), 5, 22))
+    return int(np.clip(np.ceil(np.log2(max(n_entries / each, 1))), 5, 26))
 
 
 def planes(x: np.ndarray, width: int) -> bytes:

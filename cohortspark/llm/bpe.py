@@ -78,6 +78,9 @@ class BytePairCoder:
         import regex
 
         model = json.loads(spec)
+        split, options = model.get("pre_tokenizer") or {}, model["model"]
+        if model.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or options.get("ignore_merges") or options.get("dropout"):
+            raise ValueError("not a byte-level tokenizer with the usual split pattern and plain merges")
         vocab = model["model"]["vocab"]
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}

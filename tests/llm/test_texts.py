@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 
@@ -34,6 +35,13 @@ def test_tokens_match_the_library(spark):
     assert bpe.bpe_encode(docs(spark).limit(0), PATH).count() == 0
 
 
+def test_other_tokenizers_are_refused():
+    model = json.loads(bpe.tokenizer_spec(PATH))
+    for change in ({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}):
+        with pytest.raises(ValueError, match="byte-level"):
+            bpe.BytePairCoder(json.dumps(model | change))
+
+
 def test_round_trip_query(spark):
     t = Tokenizer.from_file(PATH)
     rows = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
