@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import geometry as g
 from cohortspark.operators import context, deid, experiments, features, spatial, temporal, utterances, voxels
-from cohortspark.sources import readers
+from cohortspark.sources import readers, writers
 
 #: A stone in a kidney, and a duct 3 mm beside the stone and inside the kidney as well.
 BOXES = [("stone", "finding", "Stone", (20, 5, 5), (24, 8, 8)), ("kidney", "anatomy", "Left kidney", (10, 0, 0), (60, 40, 30)), ("duct", "anatomy", "Duct", (27, 5, 5), (30, 8, 8)), ("spine", "anatomy", "Spine", (130, 0, 0), (150, 40, 90))]
@@ -217,6 +217,14 @@ def test_readers(spark, tmp_path):
     assert readers.file_manifest(spark, str(tmp_path)).count() == 6
 
 
+def test_written_data_sets_are_read_as_labels(spark, tmp_path):
+    rows = spark.createDataFrame([("m1", "yes", 2.5, 9), ("m2", "no", 0.0, 9)], "model_id string, label string, object_count double, other int")
+    writers.write_dataset_csv(rows, f"{tmp_path}/set", ["model_id", "label", "object_count"])
+    assert spark.read.csv(f"{tmp_path}/set", header=True).columns == ["model_id", "label", "object_count"]
+    good, bad = readers.read_labels(spark, f"{tmp_path}/set")
+    assert {r["model_id"]: r["y"] for r in good.withColumn("y", features.coerce_label(F.col("label"), "binary")).collect()} == {"m1": 1.0, "m2": 0.0} and bad.isEmpty()
+
+
 def test_plans_stay_in_the_jvm_and_without_products(spark):
     o = boxes(spark)
     plan = spatial.derive_relationships(o, grid=True)._jdf.queryExecution().executedPlan().toString()
