@@ -28,8 +28,8 @@ def flatten_text(body: Column) -> Column:
     pattern = r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|-?[0-9][-+.0-9eE]*|true|false'
     found = F.filter(F.regexp_extract_all(body, F.lit(pattern), 0), lambda t: ~t.rlike(r':$'))
     scalars = F.from_json(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")), "array<string>")
-    nested = body.rlike(r'^\s*[\[{"]')
-    return F.when(nested & scalars.isNotNull(), F.array_join(scalars, " ")).otherwise(F.coalesce(body, F.lit("")))
+    nested = body.rlike(r"^\s*[\[{]") & F.try_parse_json(body).isNotNull()
+    return F.when(nested, F.array_join(scalars, " ")).otherwise(F.coalesce(body, F.lit("")))
 
 
 def code_text(body: Column) -> Column:
