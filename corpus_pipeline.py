@@ -7,6 +7,9 @@
 5. ``packing``: what is left, as pieces of power-of-two length.
 
 Nulls in other columns pass through; ``n_chars`` is counted anew after a text changed.
+A null id is an id like others, last in the third stage's order; a repeated row stays
+once from there on; very long texts are processed whole; columns that documents do not
+have are left out by the first stage; an empty table gives no pieces.
 """
 
 from __future__ import annotations
