@@ -68,8 +68,7 @@ def repeated_words(words: Column) -> Column:
     words as are left before the next. Short texts have hash (52 bits at least) and place
     in one number, which sorts faster.
     """
-    n = F.size(words)
-    hashed = lambda w, i, seed: F.xxhash64(F.lit(seed), F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    hashed = lambda w, i, seed: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), *seed)
 
     def covered(places: Column) -> Column:
         width = lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3).cast("long")))
@@ -80,17 +79,18 @@ def repeated_words(words: Column) -> Column:
         return F.sort_array(F.transform(F.filter(keys, lambda k, i: same(k, i - 1) | same(k, i + 1)), place_of))
 
     def short(w: Column) -> Column:
+        n = F.size(w)
         bits = F.length(F.bin(n.cast("long")))
         cut = lambda h: F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits)
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        keys = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: cut(hashed(w, i, 3)).bitwiseOR(i.cast("long"))))
+        keys = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: cut(hashed(w, i, ())).bitwiseOR(i.cast("long"))))
         return let(keys, lambda k: let(repeated(k, lambda x: F.call_function("shiftright", x, bits), lambda x: x.bitwiseAND(mask)), covered))
 
     def long(w: Column) -> Column:
-        keys = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.struct(hashed(w, i, 3).alias("a"), hashed(w, i, 7).alias("b")).alias("hash"), i.cast("long").alias("place"))))
+        keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.struct(hashed(w, i, ()).alias("a"), hashed(w, i, (F.lit(7),)).alias("b")).alias("hash"), i.cast("long").alias("place"))))
         return let(keys, lambda k: let(repeated(k, lambda x: x["hash"], lambda x: x["place"]), covered))
 
-    return let(words, lambda w: F.when(n < 3, F.lit(0).cast("long")).when(n < MANY_WORDS, short(w)).otherwise(long(w)))
+    return let(words, lambda w: F.when(F.size(w) < 3, F.lit(0).cast("long")).when(F.size(w) < MANY_WORDS, short(w)).otherwise(long(w)))
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
