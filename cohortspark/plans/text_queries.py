@@ -210,4 +210,4 @@ def w05(spark: SparkSession, d: str) -> DataFrame:
 def w03(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "completed").otherwise("running")
     updates = closed_stream(spark, d).select(F.coalesce("user_id", F.lit(-1)).alias("job_id"), status.alias("status"), F.coalesce("event_type", F.lit("")).alias("stage"), F.col("ts").alias("updated_at"))
-    return streams.run_once(streams.job_state(updates, timeout="200 days")).where("job_id >= 0").select("job_id", "status", "stage")
+    return streams.run_once(streams.job_state(updates, timeout="200 days"), settings=streams.ROCKS_DB).where("job_id >= 0").select("job_id", "status", "stage")

@@ -23,11 +23,18 @@ def stream_table(spark, path: str, pattern: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Drain a stream into a table of the shared folder and return that."""
-    out = shared_folder(stream)
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}/_state").trigger(availableNow=True).start(f"{out}/rows")
-    query.awaitTermination()
+def run_once(stream: DataFrame, mode: str = "append", settings: dict[str, str] | None = None) -> DataFrame:
+    """Drain a stream into a table of the shared folder and return that. ``settings`` hold for the session meanwhile."""
+    out, conf = shared_folder(stream), stream.sparkSession.conf
+    before = {k: conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            conf.set(k, v)
+        query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}/_state").trigger(availableNow=True).start(f"{out}/rows")
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
@@ -85,6 +92,8 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], state:
     return None if done is None else int(done["batchId"] if isinstance(done, dict) else done.batchId)
 
 
+#: The state store of streams with timers.
+ROCKS_DB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 JOB_STATE = "job_id long, status string, stage string, updated_at timestamp"
 
 
@@ -121,7 +130,6 @@ class LastState(StatefulProcessor):
 
 
 def job_state(updates: DataFrame, timeout: str = "1 hour", ended: tuple[str, ...] = ("completed", "failed"), delay: str = "1 hour") -> DataFrame:
-    """The final state of each job of ``job_id, status, stage, updated_at``, once it has had no update for ``timeout``: failed, if it has not ended by then. Needs the RocksDB state store."""
-    updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """The final state of each job of ``job_id, status, stage, updated_at``, once it has had no update for ``timeout``: failed, if it has not ended by then. Needs ROCKS_DB."""
     ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
     return updates.withWatermark("updated_at", delay).groupBy("job_id").transformWithStateInPandas(LastState(ms, ended), JOB_STATE, "append", "EventTime")
