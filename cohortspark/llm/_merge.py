@@ -8,6 +8,7 @@ The result is that of the tokenizers library and of ``bpe.BytePairCoder``.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Collection
 
 import numpy as np
 
@@ -208,13 +209,18 @@ class ManyWords:
         bounds = np.cumsum(np.bincount(owner, counts[group], minlength=len(texts)).astype(np.int64))
         return np.split(ids, bounds[:-1])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        """As ``encode``, with names of special tokens as plain text."""
+        return self.encode(texts, special=())
+
+    def encode(self, texts: list[str], special: Collection[str] | None = None) -> list[np.ndarray]:
         """Ids of every text, as unsigned 32-bit numbers."""
+        special = self.coder.special if special is None else special
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         held: list[int] = []
         chars = 0
         for i, text in enumerate(texts):
-            if any(s in text for s in self.coder.special):
+            if any(s in text for s in special):
                 out[i] = np.array(self.coder.encode(text), np.uint32)
                 continue
             if held and chars + len(text) > AT_ONCE:

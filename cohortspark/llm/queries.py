@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import bpe, chat, fingerprints, langid, licenses, line_dedup, ngram_join, packing, quality_rules, suffix_dedup
+from cohortspark.llm import alignment, bpe, chat, fingerprints, langid, licenses, line_dedup, ngram_join, packing, pieces, quality_rules, suffix_dedup
 from cohortspark.llm._common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_line_dedup, op4_ngram_jaccard_join, op5_language_id, op6_packing, op7_quality_rules, op8_chat_formatting, op9_license_scans, op10_fingerprints)}
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(documents(spark, sf_dir), TOKENIZER, PIECES)
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_round_trip(documents(spark, sf_dir), PIECES)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_line_dedup, op4_ngram_jaccard_join, op5_language_id, op6_packing, op7_quality_rules, op8_chat_formatting, op9_license_scans, op10_fingerprints, op12_alignment, op13_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_formatting": """
