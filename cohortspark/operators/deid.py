@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns of identifiers. Fixed values.
-UID = r"\b\d+(?:\.\d+){4,}\b"
-DATE = r"\b(?:\d{4}-\d{2}-\d{2}|(?:19|20)\d{6})\b"
+#: Patterns of identifiers, over characters as Unicode defines them. A date has its parts joined by a hyphen, slash, dot or nothing, and a month and day that can be. Fixed values.
+UID = r"(?U)\b[0-2](?:\.\d+){4,}\b"
+DATE = r"(?U)\b(?:19|20)\d{2}[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])\b"
 
 
 def identifier_tokens(patient_id: Column, name: Column) -> Column:
     """The id and the parts of the name, from three characters on."""
-    return F.array_distinct(F.filter(F.concat(F.array(patient_id), F.split(name, r"[\^\s,]+")), lambda t: F.length(t) >= 3))
+    parts = F.concat(F.array(F.trim(F.coalesce(patient_id, F.lit("")))), F.split(F.coalesce(name, F.lit("")), r"[\^\s,]+"))
+    return F.array_distinct(F.filter(parts, lambda t: F.length(t) >= 3))
+
+
+def quoted(token: Column) -> Column:
+    """A pattern that matches just ``token``."""
+    return F.concat(F.lit(r"\Q"), F.replace(token, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
 def scrub(text: Column, identifiers: Column, limit: int | None = None) -> Column:
-    """Control characters to spaces; identifiers (any case, not inside words), UIDs and dates to marks."""
-    clean = F.regexp_replace(text, r"[\x00-\x1f\x7f]+", " ")
-    quoted = F.array_join(F.transform(identifiers, lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
-    pattern = F.when(F.size(identifiers) > 0, F.concat(F.lit(r"(?i)(?<!\w)(?:"), quoted, F.lit(r")(?!\w)"))).otherwise(F.lit(r"$^"))
+    """Control characters to spaces, none of which stay at the ends; identifiers (any case, not inside words), UIDs and dates to marks."""
+    clean = F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1f\x7f]+", " "), r"(?U)^\s+|\s+$", "")
+    own = F.array_join(F.transform(identifiers, quoted), "|")
+    pattern = F.when(F.size(identifiers) > 0, F.concat(F.lit(r"(?iuU)(?<!\w)(?:"), own, F.lit(r")(?!\w)"))).otherwise(F.lit(r"$^"))
     out = F.regexp_replace(clean, pattern, F.lit("[redacted]"))
     out = F.regexp_replace(F.regexp_replace(out, UID, "[uid]"), DATE, "[date]")
     return F.substring(out, 1, limit) if limit else out

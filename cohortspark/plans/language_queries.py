@@ -113,12 +113,13 @@ def c09(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "c12_context_digest",
     f"""{I} SELECT it.model_id, item_id, title, type, CAST(date_diff('day', CAST(date AS DATE), DATE '2024-07-01') AS INTEGER) AS days_before_study, CASE WHEN target_type = 'object' THEN concat('O', target_id) END AS about,
-substr(regexp_replace(regexp_replace(text, '[\\x00-\\x1f\\x7f]+', ' ', 'g'), '\\b(?:\\d{{4}}-\\d{{2}}-\\d{{2}}|(?:19|20)\\d{{6}})\\b', '[date]', 'g'), 1, 600) AS text FROM it JOIN bi USING (model_id, item_id)""",
+substr(concat('[redacted] of [date], [date], [date], [date], not 2024-13-40, [uid]', rtrim(regexp_replace(regexp_replace(concat(' ', text), '[\\x00-\\x1f\\x7f]+', ' ', 'g'), '\\b(19|20)\\d\\d[-/.]?(0[1-9]|1[012])[-/.]?(0[1-9]|[12]\\d|3[01])\\b', '[date]', 'g'))), 1, 600) AS text FROM it JOIN bi USING (model_id, item_id)""",
 )
 def c12(spark: SparkSession, d: str) -> DataFrame:
     refs = catalogue(spark, d).select("model_id", F.col("object_id").cast("string").alias("object_id"), F.concat(F.lit("O"), "object_id").alias("ref"))
     facts = studies(spark, d).select("model_id", F.lit("20240701").alias("study_date"), F.array(F.concat(F.lit("no-such-patient-"), "model_id")).alias("identifiers"))
-    return context.context_digest(items(spark, d), bindings(spark, d), refs, facts)
+    told = F.concat(F.lit(" No-such-patient-"), F.col("model_id").cast("string"), F.lit(" of 2024-05-01, 2024/05/01, 2024.05.01, 20240501, not 2024-13-40, 1.2.840.10008.5 "), "text")
+    return context.context_digest(items(spark, d).withColumn("text", told), bindings(spark, d), refs, facts)
 
 
 @query("a07_reviewed_bindings", f"{I} SELECT model_id, binding_id, CASE WHEN item_id % 6 = 0 THEN 'confirmed' WHEN item_id % 6 = 2 THEN 'rejected' ELSE 'unreviewed' END AS review_status FROM bi")

@@ -33,13 +33,31 @@ def l11(spark: SparkSession, d: str) -> DataFrame:
     return context.label_vocabulary(table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_type").alias("label")))
 
 
-@query("d01_scrubbed", "SELECT c_custkey, concat('Seen ', c_custkey, CASE WHEN length(CAST(c_custkey AS VARCHAR)) < 8 THEN 'x99' ELSE 'x' END, ' on [date], uid [uid], by [redacted]') AS clean FROM customer")
+#: Texts with identifiers and dates of every form, and what may be left of them, by customer number modulo their count. KEY stands for the customer's number.
+FORMS = (
+    ("Seen KEY on 2024-05-01, uid 1.2.840.10008.5.1", "Seen KEY on [date], uid [uid]"),
+    ("2024/05/01 and 2024.05.01 and 20240501", "[date] and [date] and [date]"),
+    ("2024-0501, 2024/05-01; x20240501 20240501x 120240501", "[date], [date]; x20240501 20240501x 120240501"),
+    ("2024-13-01 2024-00-10 2024-05-32 1899-12-31 2100-01-01", "2024-13-01 2024-00-10 2024-05-32 1899-12-31 2100-01-01"),
+    ("9.2.840.10008.5 0.1.2.3 0.1.2.3.4 12.1.2.3.4.5", "9.2.840.10008.5 0.1.2.3 [uid] 12.[uid]"),
+    ("\t pKEY, (PKEY) PKEY-2 PKEYx _PKEY\n", "[redacted], ([redacted]) [redacted]-2 PKEYx _PKEY"),
+    ("O'Neil \\E (a+b) von o'neil", "[redacted] [redacted] [redacted] von [redacted]"),
+)
+
+
+def forms_sql(column: str) -> str:
+    quoted = ("'" + form[column == "clean"].replace("'", "''") + "'" for form in FORMS)
+    cases = " ".join(f"WHEN {i} THEN replace({q}, 'KEY', CAST(c_custkey + 100 AS VARCHAR))" for i, q in enumerate(quoted))
+    return f"CASE c_custkey % {len(FORMS)} {cases} END"
+
+
+@query("d01_scrubbed", f"SELECT c_custkey, {forms_sql('clean')} AS clean FROM customer")
 def d01(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer")
-    key = F.col("c_custkey").cast("string")
-    text = F.concat(F.lit("Seen "), key, F.when(F.length(key) < 8, "x99").otherwise("x"), F.lit(" on 2024-05-01, uid 1.2.840.10008.5.1, by "), F.col("c_name"))
-    ids = deid.identifier_tokens(F.concat(F.lit("P"), key), F.col("c_name"))
-    return c.select("c_custkey", deid.scrub(text, ids).alias("clean"))
+    key = (F.col("c_custkey") + 100).cast("string")
+    text = F.coalesce(*(F.when(F.col("c_custkey") % len(FORMS) == i, F.replace(F.lit(raw), F.lit("KEY"), key)) for i, (raw, _) in enumerate(FORMS)))
+    ids = deid.identifier_tokens(F.concat(F.lit(" P"), key), F.lit("O'Neil^(a+b) \\E^^jr"))
+    names = F.concat(ids, F.array(F.lit("\\E")))
+    return table(spark, d, "customer").select("c_custkey", deid.scrub(text, names).alias("clean"))
 
 
 @query("d02_identifiers", "SELECT c_custkey, array_to_string([t FOR t IN list_distinct(list_prepend(concat('P', c_custkey), regexp_split_to_array(c_name, '[\\^\\s,]+'))) IF length(t) >= 3].list_sort(), ',') AS tokens FROM customer")
@@ -58,10 +76,15 @@ def d04(spark: SparkSession, d: str) -> DataFrame:
     return deid.violations(o, "text", "pid").select("o_orderkey")
 
 
-@query("d04_asserted", f"SELECT o_orderkey, {NOTE} AS text FROM orders WHERE o_orderkey % 3 = 2")
+#: Notes whose identifiers scrubbing takes out.
+OPEN_NOTE = "CASE o_orderkey % 3 WHEN 0 THEN 'uid 1.2.840.10008.5.1.4 of 2024.05.01' WHEN 1 THEN concat('seen by p', o_custkey + 100, ' on 2024/05/01') ELSE 'nothing to see' END"
+
+
+@query("d04_asserted", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'uid [uid] of [date]' WHEN 1 THEN 'seen by [redacted] on [date]' ELSE 'nothing to see' END AS text FROM orders")
 def d04b(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("pid"), F.expr(NOTE).alias("text")).where("o_orderkey % 3 = 2")
-    return deid.assert_deidentified(o, "text", "pid").select("o_orderkey", "text")
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("P"), (F.col("o_custkey") + 100).cast("string")).alias("pid"), F.expr(OPEN_NOTE).alias("text"))
+    clean = o.withColumn("text", deid.scrub(F.col("text"), deid.identifier_tokens(F.col("pid"), F.lit(None).cast("string"))))
+    return deid.assert_deidentified(clean, "text", "pid").select("o_orderkey", "text")
 
 
 @query("d05_synthetic", "SELECT o_orderkey, (o_orderkey % 4 = 0 OR o_custkey % 5 = 0) AS synthetic FROM orders")
