@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions import geometry as g
-from cohortspark.operators.voxels import shared_table
+from cohortspark.operators.tables import shared_table
 
 BOX = [f"{x}{i}" for x in "xyz" for i in (0, 1)]
 SHAPE = ["object_id", "obj_seq", "label", "obj_type", "cx", "cy", "cz", *BOX]

@@ -1,21 +1,30 @@
-"""Voxel and pixel analytics (V) on long rows ``frame, x, y, v``."""
+"""Voxel and pixel analytics (V) on long rows ``series, frame, y, x, v`` of any number of volumes. ``frame`` is a whole number, the place in the volume."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.operators.components import voxel_components
+
+__all__ = ["voxel_components"]
+
+FRAME = ("series", "frame")
+
 
 def rescale(value: Column, slope: Column, intercept: Column) -> Column:
     """A slope of null or 0 counts as 1, a missing intercept as 0."""
     return value * F.coalesce(F.nullif(slope, F.lit(0.0)), F.lit(1.0)) + F.coalesce(intercept, F.lit(0.0))
 
 
+def frame_places(voxels: DataFrame) -> DataFrame:
+    """Voxels whose ``frame`` is anything that has an order (a date, a position) with its place in the series, from 0."""
+    places = voxels.select("series", "frame").distinct().withColumn("place", F.row_number().over(Window.partitionBy("series").orderBy("frame")) - 1)
+    return voxels.join(places, ["series", "frame"]).drop("frame").withColumnRenamed("place", "frame")
+
+
 def frame_stats(voxels: DataFrame) -> DataFrame:
-    return voxels.groupBy("frame").agg(F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.avg("v").alias("v_mean"), (F.max("y") + 1).alias("rows"), (F.max("x") + 1).alias("columns"), F.count(F.lit(1)).alias("n"))
+    return voxels.groupBy(*FRAME).agg(F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.avg("v").alias("v_mean"), (F.max("y") + 1).alias("rows"), (F.max("x") + 1).alias("columns"), F.count(F.lit(1)).alias("n"))
 
 
 def window_level(value: Column, low: Column, high: Column) -> Column:
@@ -24,21 +33,21 @@ def window_level(value: Column, low: Column, high: Column) -> Column:
 
 
 def plane_levels(voxels: DataFrame) -> DataFrame:
-    plane = Window.partitionBy("frame")
-    return voxels.select("frame", "x", "y", window_level(F.col("v"), F.min("v").over(plane), F.max("v").over(plane)).alias("level"))
+    """Each frame's voxels from its own least value (0) to its own largest (255)."""
+    ends = voxels.groupBy(*FRAME).agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return voxels.join(ends, list(FRAME)).select(*FRAME, "y", "x", window_level(F.col("v"), F.col("low"), F.col("high")).alias("level"))
 
 
 def plane_slice(voxels: DataFrame, plane: str, index: int | None = None) -> DataFrame:
-    """One plane of a volume of frames: axial (a frame), coronal (a row) or sagittal (a column); the middle by default, the index clamped; z runs downwards in the last two."""
-    z = voxels.select("frame").distinct().withColumn("z", F.dense_rank().over(Window.orderBy("frame")) - 1)  # one row for each frame
-    placed = voxels.join(z, "frame")
+    """One plane of every volume: axial (a frame), coronal (a row) or sagittal (a column); the middle of each by default, the index clamped; z runs downwards in the last two."""
     axis = {"axial": "z", "coronal": "y", "sagittal": "x"}[plane]
-    last = placed.agg(F.max(axis).alias("last"), F.max("z").alias("top"))
+    placed = frame_places(voxels).withColumnRenamed("frame", "z")
+    last = placed.groupBy("series").agg(F.max(axis).alias("last"), F.max("z").alias("top"))
     wanted = F.floor((F.col("last") + 1) / 2) if index is None else F.lit(index)
-    cut = placed.crossJoin(F.broadcast(last)).where(F.col(axis) == F.greatest(F.lit(0), F.least(wanted, F.col("last"))))  # ``last`` is one row
+    cut = placed.join(last, "series").where(F.col(axis) == F.greatest(F.lit(0), F.least(wanted, F.col("last"))))
     down = F.col("y") if plane == "axial" else F.col("top") - F.col("z")
     across = F.col("y") if plane == "sagittal" else F.col("x")
-    return cut.select(down.cast("int").alias("row"), across.cast("int").alias("column"), "v")
+    return cut.select("series", down.cast("int").alias("row"), across.cast("int").alias("column"), "v")
 
 
 def volume_manifest(voxels: DataFrame) -> DataFrame:
@@ -49,80 +58,23 @@ def volume_manifest(voxels: DataFrame) -> DataFrame:
 
 def frame_threshold(voxels: DataFrame, share: float = 0.97) -> DataFrame:
     """Voxels at or above their frame's percentile; frames with fewer than two hits vanish."""
-    limits = voxels.groupBy("frame").agg(F.percentile("v", share).alias("limit"))
-    hits = voxels.join(limits, "frame").where("v >= limit")
-    return hits.withColumn("hits", F.count(F.lit(1)).over(Window.partitionBy("frame"))).where("hits >= 2").drop("hits", "limit")
+    limits = voxels.groupBy(*FRAME).agg(F.percentile("v", share).alias("limit"))
+    hits = voxels.join(limits, list(FRAME)).where("v >= limit")
+    return hits.withColumn("hits", F.count(F.lit(1)).over(Window.partitionBy(*FRAME))).where("hits >= 2").drop("hits", "limit")
 
 
 def stride_sample(voxels: DataFrame, cap: int = 1000) -> DataFrame:
     """Every ``max(1, n // cap)``-th hit of a frame in row-major order: a sampling operator."""
-    frame = Window.partitionBy("frame")
+    frame = Window.partitionBy(*FRAME)
     ranked = voxels.withColumns({"n": F.count(F.lit(1)).over(frame), "rank": F.row_number().over(frame.orderBy("y", "x"))})
     return ranked.where((F.col("rank") - 1) % F.greatest(F.lit(1), F.floor(F.col("n") / cap)) == 0).drop("n", "rank")
 
 
-def voxel_id() -> Column:
-    return F.concat_ws("|", F.date_format("frame", "yyyy-MM-dd"), F.lpad(F.col("y").cast("string"), 4, "0"), F.lpad(F.col("x").cast("string"), 4, "0"))
-
-
-def neighbor_edges(voxels: DataFrame) -> DataFrame:
-    """``a, b`` for six-neighbours, from each voxel to the next along x, y and frame."""
-    at = voxels.select("frame", "x", "y", voxel_id().alias("a"))
-    steps = F.array(F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy"), F.lit(0).alias("dz")), F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy"), F.lit(0).alias("dz")), F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.lit(1).alias("dz")))
-    moved = at.select("a", F.explode(steps).alias("s"), "frame", "x", "y").select("a", F.date_add("frame", F.col("s.dz")).alias("frame"), (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
-    return moved.join(at.withColumnRenamed("a", "b"), ["frame", "x", "y"]).select("a", "b")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can read and write. Only where the session names none and all tasks run in this process, as in tests, one is made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        folder = context.getCheckpointDir()
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def shared_table(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder all executors share, and read again: lineage ends there."""
-    path = shared_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame, limit: int = 60) -> DataFrame:
-    """``id, component`` (the smallest id reached) for nodes ``id`` and edges ``a, b``.
-
-    Each round, every node takes the smallest label among its neighbours and its
-    label's label, so paths halve; rounds are written to the shared folder.
-    """
-    both = shared_table(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = shared_table(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(limit):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("jump"))
-        stepped = labels.join(near, "id", "left").join(jump, "component")
-        new = shared_table(stepped.select("id", F.least("component", "jump", "near").alias("component"), (F.least("component", "jump", "near") < F.col("component")).alias("changed")))
-        labels = new.select("id", "component")
-        if new.where("changed").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
-
-
-def voxel_components(voxels: DataFrame) -> DataFrame:
-    """Voxels with their six-neighbour component."""
-    named = shared_table(voxels.withColumn("id", voxel_id()))
-    found = connected_components(named.select("id"), neighbor_edges(named))
-    return named.join(found, "id").drop("id")
-
-
 def top_components(components: DataFrame, min_size: int = 3, k: int = 8) -> DataFrame:
-    """The ``k`` largest components of ``min_size`` voxels or more, ties to the smallest voxel: a top-k report."""
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
-    return sizes.orderBy(F.desc("n"), "component").limit(k)
+    """Of each series the ``k`` largest components of ``min_size`` voxels or more, ties to the first voxel: a top-k report."""
+    sizes = components.groupBy("series", "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
+    order = Window.partitionBy("series").orderBy(F.desc("n"), "component")
+    return sizes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def patient_axes() -> dict[str, Column]:
@@ -137,8 +89,8 @@ def patient_point(x: Column, y: Column, g: dict[str, Column]) -> dict[str, Colum
 
 
 def voxel_to_patient(voxels: DataFrame, frames: DataFrame) -> DataFrame:
-    """Voxels with their place in patient space, by the geometry of ``frames(frame, ox..., rx..., ux..., sx, sy)``; a frame without one has the usual axes at the origin."""
-    placed = voxels.join(frames, "frame", "left")
+    """Voxels with their place in patient space, by the geometry of ``frames(series, frame, ox..., rx..., ux..., sx, sy)``; a frame without one has the usual axes at the origin."""
+    placed = voxels.join(frames, list(FRAME), "left")
     return placed.select(*voxels.columns, *(c.alias(k) for k, c in patient_point(F.col("x"), F.col("y"), patient_axes()).items()))
 
 
@@ -154,31 +106,32 @@ def series_volume_objects(instances: DataFrame, keys: list[str]) -> DataFrame:
     return box.withColumns({f"c{x}": (F.col(f"{x}0") + F.col(f"{x}1")) / 2 for x in "xyz"} | {"obj_type": F.lit("volume"), "volume_mm3": w * h * l, "surface_area_mm2": 2 * (w * h + w * l + h * l)})
 
 
-def resample_labels(labels: DataFrame, targets: DataFrame, axes: dict[str, tuple[int, float, float, float, float]], scale: float) -> DataFrame:
-    """``tx, ty, tz, label``: the nearest label of ``x, y, z, label`` at each target voxel (``tx..`` and its place ``mx..`` in mm), 0 outside.
+def resample_labels(labels: DataFrame, targets: DataFrame, grids: DataFrame) -> DataFrame:
+    """``series, tx, ty, tz, label``: of each series the nearest label of ``series, x, y, z, label`` at each target voxel (``tx..`` and its place ``mx..`` in mm), 0 outside and where the series has no grid.
 
-    ``axes`` has the size, first place and step of the source grid and the first and
-    last place of the target grid; both centres meet, and the source is scaled about it.
+    ``grids`` has a row for each series: ``scale`` and by axis the size, first place and step of the
+    source grid and the first and last place of the target grid (``size_x, start_x, step_x, first_x,
+    last_x``...). Both centres meet, and the source is scaled about its own.
     """
-    at = {}
-    for x, (size, start, step, first, last) in axes.items():
+    at, inside = {}, F.col("scale").isNotNull()
+    for x in "xyz":
+        size, start, step, first, last = (F.col(f"{n}_{x}") for n in ("size", "start", "step", "first", "last"))
         centre = start + (size - 1) * step / 2
-        at[f"s{x}"] = F.bround((centre + (F.col(f"m{x}") - (first + last) / 2) / scale - start) / step, 0).cast("int")
-    found = targets.withColumns(at)
-    inside = F.lit(True)
-    for x, (size, *_) in axes.items():
+        at[f"s{x}"] = F.bround((centre + (F.col(f"m{x}") - (first + last) / 2) / F.col("scale") - start) / step, 0).cast("int")
         inside = inside & (F.col(f"s{x}") >= 0) & (F.col(f"s{x}") < size)
-    known = labels.select(*(F.col(x).alias(f"s{x}") for x in "xyz"), "label")
-    joined = found.withColumn("inside", inside).join(known, ["sx", "sy", "sz"], "left")
-    return joined.select("tx", "ty", "tz", F.when(F.col("inside"), F.coalesce("label", F.lit(0))).otherwise(F.lit(0)).alias("label"))
+    found = targets.join(grids, "series", "left").withColumns(at).withColumn("inside", F.coalesce(inside, F.lit(False)))
+    wanted = found.select("series", "tx", "ty", "tz", *(F.when(F.col("inside"), F.col(f"s{x}")).alias(f"s{x}") for x in "xyz"))
+    known = labels.select("series", *(F.col(x).alias(f"s{x}") for x in "xyz"), "label")
+    return wanted.join(known, ["series", "sx", "sy", "sz"], "left").select("series", "tx", "ty", "tz", F.coalesce("label", F.lit(0)).alias("label"))
 
 
-def region_objects(components: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 2.0), min_size: int = 1) -> DataFrame:
-    """A box and volume for each component, of at least one voxel's depth."""
-    sx, sy, sz = spacing
-    z = F.datediff("frame", F.lit("1970-01-01").cast("date")) * F.lit(sz)
-    found = components.groupBy("component").agg(F.count(F.lit(1)).alias("voxels"), F.min(F.col("x") * sx).alias("x0"), F.max(F.col("x") * sx).alias("x1"), F.min(F.col("y") * sy).alias("y0"), F.max(F.col("y") * sy).alias("y1"), F.min(z).alias("z0"), F.max(z).alias("z1"))
-    return found.where(F.col("voxels") >= min_size).withColumn("z1", F.when(F.col("z1") == F.col("z0"), F.col("z0") + sz).otherwise(F.col("z1"))).withColumn("volume", F.col("voxels") * F.lit(sx * sy * sz))
+def region_objects(components: DataFrame, geometry: DataFrame, min_size: int = 1) -> DataFrame:
+    """A box and volume for each component of each series, of at least one voxel's depth; ``geometry`` has ``series, sx, sy, sz`` in mm."""
+    span = {f"{c}{i}": f(F.col(name)).alias(f"{c}{i}") for c, name in (("x", "x"), ("y", "y"), ("z", "frame")) for i, f in ((0, F.min), (1, F.max))}
+    found = components.groupBy("series", "component").agg(F.count(F.lit(1)).alias("voxels"), *span.values()).where(F.col("voxels") >= min_size).join(geometry, "series")
+    box = found.withColumns({f"{c}{i}": F.col(f"{c}{i}") * F.col(f"s{c}") for c in "xyz" for i in (0, 1)})
+    deep = F.when(F.col("z1") == F.col("z0"), F.col("z0") + F.col("sz")).otherwise(F.col("z1"))
+    return box.withColumns({"z1": deep, "volume": F.col("voxels") * F.col("sx") * F.col("sy") * F.col("sz")}).drop("sx", "sy", "sz")
 
 
 def classify_segment(label: Column) -> Column:
@@ -202,25 +155,35 @@ def exposed_surface(voxels: DataFrame, spacing: tuple[float, float, float] = (1.
     return sides.join(voxels, ["group", "x", "y", "z"], "left_anti").groupBy("group").agg(F.count(F.lit(1)).alias("faces"), F.sum("area").alias("area"))
 
 
-_CROSS = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-
-
-def _spread(voxels: DataFrame) -> DataFrame:
-    steps = F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz")) for a, b, c in _CROSS))
-    return voxels.select(F.explode(steps).alias("s"), "x", "y", "z").select((F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), (F.col("z") + F.col("s.dz")).alias("z"))
-
-
 def dilate(voxels: DataFrame, shape: tuple[int, int, int], times: int = 1) -> DataFrame:
-    for _ in range(times):
-        voxels = _spread(voxels).where(" and ".join(f"{a} between 0 and {n - 1}" for a, n in zip("xyz", shape, strict=True))).distinct()
-    return voxels
+    """All places of the volume ``shape`` within ``times`` steps of a voxel ``series, x, y, z``: the city-block distance, one axis after the other, so three passes for any number of steps."""
+    grown = voxels.select("series", "x", "y", "z", F.lit(0).alias("d")).distinct()
+    for axis, n in zip("xyz", shape, strict=True):
+        left = F.lit(times) - F.col("d")
+        reach = F.sequence(F.greatest(F.lit(0), F.col(axis) - left), F.least(F.lit(n - 1), F.col(axis) + left))
+        moved = grown.where(F.col(axis).between(0, n - 1)).withColumn("to", F.explode(reach)).withColumn("d", (F.col("d") + F.abs(F.col("to") - F.col(axis))).cast("int"))
+        others = [c for c in "xyz" if c != axis]
+        grown = moved.groupBy("series", *others, F.col("to").cast("int").alias(axis)).agg(F.min("d").alias("d"))
+    return grown.select("series", "x", "y", "z")
 
 
 def erode(voxels: DataFrame, times: int = 1) -> DataFrame:
-    """Voxels all of whose six neighbours are there."""
-    for _ in range(times):
-        voxels = _spread(voxels).groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n")).where("n = 7").drop("n").join(voxels, ["x", "y", "z"], "left_semi")
-    return voxels
+    """Voxels ``series, x, y, z`` all of whose places within ``times`` steps are there.
+
+    The city-block distance to the nearest place that is missing, by two running
+    minima along each axis: inside a run of voxels both ends of the run are one step from what
+    is missing, and a neighbour's distance counts one step more for each step away.
+    """
+    held = voxels.select("series", "x", "y", "z").distinct().withColumn("d", F.lit(1 << 30))
+    for axis in "xyz":
+        line = Window.partitionBy("series", *(c for c in "xyz" if c != axis)).orderBy(axis)
+        run = Window.partitionBy("series", *(c for c in "xyz" if c != axis), "run")
+        up, down = run.orderBy(axis), run.orderBy(F.desc(axis))
+        at = F.col(axis)
+        held = held.withColumn("run", at - F.row_number().over(line))
+        ends = F.least(at - F.min(axis).over(run) + 1, F.max(axis).over(run) - at + 1)
+        held = held.withColumn("d", F.least(ends, F.min(F.col("d") - at).over(up) + at, F.min(F.col("d") + at).over(down) - at)).drop("run")
+    return held.where(F.col("d") > times).select("series", "x", "y", "z")
 
 
 def triangle_area(vertices: DataFrame, faces: DataFrame) -> DataFrame:

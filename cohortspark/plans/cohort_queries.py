@@ -7,9 +7,9 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortspark.operators import experiments, features, ingest, ledger, voxels
+from cohortspark.operators import experiments, features, ingest, ledger, tables, voxels
 from cohortspark.operators import temporal as tm
-from cohortspark.plans.fixtures import INSTANCES_SQL, OBJECTS_SQL, OUTCOMES_SQL, VOXELS_SQL, instances, objects, outcomes, table
+from cohortspark.plans.fixtures import INSTANCES_SQL, OBJECTS_SQL, OUTCOMES_SQL, SHAPE, VOXELS_SQL, instances, objects, outcomes, table
 from cohortspark.plans.fixtures import voxels as voxel_rows
 from cohortspark.plans.registry import query
 
@@ -17,10 +17,6 @@ I, V, O, X = (f"WITH {s}" for s in (INSTANCES_SQL, VOXELS_SQL, OBJECTS_SQL, OUTC
 SEG = "modality <> 'SEG'"
 
 
-def day() -> Column:
-    return F.col("frame").cast("string").alias("frame")
-
-
 @query("i01_i04_studies", f"{I} SELECT study_uid, count(DISTINCT series_uid) AS series_count, count(*) AS image_count, coalesce(arg_min(modality, path) FILTER (WHERE {SEG}), arg_min(modality, path)) AS modality, min(path) AS first_path FROM inst GROUP BY study_uid")
 def i01(spark: SparkSession, d: str) -> DataFrame:
     return ingest.index_studies(instances(spark, d))
@@ -61,75 +57,82 @@ def i09(spark: SparkSession, d: str) -> DataFrame:
     return ingest.list_catalog(instances(spark, d), "series").drop("modality")
 
 
-@query("v01_rescaled", f"{V} SELECT CAST(frame AS VARCHAR) AS frame, x, y, v * coalesce(nullif(CAST(x % 3 AS DOUBLE), 0), 1) + coalesce(CASE WHEN y % 2 = 0 THEN -10.0::DOUBLE END, 0) AS value FROM vx")
+@query("v01_rescaled", f"{V} SELECT series, frame, y, x, v * coalesce(nullif(CAST(x % 3 AS DOUBLE), 0), 1) + coalesce(CASE WHEN y % 2 = 0 THEN -10.0::DOUBLE END, 0) AS value FROM vx")
 def v01(spark: SparkSession, d: str) -> DataFrame:
     slope, intercept = (F.col("x") % 3).cast("double"), F.when(F.col("y") % 2 == 0, -10.0)
-    return voxel_rows(spark, d).select(day(), "x", "y", voxels.rescale(F.col("v"), slope, intercept).alias("value"))
+    return voxel_rows(spark, d).withColumn("value", voxels.rescale(F.col("v"), slope, intercept)).drop("v")
 
 
-@query("v02_frame_stats", f"{V} SELECT CAST(frame AS VARCHAR) AS frame, min(v) AS v_min, max(v) AS v_max, round(avg(v), 6) AS v_mean, max(y)+1 AS rows, max(x)+1 AS columns, count(*) AS n FROM vx GROUP BY vx.frame")
+@query("v02_frame_stats", f"{V} SELECT series, frame, floor(min(v)) AS v_min, floor(max(v)) AS v_max, round(avg(floor(v)), 6) AS v_mean, max(y)+1 AS rows, max(x)+1 AS columns, count(*) AS n FROM vx GROUP BY series, frame")
 def v02(spark: SparkSession, d: str) -> DataFrame:
-    return voxels.frame_stats(voxel_rows(spark, d)).withColumns({"v_mean": F.round("v_mean", 6), "frame": day()})
+    return voxels.frame_stats(voxel_rows(spark, d).withColumn("v", F.floor("v").cast("double"))).withColumn("v_mean", F.round("v_mean", 6))
 
 
-@query("v03_window_level", f"{V} SELECT CAST(frame AS VARCHAR) AS frame, x, y, CAST(CASE WHEN hi > lo THEN floor(greatest(0.0, least(255.0, (v-lo)*255/(hi-lo)))) ELSE 0 END AS INTEGER) AS level FROM (SELECT *, min(v) OVER (PARTITION BY frame) AS lo, max(v) OVER (PARTITION BY frame) AS hi FROM vx)")
+@query("v03_window_level", f"{V} SELECT series, frame, y, x, CAST(CASE WHEN hi > lo THEN floor(greatest(0.0, least(255.0, (v-lo)*255/(hi-lo)))) ELSE 0 END AS INTEGER) AS level FROM (SELECT *, min(v) OVER (PARTITION BY series, frame) AS lo, max(v) OVER (PARTITION BY series, frame) AS hi FROM vx)")
 def v03(spark: SparkSession, d: str) -> DataFrame:
-    return voxels.plane_levels(voxel_rows(spark, d)).withColumn("frame", day())
+    return voxels.plane_levels(voxel_rows(spark, d))
 
 
-@query("v04_coronal_slice", f"{V}, z AS (SELECT *, dense_rank() OVER (ORDER BY frame) - 1 AS z FROM vx), t AS (SELECT max(y) AS last, max(z) AS top FROM z) SELECT CAST(top - z AS INTEGER) AS row, x AS \"column\", v FROM z, t WHERE y = greatest(0, least((last + 1)//2, last))")
+@query("v04_coronal_slice", f"{V}, z AS (SELECT *, dense_rank() OVER (PARTITION BY series ORDER BY frame) - 1 AS z FROM vx), t AS (SELECT series, max(y) AS last, max(z) AS top FROM z GROUP BY series) SELECT series, CAST(top - z AS INTEGER) AS row, x AS \"column\", v FROM z JOIN t USING (series) WHERE y = greatest(0, least((last + 1)//2, last))")
 def v04(spark: SparkSession, d: str) -> DataFrame:
     return voxels.plane_slice(voxel_rows(spark, d), "coronal")
 
 
-@query("v05_manifest", f"{V}, f AS (SELECT month(frame) AS series, frame, max(y)+1 AS rows, max(x)+1 AS columns FROM vx GROUP BY ALL) SELECT series, count(*) AS frame_count, max(rows) AS rows, max(columns) AS columns, count(DISTINCT (rows, columns)) = 1 AS renderable FROM f GROUP BY series")
+@query("v05_manifest", f"{V}, f AS (SELECT series, frame, max(y)+1 AS rows, max(x)+1 AS columns FROM vx GROUP BY ALL) SELECT series, count(*) AS frame_count, max(rows) AS rows, max(columns) AS columns, count(DISTINCT (rows, columns)) = 1 AS renderable FROM f GROUP BY series")
 def v05(spark: SparkSession, d: str) -> DataFrame:
-    return voxels.volume_manifest(voxel_rows(spark, d).withColumn("series", F.month("frame")))
+    return voxels.volume_manifest(voxel_rows(spark, d))
 
 
-HITS = f"{V}, t AS (SELECT frame, quantile_cont(v, 0.9) AS lim FROM vx GROUP BY frame), hit AS (SELECT * FROM (SELECT vx.*, count(*) OVER (PARTITION BY vx.frame) AS hits FROM vx JOIN t ON vx.frame=t.frame WHERE v >= lim) WHERE hits >= 2)"
+_HITS = "t AS (SELECT series, frame, quantile_cont(v, 0.5) AS lim FROM vx GROUP BY ALL), hit AS (SELECT * EXCLUDE (hits) FROM (SELECT vx.*, count(*) OVER (PARTITION BY vx.series, vx.frame) AS hits FROM vx JOIN t ON vx.series = t.series AND vx.frame = t.frame WHERE v >= lim) WHERE hits >= 2)"
+HITS = f"{V}, {_HITS}"
 
 
-@query("v06_frame_threshold", f"{HITS} SELECT CAST(frame AS VARCHAR) AS frame, x, y, v FROM hit")
+@query("v06_frame_threshold", f"{HITS} SELECT series, frame, y, x, v FROM hit")
 def v06(spark: SparkSession, d: str) -> DataFrame:
-    return voxels.frame_threshold(voxel_rows(spark, d), 0.9).withColumn("frame", day())
+    return voxels.frame_threshold(voxel_rows(spark, d), 0.5)
 
 
-@query("v07_stride_sample", f"{V} SELECT CAST(frame AS VARCHAR) AS frame, x, y, v FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY y, x) - 1 AS r, count(*) OVER (PARTITION BY frame) AS n FROM vx) WHERE r % greatest(1, n//20) = 0")
+@query("v07_stride_sample", f"{V} SELECT series, frame, y, x, v FROM (SELECT *, row_number() OVER (PARTITION BY series, frame ORDER BY y, x) - 1 AS r, count(*) OVER (PARTITION BY series, frame) AS n FROM vx) WHERE r % greatest(1, n//3) = 0")
 def v07(spark: SparkSession, d: str) -> DataFrame:
-    return voxels.stride_sample(voxel_rows(spark, d), cap=20).withColumn("frame", day())
+    return voxels.stride_sample(voxel_rows(spark, d), cap=3)
 
 
-_HIT_TAIL = "t AS (SELECT frame, quantile_cont(v, 0.9) AS lim FROM vx GROUP BY frame), hit AS (SELECT *, concat(strftime(frame, '%Y-%m-%d'), '|', lpad(CAST(y AS VARCHAR), 4, '0'), '|', lpad(CAST(x AS VARCHAR), 4, '0')) AS id FROM (SELECT vx.*, count(*) OVER (PARTITION BY vx.frame) AS hits FROM vx JOIN t ON vx.frame=t.frame WHERE v >= lim) WHERE hits >= 2)"
-COMPONENTS = f"""WITH RECURSIVE {VOXELS_SQL}, {_HIT_TAIL},
-e AS (SELECT a.id AS a, b.id AS b FROM hit a JOIN hit b ON (a.frame=b.frame AND a.y=b.y AND abs(a.x-b.x)=1) OR (a.frame=b.frame AND a.x=b.x AND abs(a.y-b.y)=1) OR (a.x=b.x AND a.y=b.y AND abs(date_diff('day', a.frame, b.frame))=1)),
-r AS (SELECT id, id AS reach FROM hit UNION SELECT r.id, e.b FROM r JOIN e ON r.reach=e.a),
-comp AS (SELECT id, min(reach) AS component FROM r GROUP BY id)"""
+COMPONENTS = f"""WITH RECURSIVE {VOXELS_SQL}, {_HITS},
+e AS (SELECT a.series, (a.frame, a.y, a.x) AS a, (b.frame, b.y, b.x) AS b FROM hit a JOIN hit b ON a.series = b.series AND abs(a.frame - b.frame) + abs(a.y - b.y) + abs(a.x - b.x) = 1),
+r AS (SELECT series, (frame, y, x) AS id, (frame, y, x) AS reach FROM hit UNION SELECT r.series, r.id, e.b FROM r JOIN e ON r.series = e.series AND r.reach = e.a),
+comp AS (SELECT series, id, min(reach) AS component FROM r GROUP BY series, id),
+lab AS (SELECT hit.*, concat(component[1], '|', component[2], '|', component[3]) AS component, component AS first FROM hit JOIN comp ON hit.series = comp.series AND (hit.frame, hit.y, hit.x) = comp.id)"""
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return voxels.voxel_components(voxels.frame_threshold(voxel_rows(spark, d), 0.9))
+    """Tiles of a few voxels, so that what is found crosses their seams."""
+    return voxels.voxel_components(voxels.frame_threshold(voxel_rows(spark, d), 0.5), tile=4)
+
 
+def shown_component(df: DataFrame) -> DataFrame:
+    return df.withColumn("component", F.concat_ws("|", "component.frame", "component.y", "component.x"))
 
-@query("v08_components", f"{COMPONENTS} SELECT CAST(hit.frame AS VARCHAR) AS frame, hit.x, hit.y, hit.v, component FROM hit JOIN comp USING (id)")
+
+@query("v08_components", f"{COMPONENTS} SELECT series, frame, y, x, v, component FROM lab")
 def v08(spark: SparkSession, d: str) -> DataFrame:
-    return components(spark, d).withColumn("frame", day())
+    return shown_component(components(spark, d))
 
 
-@query("v09_top_components", f"{COMPONENTS} SELECT component, count(*) AS n FROM comp GROUP BY component HAVING count(*) >= 3 ORDER BY n DESC, component LIMIT 8")
+@query("v09_top_components", f"{COMPONENTS} SELECT series, component, n, CAST(rank AS INTEGER) AS rank FROM (SELECT series, component, count(*) AS n, row_number() OVER (PARTITION BY series ORDER BY count(*) DESC, first) AS rank FROM lab GROUP BY series, component, first HAVING count(*) >= 3) WHERE rank <= 2")
 def v09(spark: SparkSession, d: str) -> DataFrame:
-    return voxels.top_components(components(spark, d))
+    return shown_component(voxels.top_components(components(spark, d), k=2))
 
 
-@query("v11_region_objects", f"{COMPONENTS}, p AS (SELECT component, hit.x * 1.0::DOUBLE AS px, hit.y * 1.0::DOUBLE AS py, date_diff('day', DATE '1970-01-01', hit.frame) * 2.0::DOUBLE AS pz FROM hit JOIN comp USING (id)) SELECT component, count(*) AS voxels, min(px) AS x0, max(px) AS x1, min(py) AS y0, max(py) AS y1, min(pz) AS z0, CASE WHEN max(pz) = min(pz) THEN min(pz) + 2 ELSE max(pz) END AS z1, count(*) * 2.0::DOUBLE AS volume FROM p GROUP BY component")
+@query("v11_region_objects", f"{COMPONENTS}, p AS (SELECT series, component, x * 0.5::DOUBLE AS px, y * (1.0::DOUBLE + series % 2) AS py, frame * 2.5::DOUBLE AS pz FROM lab) SELECT series, component, count(*) AS voxels, min(px) AS x0, max(px) AS x1, min(py) AS y0, max(py) AS y1, min(pz) AS z0, CASE WHEN max(pz) = min(pz) THEN min(pz) + 2.5::DOUBLE ELSE max(pz) END AS z1, count(*) * 0.5::DOUBLE * (1.0::DOUBLE + series % 2) * 2.5::DOUBLE AS volume FROM p GROUP BY series, component HAVING count(*) >= 2")
 def v11(spark: SparkSession, d: str) -> DataFrame:
-    return voxels.region_objects(components(spark, d))
+    geometry = table(spark, d, "orders").select(F.col("o_orderkey").alias("series"), F.lit(0.5).alias("sx"), (F.lit(1.0) + F.col("o_orderkey") % 2).alias("sy"), F.lit(2.5).alias("sz"))
+    return shown_component(voxels.region_objects(components(spark, d), geometry, min_size=2))
 
 
-@query("v12_v13_labelmap_objects", f"{V} SELECT month(frame) AS series, x % 5 AS segment, count(*) AS voxel_count, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, CASE x % 5 WHEN 1 THEN 'Lung nodule' WHEN 2 THEN 'Heart' ELSE 'Segment ' || (x % 5) END AS label, count(*) * 2.0::DOUBLE AS volume, CASE WHEN x % 5 = 1 THEN 'finding' ELSE 'anatomy' END AS obj_type FROM vx GROUP BY month(frame), x % 5")
+@query("v12_v13_labelmap_objects", f"{V} SELECT series, x % 5 AS segment, count(*) AS voxel_count, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, CASE x % 5 WHEN 1 THEN 'Lung nodule' WHEN 2 THEN 'Heart' ELSE 'Segment ' || (x % 5) END AS label, count(*) * 2.0::DOUBLE AS volume, CASE WHEN x % 5 = 1 THEN 'finding' ELSE 'anatomy' END AS obj_type FROM vx GROUP BY series, x % 5")
 def v12(spark: SparkSession, d: str) -> DataFrame:
     names = spark.createDataFrame([(1, "Lung nodule"), (2, "Heart")], "segment int, label string")
-    return voxels.labelmap_objects(voxel_rows(spark, d).select(F.month("frame").alias("series"), (F.col("x") % 5).alias("segment"), "x", "y"), names)
+    return voxels.labelmap_objects(voxel_rows(spark, d).select("series", (F.col("x") % 5).alias("segment"), "x", "y"), names)
 
 
 GEOMETRY = {"ox": 5.0, "oy": -3.0, "rx": 0.6, "ry": 0.8, "rz": 0.0, "ux": -0.8, "uy": 0.6, "uz": 0.0, "sx": 0.5, "sy": 0.75}
@@ -137,14 +140,14 @@ GEOMETRY = {"ox": 5.0, "oy": -3.0, "rx": 0.6, "ry": 0.8, "rz": 0.0, "ux": -0.8,
 
 @query(
     "v10_patient_points",
-    f"{V} SELECT CAST(frame AS VARCHAR) AS frame, x, y, round(CASE WHEN day(frame) % 5 = 0 THEN 0 ELSE 5 END + CASE WHEN day(frame) % 5 = 0 THEN x ELSE 0.6::DOUBLE * x * 0.75::DOUBLE - 0.8::DOUBLE * y * 0.5::DOUBLE END, 9) AS px, round(CASE WHEN day(frame) % 5 = 0 THEN 0 ELSE -3 END + CASE WHEN day(frame) % 5 = 0 THEN y ELSE 0.8::DOUBLE * x * 0.75::DOUBLE + 0.6::DOUBLE * y * 0.5::DOUBLE END, 9) AS py, CASE WHEN day(frame) % 5 = 0 THEN 0.0::DOUBLE ELSE day(frame) * 2.0::DOUBLE END AS pz FROM vx",
+    f"{V} SELECT series, frame, y, x, round(CASE WHEN (series + frame) % 5 = 0 THEN x ELSE 5 + 0.6::DOUBLE * x * 0.75::DOUBLE - 0.8::DOUBLE * y * 0.5::DOUBLE END, 9) AS px, round(CASE WHEN (series + frame) % 5 = 0 THEN y ELSE -3 + 0.8::DOUBLE * x * 0.75::DOUBLE + 0.6::DOUBLE * y * 0.5::DOUBLE END, 9) AS py, CASE WHEN (series + frame) % 5 = 0 THEN 0.0::DOUBLE ELSE (series % 100) + frame * 2.0::DOUBLE END AS pz FROM vx",
 )
 def v10(spark: SparkSession, d: str) -> DataFrame:
     v = voxel_rows(spark, d)
-    frames = v.select("frame").distinct().where(F.dayofmonth("frame") % 5 != 0)
-    known = frames.select("frame", *(F.lit(n).alias(k) for k, n in GEOMETRY.items()), (F.dayofmonth("frame") * 2.0).alias("oz"))
+    frames = v.select("series", "frame").distinct().where((F.col("series") + F.col("frame")) % 5 != 0)
+    known = frames.select("series", "frame", *(F.lit(n).alias(k) for k, n in GEOMETRY.items()), (F.col("series") % 100 + F.col("frame") * 2.0).alias("oz"))
     found = voxels.voxel_to_patient(v, known)
-    return found.select(day(), "x", "y", F.round("px", 9).alias("px"), F.round("py", 9).alias("py"), "pz")
+    return found.select("series", "frame", "y", "x", F.round("px", 9).alias("px"), F.round("py", 9).alias("py"), "pz")
 
 
 @query(
@@ -156,40 +159,46 @@ def v14(spark: SparkSession, d: str) -> DataFrame:
     return voxels.series_volume_objects(i.where(SEG), ["study_uid", "series_uid"]).drop("cx", "cy", "cz")
 
 
-#: Source grid (size, first place, step) and target grid (first and last place) of each axis, in mm.
-AXES = {"x": (12, -6.0, 1.0, 0.0, 22.0), "y": (12, -6.0, 1.0, 0.0, 22.0), "z": (31, 10.0, 2.0, 0.0, 60.0)}
-_SOURCE = {x: f"CAST(round_even(({a} + ({n} - 1) * {s} / 2 + (t{x} * 2.0::DOUBLE - {(lo + hi) / 2}) / 1.6::DOUBLE - ({a})) / {s}, 0) AS INTEGER)" for x, (n, a, s, lo, hi) in AXES.items()}
+#: Source grid (size, first place, step) and target grid (first and last place) of each axis, in mm; a series has its own steps and scale by its number.
+AXES = {"x": (17, -8.0, 1.0, 0.0, 32.0), "y": (6, -6.0, 1.0, 0.0, 10.0), "z": (8, 0.0, 2.0, 0.0, 14.0)}
+_STEP, _SCALE = "(1 + series % 3 * 0.5::DOUBLE)", "(CASE WHEN series % 7 = 0 THEN NULL ELSE 1.2::DOUBLE + series % 2 * 0.4::DOUBLE END)"
+_SOURCE = {x: f"CAST(round_even(({a} + ({n} - 1) * {s} * {_STEP} / 2 + (t{x} * 2.0::DOUBLE - {(lo + hi) / 2}) / {_SCALE} - ({a})) / ({s} * {_STEP}), 0) AS INTEGER)" for x, (n, a, s, lo, hi) in AXES.items()}
 
 
 @query(
     "v19_resampled_labels",
-    f"{V}, g AS (SELECT x, y, CAST(date_diff('day', DATE '1970-01-01', frame) % 31 AS INTEGER) AS z, CAST(max(floor(v / 25)) AS INTEGER) AS label FROM vx GROUP BY ALL), t AS (SELECT DISTINCT x AS tx, y AS ty, CAST(date_diff('day', DATE '1970-01-01', frame) % 31 AS INTEGER) AS tz FROM vx), s AS (SELECT *, {', '.join(f'{e} AS s{x}' for x, e in _SOURCE.items())} FROM t) SELECT tx, ty, tz, coalesce(g.label, 0) AS label FROM s LEFT JOIN g ON g.x = sx AND g.y = sy AND g.z = sz",
+    f"{V}, g AS (SELECT series, x, y, frame AS z, CAST(max(floor(v / 5)) AS INTEGER) AS label FROM vx GROUP BY ALL), t AS (SELECT DISTINCT series, x AS tx, y AS ty, frame AS tz FROM vx), s AS (SELECT *, {', '.join(f'{e} AS s{x}' for x, e in _SOURCE.items())} FROM t) SELECT t.series, tx, ty, tz, coalesce(g.label, 0) AS label FROM s t LEFT JOIN g ON g.series = t.series AND g.x = sx AND g.y = sy AND g.z = sz",
 )
 def v19(spark: SparkSession, d: str) -> DataFrame:
-    z = (F.datediff("frame", F.lit("1970-01-01").cast("date")) % 31).alias("z")
-    v = voxel_rows(spark, d).select("x", "y", z, "v")
-    labels = v.groupBy("x", "y", "z").agg(F.max(F.floor(F.col("v") / 25)).cast("int").alias("label"))
-    targets = v.select(*(F.col(x).alias(f"t{x}") for x in "xyz"), *((F.col(x) * 2.0).alias(f"m{x}") for x in "xyz")).distinct()
-    return voxels.resample_labels(labels, targets, AXES, 1.6)
+    v = voxel_rows(spark, d).withColumnRenamed("frame", "z")
+    labels = v.groupBy("series", "x", "y", "z").agg(F.max(F.floor(F.col("v") / 5)).cast("int").alias("label"))
+    targets = v.select("series", *(F.col(x).alias(f"t{x}") for x in "xyz"), *((F.col(x) * 2.0).alias(f"m{x}") for x in "xyz")).distinct()
+    step = 1 + F.col("series") % 3 * 0.5
+    axes = [c for x, (n, a, s, lo, hi) in AXES.items() for c in (F.lit(n).alias(f"size_{x}"), F.lit(a).alias(f"start_{x}"), (F.lit(s) * step).alias(f"step_{x}"), F.lit(lo).alias(f"first_{x}"), F.lit(hi).alias(f"last_{x}"))]
+    series = table(spark, d, "orders").select(F.col("o_orderkey").alias("series")).where("series % 7 <> 0")
+    grids = series.select("series", (F.lit(1.2) + F.col("series") % 2 * 0.4).alias("scale"), *axes)
+    return voxels.resample_labels(labels, targets, grids)
 
 
-GROUPED = f"{V}, g AS (SELECT month(frame) AS grp, x, y, CAST(date_diff('day', DATE '1970-01-01', frame) AS INTEGER) AS z FROM vx WHERE v > 60)"
+GROUPED = f"{V}, g AS (SELECT series, x, y, frame AS z FROM vx WHERE v > 90)"
 
 
 def grouped(spark: SparkSession, d: str) -> DataFrame:
-    return voxel_rows(spark, d).where("v > 60").select(F.month("frame").alias("group"), "x", "y", F.datediff("frame", F.lit("1970-01-01").cast("date")).alias("z"))
+    return voxel_rows(spark, d).where("v > 90").select("series", "x", "y", F.col("frame").alias("z"))
 
 
-@query("v15_exposed_surface", f'{GROUPED}, s AS (SELECT grp, x+dx AS x, y+dy AS y, z+dz AS z, area FROM g, (VALUES (1,0,0,2.0),(-1,0,0,2.0),(0,1,0,2.0),(0,-1,0,2.0),(0,0,1,1.0),(0,0,-1,1.0)) d(dx,dy,dz,area)) SELECT grp AS "group", count(*) AS faces, CAST(sum(area) AS DOUBLE) AS area FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.grp=s.grp AND g.x=s.x AND g.y=s.y AND g.z=s.z) GROUP BY grp')
+@query("v15_exposed_surface", f'{GROUPED}, s AS (SELECT series, x+dx AS x, y+dy AS y, z+dz AS z, area FROM g, (VALUES (1,0,0,2.0),(-1,0,0,2.0),(0,1,0,2.0),(0,-1,0,2.0),(0,0,1,1.0),(0,0,-1,1.0)) d(dx,dy,dz,area)) SELECT series AS "group", count(*) AS faces, CAST(sum(area) AS DOUBLE) AS area FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.series=s.series AND g.x=s.x AND g.y=s.y AND g.z=s.z) GROUP BY series')
 def v15(spark: SparkSession, d: str) -> DataFrame:
-    return voxels.exposed_surface(grouped(spark, d))
+    return voxels.exposed_surface(grouped(spark, d).withColumnRenamed("series", "group"))
+
+
+_BALL = "b AS (SELECT x AS dx, y AS dy, z AS dz FROM range(-2, 3) a(x), range(-2, 3) b(y), range(-2, 3) c(z) WHERE abs(x) + abs(y) + abs(z) <= 2)"
 
 
-@query("v18_dilate_erode", f"{GROUPED}, c AS (SELECT DISTINCT x, y, z % 31 AS z FROM g), d AS (SELECT DISTINCT x+dx AS x, y+dy AS y, z+dz AS z FROM c, (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) v(dx,dy,dz) WHERE x+dx BETWEEN 0 AND 11 AND y+dy BETWEEN 0 AND 11 AND z+dz BETWEEN 0 AND 30), e AS (SELECT d.x, d.y, d.z FROM d JOIN (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) v(dx,dy,dz) ON true JOIN d n ON n.x=d.x+dx AND n.y=d.y+dy AND n.z=d.z+dz GROUP BY ALL HAVING count(*) = 7) SELECT 'dilated' AS step, x, y, z FROM d UNION ALL SELECT 'eroded', x, y, z FROM e")
+@query("v18_dilate_erode", f"{GROUPED}, {_BALL}, d AS (SELECT DISTINCT series, x+dx AS x, y+dy AS y, z+dz AS z FROM g, b WHERE x+dx BETWEEN 0 AND 16 AND y+dy BETWEEN 0 AND 5 AND z+dz BETWEEN 0 AND 7), e AS (SELECT d.series, d.x, d.y, d.z FROM d JOIN b ON true JOIN d n ON n.series = d.series AND n.x = d.x+dx AND n.y = d.y+dy AND n.z = d.z+dz GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM b)) SELECT 'dilated' AS step, series, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z FROM d UNION ALL SELECT 'eroded', series, CAST(x AS INTEGER), CAST(y AS INTEGER), CAST(z AS INTEGER) FROM e")
 def v18(spark: SparkSession, d: str) -> DataFrame:
-    cells = grouped(spark, d).select("x", "y", (F.col("z") % 31).alias("z")).distinct()
-    grown = voxels.dilate(cells, (12, 12, 31))
-    return grown.select(F.lit("dilated").alias("step"), "x", "y", "z").unionByName(voxels.erode(grown).select(F.lit("eroded").alias("step"), "x", "y", "z"))
+    grown = voxels.dilate(grouped(spark, d), SHAPE, 2)
+    return grown.select(F.lit("dilated").alias("step"), "*").unionByName(voxels.erode(grown, 2).select(F.lit("eroded").alias("step"), "*"))
 
 
 TRIANGLES = "WITH v AS (SELECT vec_id % 7 AS mesh, vec_id AS vertex, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), f AS (SELECT a.mesh, a.vertex AS a, a.vertex+7 AS b, a.vertex+14 AS c FROM v a)"
@@ -308,7 +317,7 @@ def audit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a01_appended_audit", "SELECT event_id, ts AS created_at, event_type AS type, user_id AS subject, props AS detail, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def a01(spark: SparkSession, d: str) -> DataFrame:
-    path = voxels.shared_path(spark, "audit")
+    path = tables.shared_path(spark, "audit")
     rows = table(spark, d, "events").select("event_id", F.col("ts").alias("created_at"), F.col("event_type").alias("type"), F.col("user_id").alias("subject"), F.col("props").alias("detail"))
     for part in (0, 1):
         ledger.append_audit(rows.where(F.col("event_id") % 2 == part), path)

@@ -42,12 +42,16 @@ o AS (
 
 
 def voxels(spark: SparkSession, d: str) -> DataFrame:
-    """One frame for each day of events."""
-    e = table(spark, d, "events")
-    return e.groupBy(F.to_date("ts").alias("frame"), (F.col("user_id") % 12).cast("int").alias("x"), F.floor(F.hour("ts") / 2).cast("int").alias("y")).agg(F.max("value").alias("v"))
+    """A volume for each order; in each frame (line number) runs of voxels for its line items."""
+    l = table(spark, d, "lineitem")  # noqa: E741
+    run = F.explode(F.sequence(F.lit(0), (F.col("l_quantity") % 6).cast("int"))).alias("i")
+    rows = l.select(F.col("l_orderkey").alias("series"), F.col("l_linenumber").cast("int").alias("frame"), (F.col("l_suppkey") % 6).cast("int").alias("y"), (F.col("l_partkey") % 12).cast("int").alias("start"), (F.col("l_extendedprice") / 1000).alias("price"), run)
+    return rows.groupBy("series", "frame", "y", (F.col("start") + F.col("i")).alias("x")).agg(F.max(F.col("price") + F.col("i")).cast("double").alias("v"))
 
 
-VOXELS_SQL = "vx AS (SELECT CAST(ts AS DATE) AS frame, CAST(user_id % 12 AS INTEGER) AS x, CAST(extract(hour FROM ts)//2 AS INTEGER) AS y, max(value) AS v FROM events GROUP BY ALL)"
+VOXELS_SQL = "vx AS (SELECT l_orderkey AS series, CAST(l_linenumber AS INTEGER) AS frame, CAST(l_suppkey % 6 AS INTEGER) AS y, CAST(l_partkey % 12 + i AS INTEGER) AS x, CAST(max(l_extendedprice / 1000 + i) AS DOUBLE) AS v FROM lineitem, range(6) r(i) WHERE i <= CAST(l_quantity AS INTEGER) % 6 GROUP BY ALL)"
+#: The volume that holds all places of ``voxels``, as x, y and frame.
+SHAPE = (17, 6, 8)
 
 
 def instances(spark: SparkSession, d: str) -> DataFrame:

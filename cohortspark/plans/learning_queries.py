@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.operators import features, learning
-from cohortspark.operators.voxels import shared_path
+from cohortspark.operators.tables import shared_path
 from cohortspark.plans.cohort_queries import LABELLED_SQL, featured, labelled
 from cohortspark.plans.fixtures import objects, table
 from cohortspark.plans.object_queries import EDGES_SQL, MATCH_SQL, edges, links, object_bindings

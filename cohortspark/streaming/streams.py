@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from cohortspark.operators.voxels import shared_path
+from cohortspark.operators.tables import shared_path
 
 
 def shared_folder(df: DataFrame) -> str:
