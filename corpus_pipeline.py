@@ -1,6 +1,6 @@
 """A corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
-1. ``language_id``: documents without letters (null and empty texts too) go; the others keep their rows as they are, since a label is not a filter.
+1. ``language_id``: documents without letters (null and empty texts too) go; of the others those without a language get the predicted one.
 2. ``line_dedup``: fuzzy copies of lines go, but for the first; documents left without a word go with their last line.
 3. ``ngram_jaccard_join``: of documents that hang together by near-equal shingle sets the row with the smallest id (and hash of its text, where ids are the same or null) stays.
 4. ``suffix_dedup``: passages of 50 bytes or more that a document with a smaller id holds are cut out.
@@ -34,7 +34,8 @@ def with_text(docs: DataFrame) -> DataFrame:
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     found = langid.identify(docs.withColumn("body", F.col("text")), model, keep=("body", "lang", "source", "n_chars"))
-    return found.where((F.col("lang_pred") != "und") | F.col("body").rlike(r"\p{L}")).select("doc_id", F.col("body").alias("text"), "lang", "source", "n_chars")
+    told = F.coalesce("lang", F.nullif("lang_pred", F.lit("und"))).alias("lang")
+    return found.where((F.col("lang_pred") != "und") | F.col("body").rlike(r"\p{L}")).select("doc_id", F.col("body").alias("text"), told, "source", "n_chars")
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
