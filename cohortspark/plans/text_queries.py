@@ -220,13 +220,22 @@ def w04(spark: SparkSession, d: str) -> DataFrame:
     return streams.upsert_batches(event_stream(spark, d).select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
+def arrivals(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    return streams.stream_table(spark, d, "orders.parquet", orders.schema).select(F.col("o_custkey").alias("patient_id"), F.col("o_orderkey").alias("model_id"), F.col("o_orderdate").alias("study_date"))
 
 
 @query("w05_stream_priors", "SELECT o_custkey AS patient_id, o_orderkey AS model_id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prior_id FROM orders")
 def w05(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders")
-    named = lambda o: o.select(F.col("o_custkey").alias("patient_id"), F.col("o_orderkey").alias("model_id"), F.col("o_orderdate").alias("study_date"))
-    return streams.enrich_prior(named(streams.stream_table(spark, d, "orders.parquet", orders.schema)), named(orders))
+    return streams.enrich_prior(arrivals(spark, d))[0]
+
+
+@query("w05_stream_links", f"{O}, pr AS (SELECT o_orderkey AS model_id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prior_id FROM orders), c AS (SELECT model_id, count(*) AS n FROM o GROUP BY model_id), t AS (SELECT pr.model_id, prior_id, coalesce(a.n, 0) AS now, coalesce(b.n, 0) AS before FROM pr LEFT JOIN c a ON a.model_id = pr.model_id LEFT JOIN c b ON b.model_id = prior_id WHERE prior_id IS NOT NULL) SELECT model_id, prior_id, now AS current_objects, before AS prior_objects FROM t WHERE now + before > 0")
+def w05b(spark: SparkSession, d: str) -> DataFrame:
+    """Every object of both models is in one link: the matched ones in one together."""
+    _, links = streams.enrich_prior(arrivals(spark, d), objects(spark, d))
+    now, then = F.col("link_type") != "resolved", F.col("link_type") != "new"
+    return links.groupBy("model_id", "prior_id").agg(F.count_if(now).alias("current_objects"), F.count_if(then).alias("prior_objects"))
 
 
 @query("w03_stream_job_state", "SELECT user_id AS job_id, CASE arg_max(event_type, (ts, event_type)) WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, arg_max(event_type, (ts, event_type)) AS stage FROM events GROUP BY user_id")

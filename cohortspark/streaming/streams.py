@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from cohortspark.operators.tables import shared_path
+from cohortspark.operators.tables import drop_folder, shared_path
+from cohortspark.operators.temporal import compare_models
 
 
 def shared_folder(df: DataFrame) -> str:
@@ -18,9 +21,10 @@ def shared_folder(df: DataFrame) -> str:
     return shared_path(df.sparkSession, "stream")
 
 
-def stream_table(spark, path: str, pattern: str, schema) -> DataFrame:
-    """A Parquet folder as a file stream, limited to the files of ``pattern``."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
+def stream_table(spark, path: str, pattern: str, schema, files_at_once: int | None = None) -> DataFrame:
+    """A Parquet folder as a file stream, limited to the files of ``pattern``; with ``files_at_once``, so many in a batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).parquet(path)
 
 
 def run_once(stream: DataFrame, mode: str = "append", settings: dict[str, str] | None = None) -> DataFrame:
@@ -54,46 +58,160 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
     return s.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), F.col("count").alias("n"))
 
 
-def upsert_batches(stream: DataFrame, key: str, order: list[str], folder: str | None = None) -> DataFrame:
-    """Last write of each key: each batch is merged with the table of the batch before and written as the next version, under its number, so that a batch that runs again writes the same. With a ``folder`` of an earlier run the stream goes on where that ended."""
+def written(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A table of the shared folder, if it has been written."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def upsert_batches(stream: DataFrame, key: str, order: list[str], folder: str | None = None, buckets: int = 64) -> DataFrame:
+    """Last write of each key, as a table in buckets by hash of the key.
+
+    A batch reads and writes the buckets of its own keys only, as ``rows/epoch=<its number>/bucket=``;
+    ``state/epoch=`` says for every bucket which epoch holds it now. A batch that runs again
+    starts from the state before it and writes the same, so what a batch replaced is
+    dropped by the batch after it. With the ``folder`` of an earlier run the stream goes on where that ended.
+    """
     out = folder or shared_folder(stream)
     spark = stream.sparkSession
+    plain = [c for c in stream.columns if c != key]
+
+    def states() -> dict[int, dict[int, int]]:
+        """By epoch: the epoch that holds each bucket. Three epochs at most, a row for each bucket."""
+        found = written(spark, f"{out}/state", "bucket int, at int, epoch int")
+        by: dict[int, dict[int, int]] = {}
+        for bucket, at, epoch in found.collect() if found is not None else []:
+            by.setdefault(epoch, {})[bucket] = at
+        return by
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        every = batch.unionByName(spark.read.parquet(f"{out}/v{epoch - 1}")) if epoch else batch
-        rest = [c for c in batch.columns if c != key]
-        last = every.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last")).select(key, "last.*")
-        last.write.mode("overwrite").parquet(f"{out}/v{epoch}")
+        earlier = {e: held for e, held in states().items() if e < epoch}
+        *old, last_epoch = sorted(earlier) or [-1]
+        before = earlier.get(last_epoch, {})
+        own = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = sorted(r[0] for r in own.select("bucket").distinct().collect())
+        if not touched:
+            return
+        every = own
+        for at in sorted({before[b] for b in touched if b in before}):
+            places = [f"{out}/rows/epoch={at}/bucket={b}" for b in touched if before.get(b) == at]
+            held = spark.read.option("basePath", f"{out}/rows/epoch={at}").parquet(*places)
+            every = every.unionByName(held.select(*own.columns))
+        last = every.groupBy("bucket", key).agg(F.max_by(F.struct(*plain), F.struct(*order)).alias("last")).select("bucket", key, "last.*")
+        last.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/rows/epoch={epoch}")
+        own.unpersist()
+        now = before | dict.fromkeys(touched, epoch)
+        spark.createDataFrame(list(now.items()), "bucket int, at int").coalesce(1).write.mode("overwrite").parquet(f"{out}/state/epoch={epoch}")
+        for e in old:
+            for bucket, at in earlier[e].items():
+                if before.get(bucket) != at:
+                    drop_folder(spark, f"{out}/rows/epoch={at}/bucket={bucket}")
+            drop_folder(spark, f"{out}/state/epoch={e}")
+
+    each_batch(stream, merge, f"{out}/_state")
+    found = states()
+    if not found:
+        return spark.createDataFrame([], stream.schema)
+    by_epoch: dict[int, list[int]] = {}
+    for bucket, at in found[max(found)].items():
+        by_epoch.setdefault(at, []).append(bucket)
+    parts = [spark.read.schema(stream.schema).parquet(*(f"{out}/rows/epoch={at}/bucket={b}" for b in own)) for at, own in sorted(by_epoch.items())]
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    return table.select(*stream.columns)
+
+
+class PriorState(StatefulProcessor):
+    """Keeps a patient's models in order; tells the prior of each that arrives and the new prior of the one after it."""
+
+    def __init__(self, id_type: str) -> None:
+        self.id_type = id_type
 
-    last = each_batch(stream, merge, f"{out}/_state")
-    return spark.read.parquet(f"{out}/v{last}") if last is not None else spark.createDataFrame([], stream.schema)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getListState("known", f"at long, id {self.id_type}")
+        self.told = handle.getValueState("told", "n long")
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = sorted((at, id_) for at, id_ in self.known.get())
+        ids = {id_ for _, id_ in known}
+        n = self.told.get()[0] if self.told.exists() else 0
+        out = []
+        for part in rows:
+            for at, id_ in sorted(zip(part["at"].tolist(), part["model_id"].tolist(), strict=True)):
+                if id_ in ids:
+                    continue  # delivered again
+                place = bisect_left(known, (at, id_))
+                out.append((id_, known[place - 1][1] if place else None, n + len(out)))
+                if place < len(known):
+                    out.append((known[place][1], id_, n + len(out)))
+                known.insert(place, (at, id_))
+                ids.add(id_)
+        self.known.put(known)
+        self.told.update((n + len(out),))
+        if out:
+            model, prior, version = zip(*out, strict=True)
+            yield pd.DataFrame({"patient_id": [key[0]] * len(out), "model_id": pd.Series(model, dtype=object), "prior_id": pd.Series(prior, dtype=object), "version": list(version)})
 
-def enrich_prior(models: DataFrame, known: DataFrame) -> DataFrame:
-    """New models (``patient_id, model_id, study_date``), as they arrive, with the newest earlier one that is known of the same patient; ties of date go by id."""
-    out = shared_folder(models)
-    spark = models.sparkSession
+    def close(self) -> None:
+        pass
 
-    def work(batch: DataFrame, epoch: int) -> None:
-        before = known.select("patient_id", F.struct("study_date", "model_id").alias("before"))
-        met = batch.join(before, "patient_id").where(F.col("before") < F.struct("study_date", "model_id"))
-        prior = met.groupBy("model_id").agg(F.max("before").alias("before")).select("model_id", F.col("before.model_id").alias("prior_id"))
-        batch.join(prior, "model_id", "left").select("patient_id", "model_id", "prior_id").write.mode("overwrite").parquet(f"{out}/rows/batch={epoch}")
 
-    each_batch(models, work, f"{out}/_state")
-    return spark.read.parquet(f"{out}/rows").drop("batch")
+def enrich_prior(models: DataFrame, objects: DataFrame | None = None, folder: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Models (``patient_id, model_id, study_date``) as they arrive, with the one before each by date, then id, of the same patient (``patient_id, model_id, prior_id``); and with ``objects`` (of all models, read anew for each batch) the links of each to its prior, as in ``compare_models``.
+
+    What has arrived is kept as state by patient, so the prior may have come in any earlier
+    batch; a model that comes late becomes the prior of the one after it, which is
+    told and compared once more. The last word on each model counts, so the tables do not
+    depend on how the stream was cut. A model that is delivered again changes nothing.
+    """
+    out = folder or shared_folder(models)
+    spark, kinds = models.sparkSession, dict(models.dtypes)
+    at = F.coalesce(F.unix_micros(F.col("study_date").cast("timestamp")), F.lit(-(1 << 62)))
+    keyed = models.select("patient_id", "model_id", at.alias("at"))
+    schema = f"patient_id {kinds['patient_id']}, model_id {kinds['model_id']}, prior_id {kinds['model_id']}, version long"
+    told = keyed.groupBy("patient_id").transformWithStateInPandas(PriorState(kinds["model_id"]), schema, "update", "none")
 
+    def last_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("patient_id", "model_id").agg(F.max_by("prior_id", "version").alias("prior_id"))
 
-def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], state: str) -> int | None:
-    """Run ``work`` on every batch until the stream is drained; the number of the last batch, if any."""
-    query = stream.writeStream.foreachBatch(work).option("checkpointLocation", state).trigger(availableNow=True).start()
+    def work(batch: DataFrame, epoch: int) -> None:
+        place = f"{out}/rows/batch={epoch}"
+        batch.write.mode("overwrite").parquet(place)
+        if objects is not None:
+            pairs = last_of(spark.read.schema(schema).parquet(place)).where("prior_id is not null").select("model_id", "prior_id")
+            met = pairs.select("model_id").unionByName(pairs.select(F.col("prior_id").alias("model_id"))).distinct()
+            compare_models(objects.join(met, "model_id", "left_semi"), pairs).write.mode("overwrite").parquet(f"{out}/links/batch={epoch}")
+
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKS_DB[_PROVIDER])
+    try:
+        each_batch(told, work, f"{out}/_state", "update")
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+    rows = written(spark, f"{out}/rows", f"{schema}, batch int")
+    priors = last_of(rows if rows is not None else spark.createDataFrame([], schema))
+    if objects is None:
+        return priors, None
+    links = written(spark, f"{out}/links")
+    if links is None:
+        return priors, compare_models(objects, priors)
+    return priors, links.drop("batch").join(priors.select("model_id", "prior_id"), ["model_id", "prior_id"], "left_semi").distinct()
+
+
+def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], state: str, mode: str = "append") -> None:
+    """Run ``work`` on every batch until the stream is drained."""
+    query = stream.writeStream.foreachBatch(work).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    done = query.lastProgress
-    return None if done is None else int(done["batchId"] if isinstance(done, dict) else done.batchId)
 
 
-#: The state store of streams with timers.
-ROCKS_DB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state store of streams with timers or lists.
+ROCKS_DB = {_PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 JOB_STATE = "job_id long, status string, stage string, updated_at timestamp"
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.functions import geometry as g
-from cohortspark.operators import context, deid, experiments, features, spatial, temporal, utterances, voxels
+from cohortspark.operators import components, context, deid, experiments, features, spatial, temporal, utterances, voxels
 from cohortspark.sources import readers, writers
 
 #: A stone in a kidney, and a duct 3 mm beside the stone and inside the kidney as well.
@@ -83,7 +83,7 @@ def test_labelmap_cube(spark):
     cells = spark.createDataFrame([(1, x, y, 0) for x in (1, 2) for y in (1, 2)], "group int, x int, y int, z int")
     s = voxels.exposed_surface(cells).first()
     assert (s["faces"], s["area"]) == (16, 24.0)
-    one = spark.createDataFrame([(5, 5, 5)], "x int, y int, z int")
+    one = spark.createDataFrame([(1, 5, 5, 5)], "series int, x int, y int, z int")
     assert voxels.dilate(one, (10, 10, 10)).count() == 7
     assert voxels.erode(voxels.dilate(one, (10, 10, 10))).count() == 1
 
@@ -95,8 +95,8 @@ def test_components_do_not_depend_on_partitions(spark):
         edges.append((rnd.randrange(n), rnd.randrange(n)))
     nodes = spark.createDataFrame([(i,) for i in range(n)], "id long")
     e = spark.createDataFrame(edges, "a long, b long")
-    a = {r["id"]: r["component"] for r in voxels.connected_components(nodes, e).collect()}
-    b = {r["id"]: r["component"] for r in voxels.connected_components(nodes.repartition(7), e.repartition(1)).collect()}
+    a = {r["id"]: r["component"] for r in components.connected_components(nodes, e).collect()}
+    b = {r["id"]: r["component"] for r in components.connected_components(nodes.repartition(7), e.repartition(1)).collect()}
     assert a == b
     assert all(a[x] == a[y] for x, y in edges)
 
