@@ -192,29 +192,47 @@ def search_context(items: DataFrame, query: str, limit: int = 8) -> DataFrame:
 
 
 def find_object(catalogue: DataFrame, query: str) -> DataFrame:
-    """1.0 for an equal label, 0.7 for one that contains the query."""
-    q = query.lower()
-    return catalogue.where(F.lower("label").contains(q)).select("object_id", F.when(F.lower("label") == q, 1.0).otherwise(0.7).alias("score"))
+    """1.0 for an equal label, 0.7 for a label or an id that contains the query; an empty query finds all."""
+    q = query.lower().strip()
+    label, id_ = F.lower(F.coalesce("label", F.lit(""))), F.lower(F.col("object_id").cast("string"))
+    return catalogue.where(label.contains(q) | id_.contains(q)).select("object_id", F.when(label == q, 1.0).otherwise(0.7).alias("score"))
 
 
 def find_objects(catalogue: DataFrame, queries: DataFrame, limit: int = 5, gram: int = 3) -> DataFrame:
-    """For each query the labels with most of its words, ties by id: a top-k report.
-
-    A word stands anywhere in a label. Words and distinct labels meet by the word's
-    first ``gram`` characters and those at every place of the label, an equi-join;
-    shorter words by all of theirs.
+    """``query_id, object_id, score, rank``: for each query the labels with most of its words, ties by id: a top-k report.
+
+    A word stands anywhere in a label. Only different words, and different labels, are
+    matched, by the word's first ``gram`` characters and those at every place of the label, an
+    equi-join (shorter words by all of theirs). Queries with the same set of words are one
+    class, and so are labels that hold the same of these words, of which the first
+    ``limit`` ids are kept; classes meet by word and are ranked among one another, so no query
+    ever meets a label.
     """
-    words = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != ""))).alias("word"))
-    words = words.withColumn("gram", F.substring("word", 1, gram))
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")))
+    asked = queries.select("query_id", words.alias("words"))
+    sets = asked.select("words").distinct()
+    known = sets.select(F.explode("words").alias("word")).distinct().withColumn("gram", F.substring("word", 1, gram))
     labels = catalogue.groupBy(F.lower("label").alias("label")).agg(F.min("object_id").alias("object_id"))
     at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("label"), F.lit(1))), lambda i: F.substring(F.col("label"), i, F.lit(n)))
-    held = labels.select("label", "object_id", F.explode(F.array_distinct(F.flatten(F.array(*(at(n) for n in range(1, gram + 1)))))).alias("gram"))
-    scored = words.join(held, "gram").where(F.contains("label", "word")).groupBy("query_id", "object_id").agg(F.count(F.lit(1)).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "object_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    places = labels.select("label", "object_id", F.explode(F.array_distinct(F.flatten(F.array(*(at(n) for n in range(1, gram + 1)))))).alias("gram"))
+    held = places.join(known, "gram").where(F.contains("label", "word")).groupBy("object_id").agg(F.sort_array(F.collect_set("word")).alias("held"))
+    first = Window.partitionBy("held").orderBy("object_id")
+    classes = held.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit).groupBy("held").agg(F.sort_array(F.collect_list("object_id")).alias("ids"))
+
+    shared = sets.withColumn("word", F.explode("words")).join(classes.withColumn("word", F.explode("held")), "word")
+    scored = shared.groupBy("words", "held").agg(F.count(F.lit(1)).alias("score"), F.first("ids").alias("ids"))
+    order = Window.partitionBy("words").orderBy(F.desc("score"), "object_id")
+    best = scored.select("words", "score", F.explode("ids").alias("object_id")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return asked.join(best, "words").select("query_id", "object_id", "score", "rank")
+
+
+#: Words of every vocabulary, in this order. Fixed values.
+COMMAND_WORDS = ("highlight", "clear", "show", "mark", "zoom", "in", "out", "reset", "spin", "stop", "abnormalities", "findings", "everything", "and", "left", "right", "upper", "middle", "lower", "lobe")
 
 
 def label_vocabulary(catalogue: DataFrame, k: int = 64) -> DataFrame:
-    """Words of labels in order of their first place, without numbers: a top-k report."""
-    words = catalogue.select("seq", F.posexplode(F.split(F.lower("label"), "[^a-z0-9]+")).alias("pos", "word")).where("word <> '' and not word rlike '[0-9]'")
-    return words.groupBy("word").agg(F.min(F.struct("seq", "pos")).alias("at")).orderBy("at", "word").limit(k).select("word")
+    """``place, word``: COMMAND_WORDS, then words of labels in order of their first place, without numbers, ``k`` in all: a top-k report."""
+    words = catalogue.select("seq", F.posexplode(F.split(F.lower("label"), "[^a-z0-9]+")).alias("pos", "word")).where("word <> '' and not word rlike '^[0-9]+$'").where(~F.col("word").isin(*COMMAND_WORDS))
+    own = words.groupBy("word").agg(F.min(F.struct("seq", "pos")).alias("at")).orderBy("at", "word").limit(max(0, k - len(COMMAND_WORDS)))
+    fixed = catalogue.sparkSession.createDataFrame(list(enumerate(COMMAND_WORDS[:k], 1)), "place int, word string")
+    return fixed.unionByName(own.select((F.row_number().over(Window.orderBy("at", "word")) + len(COMMAND_WORDS)).alias("place"), "word"))  # of k rows at most

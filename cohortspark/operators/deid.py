@@ -44,9 +44,15 @@ def object_key(model_id: Column, object_id: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", model_id, object_id), 256), 1, 24)
 
 
-def alias_refs(objects: DataFrame) -> DataFrame:
-    """``O<n>`` by place in the model; volumes and rejected objects have none."""
-    return objects.where("obj_type <> 'volume' and review_status <> 'rejected'").select("model_id", "object_id", F.concat(F.lit("O"), F.col("obj_seq").cast("string")).alias("ref"))
+def alias_refs(objects: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """``model_id, object_id, ref``: ``O<n>`` by place in the model; volumes and rejected objects have none. With ``links`` (``model_id, prior_id, object_id, link_type``) also ``P<n>``, by place in the prior, of prior objects that are resolved, but for volumes."""
+    own = objects.where("obj_type <> 'volume' and review_status <> 'rejected'").select("model_id", "object_id", F.concat(F.lit("O"), F.col("obj_seq").cast("string")).alias("ref"))
+    if links is None:
+        return own
+    gone = links.where("link_type = 'resolved'").select("model_id", "prior_id", "object_id").distinct()
+    before = objects.where("obj_type <> 'volume'").select(F.col("model_id").alias("prior_id"), "object_id", F.concat(F.lit("P"), F.col("obj_seq").cast("string")).alias("ref"))
+    prior = gone.join(before, ["prior_id", "object_id"]).join(own.select("model_id", "object_id"), ["model_id", "object_id"], "left_anti")
+    return own.unionByName(prior.select("model_id", "object_id", "ref"))
 
 
 def object_rows(objects: DataFrame) -> DataFrame:

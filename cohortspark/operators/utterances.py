@@ -36,18 +36,18 @@ CONJUNCTIONS = r" (?:and|plus|also|as well as|along with|together with) "
 LABEL_WORDS = {"vertebrae": "vertebra", "clavicula": "clavicle", "autochthon": "deep back muscle"}
 
 
-def replacements() -> list[tuple[str, str]]:
-    """Patterns and what stands for them, in the order in which they apply: synonyms, numbers, then a letter and its number in one word."""
-    numbers = [(word, str(i)) for words in (CARDINALS, ORDINALS) for i, word in enumerate(words, 1)]
-    return [*((rf"\b{a}\b", b) for a, b in [*SYNONYMS.items(), *numbers]), (r"\b([a-z]) ([0-9]{1,2})\b", "$1$2")]
-
-
 def normalize_utterance(text: Column) -> Column:
-    """Lower-case words between single spaces, with synonyms replaced and numbers as digits; a null text has none."""
-    out = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
-    for pattern, by in replacements():
-        out = F.regexp_replace(out, pattern, by)
-    return out
+    """Lower-case words between single spaces, with synonyms replaced and numbers as digits; a null text has none. Names of several words come first, then every single word by one look-up, then letters join their numbers. Keep the result as a column: what follows takes it from there."""
+    phrases = {a: b for a, b in SYNONYMS.items() if " " in a}
+    single = {a: b for a, b in SYNONYMS.items() if " " not in a} | {word: str(i) for words in (CARDINALS, ORDINALS) for i, word in enumerate(words, 1)}
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+    named = plain
+    for phrase, by in phrases.items():
+        named = F.regexp_replace(named, rf"\b{phrase}\b", by)
+    has_phrase = plain.rlike(rf"\b(?:{'|'.join(phrases)})\b")
+    by_word = F.create_map(*(F.lit(x) for pair in single.items() for x in pair))
+    words = F.transform(F.split(F.when(has_phrase, named).otherwise(plain), " "), lambda w: F.when(w.isin(*single), by_word[w]).otherwise(w))
+    return F.regexp_replace(F.array_join(words, " "), r"\b([a-z]) ([0-9]{1,2})\b", "$1$2")
 
 
 def stem(word: Column) -> Column:
@@ -58,9 +58,9 @@ def stem(word: Column) -> Column:
     return F.when(es & cut(2).rlike("(s|x|ch|sh)$"), cut(2)).when(es | (long & word.endswith("s") & ~word.endswith("ss")), cut(1)).otherwise(word)
 
 
-def tokens(text: Column) -> Column:
-    """Stems of the words that matter."""
-    return F.transform(F.filter(F.split(normalize_utterance(text), " "), lambda w: (w != "") & ~w.isin(*STOPWORDS, *FILLERS)), stem)
+def tokens(normal: Column) -> Column:
+    """Stems of the words that matter, of a normalized text."""
+    return F.transform(F.filter(F.split(normal, " "), lambda w: (w != "") & ~w.isin(*STOPWORDS, *FILLERS)), stem)
 
 
 def label_tokens(label: Column) -> Column:
@@ -106,22 +106,27 @@ def view_action(normal: Column) -> Column:
     return F.coalesce(*(F.when(normal.rlike(pattern), action) for pattern, action in VIEW_COMMANDS))
 
 
-def classify_intent(text: Column) -> Column:
-    """``view``, ``clear``, ``highlight`` or ``unknown``, from the words alone."""
-    normal = normalize_utterance(text)
+def classify_intent(normal: Column) -> Column:
+    """``view``, ``clear``, ``highlight`` or ``unknown``, from the words of a normalized text alone."""
     says = lambda verbs: normal.rlike("|".join(verbs))
     return F.when(view_action(normal).isNotNull(), "view").when(says(CLEAR_VERBS), "clear").when(says(HIGHLIGHT_VERBS), "highlight").otherwise("unknown")
 
 
+def heard(utterances: DataFrame) -> DataFrame:
+    """Utterances ``utterance_id, model_id, text`` with their ``normal`` text, what is ``said`` and the view ``action``, each worked out once a row."""
+    normal = utterances.withColumn("normal", normalize_utterance(F.col("text")))
+    return normal.withColumn("action", view_action(F.col("normal"))).withColumn("said", F.when(F.col("action").isNotNull(), "view").otherwise(classify_intent(F.col("normal"))))
+
+
 def resolve_clauses(utterances: DataFrame, objects: DataFrame) -> DataFrame:
-    """``utterance_id, clause, object_id, label, obj_seq, score``: what each clause of ``utterance_id, model_id, text`` means in its model.
+    """``utterance_id, clause, object_id, label, obj_seq, score``: what each clause of ``utterance_id, model_id, normal`` (see ``heard``) means in its model.
 
     All labels tied at the best score of a clause; a clause without any is tried
     again together with the one after it, which still counts for itself. Volumes
     are never meant.
     """
     known = objects.where("obj_type is null or obj_type <> 'volume'").select("model_id", "object_id", "obj_seq", "obj_type", "label")
-    clauses = utterances.select("utterance_id", "model_id", split_clauses(normalize_utterance(F.col("text"))).alias("clauses")).select("utterance_id", "model_id", "clauses", F.posexplode("clauses").alias("clause", "own"))
+    clauses = utterances.select("utterance_id", "model_id", split_clauses(F.col("normal")).alias("clauses")).select("utterance_id", "model_id", "clauses", F.posexplode("clauses").alias("clause", "own"))
     following = F.get("clauses", F.col("clause") + 1)
     attempt = lambda i, words: F.struct(F.lit(i).alias("attempt"), words.alias("words"))
     tried = F.when(following.isNull(), F.array(attempt(0, F.col("own")))).otherwise(F.array(attempt(0, F.col("own")), attempt(1, F.concat_ws(" ", "own", following))))
@@ -147,8 +152,7 @@ def resolve_clauses(utterances: DataFrame, objects: DataFrame) -> DataFrame:
 
 def resolve_utterances(utterances: DataFrame, objects: DataFrame) -> DataFrame:
     """``utterance_id, intent, action, targets``: view and clear commands mean no object; others highlight what their clauses mean, each object once, in order of clause and label."""
-    text = F.col("text")
-    judged = utterances.select("utterance_id", "model_id", "text", classify_intent(text).alias("said"), view_action(normalize_utterance(text)).alias("action"))
+    judged = heard(utterances).select("utterance_id", "model_id", "normal", "said", "action")
     found = resolve_clauses(judged.where("said not in ('view', 'clear')"), objects)
     once = found.groupBy("utterance_id", "object_id").agg(F.min(F.struct("clause", F.coalesce("label", F.lit("")).alias("label"), "obj_seq")).alias("at"))
     targets = once.groupBy("utterance_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "object_id"))), lambda x: x["object_id"]).alias("targets"))

@@ -142,7 +142,14 @@ def named_objects(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: What is said of a model, by its number modulo 8; ``{t}`` is the name of its first object.
-SAID = ("Show me the {t} widgets", "right {t} and the small BOLT", "Reset the view", "please highlight everything", "any suspicious findings, or the {t}", "clear", "the left and {t} plus fourth bolt", "Rotate it again")
+SAID = ("Show me the {t} widgets", "right {t} and the small BOLT", "Reset the view", "please highlight everything", "any suspicious findings, or the {t}", "clear", "the left and {t} plus fourth bolt", "Rotate it again", "Mark the wind-pipe, RIBS & backbone one!", "Zoom in on c first, um, {t} boxes")
+#: What is left of them, the words that count, and what is asked for.
+HEARD = (
+    ("show me the {t} widgets", "show {t} widget", "highlight", None), ("right {t} and the small bolt", "right {t} small bolt", "unknown", None), ("reset the view", "reset view", "view", "reset_view"),
+    ("please highlight everything", "highlight everything", "highlight", None), ("any suspicious findings or the {t}", "any suspiciou finding or {t}", "unknown", None), ("clear", "clear", "clear", None),
+    ("the left and {t} plus 4 bolt", "left {t} plu 4 bolt", "unknown", None), ("rotate it again", "rotate it again", "view", "spin_on"),
+    ("mark the trachea rib vertebrae 1", "mark trachea rib vertebrae 1", "highlight", None), ("zoom in on c1 um {t} boxes", "zoom c1 {t} box", "view", "zoom_in"),
+)
 
 
 def spoken(spark: SparkSession, d: str) -> DataFrame:
@@ -151,15 +158,20 @@ def spoken(spark: SparkSession, d: str) -> DataFrame:
     return first.select(F.col("model_id").alias("utterance_id"), "model_id", text.alias("text"))
 
 
+#: Rules of the texts above, in the order in which they apply.
+RULES = ((r"\bwind pipe\b", "trachea"), (r"\bbackbone\b", "vertebrae"), (r"\bribs\b", "rib"), (r"\bone\b", "1"), (r"\bfirst\b", "1"), (r"\bfourth\b", "4"), (r"\b([a-z]) ([0-9]{1,2})\b", r"\1\2"))
+
+
 def normal_sql(text: str) -> str:
     out = f"trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'))"
-    for pattern, by in utterances.replacements():
-        out = f"regexp_replace({out}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    for pattern, by in RULES:
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
     return out
 
 
-def words_sql(words: tuple[str, ...]) -> str:
-    return ", ".join(f"'{w}'" for w in words)
+def heard_sql(place: int) -> str:
+    told = ("NULL" if row[place] is None else f"replace('{row[place]}', '{{t}}', t)" for row in HEARD)
+    return f"CASE model_id % {len(HEARD)} {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(told))} END"
 
 
 def stem_sql(w: str) -> str:
@@ -171,30 +183,30 @@ def stem_sql(w: str) -> str:
 _SAID_SQL = " ".join(f"WHEN {i} THEN replace('{s}', '{{t}}', t)" for i, s in enumerate(SAID))
 SPOKEN_SQL = f"""WITH {OBJECTS_SQL}, nm AS (SELECT model_id, object_id, obj_seq, CASE WHEN obj_seq = 7 THEN 'volume' ELSE obj_type END AS obj_type,
   concat(lower(label), CASE WHEN cx % 2 = 0 THEN '_widget' ELSE '_bolts' END, CASE obj_seq % 3 WHEN 0 THEN '_left' WHEN 1 THEN '_right' ELSE '' END, CASE WHEN obj_seq > 3 THEN concat('_', obj_seq) ELSE '' END) AS label FROM o),
-ut AS (SELECT model_id, CASE model_id % {len(SAID)} {_SAID_SQL} END AS text FROM (SELECT model_id, arg_min(lower(label), obj_seq) AS t FROM o GROUP BY model_id)),
+ut AS (SELECT model_id, t, CASE model_id % {len(SAID)} {_SAID_SQL} END AS text FROM (SELECT model_id, arg_min(lower(label), obj_seq) AS t FROM o GROUP BY model_id)),
 nu AS (SELECT model_id, {normal_sql("text")} AS n FROM ut),
-vw AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(n, '{p}') THEN '{a}'" for p, a in utterances.VIEW_COMMANDS)} END AS action,
-  regexp_matches(n, '{"|".join(utterances.CLEAR_VERBS)}') AS clears, regexp_matches(n, '{"|".join(utterances.HIGHLIGHT_VERBS)}') AS lights FROM nu)
+vw AS (SELECT nu.*, {heard_sql(3)} AS action, {heard_sql(2)} = 'clear' AS clears, {heard_sql(2)} AS intent FROM nu JOIN ut USING (model_id))
 """
 
 
-@query("l03_l04_tokens", f"{SPOKEN_SQL} SELECT model_id AS utterance_id, n AS normal, array_to_string([{stem_sql('w')} FOR w IN string_split({normal_sql('n')}, ' ') IF w <> '' AND w NOT IN ({words_sql(utterances.STOPWORDS + utterances.FILLERS)})], ' ') AS words FROM nu")
+@query("l03_l04_tokens", f"{SPOKEN_SQL} SELECT model_id AS utterance_id, {heard_sql(0)} AS normal, {heard_sql(1)} AS words FROM ut")
 def l03(spark: SparkSession, d: str) -> DataFrame:
-    normal = utterances.normalize_utterance(F.col("text"))
-    return spoken(spark, d).select("utterance_id", normal.alias("normal"), F.array_join(utterances.tokens(normal), " ").alias("words"))
+    normal = spoken(spark, d).withColumn("normal", utterances.normalize_utterance(F.col("text")))
+    return normal.select("utterance_id", "normal", F.array_join(utterances.tokens(F.col("normal")), " ").alias("words"))
 
 
-@query("l10_intents", f"{SPOKEN_SQL} SELECT model_id AS utterance_id, CASE WHEN action IS NOT NULL THEN 'view' WHEN clears THEN 'clear' WHEN lights THEN 'highlight' ELSE 'unknown' END AS intent, action FROM vw")
+@query("l10_intents", f"{SPOKEN_SQL} SELECT model_id AS utterance_id, {heard_sql(2)} AS intent, {heard_sql(3)} AS action FROM ut")
 def l10(spark: SparkSession, d: str) -> DataFrame:
-    text = F.col("text")
-    return spoken(spark, d).select("utterance_id", utterances.classify_intent(text).alias("intent"), utterances.view_action(utterances.normalize_utterance(text)).alias("action"))
+    return utterances.heard(spoken(spark, d)).select("utterance_id", F.col("said").alias("intent"), "action")
 
 
+#: Words of the texts above that do not count.
+UNHEARD = "'the', 'and', 'me', 'please', 'in', 'on', 'um'"
 CLAUSES_SQL = f"""{SPOKEN_SQL}, cl AS (SELECT model_id, [c FOR c IN string_split_regex(n, ' (?:and|plus|also|as well as|along with|together with) ') IF trim(c) <> ''] AS cs FROM vw WHERE action IS NULL AND NOT clears),
 ca AS (SELECT model_id, unnest(cs) AS own, generate_subscripts(cs, 1) AS clause, cs FROM cl),
 tr AS (SELECT model_id, clause, 0 AS attempt, own AS words FROM ca UNION ALL SELECT model_id, clause, 1, concat(own, ' ', cs[clause + 1]) FROM ca WHERE clause < len(cs)),
-kd AS (SELECT *, CASE WHEN regexp_matches(words, '\\b({"|".join(utterances.EVERYTHING_WORDS)})\\b') THEN 'everything' WHEN regexp_matches(words, '\\b({"|".join(utterances.ABNORMAL_WORDS)})\\b') THEN 'abnormalities' END AS kind,
-  [{stem_sql("w")} FOR w IN string_split({normal_sql("words")}, ' ') IF w <> '' AND w NOT IN ({words_sql(utterances.STOPWORDS + utterances.FILLERS)})] AS said FROM tr),
+kd AS (SELECT *, CASE WHEN regexp_matches(words, '\\beverything\\b') THEN 'everything' WHEN regexp_matches(words, '\\b(suspicious|findings)\\b') THEN 'abnormalities' END AS kind,
+  [{stem_sql("w")} FOR w IN string_split(words, ' ') IF w <> '' AND w NOT IN ({UNHEARD})] AS said FROM tr),
 lb AS (SELECT *, [w FOR w IN string_split(label, '_') IF w IN ('left', 'right')][1] AS side, [{stem_sql("w")} FOR w IN string_split(label, '_') IF w NOT IN ('left', 'right')] AS names FROM nm WHERE obj_type <> 'volume'),
 mt AS (SELECT kd.model_id, clause, attempt, object_id, obj_seq, label, obj_type, kind, names, side, said, [w FOR w IN said IF w IN ('left', 'right')][1] AS side_said, len([w FOR w IN names IF list_contains(said, w)]) AS matched,
   [w FOR w IN said IF regexp_full_match(w, '[0-9]+')] AS n_said, [w FOR w IN names IF regexp_full_match(w, '[0-9]+')] AS n_own FROM kd JOIN lb USING (model_id)),
@@ -209,8 +221,7 @@ on_ AS (SELECT *, min(attempt) OVER (PARTITION BY model_id, clause) AS first FRO
 
 @query("l06_l08_resolved_clauses", f"{CLAUSES_SQL} SELECT model_id AS utterance_id, CAST(clause - 1 AS INTEGER) AS clause, object_id, round(score, 9) AS score FROM on_ WHERE attempt = first")
 def l06(spark: SparkSession, d: str) -> DataFrame:
-    said = spoken(spark, d)
-    wanted = said.where(~utterances.classify_intent(F.col("text")).isin("view", "clear"))
+    wanted = utterances.heard(spoken(spark, d)).where("said not in ('view', 'clear')")
     return utterances.resolve_clauses(wanted, named_objects(spark, d)).select("utterance_id", "clause", "object_id", F.round("score", 9).alias("score"))
 
 

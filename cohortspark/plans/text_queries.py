@@ -28,9 +28,18 @@ def l01(spark: SparkSession, d: str) -> DataFrame:
     return context.find_object(objects(spark, d), "PROMO")
 
 
-@query("l11_vocabulary", "SELECT lower(p_type) AS word FROM part GROUP BY lower(p_type) ORDER BY min(p_partkey), word LIMIT 64")
+@query("l01_find_by_id", f"{O} SELECT object_id, 0.7::DOUBLE AS score FROM o WHERE contains(object_id, '17:2')")
+def l01b(spark: SparkSession, d: str) -> DataFrame:
+    return context.find_object(objects(spark, d), " 17:2")
+
+
+@query(
+    "l11_vocabulary",
+    "WITH f AS (SELECT unnest(range(1, 21)) AS place, unnest(['highlight', 'clear', 'show', 'mark', 'zoom', 'in', 'out', 'reset', 'spin', 'stop', 'abnormalities', 'findings', 'everything', 'and', 'left', 'right', 'upper', 'middle', 'lower', 'lobe']) AS word), w AS (SELECT p_partkey AS seq, unnest([lower(p_name), lower(p_type), 'upper', 'b7', '12']) AS part, unnest(range(5)) AS k FROM part), x AS (SELECT seq, k, unnest(string_split_regex(part, '[^a-z0-9]+')) AS word, generate_subscripts(string_split_regex(part, '[^a-z0-9]+'), 1) AS i FROM w), g AS (SELECT word, min((seq, k, i)) AS first FROM x WHERE word NOT IN ('', '12') AND word NOT IN (SELECT word FROM f) GROUP BY word) SELECT CAST(place AS INTEGER) AS place, word FROM f UNION ALL SELECT CAST(20 + n AS INTEGER), word FROM (SELECT word, row_number() OVER (ORDER BY first, word) AS n FROM g) WHERE n <= 44",
+)
 def l11(spark: SparkSession, d: str) -> DataFrame:
-    return context.label_vocabulary(table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_type").alias("label")))
+    label = F.concat_ws("_", "p_name", "p_type", F.lit("upper"), F.lit("b7"), F.lit("12"))
+    return context.label_vocabulary(table(spark, d, "part").select(F.col("p_partkey").alias("seq"), label.alias("label")))
 
 
 #: Texts with identifiers and dates of every form, and what may be left of them, by customer number modulo their count. KEY stands for the customer's number.
@@ -100,6 +109,20 @@ def d06(spark: SparkSession, d: str) -> DataFrame:
     return deid.object_rows(objects(spark, d))
 
 
+@query(
+    "d03_refs",
+    f"{O}, k AS (SELECT * REPLACE (CASE WHEN obj_seq = 4 THEN 'volume' ELSE obj_type END AS obj_type, CASE WHEN obj_seq = 5 THEN 'rejected' ELSE review_status END AS review_status) FROM o), pr AS (SELECT *, lag(model_id) OVER (PARTITION BY patient_id ORDER BY study_date, model_id) AS prior_id FROM (SELECT DISTINCT patient_id, model_id, study_date FROM o)) SELECT model_id, object_id, concat('O', obj_seq) AS ref FROM k WHERE obj_type <> 'volume' AND review_status <> 'rejected' UNION ALL SELECT pr.model_id, object_id, concat('P', obj_seq) FROM pr JOIN k ON k.model_id = prior_id WHERE obj_seq IN (2, 4, 5) AND obj_type <> 'volume'",
+)
+def d03(spark: SparkSession, d: str) -> DataFrame:
+    """Links that call three objects of each prior resolved, one of them a volume and one rejected."""
+    o = objects(spark, d)
+    o = o.withColumns({"obj_type": F.when(F.col("obj_seq") == 4, "volume").otherwise(F.col("obj_type")), "review_status": F.when(F.col("obj_seq") == 5, "rejected").otherwise(F.col("review_status"))})
+    priors = temporal.select_prior(temporal.models(o))
+    gone = temporal.prior_objects(o, priors).where("obj_seq in (2, 4, 5)").select("model_id", "prior_id", "object_id", F.lit("resolved").alias("link_type"))
+    other = temporal.prior_objects(o, priors).where("obj_seq = 1").select("model_id", "prior_id", "object_id", F.lit("changed_from").alias("link_type"))
+    return deid.alias_refs(o, gone.unionByName(other)).select("model_id", "object_id", "ref")
+
+
 @query("d09_object_keys", f"{O} SELECT object_id, substr(sha256(concat(model_id, ':', object_id)), 1, 24) AS key FROM o")
 def d09(spark: SparkSession, d: str) -> DataFrame:
     return objects(spark, d).select("object_id", deid.object_key(F.col("model_id"), F.col("object_id")).alias("key"))
@@ -136,10 +159,21 @@ def s03(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "s11_search_documents",
-    f"{O} SELECT model_id, string_agg(label, '; ' ORDER BY obj_seq) AS labels, string_agg(DISTINCT obj_type, ',' ORDER BY obj_type) AS types, string_agg(DISTINCT review_status, ',' ORDER BY review_status) AS states, string_agg(concat(label, ' volume ', CAST(round(volume_mm3) AS BIGINT), ' surface ', CAST(round(surface_area_mm2) AS BIGINT)), '; ' ORDER BY obj_seq) AS measures, count(*) AS object_count FROM o GROUP BY model_id",
+    f"{O} SELECT 'patient_model' AS entity_type, CAST(model_id AS VARCHAR) AS entity_id, concat(string_agg(label, ' ' ORDER BY obj_seq), ' ', string_agg(concat(label, ' volume ', CAST(round(volume_mm3) AS BIGINT), ' surface ', CASE WHEN obj_seq = 2 THEN 'None' ELSE CAST(CAST(round(surface_area_mm2) AS BIGINT) AS VARCHAR) END), ' ' ORDER BY obj_seq)) AS search_text, string_agg(label, '; ' ORDER BY obj_seq) AS labels, string_agg(DISTINCT obj_type, ',' ORDER BY obj_type) AS types, string_agg(DISTINCT review_status, ',' ORDER BY review_status) AS states, count(*) AS object_count, count(*) - 1 AS relationship_count, count(*) FILTER (WHERE obj_seq % 2 = 0) AS context_count FROM o GROUP BY model_id",
 )
 def s11(spark: SparkSession, d: str) -> DataFrame:
-    return writers.search_documents(objects(spark, d).withColumns({c: F.round(c).cast("long") for c in ("volume_mm3", "surface_area_mm2")}))
+    o = objects(spark, d).withColumns({c: F.round(c).cast("long") for c in ("volume_mm3", "surface_area_mm2")})
+    o = o.withColumn("surface_area_mm2", F.when(F.col("obj_seq") != 2, F.col("surface_area_mm2")))
+    found = writers.search_documents(o, o.where("obj_seq > 1").select("model_id"), o.where("obj_seq % 2 = 0").select("model_id"))
+    return found.withColumns({"labels": F.array_join("labels", "; "), "types": F.array_join("types", ","), "states": F.array_join("states", ",")})
+
+
+@query("s11_study_documents", "SELECT 'study' AS entity_type, CAST(o_orderkey AS VARCHAR) AS entity_id, CASE WHEN o_orderkey % 5 = 0 THEN concat(o_orderstatus, ' ready') ELSE concat(o_orderpriority, ' ', o_orderstatus, ' ready') END AS search_text, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS description, o_orderstatus AS modality, 'ready' AS status, coalesce(n, 0) AS image_count, coalesce(s, 0) AS series_count FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey % 3) AS s FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
+def s11b(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("image_count"), F.count_distinct(F.col("l_suppkey") % 3).alias("series_count"))
+    studies = table(spark, d, "orders").join(counts, "o_orderkey", "left")
+    studies = studies.select(F.col("o_orderkey").alias("study_id"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("description"), F.col("o_orderstatus").alias("modality"), F.lit("ready").alias("status"), F.col("o_orderdate").alias("study_date"), "image_count", "series_count", F.lit("Doe^Jane").alias("patient_name"))
+    return writers.study_documents(studies).drop("study_date", "model_id", "created_at")
 
 
 @query("s10_context_bundles")
