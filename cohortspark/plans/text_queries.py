@@ -184,17 +184,6 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     return writers.export_context_bundles(o, spatial.nearest(o, 6), bindings, links)
 
 
-@query("s08_nested_models")
-def s08(spark: SparkSession, d: str) -> DataFrame:
-    return writers.nest_models(objects(spark, d))
-
-
-@query("s09_graph_documents")
-def s09(spark: SparkSession, d: str) -> DataFrame:
-    o = objects(spark, d)
-    return writers.export_graph(o, spatial.derive_relationships(o))
-
-
 @query("s12_artifacts", "SELECT o_orderkey AS artifact_id, o_orderdate AS created_at, o_orderstatus AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
 def s12(spark: SparkSession, d: str) -> DataFrame:
     registry = table(spark, d, "orders").select(F.col("o_orderkey").alias("artifact_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("payload"))
