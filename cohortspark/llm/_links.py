@@ -137,8 +137,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
             break  # stars: every node but the centres has one link, to a centre
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = join_by_key(both, low.select("u", "m"), "u", low.select("u", "n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # a hub may hold any share of the links
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         links = materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())

@@ -70,9 +70,19 @@ def norms(text: str) -> list[str]:
     return [x.strip(" ") for x in lines]
 
 
+def digest(line: str) -> bytes:
+    """128 bits that stand for a line."""
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+
+
 def names(line: str) -> tuple[int, int]:
-    """128 bits that stand for a line, as two whole numbers."""
-    return _TWO.unpack(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
+    """``digest`` as two whole numbers."""
+    return _TWO.unpack(digest(line))
+
+
+def many_names(held: dict[bytes, str]) -> np.ndarray:
+    """``names`` of lines by digest, a row each."""
+    return np.frombuffer(b"".join(held), np.dtype(np.int64).newbyteorder(_TWO.format[0])).astype(np.int64).reshape(-1, 2)
 
 
 def shingles_of(lines: list[str], kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -131,14 +141,14 @@ def some_at_once(lines: list[str]) -> Iterator[tuple[int, int]]:
         yield a, len(lines)
 
 
-def some_lines(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[dict[int, str]]:
-    """Lines of a task by name, each once, about ``most`` at a time; the texts are in column ``text``."""
-    held: dict[int, str] = {}
+def some_lines(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[dict[bytes, str]]:
+    """Lines of a task by their 128-bit name, each once, about ``most`` at a time; the texts are in column ``text``."""
+    held: dict[bytes, str] = {}
     for batch in batches:
         for value in batch.column(text):
             for line in norms(value.as_py() or ""):
                 if line:
-                    held[names(line)[0]] = line
+                    held[digest(line)] = line
             if len(held) >= most:
                 yield held
                 held = {}
@@ -151,7 +161,7 @@ def band_entries(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in some_lines(batches, 0, GATHERED):
-            lids, lines = np.fromiter(held, np.int64, len(held)), list(held.values())
+            lids, lines = many_names(held)[:, 0], list(held.values())
             held.clear()
             h = np.empty((len(lines), BANDS), U)
             for a, b in some_at_once(lines):
@@ -224,9 +234,10 @@ def verified(sets: list[np.ndarray], percent: int, joined: list[int]) -> list[in
 
 
 def texts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``text`` to ``lid, norm``."""
+    """``text`` to ``lid, more, norm``."""
     for held in some_lines(batches, 0, GATHERED // 10):
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.string())], ["lid", "norm"])
+        own = many_names(held)
+        yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(list(held.values()), pa.string())], ["lid", "more", "norm"])
 
 
 def places_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,13 +257,16 @@ def places_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def line_classes(texts: DataFrame, n_bytes: int, part_size: int = PART) -> DataFrame:
-    """``node, root`` of the lines of ``text`` that some other line is like."""
+    """``lid, more, root`` of the lines of ``text`` that some other line is like; a line is named by both numbers. Blocks are found by the first number alone; where different lines share it, the second names them inside."""
     entries = texts.select("text").mapInArrow(band_entries(bucket_bits(n_bytes, 6_000_000)), DEALT)
     blocks = components(by_bucket(entries, band_edges, "a long, b long").where("a <> b"))
-    lines = texts.select("text").mapInArrow(texts_of_lines, "lid long, norm string")
-    found = lines.join(blocks.select(F.col("node").alias("lid"), F.col("root").alias("block")).hint("shuffle_hash"), "lid").groupBy("lid", "block").agg(F.min("norm").alias("norm"), F.max("norm").alias("other"))
-    found = found.where("norm = other").select("lid", "norm", "block", F.length("norm").cast("long").alias("weight"))
-    return block_components(materialize(found), "lid", "norm", sets_of, verified, part_size)
+    lines = texts.select("text").mapInArrow(texts_of_lines, "lid long, more long, norm string")
+    found = lines.join(blocks.select(F.col("node").alias("lid"), F.col("root").alias("block")).hint("shuffle_hash"), "lid").groupBy("lid", "block").agg(F.collect_set(F.struct("more", "norm")).alias("own"))
+    node = F.when(F.size("own") == 1, F.col("lid"))
+    found = found.select("lid", "block", node.alias("node"), F.explode("own").alias("line")).select(F.coalesce("node", "line.more").alias("node"), "lid", "line.more", "line.norm", "block", F.length("line.norm").cast("long").alias("weight"))
+    found = materialize(found)
+    classes = block_components(found.select("node", "norm", "block", "weight"), "node", "norm", sets_of, verified, part_size)
+    return found.select("node", "lid", "more").join(classes, "node").select("lid", "more", "root")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), part_size: int = PART) -> DataFrame:
@@ -264,7 +278,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = materialize(base.select("rid", F.coalesce("doc_id", F.lit(NO_ID)).alias("ord"), "text").mapInArrow(places_of_lines, "lid long, more long, rid long, ord long, pos int"))
 
     lines = places.groupBy("lid", "more").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "rid", "pos")).alias("first"))
-    lines = materialize(lines.join(classes, F.col("lid") == F.col("node"), "left").where("n > 1 or node is not null").select("lid", "more", "n", "first", "root"))
+    lines = materialize(lines.join(classes, ["lid", "more"], "left").where("n > 1 or root is not null").select("lid", "more", "n", "first", "root"))
     near = lines.where("root is not null")
     roots = near.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("lines"))
     firsts = join_by_key(near.select("root", "lid", "more", "n"), roots.where("n > 1").select("root", "first"), "root", roots.select("root", F.col("lines").alias("n")))

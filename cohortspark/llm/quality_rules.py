@@ -16,13 +16,14 @@ The steps are grouped aggregates of sums and of approximate percentiles, which
 Spark combines before the shuffle, so a source with a third of all rows is no
 heavier than others; distances come from a Cholesky factor written out as column
 expressions. Only estimates (a row for each language and source) are joined back.
-A group with fewer than ``LEAST_GROUP`` vectors is judged by the estimates of its
-language, and where that has too few as well, by those of all texts.
+What judges a group is drawn towards the estimates of its language, and these towards
+those of all texts, each by ``DRAWN`` vectors' worth: an estimate that rests on n vectors
+weighs n / (n + DRAWN), so no number of texts switches from one estimate to another.
 
 Defined results: null texts have no words and fail the base rules; null language
 and null source are groups of their own; every text that passes the base rules has a
-distance; estimates of all texts that rest on fewer than ``LEAST_GROUP`` vectors
-have no covariances, only variances; a coordinate that is tied for half of a
+distance; covariances of all texts weigh n / (n + DRAWN) as well, so those of a few
+vectors count for little; a coordinate that is tied for half of a
 group's vectors or more has at least the variance of its corpus-wide median
 absolute deviation, or where that is 0 too, of its corpus-wide mean absolute
 deviation, so a rare value is far where it is far for the corpus; a coordinate
@@ -43,10 +44,10 @@ SYMBOLS = "#*$%&|<>"
 SUPPORT, TRIED, STEPS, SHRINKS = 0.75, 2, 20, 1e-6
 #: Of so many parts by hash two are starts of their own.
 SUBSETS = 8
-#: Words from which repeated windows are found by 128 bits of hash and a number beside them, rather than by a hash and a place in one number of 64 bits.
+#: Words from which repeated windows are found by 128 bits of hash and a number beside them, rather than by a hash and a place in one number of 64 bits and the words themselves.
 MANY_WORDS = 4096
-#: Added to each variance, so that a change of word length by 1 % or a share of 1 in 10,000 counts for little even where vectors hardly differ; and least number of vectors in a group or language with estimates of its own.
-FLOOR, LEAST_GROUP = 1e-4, 30
+#: Added to each variance, so that a change of word length by 1 % or a share of 1 in 10,000 counts for little even where vectors hardly differ; and the number of vectors that weigh as much as the wider estimate.
+FLOOR, DRAWN = 1e-4, 300
 #: Squared distance of rejection: the 0.9999 quantile of chi-squared with four degrees.
 LIMIT = 23.5127
 #: Make the median and the mean absolute deviation the standard deviation, for normal data.
@@ -66,7 +67,7 @@ def repeated_words(words: Column) -> Column:
     Windows are sorted by hash, then place, so equal ones are neighbours; the places
     of those that have an equal neighbour are sorted again, and each covers as many
     words as are left before the next. Short texts have hash (52 bits at least) and place
-    in one number, which sorts faster.
+    in one number, which sorts faster, and windows with equal ones are compared by their words.
     """
     hashed = lambda w, i, seed: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), *seed)
 
@@ -74,8 +75,8 @@ def repeated_words(words: Column) -> Column:
         width = lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3).cast("long")))
         return F.aggregate(F.transform(places, width), F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def repeated(keys: Column, hash_of, place_of) -> Column:
-        same = lambda k, other: F.coalesce(hash_of(F.get(keys, other)) == hash_of(k), F.lit(False))
+    def repeated(keys: Column, hash_of, place_of, also=lambda a, b: F.lit(True)) -> Column:
+        same = lambda k, other: F.coalesce((hash_of(F.get(keys, other)) == hash_of(k)) & also(place_of(F.get(keys, other)), place_of(k)), F.lit(False))
         return F.sort_array(F.transform(F.filter(keys, lambda k, i: same(k, i - 1) | same(k, i + 1)), place_of))
 
     def short(w: Column) -> Column:
@@ -84,7 +85,8 @@ def repeated_words(words: Column) -> Column:
         cut = lambda h: F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits)
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
         keys = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: cut(hashed(w, i, ())).bitwiseOR(i.cast("long"))))
-        return let(keys, lambda k: let(repeated(k, lambda x: F.call_function("shiftright", x, bits), lambda x: x.bitwiseAND(mask)), covered))
+        words = lambda i: F.slice(w, i.cast("int") + 1, F.lit(3))
+        return let(keys, lambda k: let(repeated(k, lambda x: F.call_function("shiftright", x, bits), lambda x: x.bitwiseAND(mask), lambda a, b: words(a) == words(b)), covered))
 
     def long(w: Column) -> Column:
         keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.struct(hashed(w, i, ()).alias("a"), hashed(w, i, (F.lit(7),)).alias("b")).alias("hash"), i.cast("long").alias("place"))))
@@ -130,7 +132,7 @@ def covariance_name(i: int, j: int) -> str:
 
 
 def with_factor(estimates: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """Adds ``l00`` to ``l33``, the Cholesky factor of the covariance with ``floor`` added to each variance. A column at a time, so each is computed once."""
+    """Adds ``l00`` to ``l33``, the Cholesky factor of the covariance ``c**`` with ``floor`` added to each variance. A column at a time, so each is computed once."""
     p = len(COORDINATES)
     for i in range(p):
         for j in range(i + 1):
@@ -138,7 +140,7 @@ def with_factor(estimates: DataFrame, floor: float = FLOOR) -> DataFrame:
             for k in range(j):
                 s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             estimates = estimates.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(floor / 10))) if i == j else s / F.col(f"l{j}{j}"))
-    return estimates.drop(*(covariance_name(i, j) for i in range(p) for j in range(i + 1)))
+    return estimates
 
 
 def with_distance(vectors: DataFrame, name: str) -> DataFrame:
@@ -158,14 +160,31 @@ def with_estimates(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def pools_of(vectors: DataFrame) -> DataFrame:
-    """``of_lang, of_source, pools``: the pools of vectors that a group counts in, smallest first: its own, its language's (each with ``LEAST_GROUP`` vectors at least) and that of all. The first one judges it."""
-    groups = vectors.groupBy(F.col("lang").alias("of_lang"), F.col("source").alias("of_source")).agg(F.count(F.lit(1)).alias("n_group"))
-    langs = groups.groupBy(F.col("of_lang").alias("lang")).agg(F.sum("n_group").alias("n_lang"))
+    """``of_lang, of_source, pools``: the pools of vectors that a group counts in: its own, its language's and that of all."""
+    groups = vectors.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source")).distinct()
     none = {c: F.lit(None).cast(vectors.schema[c].dataType).alias(c) for c in ("lang", "source")}
     pool = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang, source)
-    own = F.when(F.col("n_group") >= LEAST_GROUP, pool(0, F.col("of_lang").alias("lang"), F.col("of_source").alias("source")))
-    wider = F.when(F.col("n_lang") >= LEAST_GROUP, pool(1, F.col("of_lang").alias("lang"), none["source"]))
-    return groups.join(langs, F.col("of_lang").eqNullSafe(F.col("lang"))).select("of_lang", "of_source", F.array_compact(F.array(own, wider, pool(2, none["lang"], none["source"]))).alias("pools"))
+    own = pool(0, F.col("of_lang").alias("lang"), F.col("of_source").alias("source"))
+    return groups.select("of_lang", "of_source", F.array(own, pool(1, F.col("of_lang").alias("lang"), none["source"]), pool(2, none["lang"], none["source"])).alias("pools"))
+
+
+def drawn_together(pools: DataFrame, best: DataFrame) -> DataFrame:
+    """``of_lang, of_source, n_group``, centre and factor of each group, from its own estimates, its language's and those of all by their weights."""
+    p = len(COORDINATES)
+    names = [f"m{i}" for i in range(p)] + [covariance_name(i, j) for i in range(p) for j in range(i + 1)]
+    joined = pools
+    for level in range(3):
+        own = best.select(F.col("pool").alias(f"pool{level}"), F.col("n_group").alias(f"n{level}"), *(F.col(c).alias(f"{c}_{level}") for c in names))
+        joined = joined.withColumn(f"pool{level}", F.col("pools")[level]).join(own, f"pool{level}")
+    weight = lambda n: F.col(n) / (F.col(n) + DRAWN)
+    off = {covariance_name(i, j) for i in range(p) for j in range(i)}
+    columns = {}
+    for c in names:
+        value = F.col(f"{c}_2") * (weight("n2") if c in off else F.lit(1.0))
+        for level in (1, 0):
+            value = weight(f"n{level}") * F.col(f"{c}_{level}") + (1 - weight(f"n{level}")) * value
+        columns[c] = value
+    return with_factor(joined.select("of_lang", "of_source", F.col("n0").alias("n_group"), *(v.alias(c) for c, v in columns.items()))).drop(*(c for c in names if c.startswith("c")))
 
 
 def with_spread(estimates: DataFrame, tied: DataFrame) -> DataFrame:
@@ -183,13 +202,12 @@ def with_determinant(estimates: DataFrame) -> DataFrame:
 
 
 def from_members(members: DataFrame, tied: DataFrame, scale: float) -> DataFrame:
-    """Estimates by ``pool`` and ``start`` from the vectors of each. Covariances of a few vectors do not hold and are 0."""
+    """Estimates by ``pool`` and ``start`` from the vectors of each."""
     p = len(COORDINATES)
     sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(COORDINATES)]
     sums += [(F.covar_pop(COORDINATES[i], COORDINATES[j]) * scale).alias(covariance_name(i, j)) for i in range(p) for j in range(i + 1)]
     now = members.groupBy("pool", "start", "n_group").agg(*sums)
-    few = {covariance_name(i, j): F.when(F.col("n_group") >= LEAST_GROUP, F.col(covariance_name(i, j))).otherwise(0.0) for i in range(p) for j in range(i)}
-    return with_determinant(with_factor(with_spread(now.withColumns(few), tied)))
+    return with_determinant(with_factor(with_spread(now, tied)))
 
 
 def concentrated(pooled: DataFrame, estimates: DataFrame, tied: DataFrame, support: float) -> DataFrame:
@@ -199,8 +217,8 @@ def concentrated(pooled: DataFrame, estimates: DataFrame, tied: DataFrame, suppo
     return materialize(from_members(far.join(limits, ["pool", "start"]).where("d <= limit"), tied, CONSISTENT))
 
 
-def mcd_estimates(vectors: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
-    """``of_lang, of_source, n_group``, centre ``m*``, factor ``l**`` and ``det`` from rows of ``lang, source`` and coordinates; ``n_group`` vectors are in the pool that judges the group. Whether any determinant still shrinks is all that comes to the driver."""
+def pool_estimates(vectors: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
+    """The pools of each group (see ``pools_of``), and of each pool ``n_group``, centre ``m*``, covariances ``c**``, their factor ``l**`` and ``det``, from rows of ``lang, source`` and coordinates. After the first steps only pools go on whose determinant still shrinks; whether there are any is all that comes to the driver."""
     p = len(COORDINATES)
     pools = materialize(pools_of(vectors))
     pooled = with_estimates(vectors, pools).select(F.explode("pools").alias("pool"), *COORDINATES)
@@ -220,14 +238,19 @@ def mcd_estimates(vectors: DataFrame, support: float = SUPPORT, steps: int = STE
     for _ in range(TRIED):
         estimates = concentrated(pooled, estimates, tied, support)
     least = lambda df: df.groupBy("pool").agg(F.min_by(F.struct(*(c for c in df.columns if c != "pool")), F.struct("det", "start")).alias("e")).select("pool", "e.*")
-    best = materialize(least(estimates))
+    best = unsettled = materialize(least(estimates))
     for _ in range(steps - TRIED):
-        now = concentrated(pooled, best, tied, support)
-        smaller = now.join(best.select("pool", F.col("det").alias("before")), "pool").where(F.col("det") < F.col("before") * (1 - SHRINKS))
-        if smaller.isEmpty():
+        now = concentrated(pooled, unsettled, tied, support)
+        unsettled = materialize(now.join(best.select("pool", F.col("det").alias("before")), "pool").where(F.col("det") < F.col("before") * (1 - SHRINKS)).drop("before"))
+        if unsettled.isEmpty():
             break
-        best = materialize(least(best.unionByName(now)))
-    return pools.select("of_lang", "of_source", F.col("pools")[0].alias("pool")).join(best, "pool").drop("pool", "start")
+        best = materialize(least(best.unionByName(unsettled)))
+    return pools, best
+
+
+def mcd_estimates(vectors: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
+    """``of_lang, of_source, n_group``, centre ``m*`` and factor ``l**`` that judge each group."""
+    return drawn_together(*pool_estimates(vectors, support, steps))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limit: float = LIMIT, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
@@ -235,6 +258,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = materialize(coordinates(base_counts(docs, id_col, text_col, lang_col, source_col)))
     passed = counts.where("not base_failed")
     estimates = mcd_estimates(passed.select("lang", "source", *COORDINATES), support, steps)
-    judged = with_distance(with_estimates(counts, estimates.drop("det")), "distance")
+    judged = with_distance(with_estimates(counts, estimates), "distance")
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

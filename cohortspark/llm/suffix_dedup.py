@@ -295,8 +295,8 @@ def deep_shallow(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarr
     return order, new
 
 
-def owners(table: pa.Table, min_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all strings in the pieces of ``table`` (``ord, n, bytes``): the piece, the place in it, and the smallest id that holds the string."""
+def owners(table: pa.Table, min_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all strings in the pieces of ``table`` (``ord, n, bytes``): the piece, the place in it, the smallest id that holds the string, and the string's number in order."""
     raw = table.column("bytes").combine_chunks()
     raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
     offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
@@ -306,11 +306,12 @@ def owners(table: pa.Table, min_length: int) -> tuple[np.ndarray, np.ndarray, np
     piece = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
     order, new = deep_shallow(buf, offsets[piece] + inside, min_length)
-    low = np.zeros(len(piece), np.int64)
+    low, rank = np.zeros(len(piece), np.int64), np.zeros(len(piece), np.int64)
     if len(piece):
         first = np.flatnonzero(new)
+        rank[order] = np.cumsum(new) - 1
         low[order] = np.repeat(np.minimum.reduceat(table.column("ord").to_numpy()[piece][order], first), np.diff(np.append(first, len(piece))))
-    return piece, inside, low
+    return piece, inside, low, rank
 
 
 SPAN = "rid long, a int, b int"
@@ -319,7 +320,7 @@ SPAN = "rid long, a int, b int"
 def spans_of(min_length: int):
     def run(table: pa.Table) -> pa.Table:
         """Stretches of a text, from ``a`` to before ``b``, that its strings owned by a smaller id cover."""
-        piece, inside, low = owners(table, min_length)
+        piece, inside, low, _ = owners(table, min_length)
         gone = low < table.column("ord").to_numpy()[piece]
         piece, place = piece[gone], inside[gone] + table.column("start").to_numpy()[piece[gone]]
         new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (place[1:] != place[:-1] + 1)]) if len(piece) else np.zeros(0, bool)
@@ -331,12 +332,34 @@ def spans_of(min_length: int):
 
 def owners_of(min_length: int):
     def run(table: pa.Table) -> pa.Table:
-        piece, _, low = owners(table, min_length)
-        return pa.table({"bytes": table.column("bytes").combine_chunks().take(pa.array(piece)), "owner": low})
+        """Each different string once, with the smallest id that holds it and how often it stands."""
+        piece, _, low, rank = owners(table, min_length)
+        _, first = np.unique(rank, return_index=True)
+        times = np.bincount(rank, table.column("times").to_numpy()[piece], minlength=len(first)).astype(np.int64)
+        return pa.table({"bytes": table.column("bytes").combine_chunks().take(pa.array(piece[first])), "owner": low[first], "times": times})
 
     return run
 
 
+def once_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``ord, bytes`` to ``ord, bytes, times``: equal strings of a task as one, at most ``GATHERED`` rows at a time, so that a string of very many texts is dealt out a few times for each task."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(held).group_by("bytes").aggregate([("ord", "min"), ("ord", "count")])
+        yield from found.select(["ord_min", "bytes", "ord_count"]).rename_columns(["ord", "bytes", "times"]).to_batches(10_000)
+
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= GATHERED:
+            yield from summed()
+            held, n = [], 0
+    if n:
+        yield from summed()
+
+
 # --- step 4
 
 
@@ -398,9 +421,9 @@ def suffix_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, id_col: str = "d
 
     cold = by_bucket(pieces("cold"), spans_of(min_length), SPAN)
     single = pieces("hot").select("rid", "ord", "start", "bytes")
-    once = single.groupBy("bytes").agg(F.min("ord").alias("ord")).select(F.pmod(F.xxhash64("bytes"), F.lit(1 << bits)).cast("int").alias("bucket"), F.lit(1).alias("n"), "ord", "bytes")
-    owned = by_bucket(once, owners_of(min_length), "bytes binary, owner long")
-    warm = single.join(owned, "bytes").where("owner < ord").select("rid", F.col("start").alias("a"), (F.col("start") + min_length).cast("int").alias("b"))
+    once = single.select("ord", "bytes").mapInArrow(once_in_task, "ord long, bytes binary, times long").select(F.pmod(F.xxhash64("bytes"), F.lit(1 << bits)).cast("int").alias("bucket"), F.lit(1).alias("n"), "ord", "bytes", "times")
+    owned = materialize(by_bucket(once, owners_of(min_length), "bytes binary, owner long, times long"))
+    warm = join_by_key(single, owned.select("bytes", "owner"), "bytes", owned.select("bytes", F.col("times").alias("n"))).where("owner < ord").select("rid", F.col("start").alias("a"), (F.col("start") + min_length).cast("int").alias("b"))
     spans = cold.unionByName(warm).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     found = info.select("rid", "copy").distinct().join(spans, "rid", "left")
     more = "".join(f", `{c}` {base.schema[c].dataType.simpleString()}" for c in keep)

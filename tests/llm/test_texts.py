@@ -202,8 +202,9 @@ def test_estimates_are_a_smallest_determinant(spark):
     x = rnd.normal(size=(400, 4)) @ np.array([[0.5, 0.1, 0, 0], [0, 0.4, 0.1, 0], [0, 0, 0.6, 0.2], [0, 0, 0, 0.3]])
     x[:90] = x[:90] * 0.3 + [4, 4, 0, 0]
     table = spark.createDataFrame([("en", "s", *map(float, r)) for r in x], "lang string, source string, x0 double, x1 double, x2 double, x3 double")
-    estimates = quality_rules.mcd_estimates(table)
-    judged = quality_rules.with_distance(quality_rules.with_estimates(table, estimates), "d").select("d", "x0", "x1", "x2", "x3", "det").collect()
+    _, best = quality_rules.pool_estimates(table)
+    own = best.where("pool.level = 0").drop("pool").withColumns({"of_lang": F.lit("en"), "of_source": F.lit("s")})
+    judged = quality_rules.with_distance(quality_rules.with_estimates(table, own), "d").select("d", "x0", "x1", "x2", "x3", "det").collect()
     got = {tuple(r[1:5]): r["d"] for r in judged}
 
     def step(m, c):
@@ -248,6 +249,32 @@ def test_repeated_words_of_long_texts(spark):
     assert got == {i: seven(t)[4] for i, t in enumerate(texts)}
 
 
+def test_estimates_are_drawn_together_by_their_weights(spark):
+    rnd = np.random.default_rng(5)
+    groups = {("en", "a"): 80, ("en", None): 9, (None, "a"): 2}
+    rows = [(*g, *map(float, rnd.normal(k, 1 + k, 4))) for k, (g, n) in enumerate(groups.items()) for _ in range(n)]
+    table = spark.createDataFrame(rows, "lang string, source string, x0 double, x1 double, x2 double, x3 double")
+    pools, best = quality_rules.pool_estimates(table)
+    own = {(r["pool"]["level"], r["pool"]["lang"], r["pool"]["source"]): r for r in best.collect()}
+    assert len(own) == 3 + 2 + 1
+    weight = lambda r: r["n_group"] / (r["n_group"] + quality_rules.DRAWN)
+    for r in quality_rules.drawn_together(pools, best).collect():
+        lang, source = r["of_lang"], r["of_source"]
+        chain = [own[0, lang, source], own[1, lang, None], own[2, None, None]]
+        assert r["n_group"] == groups[lang, source] == chain[0]["n_group"]
+
+        def drawn(name, chain=chain, damp=1.0):
+            value = chain[2][name] * damp
+            for e in (chain[1], chain[0]):
+                value = weight(e) * e[name] + (1 - weight(e)) * value
+            return value
+
+        c = np.array([[drawn(quality_rules.covariance_name(i, j), damp=1.0 if i == j else weight(chain[2])) for j in range(4)] for i in range(4)])
+        factor = np.linalg.cholesky(c + np.eye(4) * quality_rules.FLOOR)
+        assert np.allclose([r[f"m{i}"] for i in range(4)], [drawn(f"m{i}") for i in range(4)])
+        assert np.allclose([r[f"l{i}{j}"] for i in range(4) for j in range(i + 1)], [factor[i, j] for i in range(4) for j in range(i + 1)])
+
+
 def test_small_groups_are_judged_by_larger_ones(spark):
     normal = [" ".join(f"w{(i * 7 + k * k) % 997}x{k}" for k in range(80)) for i in range(43)]
     loud = " ".join(f"##${k}%%&&**||<<>>#{k}##" for k in range(90))
