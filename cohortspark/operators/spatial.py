@@ -151,23 +151,79 @@ def measure(objects: DataFrame, what: str) -> DataFrame:
     return objects.select("model_id", "object_id", F.col(column).alias("value"), F.when(F.col(column).isNotNull(), unit).alias("unit"))
 
 
-def trajectory_hits(objects: DataFrame, paths: DataFrame) -> DataFrame:
-    """Objects that the segments ``path_id, model_id, sx.., ex..`` hit."""
-    met = paths.join(side(objects, "o_"), "model_id").where(g.segment_intersects_box("s", "e", "o_"))
-    return met.select("path_id", "model_id", F.col("o_object_id").alias("object_id"))
+def _reached(planes: Column, cell: float, start: Column, delta: Column) -> Column:
+    """Where along a path its coordinate passes the planes with these numbers."""
+    return F.transform(planes, lambda k: (k * cell - start) / delta)
+
+
+def path_cells(paths: DataFrame, cell: float = CELL) -> DataFrame:
+    """Every cell that a path ``sx.., ex..`` passes, as ``gx gy gz``: the cells at its ends, where it crosses a plane of the grid, and half-way between. As many as the path is long, whatever else is in the scene."""
+    none = F.array().cast("array<double>")
+    start, delta = {x: F.col(f"s{x}") for x in g.AXES}, {x: F.col(f"e{x}") - F.col(f"s{x}") for x in g.AXES}
+    crossed = [F.array(F.lit(0.0), F.lit(1.0))]
+    for x in g.AXES:
+        first, last = F.floor(F.least(f"s{x}", f"e{x}") / cell) + 1, F.floor(F.greatest(f"s{x}", f"e{x}") / cell)
+        planes = F.sequence(first, F.greatest(first, last))
+        crossed.append(F.when((F.abs(delta[x]) >= 1e-12) & (first <= last), _reached(planes, cell, start[x], delta[x])).otherwise(none))
+    knots = paths.withColumn("knots", F.array_sort(F.filter(F.array_distinct(F.concat(*crossed)), lambda t: (t >= 0) & (t <= 1))))
+    half = F.transform("knots", lambda t, i: (t + F.coalesce(F.get("knots", i + 1), t)) / 2)
+    place = lambda t: F.struct(*(F.floor((start[x] + delta[x] * t) / cell).alias(f"g{x}") for x in g.AXES))
+    cells = knots.withColumn("cell", F.explode(F.array_distinct(F.transform(F.concat("knots", half), place)))).drop("knots")
+    return cells.select("*", "cell.*").drop("cell")
+
+
+def near_paths(objects: DataFrame, paths: DataFrame, within: float, cell: float) -> DataFrame:
+    """Paths with the objects of their model whose boxes, padded by ``within``, share a cell with them: all that are at most so far away, each once."""
+    met = path_cells(paths, cell).join(grid_cells(side(objects, "o_"), "o_", within + 1e-6, cell), ["model_id", "gx", "gy", "gz"])
+    return met.drop("gx", "gy", "gz").dropDuplicates(["path_id", "model_id", "o_obj_seq"])
+
+
+def trajectory_hits(objects: DataFrame, paths: DataFrame, grid: bool = False) -> DataFrame:
+    """Objects that the segments ``path_id, model_id, sx.., ex..`` hit; with ``grid``, only objects in the cells of a path meet it, for large models."""
+    met = near_paths(objects, paths, 0.0, CELL) if grid else paths.join(side(objects, "o_"), "model_id")
+    return met.where(g.segment_intersects_box("s", "e", "o_")).select("path_id", "model_id", F.col("o_object_id").alias("object_id"))
 
 
 def trajectory_clearance(objects: DataFrame, paths: DataFrame) -> DataFrame:
+    """The clearance of every path and every object of its model: as many rows."""
     met = paths.join(side(objects, "o_"), "model_id")
     return met.select("path_id", "model_id", F.col("o_object_id").alias("object_id"), g.segment_box_distance("s", "e", "o_").alias("clearance"))
 
 
-def record_paths(objects: DataFrame, paths: DataFrame) -> DataFrame:
-    """A row for each path: its length, what it hits in order of the model, and the least clearance of what it does not."""
-    met = paths.join(side(objects, "o_"), "model_id")
-    met = met.select("path_id", "model_id", g.trajectory_length().alias("length"), g.segment_intersects_box("s", "e", "o_").alias("hit"), g.segment_box_distance("s", "e", "o_").alias("clearance"), "o_obj_seq", "o_object_id")
-    hits = F.sort_array(F.collect_list(F.when(F.col("hit"), F.struct("o_obj_seq", "o_object_id"))))
-    return met.groupBy("path_id", "model_id", "length").agg(F.transform(hits, lambda h: h["o_object_id"]).alias("hits"), F.min(F.when(~F.col("hit"), F.col("clearance"))).alias("clearance"))
+def least_clearance(objects: DataFrame, paths: DataFrame) -> DataFrame:
+    """``path_id, model_id, clearance``: of each path the distance to the nearest object that it does not hit, by growing rings: a path is settled once one is found within the ring, and the ring of the rest doubles until it holds the whole scene."""
+    keys = ["path_id", "model_id"]
+    ends = [objects.select(*(F.col(f"{x}0").alias(f"{x}0") for x in g.AXES), *(F.col(f"{x}1").alias(f"{x}1") for x in g.AXES)), paths.select(*(F.least(f"s{x}", f"e{x}").alias(f"{x}0") for x in g.AXES), *(F.greatest(f"s{x}", f"e{x}").alias(f"{x}1") for x in g.AXES))]
+    span = ends[0].unionByName(ends[1]).agg(*(F.max(f"{x}1") - F.min(f"{x}0") for x in g.AXES)).first()
+    widest = sum((v or 0.0) ** 2 for v in span) ** 0.5
+    ring, left, out = CELL, paths, None
+    while True:
+        near = near_paths(objects, left, ring, max(CELL, ring)).where(~g.segment_intersects_box("s", "e", "o_"))
+        found = near.groupBy(*keys).agg(F.min(g.segment_box_distance("s", "e", "o_")).alias("clearance"))
+        if ring < widest:
+            found = shared_table(found.where(F.col("clearance") <= ring))
+        out = found if out is None else out.unionByName(found)
+        if ring >= widest:
+            return out
+        left = shared_table(left.join(found.select(*keys), keys, "left_anti"))
+        if left.isEmpty():
+            return out
+        ring *= 2
+
+
+def record_paths(objects: DataFrame, paths: DataFrame, grid: bool = False) -> DataFrame:
+    """A row for each path: its length, what it hits in order of the model, and the least clearance of what it does not. With ``grid``, for large models, paths meet what is in their cells and around them."""
+    if not grid:
+        met = paths.join(side(objects, "o_"), "model_id")
+        met = met.select("path_id", "model_id", g.trajectory_length().alias("length"), g.segment_intersects_box("s", "e", "o_").alias("hit"), g.segment_box_distance("s", "e", "o_").alias("clearance"), "o_obj_seq", "o_object_id")
+        hits = F.sort_array(F.collect_list(F.when(F.col("hit"), F.struct("o_obj_seq", "o_object_id"))))
+        return met.groupBy("path_id", "model_id", "length").agg(F.transform(hits, lambda h: h["o_object_id"]).alias("hits"), F.min(F.when(~F.col("hit"), F.col("clearance"))).alias("clearance"))
+    keys = ["path_id", "model_id"]
+    own = paths.join(objects.select("model_id").distinct(), "model_id", "left_semi").select(*keys, *(f"{p}{x}" for p in "se" for x in g.AXES))
+    hit = near_paths(objects, own, 0.0, CELL).where(g.segment_intersects_box("s", "e", "o_"))
+    hits = hit.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_obj_seq", "o_object_id"))), lambda h: h["o_object_id"]).alias("hits"))
+    told = own.select(*keys, g.trajectory_length().alias("length")).join(hits, keys, "left").join(least_clearance(objects, own), keys, "left")
+    return told.withColumn("hits", F.coalesce("hits", F.array().cast(told.schema["hits"].dataType)))
 
 
 def scene_bounds(objects: DataFrame, leave_out: str = "volume") -> DataFrame:

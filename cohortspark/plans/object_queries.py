@@ -158,6 +158,12 @@ def g17(spark: SparkSession, d: str) -> DataFrame:
     return spatial.trajectory_hits(o, paths(o))
 
 
+@query("g17_grid_intersections", f"{O}, {PATHS_SQL} SELECT p.path_id, p.model_id, o.object_id FROM p JOIN o ON p.model_id=o.model_id WHERE {HIT_SQL}")
+def g17b(spark: SparkSession, d: str) -> DataFrame:
+    o = objects(spark, d)
+    return spatial.trajectory_hits(o, paths(o), grid=True)
+
+
 def _clearance_sql() -> str:
     """Least of 401 evenly spaced places and the exact candidates: knots and the stationary point of each piece between neighbouring knots."""
     knots = ", ".join(f"CASE WHEN abs(ex-sx{'' if x == 'x' else ''})>=0 AND abs(e{x}-s{x})>=1e-12 AND ({x}{i}-s{x})/(e{x}-s{x})>0 AND ({x}{i}-s{x})/(e{x}-s{x})<1 THEN ({x}{i}-s{x})/(e{x}-s{x}) END" for x in "xyz" for i in (0, 1))
@@ -210,6 +216,13 @@ def g22(spark: SparkSession, d: str) -> DataFrame:
     return found.select("path_id", "model_id", F.when(F.size("hits") > 0, F.array_join("hits", ",")).alias("hits"))
 
 
+@query("g22_grid_paths", f"WITH c AS ({_clearance_sql()}), {OBJECTS_SQL}, {PATHS_SQL}, h AS (SELECT p.path_id, p.model_id, o.object_id, o.obj_seq, {HIT_SQL} AS hit FROM p JOIN o ON p.model_id=o.model_id) SELECT path_id, model_id, string_agg(object_id, ',' ORDER BY obj_seq) FILTER (WHERE hit) AS hits, min(clearance) FILTER (WHERE NOT hit) AS clearance FROM h JOIN c USING (path_id, model_id, object_id) GROUP BY ALL")
+def g22b(spark: SparkSession, d: str) -> DataFrame:
+    o = objects(spark, d)
+    found = spatial.record_paths(o, paths(o), grid=True)
+    return found.select("path_id", "model_id", F.when(F.size("hits") > 0, F.array_join("hits", ",")).alias("hits"), F.round("clearance", 6).alias("clearance"))
+
+
 @query("g23_scene_bounds", f"{O} SELECT model_id, min(x0) AS x0, min(y0) AS y0, min(z0) AS z0, max(x1) AS x1, max(y1) AS y1, max(z1) AS z1 FROM o WHERE obj_type <> 'volume' GROUP BY model_id")
 def g23(spark: SparkSession, d: str) -> DataFrame:
     return spatial.scene_bounds(objects(spark, d))

@@ -53,6 +53,28 @@ def test_trajectories(spark, low, high, start, end, hit, clearance):
     assert spatial.trajectory_clearance(o, path).first()["clearance"] == pytest.approx(clearance)
 
 
+def test_paths_on_a_grid_meet_what_all_pairs_meet(spark):
+    """Thousands of objects in one model, boxes that end on planes of the grid among them, and paths along planes, through corners, far away, and of no length."""
+    rnd = random.Random(12)
+    at = lambda wide: float(rnd.choice([rnd.uniform(-wide, wide), 64 * rnd.randint(-8, 8)]))
+    rows = []
+    for i in range(600):
+        low = [at(2000) for _ in range(3)]
+        rows.append((f"o{i}", "anatomy", "x", low, tuple(v + rnd.choice([0, 64, rnd.uniform(0, 90)]) for v in low)))
+    o = boxes(spark, rows)
+    ends = [((-512, 64, 64), (512, 64, 64)), ((-512, -512, -512), (512, 512, 512)), ((-512, 512, 0), (512, -512, 0)), ((9000, 0, 0), (9500, 0, 0)), ((64, 64, 64), (64, 64, 64)), *(tuple(tuple(at(900) for _ in range(3)) for _ in range(2)) for _ in range(12))]
+    paths = spark.createDataFrame([(f"p{i}", "m", *map(float, (*a, *b))) for i, (a, b) in enumerate(ends)], "path_id string, model_id string, sx double, sy double, sz double, ex double, ey double, ez double")
+    told = lambda df: sorted((r["path_id"], tuple(r["hits"]), round(r["clearance"], 6), round(r["length"], 6)) for r in df.collect())
+    assert told(spatial.record_paths(o, paths, grid=True)) == told(spatial.record_paths(o, paths))
+    many = o.unionByName(boxes(spark, [(f"q{i}", "anatomy", "x", (10.0 * (i % 100), 10.0 * (i // 100), 5000.0), (10.0 * (i % 100) + 5, 10.0 * (i // 100) + 5, 5005.0)) for i in range(10_000)]).withColumn("obj_seq", F.col("obj_seq") + 1000))
+    few = spatial.near_paths(many, paths, 0.0, 64.0).count()
+    assert 0 < few < 0.05 * many.count() * paths.count()
+    assert sorted(map(tuple, spatial.trajectory_hits(many, paths, grid=True).collect())) == sorted(map(tuple, spatial.trajectory_hits(many, paths).collect()))
+    lone = boxes(spark, rows[:1], "alone")
+    inside = spark.createDataFrame([("p", "alone", *map(float, (*rows[0][3], *rows[0][3])))], paths.schema)
+    assert [(r["hits"], r["clearance"]) for r in spatial.record_paths(lone, inside, grid=True).collect()] == [(["o0"], None)]
+
+
 def test_segment_distance_against_sampling(spark):
     rnd = random.Random(4)
     rows = [(i, *(rnd.uniform(-9, 9) for _ in range(6)), *sum(([a := rnd.uniform(-5, 5), a + rnd.uniform(0, 4)] for _ in range(3)), [])) for i in range(60)]
