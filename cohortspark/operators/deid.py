@@ -97,8 +97,12 @@ def model_digest(rows: DataFrame, relations: DataFrame, changes: DataFrame, cont
         order = F.sort_array(F.transform(regions, lambda o: F.struct((-F.coalesce(o["volume_mm3"], F.lit(0.0))).alias("v"), o["obj_seq"].alias("s"), o["ref"].alias("ref")))) if by_size else regions
         return F.slice(F.transform(order, lambda o: o["ref"]), n + 1, 1 << 30)
 
-    def json(objects: str, links: str, texts: str, gone: Column) -> Column:
-        return F.to_json(F.struct(F.col(objects).alias("objects"), F.col(links).alias("relations"), "changes", F.col(texts).alias("context"), gone.alias("omitted")))
+    def json(objects: str | Column, links: str, texts: str, gone: Column) -> Column:
+        shown = F.col(objects) if isinstance(objects, str) else objects
+        return F.to_json(F.struct(shown.alias("objects"), F.col(links).alias("relations"), "changes", F.col(texts).alias("context"), gone.alias("omitted")))
+
+    def let(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
 
     d = every.withColumn("gone0", regions_from("objects", REGIONS_KEPT, True))
     o, r = without(F.col("gone0"), "objects", "relations")
@@ -116,8 +120,12 @@ def model_digest(rows: DataFrame, relations: DataFrame, changes: DataFrame, cont
     base = F.octet_length(json("shown", "r5", "c4", gone2))
     # of the rest as many as fit: each is its JSON and a comma
     fits = F.aggregate("rest", F.struct(base.alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open")), lambda a, x: F.when(a["open"] & (a["used"] + F.octet_length(F.to_json(x)) + 1 <= max_bytes), F.struct((a["used"] + F.octet_length(F.to_json(x)) + 1).alias("used"), (a["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(a["used"].alias("used"), a["n"].alias("n"), F.lit(False).alias("open"))))
-    d = d.withColumn("n5", fits["n"]).withColumn("o5", F.concat("shown", F.slice("rest", F.lit(1), F.col("n5"))))
-    levels = [json("o0", "r0", "context", gone0), json("o0", "r1", "context", gone0), json("o2", "r2", "context", gone2), json("o3", "r2", "context", gone2), json("o3", "r2", "c4", gone2), json("o5", "r5", "c4", gone2 + F.size("rest") - F.col("n5"))]
-    d = d.withColumns({f"j{i}": j for i, j in enumerate(levels)})
-    level = F.coalesce(*(F.when(F.octet_length(f"j{i}") <= max_bytes, F.lit(i)) for i in range(5)), F.lit(5))
-    return d.select("model_id", level.alias("level"), F.element_at(F.array(*(F.col(f"j{i}") for i in range(6))), level + 1).alias("digest"))
+
+    def fitting(level: int, text: Column) -> Column:
+        return let(text, lambda j: F.when(F.octet_length(j) <= max_bytes, F.struct(F.lit(level).alias("level"), j.alias("digest"))))
+
+    # one after the other: a later form is made only where those before it are too long
+    forms = [json("o0", "r0", "context", gone0), json("o0", "r1", "context", gone0), json("o2", "r2", "context", gone2), json("o3", "r2", "context", gone2), json("o3", "r2", "c4", gone2)]
+    last = let(fits["n"], lambda n: F.struct(F.lit(5).alias("level"), json(F.concat("shown", F.slice("rest", F.lit(1), n)), "r5", "c4", gone2 + F.size("rest") - n).alias("digest")))
+    chosen = d.select("model_id", F.coalesce(*(fitting(i, form) for i, form in enumerate(forms)), last).alias("chosen"))
+    return chosen.select("model_id", "chosen.level", "chosen.digest")

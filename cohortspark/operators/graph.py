@@ -62,18 +62,26 @@ def graph_query(operation: str, wanted: DataFrame, edges: DataFrame, bindings: D
     """
     if operation not in (*OPERATIONS, "subgraph"):
         raise ValueError(f"operation must be one of {', '.join(OPERATIONS)} or subgraph")
-    found = {
-        "neighbors": lambda: neighbors(edges).withColumnRenamed("other_id", "result_id"),
-        "ancestors": lambda: ancestors(edges).withColumnRenamed("ancestor_id", "result_id"),
-        "descendants": lambda: descendants(edges).withColumnRenamed("descendant_id", "result_id"),
-        "relationships": lambda: both_ends(edges).select("model_id", "object_id", F.concat_ws(">", "source_id", "type", "target_id").alias("result_id")).distinct(),
-        "context": lambda: bindings.where("target_type = 'object'").select("model_id", F.col("target_id").alias("object_id"), F.col("binding_id").alias("result_id")),
-        "prior_versions": lambda: links.where("link_type in ('same_as_prior', 'changed_from')").select("model_id", "object_id", F.col("prior_object_id").alias("result_id")),
+    asked = OPERATIONS if operation == "subgraph" else (operation,)
+    row = lambda name, of, result: F.struct(F.lit(name).alias("operation"), of.alias("object_id"), result.alias("result_id"))
+    source, target, edge = F.col("source_id"), F.col("target_id"), F.concat_ws(">", "source_id", "type", "target_id")
+    inside = F.col("type") == "contains"
+    told = {
+        "neighbors": [row("neighbors", source, target), row("neighbors", target, source)],
+        "ancestors": [F.when(inside, row("ancestors", target, source))],
+        "descendants": [F.when(inside, row("descendants", source, target))],
+        "relationships": [row("relationships", source, edge), row("relationships", target, edge)],
     }
-    out = None
-    for name in OPERATIONS if operation == "subgraph" else (operation,):
-        rows = found[name]().select(F.lit(name).alias("operation"), "model_id", "object_id", "result_id")
-        out = rows if out is None else out.unionByName(rows)
+    parts = []
+    if of_edges := [x for name in asked for x in told.get(name, [])]:  # every edge tells all at once
+        parts.append(edges.select("model_id", F.explode(F.array_compact(F.array(*of_edges))).alias("r")).select("r.operation", "model_id", "r.object_id", "r.result_id").distinct())
+    if "context" in asked:
+        parts.append(bindings.where("target_type = 'object'").select(F.lit("context").alias("operation"), "model_id", F.col("target_id").alias("object_id"), F.col("binding_id").alias("result_id")))
+    if "prior_versions" in asked:
+        parts.append(links.where("link_type in ('same_as_prior', 'changed_from')").select(F.lit("prior_versions").alias("operation"), "model_id", "object_id", F.col("prior_object_id").alias("result_id")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out.join(wanted.select("model_id", "object_id").distinct(), ["model_id", "object_id"], "left_semi")
 
 
