@@ -12,7 +12,8 @@ def lower_ascii(t: str) -> str:
     return re.sub("[A-Z]", lambda m: m[0].lower(), t)
 
 
-def suffix_dedup(rows: list[tuple[int, str | None]], length: int = 50) -> dict[int, tuple[int, int, int, str]]:
+def removed_bytes(rows: list[tuple[int, str | None]], length: int = 50) -> dict[int, tuple[bytes, bytearray]]:
+    """By id the text's bytes and which of them go."""
     first: dict[bytes, int] = {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         raw = (t or "").encode()
@@ -25,9 +26,19 @@ def suffix_dedup(rows: list[tuple[int, str | None]], length: int = 50) -> dict[i
         for p in range(len(raw) - length + 1):
             if first[raw[p : p + length]] < i:
                 gone[p : p + length] = b"\1" * length
-        kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+        out[i] = (raw, gone)
+    return out
+
+
+def left_bytes(rows: list[tuple[int, str | None]], length: int = 50) -> dict[int, bytes]:
+    return {i: bytes(b for b, g in zip(raw, gone, strict=True) if not g) for i, (raw, gone) in removed_bytes(rows, length).items()}
+
+
+def suffix_dedup(rows: list[tuple[int, str | None]], length: int = 50) -> dict[int, tuple[int, int, int, str]]:
+    kept, out = left_bytes(rows, length), {}
+    for i, (raw, gone) in removed_bytes(rows, length).items():
         spans = len(re.findall(rb"\x01+", bytes(gone)))
-        out[i] = (len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        out[i] = (len(raw), sum(gone), spans, hashlib.sha256(kept[i]).hexdigest())
     return out
 
 
