@@ -9,14 +9,18 @@ from cohortspark.operators import context, utterances
 from cohortspark.plans.fixtures import OBJECTS_SQL, objects, table
 from cohortspark.plans.registry import query
 
-#: Models that documents and benchmark passages are dealt to.
-MODELS = 7
+#: Models are as many as five passages each make.
+MODELS = "(SELECT greatest(1, count(*) // 5) FROM benchmark)"
+
+
+def n_models(spark: SparkSession, d: str) -> int:
+    return max(1, table(spark, d, "benchmark").count() // 5)
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
     """Context items: documents, dealt to models."""
     return table(spark, d, "documents").select(
-        (F.col("doc_id") % MODELS).alias("model_id"), F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 10 == 3, "imagingstudy").otherwise("note").alias("type"), F.coalesce("source", F.lit("none")).alias("title"),
+        (F.col("doc_id") % n_models(spark, d)).alias("model_id"), F.col("doc_id").alias("item_id"), F.when(F.col("doc_id") % 10 == 3, "imagingstudy").otherwise("note").alias("type"), F.coalesce("source", F.lit("none")).alias("title"),
         F.concat_ws("-", F.lit(2024), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("15")).alias("date"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("codes"), F.lit("").alias("subject"),
     )
 
@@ -25,13 +29,13 @@ def catalogue(spark: SparkSession, d: str) -> DataFrame:
     """Objects named by words of benchmark passages: two for the label, the third another term, the fourth and fifth a code."""
     words = F.split("text", " ")
     return table(spark, d, "benchmark").select(
-        (F.col("item_id") % MODELS).alias("model_id"), F.col("item_id").alias("object_id"), F.col("item_id").alias("obj_seq"), F.array_join(F.slice(words, 1, 2), " ").alias("label"),
+        (F.col("item_id") % n_models(spark, d)).alias("model_id"), F.col("item_id").alias("object_id"), F.col("item_id").alias("obj_seq"), F.array_join(F.slice(words, 1, 2), " ").alias("label"),
         F.array(F.get(words, F.lit(2))).alias("terms"), F.array_join(F.slice(words, 4, 2), " ").alias("code"),
     )
 
 
 def studies(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "benchmark").select((F.col("item_id") % MODELS).alias("model_id")).distinct()
+    ids = table(spark, d, "benchmark").select((F.col("item_id") % n_models(spark, d)).alias("model_id")).distinct()
     return ids.select("model_id", F.concat(F.lit("the"), "model_id").alias("study_id"), F.concat(F.lit("P"), "model_id").alias("patient_id"))
 
 
@@ -100,7 +104,7 @@ SELECT * FROM h UNION ALL
 SELECT query_id, q.model_id, NULL, concat('source:', item_id), 0.25::DOUBLE FROM q JOIN it ON it.model_id = q.model_id WHERE query_id NOT IN (SELECT query_id FROM h) AND contains(lower(concat_ws(' ', title, substr(text, 1, 280))), query)""",
 )
 def c08(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % MODELS).alias("model_id"), F.when(F.col("item_id") % 4 == 0, "no such text").otherwise(F.get(F.split("text", " "), F.lit(2))).alias("query"), F.col("item_id").cast("string").alias("object_id"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % n_models(spark, d)).alias("model_id"), F.when(F.col("item_id") % 4 == 0, "no such text").otherwise(F.get(F.split("text", " "), F.lit(2))).alias("query"), F.col("item_id").cast("string").alias("object_id"))
     sources = items(spark, d).select("model_id", F.concat(F.lit("source:"), "item_id").alias("source_id"), "title", F.substring("text", 1, 280).alias("excerpt"))
     return context.context_query(bindings(spark, d), sources, with_text_ids(catalogue(spark, d)), asked)
 
