@@ -52,12 +52,14 @@ def train_logistic(rows: DataFrame, names: tuple[str, ...], iterations: int = 60
         return dict(zip(names, map(float, model.coefficients), strict=True)), float(model.intercept)
     rows = rows.select(*names, "y").persist()
     weights, bias = dict.fromkeys(names, 0.0), 0.0
-    for _ in range(iterations):
-        error = sigmoid(sum((F.col(n) * w for n, w in weights.items()), F.lit(bias))) - F.col("y")
-        step = rows.agg(F.avg(error).alias("bias"), *(F.avg(error * F.col(n)).alias(f"by_{n}") for n in names)).first()
-        weights = {n: w - rate * (step[f"by_{n}"] + l2 * w) for n, w in weights.items()}
-        bias -= rate * step["bias"]
-    rows.unpersist()
+    try:
+        for _ in range(iterations):
+            error = sigmoid(sum((F.col(n) * w for n, w in weights.items()), F.lit(bias))) - F.col("y")
+            step = rows.agg(F.avg(error).alias("bias"), *(F.avg(error * F.col(n)).alias(f"by_{n}") for n in names)).first()
+            weights = {n: w - rate * (step[f"by_{n}"] + l2 * w) for n, w in weights.items()}
+            bias -= rate * step["bias"]
+    finally:
+        rows.unpersist()
     return weights, bias
 
 

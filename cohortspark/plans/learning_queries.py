@@ -113,7 +113,10 @@ def f14(spark: SparkSession, d: str) -> DataFrame:
 @query("f15_cross_validation")
 def f15(spark: SparkSession, d: str) -> DataFrame:
     rows = features.fold_numbers(dataset(spark, d), 3).persist()
-    found = learning.cross_validate(rows, NAMES, "forest", n_trees=4, depth=3)
+    try:
+        found = learning.cross_validate(rows, NAMES, "forest", n_trees=4, depth=3)
+    finally:
+        rows.unpersist()
     return spark.createDataFrame([(f["fold"], float(f["accuracy"]), float(f["precision"]), float(f["recall"])) for f in found], "fold int, accuracy double, precision double, recall double")
 
 

@@ -92,7 +92,7 @@ def upsert_batches(stream: DataFrame, key: str, order: list[str], folder: str |
         earlier = {e: held for e, held in states().items() if e < epoch}
         *old, last_epoch = sorted(earlier) or [-1]
         before = earlier.get(last_epoch, {})
-        own = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        own = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         touched = sorted(r[0] for r in own.select("bucket").distinct().collect())
         if not touched:
             return
@@ -103,7 +103,6 @@ def upsert_batches(stream: DataFrame, key: str, order: list[str], folder: str |
             every = every.unionByName(held.select(*own.columns))
         last = every.groupBy("bucket", key).agg(F.max_by(F.struct(*plain), F.struct(*order)).alias("last")).select("bucket", key, "last.*")
         last.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/rows/epoch={epoch}")
-        own.unpersist()
         now = before | dict.fromkeys(touched, epoch)
         spark.createDataFrame(list(now.items()), "bucket int, at int").coalesce(1).write.mode("overwrite").parquet(f"{out}/state/epoch={epoch}")
         for e in old:
