@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm._common import give_back, join_by_key, materialize, row_key
+from cohortspark.llm._common import HEAVY_KEYS, give_back, join_by_key, materialize, row_key
 from cohortspark.llm._links import DEALT, bucket_bits, by_bucket, deal, dealt, gathered, group_of, in_groups
 
 MIN_LENGTH = 50
@@ -423,7 +423,13 @@ def suffix_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, id_col: str = "d
     single = pieces("hot").select("rid", "ord", "start", "bytes")
     once = single.select("ord", "bytes").mapInArrow(once_in_task, "ord long, bytes binary, times long").select(F.pmod(F.xxhash64("bytes"), F.lit(1 << bits)).cast("int").alias("bucket"), F.lit(1).alias("n"), "ord", "bytes", "times")
     owned = materialize(by_bucket(once, owners_of(min_length), "bytes binary, owner long, times long"))
-    warm = join_by_key(single, owned.select("bytes", "owner"), "bytes", owned.select("bytes", F.col("times").alias("n"))).where("owner < ord").select("rid", F.col("start").alias("a"), (F.col("start") + min_length).cast("int").alias("b"))
+    total = owned.agg(F.sum("times")).first()[0] or 0
+    often = owned.where(F.col("times") >= max(total / HEAVY_KEYS, 8)).select("bytes", F.col("owner").alias("known"))  # HEAVY_KEYS rows at most
+    told = single.join(F.broadcast(often), "bytes", "left").where("known is null or known < ord")
+    told = materialize(told.select("rid", "start", "ord", F.when(F.col("known").isNull(), F.col("bytes")).alias("bytes"), "known"))
+    rest = told.where("known is null").drop("known").join(owned.select("bytes", "owner"), "bytes").where("owner < ord")
+    warm = told.where("known is not null").select("rid", "start").unionByName(rest.select("rid", "start"))
+    warm = warm.select("rid", F.col("start").alias("a"), (F.col("start") + min_length).cast("int").alias("b"))
     spans = cold.unionByName(warm).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     found = info.select("rid", "copy").distinct().join(spans, "rid", "left")
     more = "".join(f", `{c}` {base.schema[c].dataType.simpleString()}" for c in keep)
