@@ -165,9 +165,9 @@ def train_linear(rows: DataFrame, names: tuple[str, ...], iterations: int = 600,
     return dict(zip(names, w.tolist(), strict=True)), float(b)
 
 
-def kmeans(vectors: DataFrame, k: int, seed: int = 17, iterations: int = 60, dims: int = 64) -> tuple[DataFrame, list[list[float]]]:
-    """Lloyd's steps on ``id, v`` (array) from the k rows with the smallest hash; an empty cluster keeps its centre. Only k centres reach the driver."""
-    centres = [list(map(float, r["v"])) for r in vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k).collect()]
+def kmeans(vectors: DataFrame, k: int, seed: int = 17, iterations: int = 60, dims: int = 64, centres: list[list[float]] | None = None) -> tuple[DataFrame, list[list[float]]]:
+    """Lloyd's steps on ``id, v`` (array) from given centres or the k rows with the smallest hash; an empty cluster keeps its centre. Only k centres reach the driver."""
+    centres = centres or [list(map(float, r["v"])) for r in vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k).collect()]
 
     def assigned() -> DataFrame:
         gaps = F.array(*(F.aggregate(F.zip_with("v", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) for c in centres))
@@ -189,3 +189,9 @@ def anomaly_rank(assigned: DataFrame) -> DataFrame:
     """Distance to the own centre as a share of the largest."""
     most = assigned.agg(F.max("distance").alias("most"))
     return assigned.crossJoin(F.broadcast(most)).select("id", "cluster", "distance", F.when(F.col("most") > 0, F.col("distance") / F.col("most")).otherwise(0.0).alias("score"))
+
+
+def cluster_summary(ranked: DataFrame) -> DataFrame:
+    """For each cluster of ``anomaly_rank`` its size, mean and largest score, and the row that is farthest out (ties: the smallest id)."""
+    farthest = F.max_by("id", F.struct("score", (-F.col("id")).alias("id")))
+    return ranked.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.max("score").alias("largest_score"), farthest.alias("farthest"))

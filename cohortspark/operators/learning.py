@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.operators.features import classification_metrics, holdout_split, predict_linear, regression_metrics, train_linear
+from cohortspark.operators.tables import shared_path
 
 #: Ranges of training parameters.
 RANGES = {"iterations": (20, 5000), "rate": (1e-9, 2.0), "l2": (0.0, 10.0), "n_trees": (1, 200), "depth": (1, 12), "leaf": (1, 100)}
@@ -108,7 +109,11 @@ def tree_votes(model, matrix: DataFrame, task: str = "binary") -> DataFrame:
 
 def predict_forest(model, rows: DataFrame, names: tuple[str, ...], importance: dict[str, float], scales: dict[str, tuple[float, float]], baseline: float, task: str = "binary") -> DataFrame:
     """``model_id, raw`` (mean of the trees), ``p``, ``votes`` and ``from_<feature>``: importance times tanh of the standardised feature times what the raw score has over the baseline."""
-    voted = tree_votes(model, feature_matrix(rows, names), task)
+    return explained(tree_votes(model, feature_matrix(rows, names), task), names, importance, scales, baseline, task)
+
+
+def explained(voted: DataFrame, names: tuple[str, ...], importance: dict[str, float], scales: dict[str, tuple[float, float]], baseline: float, task: str) -> DataFrame:
+    """Rows with ``votes`` as ``predict_forest`` gives them."""
     raw = F.aggregate("votes", F.lit(0.0), lambda a, v: a + v) / F.size("votes")
     scored = voted.withColumn("raw", raw)
     z = {n: (F.col(n) - scales[n][0]) / scales[n][1] for n in names}
@@ -209,12 +214,63 @@ def pca_project(rows: DataFrame, names: tuple[str, ...], components: int = 2) ->
     return model.transform(matrix).select("model_id", *own), list(map(float, model.explainedVariance))
 
 
-REGISTRY = "artifact_id string, kind string, name string, created_at timestamp, feature_schema string, parameters string, row_count long, metrics string, provenance string"
+#: Trees of a saved forest: each an array of nodes, its root first; a leaf has feature -1.
+TREES = "array<array<struct<feature:int,threshold:double,left:int,right:int,value:double>>>"
+
+
+def saved_linear(algorithm: str, weights: dict[str, float], bias: float, scales: dict[str, tuple[float, float]] | None = None) -> dict:
+    """A ``linear`` or ``logistic`` model as plain values; ``scales`` are those of its training rows, none where rows come standardised."""
+    return {"algorithm": algorithm, "weights": weights, "bias": bias, "scales": {n: list(s) for n, s in (scales or {}).items()}}
+
+
+def saved_forest(model, names: tuple[str, ...], importance: dict[str, float], scales: dict[str, tuple[float, float]], baseline: float, task: str = "binary") -> dict:
+    """A forest as plain values, from the node table that ``pyspark.ml`` writes. RANGES bound its size."""
+    spark = SparkSession.active()
+    path = shared_path(spark, "forest")
+    model.write().save(path)
+    at = lambda *c: F.col(".".join(("nodeData", *c)))
+    shares = at("impurityStats")
+    value = F.get(shares, F.lit(1)) / F.aggregate(shares, F.lit(0.0), lambda a, v: a + v) if task == "binary" else at("prediction")
+    node = F.struct(
+        F.when(at("leftChild") >= 0, at("split", "featureIndex")).otherwise(-1).alias("feature"), F.get(at("split", "leftCategoriesOrThreshold"), F.lit(0)).alias("threshold"),
+        at("leftChild").alias("left"), at("rightChild").alias("right"), value.alias("value"),
+    )
+    in_order = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), value.alias("v")))), lambda x: x["v"])
+    trees = spark.read.parquet(f"{path}/data").groupBy("treeID").agg(in_order(at("id"), node).alias("nodes"))
+    found = trees.agg(F.to_json(in_order(F.col("treeID"), F.col("nodes"))).alias("trees")).first()[0]
+    return {"algorithm": "forest", "task": task, "names": list(names), "importance": importance, "scales": {n: list(s) for n, s in scales.items()}, "baseline": baseline, "trees": json.loads(found)}
+
+
+def saved_votes(trees: list, values: Column) -> Column:
+    """What each tree says of an array of feature values: a walk from its root, as deep as RANGES allows."""
 
+    def walk(tree: Column) -> Column:
+        field = lambda at, name: F.get(tree, at)[name]
+        step = lambda at, _: F.when(field(at, "feature") < 0, at).when(F.get(values, field(at, "feature")) <= field(at, "threshold"), field(at, "left")).otherwise(field(at, "right"))
+        return field(F.aggregate(F.sequence(F.lit(1), F.lit(RANGES["depth"][1])), F.lit(0), step), "value")
 
-def register(spark: SparkSession, path: str, artifact_id: str, kind: str, name: str, created_at, names: tuple[str, ...], parameters: dict, row_count: int, metrics: dict, provenance: str) -> None:
-    """Append one artifact to the registry, a Parquet table."""
-    row = (artifact_id, kind, name, created_at, json.dumps(list(names)), json.dumps(parameters, sort_keys=True), row_count, json.dumps(metrics, sort_keys=True), provenance)
+    return F.transform(F.from_json(F.lit(json.dumps(trees)), TREES), walk)
+
+
+def predict_saved(rows: DataFrame, saved: dict) -> DataFrame:
+    """Predictions of a saved model: as ``predict_forest``, ``predict_logistic`` or ``predict_linear`` give them. A missing feature is 0."""
+    if saved["algorithm"] == "forest":
+        names = tuple(saved["names"])
+        known = rows.fillna(0.0, subset=list(names))
+        voted = known.withColumn("votes", saved_votes(saved["trees"], F.array(*(F.col(n).cast("double") for n in names))))
+        return explained(voted, names, saved["importance"], saved["scales"], saved["baseline"], saved["task"])
+    ready = scaled(rows, saved["scales"])
+    if saved["algorithm"] == "logistic":
+        return predict_logistic(ready, saved["weights"], saved["bias"])
+    return predict_linear(ready, saved["weights"], saved["bias"], classify=False)
+
+
+REGISTRY = "artifact_id string, kind string, name string, created_at timestamp, feature_schema string, parameters string, row_count long, metrics string, provenance string, model string"
+
+
+def register(spark: SparkSession, path: str, artifact_id: str, kind: str, name: str, created_at, names: tuple[str, ...], parameters: dict, row_count: int, metrics: dict, provenance: str, model: dict | None = None) -> None:
+    """Append one artifact to the registry, a Parquet table; ``model`` is what ``saved_linear`` or ``saved_forest`` gives."""
+    row = (artifact_id, kind, name, created_at, json.dumps(list(names)), json.dumps(parameters, sort_keys=True), row_count, json.dumps(metrics, sort_keys=True), provenance, None if model is None else json.dumps(model))
     spark.createDataFrame([row], REGISTRY).coalesce(1).write.mode("append").parquet(path)
 
 
@@ -222,3 +278,11 @@ def registry(spark: SparkSession, path: str, kind: str | None = None) -> DataFra
     """Registered artifacts, of one kind or all."""
     found = spark.read.schema(REGISTRY).parquet(path)
     return found if kind is None else found.where(F.col("kind") == kind)
+
+
+def load_model(spark: SparkSession, path: str, artifact_id: str) -> dict:
+    """The saved model of the latest artifact of that id."""
+    found = registry(spark, path).where((F.col("artifact_id") == artifact_id) & F.col("model").isNotNull()).orderBy(F.desc("created_at")).first()
+    if found is None:
+        raise ValueError(f"no saved model {artifact_id}")
+    return json.loads(found["model"])

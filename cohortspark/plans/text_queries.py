@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators import context, deid, graph, spatial, temporal
 from cohortspark.plans.fixtures import OBJECTS_SQL, context_items, objects, table
-
+from cohortspark.plans.object_queries import contains_sql, gap_sql
 from cohortspark.plans.registry import query
 from cohortspark.sources import writers
 from cohortspark.streaming import streams
@@ -184,6 +184,17 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     return writers.export_context_bundles(o, spatial.nearest(o, 6), bindings, links)
 
 
+@query(
+    "s10_bundle_items",
+    f"{O} SELECT model_id, object_id, near_id, CAST(rank AS INTEGER) AS rank, round(gap, 6) AS gap, binding_id FROM (SELECT a.model_id, a.object_id, b.object_id AS near_id, {gap_sql('a', 'b')} AS gap, CASE WHEN a.obj_seq % 2 = 0 THEN 'binding:' || a.object_id END AS binding_id, row_number() OVER (PARTITION BY a.model_id, a.obj_seq ORDER BY {gap_sql('a', 'b')}, b.obj_seq) AS rank FROM o a JOIN o b ON a.model_id=b.model_id AND a.obj_seq<>b.obj_seq WHERE NOT {contains_sql('b', 'a')}) WHERE rank <= 6",
+)
+def s10b(spark: SparkSession, d: str) -> DataFrame:
+    """What the JSON of the bundles says of nearby objects and bindings."""
+    read = F.from_json("bundle", "nearby_objects array<struct<rank:int,near_id:string,gap:double>>, context_bindings array<struct<binding_id:string>>")
+    listed = s10(spark, d).select("model_id", "object_id", read.alias("b")).select("model_id", "object_id", F.get("b.context_bindings", F.lit(0))["binding_id"].alias("binding_id"), F.inline("b.nearby_objects"))
+    return listed.withColumn("gap", F.round("gap", 6))
+
+
 @query("s12_artifacts", "SELECT o_orderkey AS artifact_id, o_orderdate AS created_at, o_orderstatus AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
 def s12(spark: SparkSession, d: str) -> DataFrame:
     registry = table(spark, d, "orders").select(F.col("o_orderkey").alias("artifact_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("payload"))

@@ -108,3 +108,39 @@ def test_evaluation_registry_and_batches(spark, rows, tmp_path):
     for i, kind in enumerate(("algorithm", "dataset")):
         learning.register(spark, path, f"x{i}", kind, "name", datetime.datetime(2024, 1, 1), NAMES, {"l2": 0.1}, 120, {"accuracy": 1.0}, "test")
     assert [r["artifact_id"] for r in learning.registry(spark, path, "dataset").collect()] == ["x1"]
+
+
+@pytest.mark.parametrize("task", ["binary", "regression"])
+def test_saved_forest_predicts_as_its_model(spark, rows, tmp_path, task):
+    model = learning.train_forest(rows, NAMES, task, n_trees=5, depth=5)
+    importance, scales = learning.forest_importance(model, NAMES), learning.feature_scales(rows, NAMES)
+    path = str(tmp_path / "registry")
+    saved = learning.saved_forest(model, NAMES, importance, scales, 0.5, task)
+    learning.register(spark, path, "f", "algorithm", "forest", datetime.datetime(2024, 1, 1), NAMES, {}, 120, {}, "test", saved)
+    gaps = rows.withColumn("b", F.when(F.col("model_id") % 7 > 0, F.col("b")))
+    want = sorted(learning.predict_forest(model, gaps, NAMES, importance, scales, 0.5, task).select("model_id", "votes", "raw", "p").collect())
+    got = sorted(learning.predict_saved(gaps, learning.load_model(spark, path, "f")).select("model_id", "votes", "raw", "p").collect())
+    assert len(got) == 120
+    for g, w in zip(got, want, strict=True):
+        assert g["model_id"] == w["model_id"] and g["votes"] == pytest.approx(w["votes"]) and g["raw"] == pytest.approx(w["raw"]) and g["p"] == pytest.approx(w["p"])
+
+
+def test_saved_logistic_and_the_latest_of_an_id(spark, rows, tmp_path):
+    scales = learning.feature_scales(rows, NAMES)
+    weights, bias = learning.train_logistic(learning.scaled(rows, scales), NAMES, iterations=30)
+    path = str(tmp_path / "registry")
+    for day, b in ((2, bias), (1, 99.0)):
+        learning.register(spark, path, "m", "algorithm", "logistic", datetime.datetime(2024, 1, day), NAMES, {}, 120, {}, "test", learning.saved_linear("logistic", weights, b, scales))
+    learning.register(spark, path, "m", "algorithm", "logistic", datetime.datetime(2024, 1, 3), NAMES, {}, 120, {}, "without a model")
+    want = sorted(learning.predict_logistic(learning.scaled(rows, scales), weights, bias).collect())
+    assert sorted(learning.predict_saved(rows, learning.load_model(spark, path, "m")).collect()) == want
+    with pytest.raises(ValueError, match="no saved model"):
+        learning.load_model(spark, path, "n")
+
+
+def test_given_centres_and_summary(spark):
+    points = spark.createDataFrame([(i, [float(i // 5 * 10 + i % 5), 0.0]) for i in range(10)], "id long, v array<double>")
+    found, centres = features.kmeans(points, 2, dims=2, centres=[[0.0, 0.0], [1.0, 0.0]])
+    assert centres == [[2.0, 0.0], [12.0, 0.0]]
+    got = sorted(map(tuple, features.cluster_summary(features.anomaly_rank(found)).collect()))
+    assert got == [(0, 5, pytest.approx(0.6), 1.0, 0), (1, 5, pytest.approx(0.6), 1.0, 5)]
