@@ -2,11 +2,12 @@
 
 Letters count in lower case, everything else as one space. Counts of n-grams of
 one to four characters, hashed to ``2**BITS`` buckets, are summed by Spark; the
-matrix of log probabilities (languages x buckets, so bounded) is broadcast and
+matrix of log probabilities (MOST_LANGUAGES x buckets at most) is broadcast and
 batches of texts are scored sparsely in numpy.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0;
-labels that are null are not learned from; without any labelled row every text
+labels that are null are not learned from; more than MOST_LANGUAGES different labels
+are refused with a ValueError before any is counted; without any labelled row every text
 is ``und``; ties go to the language first in alphabetical order; equal texts have
 equal results, so repeated rows do; very long texts are scored whole; a null id is held
 out; an empty table gives an empty result; columns that are not named are never read,
@@ -29,6 +30,8 @@ BITS = 16
 ORDERS = 4
 #: Labelled rows to learn from; from more than that, a sample by hash of the id.
 SAMPLE_ROWS = 20_000
+#: Most languages that are learned: the matrix of log probabilities has 512 KB for each.
+MOST_LANGUAGES = 500
 #: Rows and characters scored at once.
 CHUNK_ROWS, CHUNK_CHARS = 500, 200_000
 _ALPHA: list[np.ndarray] = []
@@ -109,13 +112,15 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
     return labelled.select("lang", "text").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages in alphabetical order and their log probabilities, a row for each."""
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     n = labelled.count()
     if n > sample_rows:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample_rows / n * (1 << 30)))
-    found = count_ngrams(labelled).toPandas()  # at most languages x 2**BITS rows
+    if len(labelled.select("lang").distinct().take(most_languages + 1)) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: merge or clean the labels first")
+    found = count_ngrams(labelled).toPandas()  # at most most_languages x 2**BITS rows
     langs = sorted(found["lang"].unique())
     counts = np.full((len(langs), 1 << BITS), 0.1)
     np.add.at(counts, (found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64), found["bucket"].to_numpy(np.int64)), found["n"].to_numpy(float))

@@ -124,6 +124,8 @@ def test_languages_of_odd_texts(spark):
     assert langid.language_id(table.limit(0)).count() == 0
     unlabelled = table.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in langid.language_id(unlabelled).collect()} == {"und"}
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        langid.fit(table, most_languages=1)
 
 
 def test_chats_collapse_to_maximal_conversations(spark):
