@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +55,9 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def give_back() -> None:
-    """At the end of a task: memory that its worker has freed goes back to the system, since the worker stays for other tasks."""
+    """At the end of a task: memory that its worker has freed, Arrow's too, goes back to the system, since the worker stays for other tasks."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -108,6 +108,7 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
         for x, c in total.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at), pa.array(c[at])], ["lang", "bucket", "n"])
+        give_back()
 
     return labelled.select("lang", "text").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
@@ -128,27 +129,29 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every whole text, and the columns of ``keep`` after them."""
+    """``doc_id, lang_pred, score`` of every whole text, and the columns of ``keep``, which may be the text itself, after them. Rows leave Python as many at a time as are scored at once."""
     langs, matrix = model
+    others = [c for c in keep if c != text_col]  # the text goes to Python once
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix.T))  # languages x 2**BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value
         for batch in batches:
-            names, scores = [], []
-            for _, part in chunked(batch.column(1)):
+            for at, part in chunked(batch.column(1)):
                 bucket, row = ngrams(part)
                 total = np.stack([np.bincount(row, logs[bucket, k], minlength=len(part)) for k in range(len(langs))], axis=1) if langs else np.zeros((len(part), 0))
                 known = np.bincount(row, minlength=len(part)) > 0
                 best = total.argmax(axis=1) if langs else np.zeros(len(part), int)
                 odds = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if langs else np.zeros(len(part))
-                names += [langs[b] if k and langs else "und" for b, k in zip(best, known, strict=True)]
-                scores += [float(p) if k and math.isfinite(p) else 0.0 for p, k in zip(odds, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], ["doc_id", "lang_pred", "score", *keep])
+                names = [langs[b] if k and langs else "und" for b, k in zip(best, known, strict=True)]
+                scores = [float(p) if k and math.isfinite(p) else 0.0 for p, k in zip(odds, known, strict=True)]
+                own = batch.slice(at, len(part))
+                more = {c: own.column(c if c in others else "text") for c in keep}
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *more.values()], ["doc_id", "lang_pred", "score", *more])
         give_back()
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *others)
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema} | {text_col: "string"}
     more = "".join(f", `{c}` {kinds[c]}" for c in keep)
     return source.mapInArrow(run, f"doc_id {kinds['doc_id']}, lang_pred string, score double{more}")
 
