@@ -33,9 +33,9 @@ def with_text(docs: DataFrame) -> DataFrame:
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
-    found = langid.identify(docs.withColumn("body", F.col("text")), model, keep=("body", "lang", "source", "n_chars"))
+    found = langid.identify(docs, model, keep=("text", "lang", "source", "n_chars"))
     told = F.coalesce("lang", F.nullif("lang_pred", F.lit("und"))).alias("lang")
-    return found.where((F.col("lang_pred") != "und") | F.col("body").rlike(r"\p{L}")).select("doc_id", F.col("body").alias("text"), told, "source", "n_chars")
+    return found.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select("doc_id", "text", told, "source", "n_chars")
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
