@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from cohortspark.plans import language_queries
+from cohortspark.operators import tables
+from cohortspark.plans import language_queries, source_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +12,11 @@ def test_context_models_are_as_many_for_any_number_of_passages(spark):
     objects = language_queries.catalogue(spark, SF)
     assert objects.select("model_id").distinct().count() == language_queries.MODELS == 7
     assert objects.where("model_id = object_id % 7").count() == objects.count()
+
+
+def test_headers_are_written_compressed_and_in_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "shared_path", lambda _, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(tables, "LINES_A_FILE", 1000)
+    assert source_queries.headers(spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    files = [f for f in (tmp_path / "headers").iterdir() if f.name.startswith("part-")]
+    assert len(files) > 4 and sum(f.stat().st_size for f in files) < 100 * spark.read.text(f"{tmp_path}/headers").count()
