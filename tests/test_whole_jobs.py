@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cohortspark.operators import tables
 from cohortspark.plans import language_queries, source_queries
+from cohortspark.sources import writers
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +21,17 @@ def test_headers_are_written_compressed_and_in_many_files(spark, tmp_path, monke
     assert source_queries.headers(spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
     files = [f for f in (tmp_path / "headers").iterdir() if f.name.startswith("part-")]
     assert len(files) > 4 and sum(f.stat().st_size for f in files) < 100 * spark.read.text(f"{tmp_path}/headers").count()
+
+
+def test_models_are_put_together_in_one_grouping(spark, tmp_path):
+    parts = source_queries.model_tables(spark, SF)
+    plan = writers.nest_models(parts)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("Scan parquet") == len(parts)
+
+
+def test_written_models_are_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "shared_path", lambda _, name: f"{tmp_path}/{name}")
+    models = source_queries.written_models(spark, SF).count()
+    assert models == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert spark.read.text(f"{tmp_path}/models").count() == models + 3
+    assert sum(f.stat().st_size for f in (tmp_path / "models").iterdir()) < 600 * models
