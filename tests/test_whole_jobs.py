@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from cohortspark.operators import tables
 from cohortspark.plans import language_queries, source_queries
-from cohortspark.sources import writers
+from cohortspark.sources import readers, writers
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +37,36 @@ def test_written_models_are_compressed(spark, tmp_path, monkeypatch):
     assert models == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
     assert spark.read.text(f"{tmp_path}/models").count() == models + 3
     assert sum(f.stat().st_size for f in (tmp_path / "models").iterdir()) < 600 * models
+
+
+def test_label_documents_are_read_by_lines(spark, tmp_path):
+    ids = [f"m{i}" for i in range(3000)]
+    listed = ",\n".join(json.dumps({"id": m, "outcome": None if i % 500 == 7 else 'a "b", ]{ \\' + str(i), "x": [[i], {"y": 1}]}, indent=i % 3 or None) for i, m in enumerate(ids))
+    (tmp_path / "list.json").write_text(f"﻿[{listed}\n]\n")
+    entries = ",\n".join(f'"{m}"\n: {json.dumps("" if i % 500 == 7 else f"v{i}")}' for i, m in enumerate(ids))
+    (tmp_path / "map.json").write_text(f'{{"other": {{"labels": {{"m0": 5}}}},\n "labels"\n: {{{entries}}}, "n": [1, 2]}}')
+    (tmp_path / "broken.json").write_text('[{"id": "m1", "outcome": 1},')
+    (tmp_path / "empty.json").write_text("[ ]")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        for name, shown in (("list", 'a "b", ]{ \\{}'), ("map", "v{}")):
+            assert spark.read.text(str(tmp_path / f"{name}.json")).rdd.getNumPartitions() > 2
+            good, bad = readers.read_labels(spark, str(tmp_path / f"{name}.json"), "json")
+            assert {tuple(r) for r in good.collect()} == {(m, shown.replace("{}", str(i))) for i, m in enumerate(ids) if i % 500 != 7}
+            assert sorted((r["row"], r["reason"]) for r in bad.collect()) == [(i + 2, "no label") for i in range(7, 3000, 500)]
+        for name in ("broken", "empty"):
+            assert all(part.isEmpty() for part in readers.read_labels(spark, str(tmp_path / f"{name}.json"), "json"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_no_row_of_label_lists_holds_all_labels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "shared_path", lambda _, name: f"{tmp_path}/{name}")
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    source_queries.s05b(spark, SF)
+    assert spark.read.text(f"{tmp_path}/labels").count() == orders + 2
+    whole = json.loads("".join(r[0] + "\n" for r in spark.read.text(f"{tmp_path}/labels").collect()))
+    assert len(whole) == orders
