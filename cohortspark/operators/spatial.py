@@ -219,7 +219,7 @@ def record_paths(objects: DataFrame, paths: DataFrame, grid: bool = False) -> Da
         hits = F.sort_array(F.collect_list(F.when(F.col("hit"), F.struct("o_obj_seq", "o_object_id"))))
         return met.groupBy("path_id", "model_id", "length").agg(F.transform(hits, lambda h: h["o_object_id"]).alias("hits"), F.min(F.when(~F.col("hit"), F.col("clearance"))).alias("clearance"))
     keys = ["path_id", "model_id"]
-    own = paths.join(objects.select("model_id").distinct(), "model_id", "left_semi").select(*keys, *(f"{p}{x}" for p in "se" for x in g.AXES))
+    own = shared_table(paths.join(objects.select("model_id").distinct(), "model_id", "left_semi").select(*keys, *(f"{p}{x}" for p in "se" for x in g.AXES)))
     hit = near_paths(objects, own, 0.0, CELL).where(g.segment_intersects_box("s", "e", "o_"))
     hits = hit.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_obj_seq", "o_object_id"))), lambda h: h["o_object_id"]).alias("hits"))
     told = own.select(*keys, g.trajectory_length().alias("length")).join(hits, keys, "left").join(least_clearance(objects, own), keys, "left")

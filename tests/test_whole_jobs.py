@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from cohortspark.operators import tables
-from cohortspark.plans import language_queries, source_queries
+from cohortspark.plans import all_queries, language_queries, source_queries
 from cohortspark.sources import readers, writers
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,8 @@ def test_no_row_of_label_lists_holds_all_labels(spark, tmp_path, monkeypatch):
     assert spark.read.text(f"{tmp_path}/labels").count() == orders + 2
     whole = json.loads("".join(r[0] + "\n" for r in spark.read.text(f"{tmp_path}/labels").collect()))
     assert len(whole) == orders
+
+
+def test_paths_on_a_grid_make_objects_once(spark):
+    plan = all_queries.QUERIES["g22_grid_paths"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
