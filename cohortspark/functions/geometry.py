@@ -1,15 +1,18 @@
 """Geometry of axis-aligned boxes as Column expressions.
 
 A box is six DOUBLE columns ``x0 y0 z0 x1 y1 z1``, a point three, ``cx cy cz``,
-behind a prefix such as ``a_``. Nothing here leaves whole-stage code generation.
+behind a prefix such as ``a_``. Nothing here but ``segment_box_distance`` leaves whole-stage code generation.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 AXES = ("x", "y", "z")
 
@@ -92,43 +95,37 @@ def segment_intersects_box(s: str, e: str, b: str) -> Column:
     return ~outside & (low <= high)
 
 
-def _gap_at(s: str, e: str, b: str, x: str, t: Column) -> Column:
-    p = F.col(f"{s}{x}") + (F.col(f"{e}{x}") - F.col(f"{s}{x}")) * t
-    return F.greatest(F.col(f"{b}{x}0") - p, p - F.col(f"{b}{x}1"), F.lit(0.0))
+@F.pandas_udf(DoubleType())
+def _least_distance(sx: pd.Series, sy: pd.Series, sz: pd.Series, ex: pd.Series, ey: pd.Series, ez: pd.Series, x0: pd.Series, y0: pd.Series, z0: pd.Series, x1: pd.Series, y1: pd.Series, z1: pd.Series) -> pd.Series:
+    start, end, low, high = (np.array(c, dtype=float) for c in ((sx, sy, sz), (ex, ey, ez), (x0, y0, z0), (x1, y1, z1)))
+    delta = end - start
+    with np.errstate(divide="ignore", invalid="ignore"):
+        crossed = np.concatenate([(low - start) / delta, (high - start) / delta])
+        crossed[~(np.abs(np.concatenate([delta, delta])) >= 1e-12) | ~((crossed > 0) & (crossed < 1))] = 0.0
+        ends = np.zeros((1, start.shape[1]))
+        knots = np.sort(np.concatenate([ends, crossed, ends + 1]), axis=0)
+
+        def squared(t: np.ndarray) -> np.ndarray:
+            p = start + delta * t
+            return (np.maximum(np.maximum(low - p, p - high), 0.0) ** 2).sum(axis=0)
+
+        least = squared(knots[0])
+        for t, after in zip(knots[:-1], knots[1:], strict=True):
+            p = start + delta * ((t + after) / 2)
+            face = np.where(p < low, low, high)
+            out = (p < low) | (p > high)
+            slope, curve = np.where(out, delta * (start - face), 0.0).sum(axis=0), np.where(out, delta * delta, 0.0).sum(axis=0)
+            still = np.where(curve > 0, np.clip(-slope / curve, t, after), t)
+            least = np.minimum(least, np.minimum(squared(after), squared(still)))
+    return pd.Series(np.sqrt(least))
 
 
 def segment_box_distance(s: str, e: str, b: str) -> Column:
-    """Least distance of a segment and a box.
+    """Least distance of a segment and a box; null where one of their numbers is.
 
     Along the segment the squared distance is convex and, between the places where
     the segment passes a face's plane, quadratic. So the least value is at such a
     place, at an end, or at the stationary point of a piece, moved into the piece.
+    Worked out in arrays for many pairs at once.
     """
-    ends = [F.lit(0.0), F.lit(1.0)]
-    for x in AXES:
-        delta = F.col(f"{e}{x}") - F.col(f"{s}{x}")
-        for side in "01":
-            t = F.when(F.abs(delta) >= 1e-12, (F.col(f"{b}{x}{side}") - F.col(f"{s}{x}")) / delta)
-            ends.append(F.when((t > 0) & (t < 1), t))
-    knots = F.array_sort(F.array_compact(F.array(*ends)))
-
-    def squared(t: Column) -> Column:
-        return _sum([_gap_at(s, e, b, x, t) * _gap_at(s, e, b, x, t) for x in AXES])
-
-    def least(ks: Column) -> Column:
-        def piece(t: Column, i: Column) -> Column:
-            after = F.coalesce(F.get(ks, i + 1), t)
-            middle = (t + after) / 2
-            slope, curve = F.lit(0.0), F.lit(0.0)
-            for x in AXES:
-                delta = F.col(f"{e}{x}") - F.col(f"{s}{x}")
-                p = F.col(f"{s}{x}") + delta * middle
-                face = F.when(p < F.col(f"{b}{x}0"), F.col(f"{b}{x}0")).when(p > F.col(f"{b}{x}1"), F.col(f"{b}{x}1"))
-                slope = slope + F.coalesce(delta * (F.col(f"{s}{x}") - face), F.lit(0.0))
-                curve = curve + F.when(face.isNotNull(), delta * delta).otherwise(F.lit(0.0))
-            still = F.when(curve > 0, F.least(F.greatest(-slope / curve, t), after)).otherwise(t)
-            return F.least(squared(t), squared(still))
-
-        return F.array_min(F.transform(ks, piece))
-
-    return F.sqrt(F.transform(F.array(knots), least)[0])
+    return _least_distance(*(F.col(f"{p}{x}") for p in (s, e) for x in AXES), *(F.col(f"{b}{x}{i}") for i in "01" for x in AXES))

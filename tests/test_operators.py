@@ -86,6 +86,13 @@ def test_segment_distance_against_sampling(spark):
         assert r["d"] <= best + 1e-9 and r["d"] >= best - 0.01
 
 
+def test_segment_distances_are_found_in_arrays(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 2.0, -1.0, 1.0, -1.0, 1.0), (0.0, 0.0, 0.0, 9.0, 9.0, None, 1.0, 2.0, 1.0, 2.0, 1.0, 2.0), (-5.0, 4.0, 0.0, 5.0, 4.0, 0.0, -1.0, 1.0, -1.0, 1.0, -1.0, 1.0)], "sx double, sy double, sz double, ex double, ey double, ez double, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
+    told = df.select(g.segment_box_distance("s", "e", "").alias("d"))
+    assert "transform(" not in told._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["d"] for r in told.collect()] == [1.0, None, 3.0]
+
+
 def test_change_of_a_matched_object(spark):
     now = boxes(spark, [("k1", "finding", "Cyst, left", (0, 0, 0), (6, 4, 2))], "b").withColumns({"volume_mm3": F.lit(48.0), "surface_area_mm2": F.lit(88.0)})
     then = boxes(spark, [("k9", "finding", "cyst left", (0, 0, 0), (5, 4, 2))], "a").withColumns({"volume_mm3": F.lit(40.0), "surface_area_mm2": F.lit(76.0)})
