@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.operators.components import voxel_components
+from cohortspark.operators.components import TASK_VOXELS, by_series, series_tables, voxel_components
 
 __all__ = ["voxel_components"]
 
 FRAME = ("series", "frame")
+#: Places of volumes that are held in arrays at once.
+BATCH_PLACES = 4_000_000
 
 
 def rescale(value: Column, slope: Column, intercept: Column) -> Column:
@@ -58,9 +65,9 @@ def volume_manifest(voxels: DataFrame) -> DataFrame:
 
 def frame_threshold(voxels: DataFrame, share: float = 0.97) -> DataFrame:
     """Voxels at or above their frame's percentile; frames with fewer than two hits vanish."""
-    limits = voxels.groupBy(*FRAME).agg(F.percentile("v", share).alias("limit"))
-    hits = voxels.join(limits, list(FRAME)).where("v >= limit")
-    return hits.withColumn("hits", F.count(F.lit(1)).over(Window.partitionBy(*FRAME))).where("hits >= 2").drop("hits", "limit")
+    frame = Window.partitionBy(*FRAME)
+    hits = voxels.withColumn("limit", F.percentile("v", share).over(frame)).where("v >= limit")
+    return hits.withColumn("hits", F.count(F.lit(1)).over(frame)).where("hits >= 2").drop("hits", "limit")
 
 
 def stride_sample(voxels: DataFrame, cap: int = 1000) -> DataFrame:
@@ -186,6 +193,43 @@ def erode(voxels: DataFrame, times: int = 1) -> DataFrame:
     return held.where(F.col("d") > times).select("series", "x", "y", "z")
 
 
+def closing(voxels: DataFrame, shape: tuple[int, int, int], times: int = 1) -> DataFrame:
+    """``step, series, x, y, z``: voxels ``dilated`` within ``shape`` and, of these, what is left ``eroded``, by as many steps. Volumes of TASK_VOXELS places or fewer are grown whole in arrays, many to a task."""
+    size = math.prod(shape)
+    if size > TASK_VOXELS:
+        grown = dilate(voxels, shape, times)
+        return grown.select(F.lit("dilated").alias("step"), "*").unionByName(erode(grown, times).select(F.lit("eroded").alias("step"), "*"))
+
+    def stepped(held: np.ndarray, grow: bool) -> np.ndarray:
+        for _ in range(times):
+            edged = np.pad(held, ((0, 0), (1, 1), (1, 1), (1, 1)))
+            for axis in (1, 2, 3):
+                for start in (0, 2):
+                    beside = edged[tuple(slice(None) if a == 0 else slice(start, start + n) if a == axis else slice(1, -1) for a, n in enumerate(held.shape))]
+                    held = held | beside if grow else held & beside
+        return held
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in series_tables(batches):
+            series = table.column("series").combine_chunks().dictionary_encode("encode")
+            names, of = series.dictionary, series.indices.to_numpy().astype(np.int64)
+            place = [table.column(c).to_numpy().astype(np.int64) for c in "xyz"]
+            inside = np.all([(p >= 0) & (p < n) for p, n in zip(place, shape, strict=True)], axis=0)
+            some = max(1, BATCH_PLACES // size)
+            for start in range(0, len(names), some):
+                held = np.zeros((min(some, len(names) - start), *shape), dtype=bool)
+                own = inside & (of >= start) & (of < start + some)
+                held[(of[own] - start, *(p[own] for p in place))] = True
+                grown = stepped(held, True)
+                for step, cells in (("dilated", grown), ("eroded", stepped(grown, False))):
+                    at = np.nonzero(cells)
+                    out = {"step": pa.array([step]).take(pa.array(np.zeros(len(at[0]), dtype=np.int8))), "series": names.take(pa.array(at[0] + start))}
+                    yield from pa.table(out | {c: pa.array(a.astype(np.int32)) for c, a in zip("xyz", at[1:], strict=True)}).to_batches()
+
+    kind = voxels.schema["series"].dataType.simpleString()
+    return by_series(voxels.select("series", "x", "y", "z")).mapInArrow(close, f"step string, series {kind}, x int, y int, z int")
+
+
 def triangle_area(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Area by mesh, from ``mesh, vertex, x, y, z`` and ``mesh, a, b, c``."""
     for corner in "abc":

@@ -197,8 +197,7 @@ _BALL = "b AS (SELECT x AS dx, y AS dy, z AS dz FROM range(-2, 3) a(x), range(-2
 
 @query("v18_dilate_erode", f"{GROUPED}, {_BALL}, d AS (SELECT DISTINCT series, x+dx AS x, y+dy AS y, z+dz AS z FROM g, b WHERE x+dx BETWEEN 0 AND 16 AND y+dy BETWEEN 0 AND 5 AND z+dz BETWEEN 0 AND 7), e AS (SELECT d.series, d.x, d.y, d.z FROM d JOIN b ON true JOIN d n ON n.series = d.series AND n.x = d.x+dx AND n.y = d.y+dy AND n.z = d.z+dz GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM b)) SELECT 'dilated' AS step, series, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z FROM d UNION ALL SELECT 'eroded', series, CAST(x AS INTEGER), CAST(y AS INTEGER), CAST(z AS INTEGER) FROM e")
 def v18(spark: SparkSession, d: str) -> DataFrame:
-    grown = voxels.dilate(grouped(spark, d), SHAPE, 2)
-    return grown.select(F.lit("dilated").alias("step"), "*").unionByName(voxels.erode(grown, 2).select(F.lit("eroded").alias("step"), "*"))
+    return voxels.closing(grouped(spark, d), SHAPE, 2)
 
 
 TRIANGLES = "WITH v AS (SELECT vec_id % 7 AS mesh, vec_id AS vertex, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), f AS (SELECT a.mesh, a.vertex AS a, a.vertex+7 AS b, a.vertex+14 AS c FROM v a)"

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.operators import voxels
+from cohortspark.plans import all_queries
 
 STEPS = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
@@ -48,6 +49,32 @@ def test_components_of_many_volumes(spark, tile):
     assert found(voxels.voxel_components(table(spark, volumes), tile)) == want
 
 
+@pytest.mark.parametrize("whole", [0, 60, 1_000_000])
+def test_components_of_whole_series_and_of_tiles_agree(spark, whole):
+    rnd = random.Random(whole)
+    volumes = {f"s{k}": {tuple(rnd.randrange(-3, n) for n in (6, 9, 11)) for _ in range(30 * k)} for k in range(1, 9)} | {"far": {(-(2**31), 0, -(2**31)), (2**31 - 1, 2**31 - 1, 0), (2**31 - 1, 2**31 - 1, 1)}}
+    want = {(s, *p): c for s, cells in volumes.items() for p, c in plain_components(cells).items()}
+    assert found(voxels.voxel_components(table(spark, volumes).repartition(3), 4, whole)) == want
+
+
+def test_volumes_are_dealt_once(spark):
+    for name in ("v06_frame_threshold", "v18_dilate_erode"):
+        plan = all_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("largest", [1, 1_000_000])
+def test_closing_in_arrays_and_by_joins(spark, monkeypatch, largest):
+    monkeypatch.setattr(voxels, "TASK_VOXELS", largest)
+    monkeypatch.setattr(voxels, "BATCH_PLACES", 800)
+    rnd, shape = random.Random(3), (9, 7, 6)
+    rows = [(s, *(rnd.randrange(n) for n in shape)) for s in range(40) for _ in range(rnd.randrange(1, 30))] + [(0, 9, 3, 3), (1, -1, 2, 2)]
+    df = spark.createDataFrame(rows, "series int, x int, y int, z int").where("x between 0 and 8").repartition(3)
+    grown = voxels.dilate(df, shape, 2)
+    want = [("dilated", *r) for r in grown.select("series", "x", "y", "z").collect()] + [("eroded", *r) for r in voxels.erode(grown, 2).collect()]
+    assert sorted(map(tuple, voxels.closing(df, shape, 2).select("step", "series", "x", "y", "z").collect())) == sorted(want)
+
+
 def test_components_of_a_line_over_many_tiles(spark):
     """One long snake, with numbers beyond four digits and below 0, and a repeated voxel."""
     snake = {(12_345, 9_999, x) for x in range(-40, 12_050)} | {(12_346, 9_999, 12_049)}
