@@ -40,37 +40,44 @@ def prior_objects(objects: DataFrame, priors: DataFrame, registrations: DataFram
     return registered(before, registrations) if registrations is not None else before
 
 
-def match_objects(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None = None) -> DataFrame:
-    """Greedy links of current to prior objects: ``model_id, prior_id, object_id, prior_object_id, score``.
+def matched_groups(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None, measures: list[str]) -> DataFrame:
+    """``model_id, prior_id, norm_label`` with the ``current`` and ``before`` objects (``seq, id, cx, cy, cz`` and ``measures``) of a label, and the greedy ``links`` between them (``now, then, score``).
 
-    Without equal labels a score stays below the threshold, so pairs meet by label.
-    Current objects choose in order of their model, each prior one once, best score
-    and then first in order. Most labels have one candidate, or the choices of a
-    label are folded in one expression over its few objects.
+    Without equal labels a score stays below the threshold, so objects meet by label,
+    in one grouping of both sides. Current objects choose in order of their model, each
+    prior one once, best score and then first in order. Most labels have one
+    candidate, or the choices of a label are folded in one expression over its few objects.
     """
     key = ["model_id", "prior_id", "norm_label"]
     named = objects.withColumn("norm_label", normalize_label(F.col("label")))
     pairs = priors.where("prior_id is not null").select("model_id", "prior_id")
-    shape = lambda p: F.sort_array(F.collect_list(F.struct(F.col("obj_seq").alias("seq"), F.col("object_id").alias("id"), "cx", "cy", "cz"))).alias(p)
-    current = named.join(pairs, "model_id").groupBy(*key).agg(shape("current"))
-    before = prior_objects(named, priors, registrations).groupBy(*key).agg(shape("before"))
-    both = current.join(before, key)
+    told = F.struct(F.col("obj_seq").alias("seq"), F.col("object_id").alias("id"), "cx", "cy", "cz", *(m for m in measures if m not in ("cx", "cy", "cz")))
+    now = named.join(pairs, "model_id").select(*key, told.alias("now"))
+    kind = now.schema["now"].dataType
+    then = prior_objects(named, priors, registrations).select(*key, F.lit(None).cast(kind).alias("now"), told.cast(kind).alias("then"))
+    both = now.withColumn("then", F.lit(None).cast(kind)).unionByName(then)
+    groups = both.groupBy(*key).agg(F.sort_array(F.collect_list("now")).alias("current"), F.sort_array(F.collect_list("then")).alias("before"))
+    link = f"array<struct<now:{kind.simpleString()},then:{kind.simpleString()},score:double>>"
 
     def score(a: Column, b: Column) -> Column:
         d = F.sqrt(sum(((a[f"c{x}"] - b[f"c{x}"]) * (a[f"c{x}"] - b[f"c{x}"]) for x in "xyz"), F.lit(0.0)))
         return match_score(F.lit(True), d)
 
-    link = "array<struct<object_id:string,prior_object_id:string,score:double,seq:int>>"
-
     def choose(done: Column, a: Column) -> Column:
-        free = F.filter("before", lambda b: ~F.exists(done, lambda x: x["prior_object_id"] == b["id"]))
-        offers = F.transform(free, lambda b: F.struct(score(a, b).alias("score"), (-b["seq"]).alias("late"), b["id"].alias("id")))
-        best = F.array_max(offers)
-        taken = F.array(F.struct(a["id"].alias("object_id"), best["id"].alias("prior_object_id"), best["score"].alias("score"), a["seq"].alias("seq")))
+        free = F.filter("before", lambda b: ~F.exists(done, lambda x: x["then"]["id"] == b["id"]))
+        best = F.array_max(F.transform(free, lambda b: F.struct(score(a, b).alias("score"), (-b["seq"]).alias("late"), b.alias("then"))))
+        taken = F.array(F.struct(a.alias("now"), best["then"].alias("then"), best["score"].alias("score"))).cast(link)
         return F.when(best.isNull() | (best["score"] < ACCEPT), done).otherwise(F.concat(done, taken))
 
-    links = both.select("model_id", "prior_id", F.explode(F.aggregate("current", F.array().cast(link), choose)).alias("l"))
-    return links.select("model_id", "prior_id", "l.object_id", "l.prior_object_id", "l.score")
+    none = F.array().cast(link)
+    met = F.col("norm_label").isNotNull() & (F.size("current") > 0) & (F.size("before") > 0)
+    return groups.withColumn("links", F.when(met, F.aggregate("current", none, choose)).otherwise(none))
+
+
+def match_objects(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None = None) -> DataFrame:
+    """Greedy links of current to prior objects: ``model_id, prior_id, object_id, prior_object_id, score``; see ``matched_groups``."""
+    links = matched_groups(objects, priors, registrations, []).select("model_id", "prior_id", F.explode("links").alias("l"))
+    return links.select("model_id", "prior_id", F.col("l.now.id").alias("object_id"), F.col("l.then.id").alias("prior_object_id"), "l.score")
 
 
 def change_columns(a: str = "", b: str = "p_") -> dict[str, Column]:
@@ -91,19 +98,20 @@ def change_columns(a: str = "", b: str = "p_") -> dict[str, Column]:
 
 def compare_models(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None = None) -> DataFrame:
     """Links of every current and every lost prior object, with changes and type: same_as_prior, changed_from, new, resolved. Models with a row of ``registrations`` (see ``rigid_transform``) are compared with their prior in their own space."""
-    matched = match_objects(objects, priors, registrations)
     measures = ["cx", "cy", "cz", *(f"{x}{i}" for x in "xyz" for i in (0, 1)), "volume_mm3", "surface_area_mm2"]
-    now = objects.select("model_id", "object_id", *measures)
-    then = prior_objects(objects, priors, registrations).select("model_id", "prior_id", F.col("object_id").alias("prior_object_id"), *(F.col(c).alias(f"p_{c}") for c in measures))
-    linked = matched.join(now, ["model_id", "object_id"]).join(then, ["model_id", "prior_id", "prior_object_id"]).withColumns(change_columns())
+    groups = matched_groups(objects, priors, registrations, measures)
+    row = lambda now, then, score: F.struct(now.alias("now"), then.alias("then"), score.alias("score"))
+    none = F.lit(None).cast(groups.schema["current"].dataType.elementType)
+    new = F.transform(F.filter("current", lambda a: ~F.exists("links", lambda x: x["now"]["id"] == a["id"])), lambda a: row(a, none, F.lit(1.0)))
+    lost = F.transform(F.filter("before", lambda b: ~F.exists("links", lambda x: x["then"]["id"] == b["id"])), lambda b: row(none, b, F.lit(1.0)))
+    rows = groups.select("model_id", "prior_id", F.explode(F.concat("links", new, lost)).alias("l"))
+    now, then = F.col("l.now.id"), F.col("l.then.id")
+    told = rows.select(
+        "model_id", "prior_id", F.coalesce(now, then).alias("object_id"), F.coalesce(then, now).alias("prior_object_id"), F.when(then.isNull(), "new").when(now.isNull(), "resolved").alias("single"), F.col("l.score").alias("confidence"),
+        *(F.col(f"l.now.{c}").alias(c) for c in measures), *(F.col(f"l.then.{c}").alias(f"p_{c}") for c in measures),
+    ).withColumns(change_columns())
     kind = F.when((F.abs("volume_percent") >= 20) | (F.col("centroid_distance") >= 50), "changed_from").otherwise("same_as_prior")
-    names = list(change_columns())
-    linked = linked.select("model_id", "prior_id", "object_id", "prior_object_id", kind.alias("link_type"), F.col("score").alias("confidence"), *names)
-    pairs = priors.where("prior_id is not null").select("model_id", "prior_id")
-    none = [F.lit(None).cast("double").alias(c) for c in names]
-    new = now.select("model_id", "object_id").join(pairs, "model_id").join(matched, ["model_id", "object_id"], "left_anti").select("model_id", "prior_id", "object_id", F.col("object_id").alias("prior_object_id"), F.lit("new").alias("link_type"), F.lit(1.0).alias("confidence"), *none)
-    lost = then.select("model_id", "prior_id", "prior_object_id").join(matched, ["model_id", "prior_object_id"], "left_anti").select("model_id", "prior_id", F.col("prior_object_id").alias("object_id"), "prior_object_id", F.lit("resolved").alias("link_type"), F.lit(1.0).alias("confidence"), *none)
-    return linked.unionByName(new).unionByName(lost)
+    return told.select("model_id", "prior_id", "object_id", "prior_object_id", F.coalesce("single", kind).alias("link_type"), "confidence", *change_columns())
 
 
 def change_counts(links: DataFrame) -> DataFrame:

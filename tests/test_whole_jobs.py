@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from cohortspark.operators import tables
+from cohortspark.operators import tables, temporal
 from cohortspark.plans import all_queries, language_queries, source_queries
 from cohortspark.sources import readers, writers
 
@@ -75,3 +75,13 @@ def test_no_row_of_label_lists_holds_all_labels(spark, tmp_path, monkeypatch):
 def test_paths_on_a_grid_make_objects_once(spark):
     plan = all_queries.QUERIES["g22_grid_paths"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan
+
+
+def test_models_are_compared_in_one_grouping(spark):
+    plan = all_queries.QUERIES["t08_registered_links"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("collect_list(now") == 1
+    schema = "model_id string, object_id string, obj_seq int, label string, " + ", ".join(f"{c} double" for c in ("cx", "cy", "cz", "x0", "x1", "y0", "y1", "z0", "z1", "volume_mm3", "surface_area_mm2"))
+    rows = [(m, f"{m}{i}", i, label, *map(float, (i, 0, 0, 0, 1, 0, 1, 0, 1, 10, 5))) for m, labels in (("a", ("Cyst", None, "rib")), ("b", ("cyst", None, "CYST"))) for i, label in enumerate(labels)]
+    links = temporal.compare_models(spark.createDataFrame(rows, schema), spark.createDataFrame([("b", "a"), ("a", None)], "model_id string, prior_id string"))
+    told = sorted((r["object_id"], r["prior_object_id"], r["link_type"], r["volume_delta"]) for r in links.collect())
+    assert told == [("a1", "a1", "resolved", None), ("a2", "a2", "resolved", None), ("b0", "a0", "same_as_prior", 0.0), ("b1", "b1", "new", None), ("b2", "b2", "new", None)]
