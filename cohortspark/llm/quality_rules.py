@@ -66,8 +66,8 @@ def repeated_words(words: Column) -> Column:
 
     Windows are sorted by hash, then place, so equal ones are neighbours; the places
     of those that have an equal neighbour are sorted again, and each covers as many
-    words as are left before the next. Short texts have hash (52 bits at least) and place
-    in one number, which sorts faster, and windows with equal ones are compared by their words.
+    words as are left before the next. Short texts have hash (52 bits) and place in one
+    number, which sorts faster; each is compared with the next alone, and by its words where hashes are equal.
     """
     hashed = lambda w, i, seed: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), *seed)
 
@@ -75,18 +75,18 @@ def repeated_words(words: Column) -> Column:
         width = lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3).cast("long")))
         return F.aggregate(F.transform(places, width), F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def repeated(keys: Column, hash_of, place_of, also=lambda a, b: F.lit(True)) -> Column:
-        same = lambda k, other: F.coalesce((hash_of(F.get(keys, other)) == hash_of(k)) & also(place_of(F.get(keys, other)), place_of(k)), F.lit(False))
+    def repeated(keys: Column, hash_of, place_of) -> Column:
+        same = lambda k, other: F.coalesce(hash_of(F.get(keys, other)) == hash_of(k), F.lit(False))
         return F.sort_array(F.transform(F.filter(keys, lambda k, i: same(k, i - 1) | same(k, i + 1)), place_of))
 
     def short(w: Column) -> Column:
-        n = F.size(w)
-        bits = F.length(F.bin(n.cast("long")))
-        cut = lambda h: F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits)
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        keys = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: cut(hashed(w, i, ())).bitwiseOR(i.cast("long"))))
-        words = lambda i: F.slice(w, i.cast("int") + 1, F.lit(3))
-        return let(keys, lambda k: let(repeated(k, lambda x: F.call_function("shiftright", x, bits), lambda x: x.bitwiseAND(mask), lambda a, b: words(a) == words(b)), covered))
+        bits = (MANY_WORDS - 1).bit_length()
+        place = lambda k: k.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        window = lambda k: F.slice(w, place(k).cast("int") + 1, F.lit(3))
+        keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: hashed(w, i, ()).bitwiseAND(F.lit(-(1 << bits)).cast("long")).bitwiseOR(i.cast("long"))))
+        equal = lambda a, b: (F.shiftrightunsigned(a.bitwiseXOR(b), bits) == 0) & (window(a) == window(b))
+        both = lambda k: F.zip_with(k, F.slice(k, F.lit(2), F.size(k)), lambda a, b: F.when(equal(a, b), F.array(place(a), place(b))))
+        return let(keys, lambda k: let(F.sort_array(F.array_distinct(F.flatten(F.array_compact(both(k))))), covered))
 
     def long(w: Column) -> Column:
         keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.struct(hashed(w, i, ()).alias("a"), hashed(w, i, (F.lit(7),)).alias("b")).alias("hash"), i.cast("long").alias("place"))))

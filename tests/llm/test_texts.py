@@ -378,3 +378,15 @@ def test_nulls_repeated_rows_empty_tables_and_other_columns(spark, tmp_path, nam
     else:
         assert {k: len(v) for k, v in by_id.items()} == {None: 2, 5: 3, 6: 1, 7: 1}
         assert len(set(by_id[5])) <= 2
+
+
+def test_repeated_windows_of_texts_are_compared_with_the_next_alone(spark):
+    texts = ["", "a b", "a b c", "a b c a b c", "a a a a", "x a b c y a b c z a b c", " ".join(f"w{i % 1000}" for i in range(4095)), " ".join(f"w{i}" for i in range(4095)), " ".join(f"w{i % 1000}" for i in range(4096))]
+
+    def plain(words):
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        return len({j for i, w in enumerate(windows) if windows.count(w) > 1 for j in (i, i + 1, i + 2)})
+
+    found = spark.createDataFrame(enumerate(texts), "i int, t string").select("i", quality_rules.repeated_words(F.filter(F.split("t", " "), lambda w: w != "")).alias("n"))
+    assert "bin(" not in found._jdf.queryExecution().analyzed().toString()
+    assert {r["i"]: r["n"] for r in found.collect()} == {i: plain(t.split()) for i, t in enumerate(texts)}
