@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from cohortspark.operators import spatial
-from cohortspark.plans import fixtures
+from pyspark.sql import Row
+
+from cohortspark.operators import learning, spatial
+from cohortspark.plans import fixtures, learning_queries
+from cohortspark.sources import writers
+from cohortspark.streaming import streams
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -14,3 +18,52 @@ def test_objects_are_dealt_by_model_once_and_a_task_has_no_more_of_larger_tables
     tasks = -(-fixtures.table(spark, TABLES, "lineitem").count() // 500)
     assert tasks > 8 and spatial.pairs(objects).rdd.getNumPartitions() == tasks
     assert objects.groupBy("model_id").count().rdd.getNumPartitions() == tasks
+
+
+def test_a_search_makes_its_rows_once(spark, monkeypatch):
+    plans = []
+
+    def search(rows, names, candidates):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return [{"algorithm": "logistic", "accuracy": 0.5}], 0
+
+    monkeypatch.setattr(learning, "search_configs", search)
+    learning_queries.f16(spark, TABLES)
+    assert "Scan parquet" in plans[0] and "Exchange" not in plans[0] and "Join" not in plans[0]
+
+
+def test_a_patient_costs_two_calls_to_the_state_store():
+    calls, held = [], []
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return held[-1] if held else None
+
+        def update(self, value):
+            calls.append("update")
+            held.append(value)
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return Value()
+
+    state = streams.PriorState("long")
+    state.init(Handle())
+    tell = lambda *rows: [(r["model_id"], r["prior_id"], r["version"]) for r in state.handleInputRows(("p",), (Row(at=at, model_id=m) for at, m in rows), None)]
+    assert tell((30, 3), (10, 1), (10, 1)) == [(1, None, 0), (3, 1, 1)] and calls == ["get", "update"]
+    assert tell((20, 2)) == [(2, 1, 2), (3, 2, 3)] and held[-1] == (4, [10, 20, 30], [1, 2, 3])
+    assert tell((20, 2)) == [] and len(held) == 2
+
+
+def test_bundles_meet_in_one_grouping(spark):
+    wanted = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b")], "model_id long, object_id string")
+    near = spark.createDataFrame([(1, "a", "c", 2, 5.0), (1, "a", "b", 1, 0.0), (2, "z", "y", 1, 1.0)], "model_id long, object_id string, near_id string, rank int, gap double")
+    bindings = spark.createDataFrame([(1, "object", "a", "k2"), (1, "object", "a", "k1"), (1, "model", "b", "k3")], "model_id long, target_type string, target_id string, binding_id string")
+    links = spark.createDataFrame([(1, "gone", "resolved", "gone")], "model_id long, object_id string, link_type string, prior_object_id string")
+    found = writers.export_context_bundles(wanted, near, bindings, links)
+    assert {r["object_id"]: r["bundle"] for r in found.collect()} == {
+        "a": '{"object_id":"a","nearby_objects":[{"rank":1,"near_id":"b","gap":0.0},{"rank":2,"near_id":"c","gap":5.0}],"context_bindings":[{"binding_id":"k1"},{"binding_id":"k2"}],"temporal_links":[]}',
+        "b": '{"object_id":"b","nearby_objects":[],"context_bindings":[],"temporal_links":[]}',
+    } and found.count() == 2
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
