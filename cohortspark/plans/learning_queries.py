@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.operators import features, learning
-from cohortspark.operators.tables import shared_path
+from cohortspark.operators.tables import shared_path, shared_table
 from cohortspark.plans.cohort_queries import LABELLED_SQL, featured, labelled
 from cohortspark.plans.fixtures import objects, table
 from cohortspark.plans.object_queries import EDGES_SQL, MATCH_SQL, edges, links, object_bindings
@@ -170,7 +170,7 @@ CANDIDATES = [{"algorithm": "logistic", "iterations": 20}, {"algorithm": "logist
 
 @query("f16_search")
 def f16(spark: SparkSession, d: str) -> DataFrame:
-    found, best = learning.search_configs(dataset(spark, d), NAMES, CANDIDATES)
+    found, best = learning.search_configs(shared_table(dataset(spark, d)), NAMES, CANDIDATES)
     return spark.createDataFrame([(i, f["algorithm"], float(f["accuracy"]), i == best) for i, f in enumerate(found)], "candidate int, algorithm string, accuracy double, best boolean")
 
 
