@@ -1,8 +1,8 @@
 """Utterances and the objects that they mean (L3 to L10, L12).
 
-Everything is a Column expression or a join: an utterance and the labels of its
-model meet by word, so no utterance is compared with a label it shares nothing
-with; only utterances that name a kind of object meet all objects of their model.
+Everything is a Column expression or a join by model: an utterance meets the objects
+of its model, whose words are worked out once an object, and what it means is found
+without another exchange. A model costs its utterances times its objects.
 """
 
 from __future__ import annotations
@@ -71,19 +71,31 @@ def side_of(words: Column) -> Column:
     return F.get(F.filter(words, lambda w: w.isin("left", "right")), F.lit(0))
 
 
+def digits_of(words: Column) -> Column:
+    return F.filter(words, lambda w: w.rlike("^[0-9]+$"))
+
+
+def name_stems(label: Column) -> Column:
+    """Stems of a label's words, but for its side."""
+    return F.transform(F.filter(label, lambda w: ~w.isin("left", "right")), stem)
+
+
+def coverage(spoken: Column, said: Column, numbers: Column, names: Column, own: Column, own_numbers: Column) -> Column:
+    """``coverage_score`` from the words, side and numbers of what was said and of a label."""
+    other_side = said.isNotNull() & (own.isNull() | (said != own))
+    other_number = (F.size(numbers) > 0) & (F.size(own_numbers) > 0) & ~F.arrays_overlap(numbers, own_numbers)
+    matched = F.size(F.filter(names, lambda w: F.array_contains(spoken, w)))
+    score = matched / F.size(names) + F.when(said.isNotNull() & (said == own), 0.25).otherwise(0.0)
+    return F.when(other_side | other_number | (matched == 0), 0.0).otherwise(score)
+
+
 def coverage_score(spoken: Column, label: Column) -> Column:
     """Share of the label's words, but for its side, that were said; a quarter more where a side was said and agrees.
 
     0 where sides or numbers conflict, or where a side was said and the label has none.
     """
-    names = F.transform(F.filter(label, lambda w: ~w.isin("left", "right")), stem)
-    said, own = side_of(spoken), side_of(label)
-    digits = lambda words: F.filter(words, lambda w: w.rlike("^[0-9]+$"))
-    other_side = said.isNotNull() & (own.isNull() | (said != own))
-    other_number = (F.size(digits(spoken)) > 0) & (F.size(digits(names)) > 0) & ~F.arrays_overlap(digits(spoken), digits(names))
-    matched = F.size(F.filter(names, lambda w: F.array_contains(spoken, w)))
-    score = matched / F.size(names) + F.when(said.isNotNull() & (said == own), 0.25).otherwise(0.0)
-    return F.when((matched == 0) | other_side | other_number, 0.0).otherwise(score)
+    names = name_stems(label)
+    return coverage(spoken, side_of(spoken), digits_of(spoken), names, side_of(label), digits_of(names))
 
 
 def split_clauses(normal: Column) -> Column:
@@ -112,53 +124,70 @@ def classify_intent(normal: Column) -> Column:
     return F.when(view_action(normal).isNotNull(), "view").when(says(CLEAR_VERBS), "clear").when(says(HIGHLIGHT_VERBS), "highlight").otherwise("unknown")
 
 
+def once(rows: DataFrame, **values: Column) -> DataFrame:
+    """Rows with further columns. A filter on them is not carried back to where they are made, so each is worked out once a row."""
+    for name, value in values.items():
+        rows = rows.select("*", F.explode(F.array(value)).alias(name))
+    return rows
+
+
 def heard(utterances: DataFrame) -> DataFrame:
     """Utterances ``utterance_id, model_id, text`` with their ``normal`` text, what is ``said`` and the view ``action``, each worked out once a row."""
-    normal = utterances.withColumn("normal", normalize_utterance(F.col("text")))
-    return normal.withColumn("action", view_action(F.col("normal"))).withColumn("said", F.when(F.col("action").isNotNull(), "view").otherwise(classify_intent(F.col("normal"))))
+    normal = once(utterances, normal=normalize_utterance(F.col("text")))
+    return once(normal, action=view_action(F.col("normal"))).withColumn("said", F.when(F.col("action").isNotNull(), "view").otherwise(classify_intent(F.col("normal"))))
 
 
-def resolve_clauses(utterances: DataFrame, objects: DataFrame) -> DataFrame:
-    """``utterance_id, clause, object_id, label, obj_seq, score``: what each clause of ``utterance_id, model_id, normal`` (see ``heard``) means in its model.
+def meanings(utterances: DataFrame, objects: DataFrame, every: bool) -> DataFrame:
+    """``utterances`` (with ``clauses``) by clause and object that it scores with; ``meant`` are those of its best score, and of the first attempt that has any. If ``every``, an utterance without any has a row too.
 
-    All labels tied at the best score of a clause; a clause without any is tried
-    again together with the one after it, which still counts for itself. Volumes
-    are never meant.
+    Utterances meet the objects of their model, and all that follows stays within the
+    model: tables that are dealt by model are not dealt again.
     """
-    known = objects.where("obj_type is null or obj_type <> 'volume'").select("model_id", "object_id", "obj_seq", "obj_type", "label")
-    clauses = utterances.select("utterance_id", "model_id", split_clauses(F.col("normal")).alias("clauses")).select("utterance_id", "model_id", "clauses", F.posexplode("clauses").alias("clause", "own"))
+    by_model = Window.partitionBy("model_id")
+    flagged, odd = F.col("obj_type").isin("finding", "lesion"), (F.col("obj_type") == "region") | F.lower("label").rlike(ABNORMAL_LABEL)
+    known = objects.withColumn("reviewed", F.max(flagged).over(by_model)).where("obj_type is null or obj_type <> 'volume'")
+    known = known.select("model_id", "object_id", "obj_seq", "label", F.coalesce(F.when(F.col("reviewed"), flagged).otherwise(odd), F.lit(False)).alias("odd"), label_tokens(F.col("label")).alias("words"))
+    known = known.select("model_id", "object_id", "obj_seq", "label", "odd", (F.col("object_id") == F.min("object_id").over(by_model)).alias("leads"), name_stems(F.col("words")).alias("names"), side_of(F.col("words")).alias("own"))
+    known = known.withColumn("own_numbers", digits_of(F.col("names")))
+
+    clauses = utterances.select("*", F.posexplode_outer("clauses").alias("clause", "words"))
     following = F.get("clauses", F.col("clause") + 1)
     attempt = lambda i, words: F.struct(F.lit(i).alias("attempt"), words.alias("words"))
-    tried = F.when(following.isNull(), F.array(attempt(0, F.col("own")))).otherwise(F.array(attempt(0, F.col("own")), attempt(1, F.concat_ws(" ", "own", following))))
-    tries = clauses.select("utterance_id", "model_id", "clause", F.explode(tried).alias("t")).select("utterance_id", "model_id", "clause", "t.attempt", semantic_group(F.col("t.words")).alias("kind"), tokens(F.col("t.words")).alias("spoken"))
+    tried = F.when(following.isNull(), F.array(attempt(0, F.col("words")))).otherwise(F.array(attempt(0, F.col("words")), attempt(1, F.concat_ws(" ", "words", following))))
+    tries = clauses.withColumn("t", F.explode(tried)).drop("clauses", "words").select("*", "t.attempt", semantic_group(F.col("t.words")).alias("kind"), tokens(F.col("t.words")).alias("spoken")).drop("t")
+    tries = tries.withColumns({"side": side_of(F.col("spoken")), "numbers": digits_of(F.col("spoken"))})
+
+    met = tries.join(known, "model_id", "left" if every else "inner")
+    named = coverage(*(F.col(c) for c in ("spoken", "side", "numbers", "names", "own", "own_numbers")))
+    score = F.when(F.col("kind").isNull(), F.coalesce(named, F.lit(0.0))).otherwise(F.when(F.col("object_id").isNotNull() & ((F.col("kind") == "everything") | F.col("odd")), 1.0).otherwise(0.0))
+    leads = (F.coalesce("clause", F.lit(0)) == 0) & (F.col("attempt") == 0) & F.coalesce("leads", F.lit(True))
+    scored = once(met, score=score).where((F.col("score") > 0) | leads if every else F.col("score") > 0)
+    scored = scored.withColumn("label", F.when(F.col("kind").isNull(), F.col("label"))).drop("kind", "spoken", "side", "numbers", "odd", "leads", "names", "own", "own_numbers")
+    clause = ["model_id", "utterance_id", "clause"]
+    best = scored.withColumn("hit", (F.col("score") > 0) & (F.col("score") >= F.max("score").over(Window.partitionBy(*clause, "attempt")) - 1e-9))
+    first = F.min(F.when(F.col("hit"), F.col("attempt"))).over(Window.partitionBy(*clause))
+    return best.withColumn("meant", F.col("hit") & (F.col("attempt") == first))
 
-    word = lambda words: F.explode(F.array_distinct(words)).alias("word")
-    said = tries.where("kind is null").select("utterance_id", "model_id", "clause", "attempt", "spoken", word(F.col("spoken")))
-    named = known.withColumn("names", label_tokens(F.col("label"))).select("*", word(F.transform("names", stem)))
-    met = said.join(named, ["model_id", "word"]).dropDuplicates(["utterance_id", "clause", "attempt", "model_id", "object_id"])
-    scored = met.withColumn("score", coverage_score(F.col("spoken"), F.col("names"))).where("score > 0")
-    best = scored.withColumn("best", F.max("score").over(Window.partitionBy("utterance_id", "clause", "attempt"))).where("score >= best - 1e-9")
-    columns = ["utterance_id", "clause", "attempt", "object_id", "label", "obj_seq", "score"]
 
-    flagged = objects.where("obj_type in ('finding', 'lesion')").select("model_id").distinct().withColumn("reviewed", F.lit(True))
-    groups = tries.where("kind is not null").join(flagged, "model_id", "left").join(known, "model_id")
-    odd = F.when(F.col("reviewed"), F.col("obj_type").isin("finding", "lesion")).otherwise((F.col("obj_type") == "region") | F.lower("label").rlike(ABNORMAL_LABEL))
-    members = groups.where((F.col("kind") == "everything") | odd).withColumn("score", F.lit(1.0)).withColumn("label", F.lit(None).cast("string"))
+def resolve_clauses(utterances: DataFrame, objects: DataFrame) -> DataFrame:
+    """``utterance_id, clause, object_id, label, obj_seq, score``: what each clause of ``utterance_id, model_id, normal`` (see ``heard``; an id is one utterance's) means in its model.
 
-    every = best.select(*columns).unionByName(members.select(*columns))
-    first = every.withColumn("first", F.min("attempt").over(Window.partitionBy("utterance_id", "clause"))).where("attempt = first")
-    return first.drop("attempt", "first")
+    All labels tied at the best score of a clause; a clause without any is tried
+    again together with the one after it, which still counts for itself. Volumes
+    are never meant.
+    """
+    told = utterances.select("utterance_id", "model_id", split_clauses(F.col("normal")).alias("clauses"))
+    return meanings(told, objects, False).where("meant").select("utterance_id", "clause", "object_id", "label", "obj_seq", "score")
 
 
 def resolve_utterances(utterances: DataFrame, objects: DataFrame) -> DataFrame:
     """``utterance_id, intent, action, targets``: view and clear commands mean no object; others highlight what their clauses mean, each object once, in order of clause and label."""
-    judged = heard(utterances).select("utterance_id", "model_id", "normal", "said", "action")
-    found = resolve_clauses(judged.where("said not in ('view', 'clear')"), objects)
-    once = found.groupBy("utterance_id", "object_id").agg(F.min(F.struct("clause", F.coalesce("label", F.lit("")).alias("label"), "obj_seq")).alias("at"))
-    targets = once.groupBy("utterance_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "object_id"))), lambda x: x["object_id"]).alias("targets"))
-    joined = judged.join(targets, "utterance_id", "left")
-    intent = F.when(F.col("said").isin("view", "clear"), F.col("said")).when(F.col("targets").isNotNull(), "highlight").otherwise("unknown")
-    return joined.select("utterance_id", intent.alias("intent"), "action", F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
+    still = F.col("said").isin("view", "clear")
+    told = heard(utterances).select("utterance_id", "model_id", "said", "action", F.when(still, F.lit(None)).otherwise(split_clauses(F.col("normal"))).alias("clauses"))
+    target = F.when(F.col("meant"), F.struct("clause", F.coalesce("label", F.lit("")).alias("label"), "obj_seq", "object_id"))
+    found = meanings(told, objects, True).groupBy("model_id", "utterance_id").agg(F.first("said").alias("said"), F.first("action").alias("action"), F.sort_array(F.collect_list(target)).alias("targets"))
+    intent = F.when(still, F.col("said")).when(F.size("targets") > 0, "highlight").otherwise("unknown")
+    return found.select("utterance_id", intent.alias("intent"), "action", F.array_distinct(F.transform("targets", lambda x: x["object_id"])).alias("targets"))
 
 
 def display_label(label: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Row
 
 from cohortspark.operators import learning, spatial
-from cohortspark.plans import fixtures, learning_queries
+from cohortspark.plans import fixtures, language_queries, learning_queries
 from cohortspark.sources import writers
 from cohortspark.streaming import streams
 
@@ -67,3 +67,14 @@ def test_bundles_meet_in_one_grouping(spark):
         "b": '{"object_id":"b","nearby_objects":[],"context_bindings":[],"temporal_links":[]}',
     } and found.count() == 2
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_utterances_and_objects_stay_where_their_model_is(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for query in (language_queries.l06, language_queries.l09):
+            plan = query(spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+            assert "utterance_id" in plan and "hashpartitioning(utterance_id" not in plan and "word#" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
