@@ -44,9 +44,16 @@ def object_key(model_id: Column, object_id: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", model_id, object_id), 256), 1, 24)
 
 
+def with_refs(objects: DataFrame, every: bool = False) -> DataFrame:
+    """Objects that may be shown (no volumes, no rejected ones), with their ``ref``: ``O<n>`` by place in the model; if ``every``, the others too, without one."""
+    ref = F.when((F.col("obj_type") != "volume") & (F.col("review_status") != "rejected"), F.concat(F.lit("O"), F.col("obj_seq").cast("string")))
+    named = objects.withColumn("ref", ref)
+    return named if every else named.where("obj_type <> 'volume' and review_status <> 'rejected'")
+
+
 def alias_refs(objects: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """``model_id, object_id, ref``: ``O<n>`` by place in the model; volumes and rejected objects have none. With ``links`` (``model_id, prior_id, object_id, link_type``) also ``P<n>``, by place in the prior, of prior objects that are resolved, but for volumes."""
-    own = objects.where("obj_type <> 'volume' and review_status <> 'rejected'").select("model_id", "object_id", F.concat(F.lit("O"), F.col("obj_seq").cast("string")).alias("ref"))
+    own = with_refs(objects).select("model_id", "object_id", "ref")
     if links is None:
         return own
     gone = links.where("link_type = 'resolved'").select("model_id", "prior_id", "object_id").distinct()
@@ -55,9 +62,10 @@ def alias_refs(objects: DataFrame, links: DataFrame | None = None) -> DataFrame:
     return own.unionByName(prior.select("model_id", "object_id", "ref"))
 
 
-def object_rows(objects: DataFrame) -> DataFrame:
+def object_rows(objects: DataFrame, *more: str) -> DataFrame:
+    """What may be shown of each object, and the columns ``more``."""
     extent = F.greatest(*(F.col(f"{x}1") - F.col(f"{x}0") for x in "xyz"))
-    return alias_refs(objects).join(objects, ["model_id", "object_id"]).select("model_id", "ref", "label", "obj_type", "volume_mm3", extent.alias("extent"), "cx", "cy", "cz", "review_status")
+    return with_refs(objects).select("model_id", "ref", "label", "obj_type", "volume_mm3", extent.alias("extent"), "cx", "cy", "cz", "review_status", *more)
 
 
 #: Regions kept at first and in need, context items and their characters in need, bytes of a digest. Fixed values.

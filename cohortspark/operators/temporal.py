@@ -40,13 +40,14 @@ def prior_objects(objects: DataFrame, priors: DataFrame, registrations: DataFram
     return registered(before, registrations) if registrations is not None else before
 
 
-def matched_groups(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None, measures: list[str]) -> DataFrame:
+def matched_groups(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None, measures: list[str], tasks: int | None = None) -> DataFrame:
     """``model_id, prior_id, norm_label`` with the ``current`` and ``before`` objects (``seq, id, cx, cy, cz`` and ``measures``) of a label, and the greedy ``links`` between them (``now, then, score``).
 
     Without equal labels a score stays below the threshold, so objects meet by label,
     in one grouping of both sides. Current objects choose in order of their model, each
     prior one once, best score and then first in order. Most labels have one
     candidate, or the choices of a label are folded in one expression over its few objects.
+    Where ``objects`` are dealt by model to so many ``tasks``, only the prior ones are dealt again.
     """
     key = ["model_id", "prior_id", "norm_label"]
     named = objects.withColumn("norm_label", normalize_label(F.col("label")))
@@ -55,6 +56,8 @@ def matched_groups(objects: DataFrame, priors: DataFrame, registrations: DataFra
     now = named.join(pairs, "model_id").select(*key, told.alias("now"))
     kind = now.schema["now"].dataType
     then = prior_objects(named, priors, registrations).select(*key, F.lit(None).cast(kind).alias("now"), told.cast(kind).alias("then"))
+    if tasks:
+        then = then.repartition(tasks, "model_id")
     both = now.withColumn("then", F.lit(None).cast(kind)).unionByName(then)
     groups = both.groupBy(*key).agg(F.sort_array(F.collect_list("now")).alias("current"), F.sort_array(F.collect_list("then")).alias("before"))
     link = f"array<struct<now:{kind.simpleString()},then:{kind.simpleString()},score:double>>"
@@ -96,22 +99,39 @@ def change_columns(a: str = "", b: str = "p_") -> dict[str, Column]:
     }
 
 
-def compare_models(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None = None) -> DataFrame:
-    """Links of every current and every lost prior object, with changes and type: same_as_prior, changed_from, new, resolved. Models with a row of ``registrations`` (see ``rigid_transform``) are compared with their prior in their own space."""
-    measures = ["cx", "cy", "cz", *(f"{x}{i}" for x in "xyz" for i in (0, 1)), "volume_mm3", "surface_area_mm2"]
-    groups = matched_groups(objects, priors, registrations, measures)
+def link_rows(groups: DataFrame) -> DataFrame:
+    """Of ``matched_groups`` the links, the new objects and the lost ones: ``model_id, prior_id, l`` (``now``, ``then`` and ``score``)."""
     row = lambda now, then, score: F.struct(now.alias("now"), then.alias("then"), score.alias("score"))
     none = F.lit(None).cast(groups.schema["current"].dataType.elementType)
     new = F.transform(F.filter("current", lambda a: ~F.exists("links", lambda x: x["now"]["id"] == a["id"])), lambda a: row(a, none, F.lit(1.0)))
     lost = F.transform(F.filter("before", lambda b: ~F.exists("links", lambda x: x["then"]["id"] == b["id"])), lambda b: row(none, b, F.lit(1.0)))
-    rows = groups.select("model_id", "prior_id", F.explode(F.concat("links", new, lost)).alias("l"))
+    return groups.select("model_id", "prior_id", F.explode(F.concat("links", new, lost)).alias("l"))
+
+
+def link_kind() -> Column:
+    """Type of a link, from its ``single`` side or its changes."""
+    return F.coalesce("single", F.when((F.abs("volume_percent") >= 20) | (F.col("centroid_distance") >= 50), "changed_from").otherwise("same_as_prior"))
+
+
+def compare_models(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None = None) -> DataFrame:
+    """Links of every current and every lost prior object, with changes and type: same_as_prior, changed_from, new, resolved. Models with a row of ``registrations`` (see ``rigid_transform``) are compared with their prior in their own space."""
+    measures = ["cx", "cy", "cz", *(f"{x}{i}" for x in "xyz" for i in (0, 1)), "volume_mm3", "surface_area_mm2"]
+    rows = link_rows(matched_groups(objects, priors, registrations, measures))
     now, then = F.col("l.now.id"), F.col("l.then.id")
     told = rows.select(
         "model_id", "prior_id", F.coalesce(now, then).alias("object_id"), F.coalesce(then, now).alias("prior_object_id"), F.when(then.isNull(), "new").when(now.isNull(), "resolved").alias("single"), F.col("l.score").alias("confidence"),
         *(F.col(f"l.now.{c}").alias(c) for c in measures), *(F.col(f"l.then.{c}").alias(f"p_{c}") for c in measures),
     ).withColumns(change_columns())
-    kind = F.when((F.abs("volume_percent") >= 20) | (F.col("centroid_distance") >= 50), "changed_from").otherwise("same_as_prior")
-    return told.select("model_id", "prior_id", "object_id", "prior_object_id", F.coalesce("single", kind).alias("link_type"), "confidence", *change_columns())
+    return told.select("model_id", "prior_id", "object_id", "prior_object_id", link_kind().alias("link_type"), "confidence", *change_columns())
+
+
+def current_changes(objects: DataFrame, priors: DataFrame, keep: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
+    """``model_id, link_type, volume_prior, volume_now`` and the columns of ``keep`` of each current object that changed or is new: what ``change_report`` says of them, with no join back to the objects. ``tasks`` as in ``matched_groups``."""
+    rows = link_rows(matched_groups(objects, priors, None, ["volume_mm3", *keep], tasks)).where("l.now is not null")
+    measures = ("cx", "cy", "cz", "volume_mm3")
+    told = rows.select("model_id", F.when(F.col("l.then").isNull(), "new").alias("single"), *(F.col(f"l.now.{c}").alias(c) for c in (*measures, *keep)), *(F.col(f"l.then.{c}").alias(f"p_{c}") for c in measures))
+    told = told.withColumns({c: change_columns()[c] for c in ("centroid_distance", "volume_percent")}).withColumn("link_type", link_kind()).where("link_type <> 'same_as_prior'")
+    return told.select("model_id", "link_type", F.when(F.col("link_type") != "new", F.col("p_volume_mm3")).alias("volume_prior"), F.col("volume_mm3").alias("volume_now"), *keep)
 
 
 def change_counts(links: DataFrame) -> DataFrame:

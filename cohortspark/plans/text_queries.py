@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.operators import context, deid, graph, spatial, temporal
-from cohortspark.plans.fixtures import OBJECTS_SQL, context_items, objects, table
+from cohortspark.plans.fixtures import OBJECTS_SQL, context_items, object_tasks, objects, table, whole_objects
 from cohortspark.plans.object_queries import contains_sql, gap_sql
 from cohortspark.plans.registry import query
 from cohortspark.sources import writers
@@ -130,17 +130,17 @@ def d09(spark: SparkSession, d: str) -> DataFrame:
 
 #: Bytes of a digest: few enough that models of every size fall under some step of the shortening.
 BYTES = 1200
+#: Objects of which one task makes the digests, on average: fewer than elsewhere, since it holds several sorted copies of them.
+DIGESTED_A_TASK = 50_000
 
 
 def digests(spark: SparkSession, d: str) -> DataFrame:
-    o = objects(spark, d)
-    refs = deid.alias_refs(o)
-    rows = deid.object_rows(o).join(o.join(refs, ["model_id", "object_id"]).select("model_id", "ref", "obj_seq"), ["model_id", "ref"])
-    end = lambda of, to: refs.select("model_id", F.col("object_id").alias(of), F.col("ref").alias(to))
-    near = graph.collapse_relations(spatial.derive_relationships(o)).join(end("source_id", "a"), ["model_id", "source_id"]).join(end("target_id", "b"), ["model_id", "target_id"]).select("model_id", "a", F.col("type").alias("relation"), "b", F.round("value", 1).alias("gap"))
-    links = temporal.compare_models(o, temporal.select_prior(temporal.models(o)))
-    told, _ = temporal.change_report(links, o)
-    changes = told.join(end("object_id", "ref"), ["model_id", "object_id"]).select("model_id", "ref", F.col("link_type").alias("change"), "volume_prior", "volume_now")
+    """Relations are derived between refs, and refs are carried through the comparison, so all parts of a digest stay where their model is; only models and prior objects are dealt again."""
+    o = whole_objects(spark, d, DIGESTED_A_TASK)
+    rows, shown = deid.object_rows(o, "obj_seq"), deid.with_refs(o)
+    near = graph.collapse_relations(spatial.derive_relationships(shown.withColumn("object_id", F.col("ref")))).select("model_id", F.col("source_id").alias("a"), F.col("type").alias("relation"), F.col("target_id").alias("b"), F.round("value", 1).alias("gap"))
+    told = temporal.current_changes(deid.with_refs(o, every=True), temporal.select_prior(temporal.models(o)), ("ref",), object_tasks(spark, d, DIGESTED_A_TASK))
+    changes = told.where("ref is not null").select("model_id", "ref", F.col("link_type").alias("change"), "volume_prior", "volume_now")
     notes = o.where("obj_seq = 1").select("model_id", F.col("object_id").alias("item_id"), F.lit("note").alias("title"), F.lit("O1").alias("about"), F.repeat("label", 20).alias("text"))
     return deid.model_digest(rows, near, changes, notes, BYTES)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Row
 
-from cohortspark.operators import learning, spatial
-from cohortspark.plans import fixtures, language_queries, learning_queries
+from cohortspark.operators import learning, spatial, temporal
+from cohortspark.plans import fixtures, language_queries, learning_queries, text_queries
 from cohortspark.sources import writers
 from cohortspark.streaming import streams
 
@@ -78,3 +80,27 @@ def test_utterances_and_objects_stay_where_their_model_is(spark):
             assert "utterance_id" in plan and "hashpartitioning(utterance_id" not in plan and "word#" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_parts_of_a_digest_stay_where_their_model_is(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = text_queries.d07(spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    keys = {re.sub(r"#\d+L?", "", x).rsplit(", ", 1)[0] for x in dealt}
+    assert "model_id" in keys and not [k for k in keys if "," in k]
+
+
+def test_current_changes_are_those_of_the_report(spark):
+    objects = fixtures.objects(spark, TABLES)
+    priors = temporal.select_prior(temporal.models(objects))
+    told, _ = temporal.change_report(temporal.compare_models(objects, priors), objects)
+    columns = ["model_id", "object_id", "link_type", "volume_prior", "volume_now"]
+    want = {tuple(r) for r in told.where("link_type <> 'resolved'").select(columns).collect()}
+    for tasks in (None, fixtures.object_tasks(spark, TABLES)):
+        found = temporal.current_changes(objects.withColumn("of", objects["object_id"]), priors, ("of",), tasks)
+        assert {tuple(r) for r in found.withColumnRenamed("of", "object_id").select(columns).collect()} == want
+    assert {r[2] for r in want} == {"changed_from", "new"}
