@@ -373,7 +373,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def cut_out(min_length: int, keep: tuple[str, ...]):
+def cut_out(min_length: int, keep: tuple[str, ...], forms: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``doc_id, text, copy, spans`` to the result."""
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -389,15 +389,15 @@ def cut_out(min_length: int, keep: tuple[str, ...]):
                 kept.append(b"".join([*parts, raw[at:]]))
                 runs.append([{"start": a, "end": b} for a, b in gone])
                 sizes.append(len(raw))
-            texts = [k.decode("utf-8", "ignore") for k in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), *batch.columns[4:]], ["doc_id", "n_bytes", "spans", "kept", "text", *keep])
+            left = [pa.array(kept, pa.binary()) if f == "kept" else pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) for f in forms]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), *left, *batch.columns[4:]], ["doc_id", "n_bytes", "spans", *forms, *keep])
         give_back()
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), hot_in_task: int = HOT_IN_TASK, hot: int = HOT) -> DataFrame:
-    """``doc_id, n_bytes, spans, kept, text``, and the columns of ``keep``: the maximal removed stretches (array of start and end, in bytes), and the remaining bytes of every text, as they are and without those of characters cut in two. Ids are whole numbers."""
+def suffix_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), hot_in_task: int = HOT_IN_TASK, hot: int = HOT, forms: tuple[str, ...] = ("kept", "text")) -> DataFrame:
+    """``doc_id, n_bytes, spans, kept, text``, and the columns of ``keep``: the maximal removed stretches (array of start and end, in bytes), and the remaining bytes of every text, as they are and without those of characters cut in two (of these two only ``forms``, in that order). Ids are whole numbers."""
     if min_length < GRAM + 8:
         raise ValueError(f"min_length must be at least {GRAM + 8}")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *keep)
@@ -433,4 +433,4 @@ def suffix_dedup(docs: DataFrame, min_length: int = MIN_LENGTH, id_col: str = "d
     spans = cold.unionByName(warm).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     found = info.select("rid", "copy").distinct().join(spans, "rid", "left")
     more = "".join(f", `{c}` {base.schema[c].dataType.simpleString()}" for c in keep)
-    return texts.join(found, "rid").select("doc_id", "text", "copy", "spans", *keep).mapInArrow(cut_out(min_length, keep), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary, text string" + more)
+    return texts.join(found, "rid").select("doc_id", "text", "copy", "spans", *keep).mapInArrow(cut_out(min_length, keep, forms), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>" + "".join(f", {f} {'binary' if f == 'kept' else 'string'}" for f in forms) + more)

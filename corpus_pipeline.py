@@ -54,7 +54,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of a character that was cut in two go as well."""
-    return with_text(suffix_dedup.suffix_dedup(docs, keep=("lang", "source")))
+    return with_text(suffix_dedup.suffix_dedup(docs, keep=("lang", "source"), forms=("text",)))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,12 @@ def test_suffixes_are_sorted():
     strings = [raw[i : i + 50] for i in order]
     assert strings == sorted(strings)
     assert new.tolist() == [True] + [a != b for a, b in zip(strings, strings[1:])]
+
+
+def test_only_wanted_forms_of_what_is_left_leave_python(spark):
+    docs = spark.createDataFrame([(1, "a" * 60), (2, "b" * 10 + "a" * 60)], "doc_id long, text string")
+    both = {r["doc_id"]: r for r in suffix_dedup(docs).collect()}
+    for form in ("kept", "text"):
+        found = suffix_dedup(docs, forms=(form,))
+        assert found.columns == ["doc_id", "n_bytes", "spans", form]
+        assert {r["doc_id"]: r[form] for r in found.collect()} == {k: r[form] for k, r in both.items()}
