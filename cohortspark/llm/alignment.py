@@ -222,8 +222,13 @@ def pieces_of(texts: list[str], chars: int) -> Iterator[slice]:
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Whole numbers of 0 and more in as few bytes as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
 def aligned_strips(docs: DataFrame, first_path: str, second_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each strip of documents: what belongs to each document as arrays, ``pairs`` and in how many documents each is (``holders``), and as packed numbers the places in ``pairs`` (``index``) and ``links`` of document after document."""
+    """A row for each strip of documents: what belongs to each document as arrays, ``pairs`` and in how many documents each is (``holders``), and as packed numbers of ``kinds`` the places in ``pairs`` (``index``) and ``links`` of document after document."""
     context = docs.sparkSession.sparkContext
     specs = context.broadcast((tokenizer_spec(first_path), model_spec(second_path)))
     source = keyed(docs, id_col, text_col)
@@ -232,14 +237,15 @@ def aligned_strips(docs: DataFrame, first_path: str, second_path: str, id_col: s
     def strip(number: int, ids: list, parts: list[dict]) -> pa.RecordBatch:
         pairs = np.concatenate([x["pairs"] for x in parts])
         held, index, holders = np.unique(pairs, return_inverse=True, return_counts=True)
-        columns: dict[str, pa.Array] = {"strip": pa.array([f"{TaskContext.get().partitionId()}-{number}"])}
+        index, links = narrow(index), narrow(np.concatenate([x["links"] for x in parts]))
+        columns: dict[str, pa.Array] = {"strip": pa.array([TaskContext.get().partitionId() << 32 | number], pa.int64())}
         whole = pa.concat_arrays(ids)
         columns["doc_id"] = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
         for name in (*NUMBERS, "n_pairs"):
             columns[name] = pa.array([np.concatenate([x[name] for x in parts])], pa.list_(pa.int64()))
         columns["groups_sha256"] = pa.array([[g for x in parts for g in x["groups"]]], pa.list_(pa.string()))
-        columns |= {"pairs": pa.array([held], pa.list_(pa.int64())), "holders": pa.array([holders], pa.list_(pa.int64()))}
-        columns |= {"index": pa.array([index.astype("<u4").tobytes()], pa.binary()), "links": pa.array([np.concatenate([x["links"] for x in parts]).astype("<i8").tobytes()], pa.binary())}
+        columns |= {"pairs": pa.array([held.astype(np.int64)], pa.list_(pa.int64())), "holders": pa.array([holders], pa.list_(pa.int64()))}
+        columns |= {"kinds": pa.array([f"{index.dtype.str} {links.dtype.str}"]), "index": pa.array([index.tobytes()], pa.binary()), "links": pa.array([links.tobytes()], pa.binary())}
         return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,14 +260,16 @@ def aligned_strips(docs: DataFrame, first_path: str, second_path: str, id_col: s
                     if held and held + n > STRIP:
                         yield strip(number, ids, parts)
                         number, held, ids, parts = number + 1, 0, [], []
+                        give_back()
                     ids.append(batch.column(0).slice(at + part.start, part.stop - part.start))
-                    parts.append(own.align(texts[part]))
+                    found = own.align(texts[part])
+                    parts.append(found | {"pairs": found["pairs"].astype(np.uint32), "links": narrow(found["links"])})
                     held += n
         if parts:
             yield strip(number, ids, parts)
         give_back()
 
-    schema = f"strip string, doc_id array<{kind}>, {', '.join(f'{n} array<bigint>' for n in (*NUMBERS, 'n_pairs'))}, groups_sha256 array<string>, pairs array<bigint>, holders array<bigint>, index binary, links binary"
+    schema = f"strip bigint, doc_id array<{kind}>, {', '.join(f'{n} array<bigint>' for n in (*NUMBERS, 'n_pairs'))}, groups_sha256 array<string>, pairs array<bigint>, holders array<bigint>, kinds string, index binary, links binary"
     return source.mapInArrow(run, schema)
 
 
@@ -281,7 +289,9 @@ def align_tokens(docs: DataFrame, first_path: str, second_path: str, id_col: str
         order = np.argsort(pair)
         count, best = right.column("n_docs").to_numpy()[order], right.column("best").to_numpy(zero_copy_only=False)[order]
         numbers = {name: row[name].flatten().to_numpy() for name in (*NUMBERS, "n_pairs")}
-        index, links = np.frombuffer(row["index"][0].as_py(), "<u4"), np.frombuffer(row["links"][0].as_py(), "<i8")
+        kinds = row["kinds"][0].as_py().split()
+        index, links = (np.frombuffer(row[name][0].as_buffer(), kind) for name, kind in zip(("index", "links"), kinds, strict=True))
+        links = links.astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(numbers["n_pairs"])])
         for name, value in (("n_best", links * best[index] if len(index) else links), ("count_sum", links * count[index] if len(index) else links)):
             sums = np.concatenate([[0], np.cumsum(value)])

@@ -167,6 +167,13 @@ def test_strips_change_nothing(spark, monkeypatch):
     assert alignment.align_tokens(table.limit(0), BYTES, PIECES).count() == 0
 
 
+def test_a_strip_is_as_narrow_as_its_numbers(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    for row in alignment.aligned_strips(table, BYTES, PIECES).select("n_pairs", "index", "links", F.size("pairs").alias("n")).collect():
+        n = sum(row["n_pairs"])
+        assert n > 1000 and row["n"] < 1 << 16 and len(row["index"]) == 2 * n and len(row["links"]) <= 2 * n
+
+
 def test_large_groups_are_summed_up(monkeypatch):
     own = alignment.aligner(alignment.tokenizer_spec(BYTES), pieces.model_spec(PIECES))
     texts = ["abcabcabd" * 40, "日本語🙂" * 30, "x"]
