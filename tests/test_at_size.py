@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Row
 
 from cohortspark.operators import learning, spatial, temporal
-from cohortspark.plans import fixtures, language_queries, learning_queries, text_queries
-from cohortspark.sources import writers
+from cohortspark.plans import fixtures, language_queries, learning_queries, source_queries, text_queries
+from cohortspark.sources import readers, writers
 from cohortspark.streaming import streams
 
 TABLES = "/root/testdata/sf0.001"
@@ -104,3 +104,40 @@ def test_current_changes_are_those_of_the_report(spark):
         found = temporal.current_changes(objects.withColumn("of", objects["object_id"]), priors, ("of",), tasks)
         assert {tuple(r) for r in found.withColumnRenamed("of", "object_id").select(columns).collect()} == want
     assert {r[2] for r in want} == {"changed_from", "new"}
+
+
+def executed(df):
+    """The plan, as if every table were too large for a broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = df.sparkSession.conf.get(name)
+    df.sparkSession.conf.set(name, "-1")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        df.sparkSession.conf.set(name, before)
+
+
+def test_models_are_put_together_where_they_are_dealt(spark):
+    parts = source_queries.model_tables(spark, TABLES)
+    assert "Exchange" not in executed(writers.nest_models(parts))
+    assert "Exchange" not in executed(writers.export_graph(parts))
+
+
+def test_models_of_a_dealt_table_are_those_of_the_objects(spark):
+    want = fixtures.objects(spark, TABLES).withColumnRenamed("model_id", "m")
+    found = fixtures.dealt_objects(spark, TABLES, 500, "string")
+    assert found.groupBy("model_id").count().rdd.getNumPartitions() == fixtures.object_tasks(spark, TABLES, 500) > 8
+    columns = [c for c in found.columns if c != "model_id"]
+    assert found.select(columns).exceptAll(want.select(columns)).isEmpty() and found.count() == want.count()
+    assert found.where("object_id = model_id || ':' || obj_seq").count() == found.count()
+
+
+def test_documents_are_not_broadcast(spark):
+    plan = source_queries.s08(spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Exchange" not in plan
+
+
+def test_a_list_that_was_dropped_has_no_table(spark):
+    models = readers.known_models(spark.createDataFrame([('{"id": "a", "patient_id": "p", "study_id": "s", "sources": [{"id": "x"}]}', 1)], "value string, k int"))
+    tables = readers.flatten_models(models.drop("objects", "k"))
+    assert "objects" not in tables and [r["id"] for r in tables["sources"].collect()] == ["x"]
