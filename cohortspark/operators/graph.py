@@ -54,15 +54,8 @@ def lookup(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
 OPERATIONS = ("neighbors", "ancestors", "descendants", "relationships", "context", "prior_versions")
 
 
-def graph_query(operation: str, wanted: DataFrame, edges: DataFrame, bindings: DataFrame, links: DataFrame) -> DataFrame:
-    """``operation, model_id, object_id, result_id`` for wanted objects (``model_id, object_id``); ``subgraph`` is all operations at once.
-
-    Results are ids of objects, but edges (``source>type>target``) for relationships
-    and bindings for context; prior versions are those that links point at.
-    """
-    if operation not in (*OPERATIONS, "subgraph"):
-        raise ValueError(f"operation must be one of {', '.join(OPERATIONS)} or subgraph")
-    asked = OPERATIONS if operation == "subgraph" else (operation,)
+def results(asked: tuple[str, ...], edges: DataFrame, bindings: DataFrame, links: DataFrame) -> DataFrame:
+    """``operation, model_id, object_id, result_id`` of the operations, for all objects."""
     row = lambda name, of, result: F.struct(F.lit(name).alias("operation"), of.alias("object_id"), result.alias("result_id"))
     source, target, edge = F.col("source_id"), F.col("target_id"), F.concat_ws(">", "source_id", "type", "target_id")
     inside = F.col("type") == "contains"
@@ -82,12 +75,29 @@ def graph_query(operation: str, wanted: DataFrame, edges: DataFrame, bindings: D
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.join(wanted.select("model_id", "object_id").distinct(), ["model_id", "object_id"], "left_semi")
+    return out
+
+
+def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``results`` below a row without operation for each wanted object, which alone has ``wanted``: they meet in a grouping by object, so what comes dealt by model stays there."""
+    marks = wanted.select(F.lit(None).cast("string").alias("operation"), "model_id", "object_id", F.lit(None).cast("string").alias("result_id"), F.lit(True).alias("wanted"))
+    return rows.withColumn("wanted", F.lit(None).cast("boolean")).unionByName(marks)
+
+
+def graph_query(operation: str, wanted: DataFrame, edges: DataFrame, bindings: DataFrame, links: DataFrame) -> DataFrame:
+    """``operation, model_id, object_id, result_id`` for wanted objects (``model_id, object_id``); ``subgraph`` is all operations at once.
+
+    Results are ids of objects, but edges (``source>type>target``) for relationships
+    and bindings for context; prior versions are those that links point at.
+    """
+    if operation not in (*OPERATIONS, "subgraph"):
+        raise ValueError(f"operation must be one of {', '.join(OPERATIONS)} or subgraph")
+    rows = marked(results(OPERATIONS if operation == "subgraph" else (operation,), edges, bindings, links), wanted)
+    known = rows.withColumn("wanted", F.max("wanted").over(Window.partitionBy("model_id", "object_id")))
+    return known.where("wanted and operation is not null").select("model_id", "object_id", "operation", "result_id")
 
 
 def subgraph(wanted: DataFrame, edges: DataFrame, bindings: DataFrame, links: DataFrame) -> DataFrame:
     """A row for each wanted object, with the results of each operation as a sorted array."""
-    rows = graph_query("subgraph", wanted, edges, bindings, links)
     lists = [F.sort_array(F.collect_list(F.when(F.col("operation") == name, F.col("result_id")))).alias(name) for name in OPERATIONS]
-    empty = {name: F.coalesce(name, F.array().cast("array<string>")) for name in OPERATIONS}
-    return wanted.select("model_id", "object_id").distinct().join(rows.groupBy("model_id", "object_id").agg(*lists), ["model_id", "object_id"], "left").withColumns(empty)
+    return marked(results(OPERATIONS, edges, bindings, links), wanted).groupBy("model_id", "object_id").agg(*lists, F.max("wanted").alias("wanted")).where("wanted").drop("wanted")

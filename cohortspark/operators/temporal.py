@@ -113,18 +113,30 @@ def link_kind() -> Column:
     return F.coalesce("single", F.when((F.abs("volume_percent") >= 20) | (F.col("centroid_distance") >= 50), "changed_from").otherwise("same_as_prior"))
 
 
-def compare_models(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None = None) -> DataFrame:
-    """Links of every current and every lost prior object, with changes and type: same_as_prior, changed_from, new, resolved. Models with a row of ``registrations`` (see ``rigid_transform``) are compared with their prior in their own space."""
-    measures = ["cx", "cy", "cz", *(f"{x}{i}" for x in "xyz" for i in (0, 1)), "volume_mm3", "surface_area_mm2"]
-    rows = link_rows(matched_groups(objects, priors, registrations, measures))
+def compared(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None, measures: list[str], tasks: int | None = None) -> DataFrame:
+    """``model_id, prior_id, object_id, prior_object_id, single, confidence`` of every current and every lost prior object, with its ``measures`` and as ``p_`` those of the prior one. ``tasks`` as in ``matched_groups``."""
+    rows = link_rows(matched_groups(objects, priors, registrations, measures, tasks))
     now, then = F.col("l.now.id"), F.col("l.then.id")
-    told = rows.select(
+    return rows.select(
         "model_id", "prior_id", F.coalesce(now, then).alias("object_id"), F.coalesce(then, now).alias("prior_object_id"), F.when(then.isNull(), "new").when(now.isNull(), "resolved").alias("single"), F.col("l.score").alias("confidence"),
         *(F.col(f"l.now.{c}").alias(c) for c in measures), *(F.col(f"l.then.{c}").alias(f"p_{c}") for c in measures),
-    ).withColumns(change_columns())
+    )
+
+
+def compare_models(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None = None) -> DataFrame:
+    """Links of every current and every lost prior object, with changes and type: same_as_prior, changed_from, new, resolved. Models with a row of ``registrations`` (see ``rigid_transform``) are compared with their prior in their own space."""
+    measures = ["cx", "cy", "cz", *(f"{x}{i}" for x in "xyz" for i in (0, 1)), "volume_mm3", "surface_area_mm2"]
+    told = compared(objects, priors, registrations, measures).withColumns(change_columns())
     return told.select("model_id", "prior_id", "object_id", "prior_object_id", link_kind().alias("link_type"), "confidence", *change_columns())
 
 
+def link_types(objects: DataFrame, priors: DataFrame, registrations: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """The links of ``compare_models`` with their type and no changes: only what the type rests on is dealt out. ``tasks`` as in ``matched_groups``."""
+    told = compared(objects, priors, registrations, ["cx", "cy", "cz", "volume_mm3"], tasks)
+    told = told.withColumns({c: change_columns()[c] for c in ("centroid_distance", "volume_percent")})
+    return told.select("model_id", "prior_id", "object_id", "prior_object_id", link_kind().alias("link_type"))
+
+
 def current_changes(objects: DataFrame, priors: DataFrame, keep: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
     """``model_id, link_type, volume_prior, volume_now`` and the columns of ``keep`` of each current object that changed or is new: what ``change_report`` says of them, with no join back to the objects. ``tasks`` as in ``matched_groups``."""
     rows = link_rows(matched_groups(objects, priors, None, ["volume_mm3", *keep], tasks)).where("l.now is not null")
@@ -183,9 +195,12 @@ def difference(objects: DataFrame, links: DataFrame) -> DataFrame:
     """Objects of a model by ``style``: ``changed`` and ``new`` ones, ``resolved`` ones of its prior, and the others as ``baseline``."""
     styles = {"changed_from": "changed", "new": "new", "resolved": "resolved"}
     style = F.coalesce(*(F.when(F.col("link_type") == kind, name) for kind, name in styles.items()))
-    told = links.where(F.col("link_type").isin(*styles)).select("model_id", "object_id", style.alias("style"))
-    current = objects.select("model_id", "object_id").join(told.where("style <> 'resolved'"), ["model_id", "object_id"], "left").withColumn("style", F.coalesce("style", F.lit("baseline")))
-    return current.unionByName(told.where("style = 'resolved'"))
+    # One grouping and no join: what comes dealt by model stays there.
+    told = links.where(F.col("link_type").isin(*styles)).select("model_id", "object_id", style.alias("style"), (F.col("link_type") == "resolved").alias("gone"), F.lit(False).alias("own"))
+    every = told.unionByName(objects.select("model_id", "object_id", F.lit(None).cast("string").alias("style"), F.lit(False).alias("gone"), F.lit(True).alias("own")))
+    met = every.groupBy("model_id", "object_id", "gone").agg(F.collect_list("style").alias("styles"), F.count_if("own").cast("int").alias("n"))
+    shown = F.when(F.size("styles") > 0, F.col("styles")).otherwise(F.array(F.lit("baseline")))
+    return met.select("model_id", "object_id", F.explode(F.when(F.col("gone"), F.col("styles")).otherwise(F.flatten(F.array_repeat(shown, F.col("n"))))).alias("style"))
 
 
 def rotation() -> list[list[Column]]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions import geometry as g
 from cohortspark.operators import graph, spatial, temporal
 from cohortspark.operators.tables import shared_table
-from cohortspark.plans.fixtures import OBJECTS_SQL, objects
+from cohortspark.plans.fixtures import OBJECTS_SQL, dealt_objects, object_tasks, objects
 from cohortspark.plans.registry import ORACLE_SQL, query
 
 O = f"WITH {OBJECTS_SQL}"  # noqa: E741
@@ -272,17 +272,25 @@ def r07(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r04_graph_query")
 def r04(spark: SparkSession, d: str) -> DataFrame:
-    o = objects(spark, d)
-    return graph.graph_query("subgraph", o, edges(spark, d), object_bindings(o), links(spark, d))
+    return graph.graph_query("subgraph", *graph_tables(spark, d))
 
 
 @query("r04_subgraphs")
 def r04b(spark: SparkSession, d: str) -> DataFrame:
-    o = objects(spark, d)
-    found = graph.subgraph(o, edges(spark, d), object_bindings(o), links(spark, d))
+    found = graph.subgraph(*graph_tables(spark, d))
     return found.select("model_id", "object_id", *(F.array_join(c, ",").alias(c) for c in graph.OPERATIONS))
 
 
+#: Objects of which one task has the graph, on average: fewer than elsewhere, since it holds some fifteen rows for each.
+LINKED_A_TASK = 50_000
+
+
+def graph_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Objects, their edges, bindings and links, all where their model is: only models and prior objects are dealt again."""
+    o = dealt_objects(spark, d, LINKED_A_TASK)
+    return o, spatial.derive_relationships(o), object_bindings(o), temporal.link_types(o, priors(o), tasks=object_tasks(spark, d, LINKED_A_TASK))
+
+
 def object_bindings(o: DataFrame) -> DataFrame:
     """A binding of every other object."""
     return o.where("obj_seq % 2 = 0").select("model_id", F.lit("object").alias("target_type"), F.col("object_id").alias("target_id"), F.concat(F.lit("binding:"), "object_id").alias("binding_id"))
@@ -401,7 +409,8 @@ def t17(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t17_difference", f"{MATCH_SQL} SELECT o.model_id, o.object_id, CASE lk.link_type WHEN 'changed_from' THEN 'changed' WHEN 'new' THEN 'new' ELSE 'baseline' END AS style FROM o LEFT JOIN lk ON lk.model_id = o.model_id AND lk.object_id = o.object_id AND lk.link_type IN ('changed_from', 'new') UNION ALL SELECT model_id, object_id, 'resolved' FROM lk WHERE link_type = 'resolved'")
 def t17b(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.difference(objects(spark, d), links(spark, d))
+    o = dealt_objects(spark, d)
+    return temporal.difference(o, temporal.link_types(o, priors(o), tasks=object_tasks(spark, d)))
 
 
 #: A rotation and shift for every model; the order of the axes by whether its number is even.
