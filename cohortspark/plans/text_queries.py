@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.operators import context, deid, graph, spatial, temporal
-from cohortspark.plans.fixtures import OBJECTS_SQL, context_items, object_tasks, objects, table, whole_objects
+from cohortspark.plans.fixtures import OBJECTS_SQL, context_items, dealt_objects, object_tasks, objects, table, whole_objects
 from cohortspark.plans.object_queries import contains_sql, gap_sql
 from cohortspark.plans.registry import query
 from cohortspark.sources import writers
@@ -178,9 +178,9 @@ def s11b(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s10_context_bundles")
 def s10(spark: SparkSession, d: str) -> DataFrame:
-    o = objects(spark, d)
+    o = dealt_objects(spark, d)
     bindings = o.where("obj_seq % 2 = 0").select("model_id", F.lit("object").alias("target_type"), F.col("object_id").alias("target_id"), F.concat(F.lit("binding:"), "object_id").alias("binding_id"))
-    links = temporal.compare_models(o, temporal.select_prior(temporal.models(o)))
+    links = temporal.link_types(o, temporal.select_prior(temporal.models(o)), tasks=object_tasks(spark, d))
     return writers.export_context_bundles(o, spatial.nearest(o, 6), bindings, links)
 
 

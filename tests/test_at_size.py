@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from pyspark.sql import Row
 
-from cohortspark.operators import learning, spatial, temporal
-from cohortspark.plans import fixtures, language_queries, learning_queries, source_queries, text_queries
+from cohortspark.operators import graph, learning, spatial, temporal
+from cohortspark.plans import fixtures, language_queries, learning_queries, object_queries, source_queries, text_queries
 from cohortspark.sources import readers, writers
 from cohortspark.streaming import streams
 
@@ -141,3 +142,34 @@ def test_a_list_that_was_dropped_has_no_table(spark):
     models = readers.known_models(spark.createDataFrame([('{"id": "a", "patient_id": "p", "study_id": "s", "sources": [{"id": "x"}]}', 1)], "value string, k int"))
     tables = readers.flatten_models(models.drop("objects", "k"))
     assert "objects" not in tables and [r["id"] for r in tables["sources"].collect()] == ["x"]
+
+
+@pytest.mark.parametrize("query", [object_queries.r04, object_queries.r04b, object_queries.t17b, text_queries.s10, text_queries.s10b])
+def test_links_edges_and_bindings_meet_where_their_model_is(spark, query):
+    keys = [re.sub(r"#\d+L?", "", x).rsplit(", ", 1)[0] for x in re.findall(r"hashpartitioning\(([^)]*)\)", executed(query(spark, TABLES)))]
+    assert "prior_id" in keys and set(keys) <= {"model_id", "patient_id", "prior_id"}
+
+
+def test_link_types_are_those_of_the_comparison(spark):
+    objects = fixtures.objects(spark, TABLES)
+    priors = temporal.select_prior(temporal.models(objects))
+    found = temporal.link_types(objects, priors, tasks=fixtures.object_tasks(spark, TABLES))
+    want = temporal.compare_models(objects, priors).select(found.columns)
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty() and found.select("link_type").distinct().count() == 4
+
+
+def test_what_is_found_of_wanted_objects_has_all_its_rows(spark):
+    edges = spark.createDataFrame([(1, "a", "b", "contains", None), (1, "b", "c", "near", 1.0), (2, "a", "d", "near", 2.0)], "model_id long, source_id string, target_id string, type string, value double")
+    bindings = spark.createDataFrame([(1, "object", "a", "k"), (1, "object", "a", "k"), (1, "model", "a", "m")], "model_id long, target_type string, target_id string, binding_id string")
+    links = spark.createDataFrame([(1, "a", "same_as_prior", "z"), (1, "c", "new", "c")], "model_id long, object_id string, link_type string, prior_object_id string")
+    wanted = spark.createDataFrame([(1, "a"), (1, "a"), (1, "x")], "model_id long, object_id string")
+    rows = sorted(tuple(r) for r in graph.graph_query("subgraph", wanted, edges, bindings, links).collect())
+    assert rows == [(1, "a", "context", "k"), (1, "a", "context", "k"), (1, "a", "descendants", "b"), (1, "a", "neighbors", "b"), (1, "a", "prior_versions", "z"), (1, "a", "relationships", "a>contains>b")]
+    told = {r["object_id"]: r for r in graph.subgraph(wanted, edges, bindings, links).collect()}
+    assert set(told) == {"a", "x"} and told["a"]["context"] == ["k", "k"] and told["x"]["neighbors"] == [] == told["x"]["context"]
+
+
+def test_a_difference_keeps_repeated_objects(spark):
+    objects = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, "c")], "model_id long, object_id string")
+    links = spark.createDataFrame([(1, "a", "changed_from"), (1, "b", "same_as_prior"), (1, "c", "new"), (1, "c", "resolved"), (1, "gone", "resolved"), (2, "q", "new")], "model_id long, object_id string, link_type string")
+    assert sorted(tuple(r) for r in temporal.difference(objects, links).collect()) == [(1, "a", "changed"), (1, "a", "changed"), (1, "b", "baseline"), (1, "c", "new"), (1, "c", "resolved"), (1, "gone", "resolved")]
