@@ -17,6 +17,8 @@ BOX = [f"{x}{i}" for x in "xyz" for i in (0, 1)]
 SHAPE = ["object_id", "obj_seq", "label", "obj_type", "cx", "cy", "cz", *BOX]
 NEAR_MM = 45.0
 CELL = 64.0
+#: Objects of a model up to which all of them meet; only in larger ones are they looked for by cell.
+WHOLE = 500
 
 
 def side(objects: DataFrame, prefix: str) -> DataFrame:
@@ -130,14 +132,38 @@ def within_radius(objects: DataFrame, radius: float, grid: bool = False) -> Data
     return found.select("model_id", F.col("a_object_id").alias("object_id"), F.col("b_object_id").alias("near_id"), g.box_distance("a_", "b_").alias("gap"))
 
 
+def by_size(objects: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Objects of models of WHOLE objects or fewer, and those of larger models, if there are any. In the former work by pairs is WHOLE times the objects at most, and needs no rows for cells."""
+    large = objects.groupBy("model_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE).select("model_id")
+    if large.isEmpty():
+        return objects, None
+    return objects.join(large, "model_id", "left_anti"), objects.join(large, "model_id", "left_semi")
+
+
 def candidates(objects: DataFrame, radius: float | None = None, cell: float = CELL) -> DataFrame:
-    """Objects in the cells of each object's box, padded by ``radius`` or one cell; where that is the object alone, all of its model."""
+    """Objects in the cells of each object's box, padded by ``radius`` or one cell; where that is the object alone, all of its model. Cells of small models are compared, only those of large ones are rows; nothing of a small model is dealt out again."""
     pad = cell if radius is None else radius
-    a, b = grid_cells(side(objects, "a_"), "a_", pad, cell), grid_cells(side(objects, "b_"), "b_", 0.0, cell)
-    near = a.join(b, ["model_id", "gx", "gy", "gz"]).select("model_id", "a_object_id", "b_object_id").distinct()
-    some = near.groupBy("model_id", "a_object_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    every = side(objects, "a_").select("model_id", "a_object_id").join(some, ["model_id", "a_object_id"], "left_anti").join(side(objects, "b_").select("model_id", "b_object_id"), "model_id")
-    return near.join(some, ["model_id", "a_object_id"], "left_semi").unionByName(every)
+    ends = lambda p, x, by: (F.floor((F.col(f"{p}{x}0") - by) / cell), F.floor((F.col(f"{p}{x}1") + by) / cell))
+
+    def with_lone(own: DataFrame, near: DataFrame) -> DataFrame:
+        pairs_ = near.select("model_id", "a_object_id", "b_object_id").distinct().withColumn("own", F.lit(False))
+        every = pairs_.unionByName(own.select("model_id", F.col("object_id").alias("a_object_id"), F.lit(None).cast("string").alias("b_object_id"), F.lit(True).alias("own")))
+        counted = every.withColumn("n", F.count_if(~F.col("own")).over(Window.partitionBy("model_id", "a_object_id")))
+        lone = counted.where("own and n <= 1").select("model_id", "a_object_id").join(own.select("model_id", F.col("object_id").alias("b_object_id")), "model_id")
+        return counted.where("not own and n > 1").select("model_id", "a_object_id", "b_object_id").unionByName(lone)
+
+    small, large = by_size(objects)
+    met = side(small, "a_").join(side(small, "b_"), "model_id")
+    for x in g.AXES:
+        a, b = ends("a_", x, pad), ends("b_", x, 0.0)
+        for end in (*a, *b):  # what has no box has no cells
+            met = met.where(end.isNotNull())
+        met = met.where((F.least(*a) <= F.greatest(*b)) & (F.greatest(*a) >= F.least(*b)))
+    found = with_lone(small, met)
+    if large is None:
+        return found
+    cells = grid_cells(side(large, "a_"), "a_", pad, cell).join(grid_cells(side(large, "b_"), "b_", 0.0, cell), ["model_id", "gx", "gy", "gz"])
+    return found.unionByName(with_lone(large, cells))
 
 
 def measure_between(objects: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -212,12 +238,19 @@ def least_clearance(objects: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def record_paths(objects: DataFrame, paths: DataFrame, grid: bool = False) -> DataFrame:
-    """A row for each path: its length, what it hits in order of the model, and the least clearance of what it does not. With ``grid``, for large models, paths meet what is in their cells and around them."""
-    if not grid:
-        met = paths.join(side(objects, "o_"), "model_id")
-        met = met.select("path_id", "model_id", g.trajectory_length().alias("length"), g.segment_intersects_box("s", "e", "o_").alias("hit"), g.segment_box_distance("s", "e", "o_").alias("clearance"), "o_obj_seq", "o_object_id")
-        hits = F.sort_array(F.collect_list(F.when(F.col("hit"), F.struct("o_obj_seq", "o_object_id"))))
-        return met.groupBy("path_id", "model_id", "length").agg(F.transform(hits, lambda h: h["o_object_id"]).alias("hits"), F.min(F.when(~F.col("hit"), F.col("clearance"))).alias("clearance"))
+    """A row for each path: its length, what it hits in order of the model, and the least clearance of what it does not. With ``grid``, paths of models of more than WHOLE objects meet what is in their cells and around them."""
+    if grid:
+        small, large = by_size(objects)
+        direct = record_paths(small, paths)
+        return direct if large is None else direct.unionByName(grid_paths(large, paths))
+    met = paths.join(side(objects, "o_"), "model_id")
+    met = met.select("path_id", "model_id", g.trajectory_length().alias("length"), g.segment_intersects_box("s", "e", "o_").alias("hit"), g.segment_box_distance("s", "e", "o_").alias("clearance"), "o_obj_seq", "o_object_id")
+    hits = F.sort_array(F.collect_list(F.when(F.col("hit"), F.struct("o_obj_seq", "o_object_id"))))
+    return met.groupBy("path_id", "model_id", "length").agg(F.transform(hits, lambda h: h["o_object_id"]).alias("hits"), F.min(F.when(~F.col("hit"), F.col("clearance"))).alias("clearance"))
+
+
+def grid_paths(objects: DataFrame, paths: DataFrame) -> DataFrame:
+    """``record_paths`` by cells and rings."""
     keys = ["path_id", "model_id"]
     own = shared_table(paths.join(objects.select("model_id").distinct(), "model_id", "left_semi").select(*keys, *(f"{p}{x}" for p in "se" for x in g.AXES)))
     hit = near_paths(objects, own, 0.0, CELL).where(g.segment_intersects_box("s", "e", "o_"))

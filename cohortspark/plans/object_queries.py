@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import geometry as g
 from cohortspark.operators import graph, spatial, temporal
-from cohortspark.operators.tables import shared_table
 from cohortspark.plans.fixtures import OBJECTS_SQL, dealt_objects, object_tasks, objects
 from cohortspark.plans.registry import ORACLE_SQL, query
 
@@ -108,7 +107,7 @@ SELECT near.* FROM near JOIN n USING (model_id, a_object_id) WHERE n > 1
 UNION ALL SELECT a.model_id, a.object_id, b.object_id FROM o a JOIN o b ON a.model_id=b.model_id JOIN n ON n.model_id=a.model_id AND n.a_object_id=a.object_id WHERE n.n <= 1""",
 )
 def g10(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.candidates(objects(spark, d), radius=10.0)
+    return spatial.candidates(dealt_objects(spark, d), radius=10.0)
 
 
 @query(
@@ -219,7 +218,7 @@ def g22(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g22_grid_paths", f"WITH c AS ({_clearance_sql()}), {OBJECTS_SQL}, {PATHS_SQL}, h AS (SELECT p.path_id, p.model_id, o.object_id, o.obj_seq, {HIT_SQL} AS hit FROM p JOIN o ON p.model_id=o.model_id) SELECT path_id, model_id, string_agg(object_id, ',' ORDER BY obj_seq) FILTER (WHERE hit) AS hits, min(clearance) FILTER (WHERE NOT hit) AS clearance FROM h JOIN c USING (path_id, model_id, object_id) GROUP BY ALL")
 def g22b(spark: SparkSession, d: str) -> DataFrame:
-    o = shared_table(objects(spark, d))  # each ring reads it
+    o = dealt_objects(spark, d)  # each ring of a large model reads it
     found = spatial.record_paths(o, paths(o), grid=True)
     return found.select("path_id", "model_id", F.when(F.size("hits") > 0, F.array_join("hits", ",")).alias("hits"), F.round("clearance", 6).alias("clearance"))
 

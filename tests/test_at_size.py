@@ -173,3 +173,40 @@ def test_a_difference_keeps_repeated_objects(spark):
     objects = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, "c")], "model_id long, object_id string")
     links = spark.createDataFrame([(1, "a", "changed_from"), (1, "b", "same_as_prior"), (1, "c", "new"), (1, "c", "resolved"), (1, "gone", "resolved"), (2, "q", "new")], "model_id long, object_id string, link_type string")
     assert sorted(tuple(r) for r in temporal.difference(objects, links).collect()) == [(1, "a", "changed"), (1, "a", "changed"), (1, "b", "baseline"), (1, "c", "new"), (1, "c", "resolved"), (1, "gone", "resolved")]
+
+
+def boxes_of(spark, rows):
+    """``rows`` (model, object, x, width); the objects of a model in order."""
+    seq = {}
+    at = [(m, o, seq.setdefault(m, []).append(o) or len(seq[m]), "l", "t", *[x, 5.0, 5.0], x, None if w is None else x + w, 0.0, 10.0, 0.0, 10.0) for m, o, x, w in rows]
+    return spark.createDataFrame(at, "model_id string, object_id string, obj_seq int, label string, obj_type string, cx double, cy double, cz double, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
+
+
+def test_candidates_are_the_same_by_pairs_and_by_cells(spark, monkeypatch):
+    rows = [("a", f"a{i}", 31.0 * i, 40.0) for i in range(30)] + [("b", "b0", 0.0, 10.0), ("b", "b1", 900.0, 10.0), ("b", "b2", 905.0, 300.0), ("b", "b3", 5.0, None), ("c", "c0", -64.0, 64.0), ("c", "c1", 64.0, -150.0), ("d", "d0", 1.0, 1.0)]
+    objects = boxes_of(spark, rows)
+    told = []
+    for whole in (0, 10, 1000):
+        monkeypatch.setattr(spatial, "WHOLE", whole)
+        told.append(sorted(tuple(r) for r in spatial.candidates(objects, 10.0).collect()))
+    assert told[0] == told[1] == told[2]
+    of = lambda a: [r[2] for r in told[0] if r[1] == a]
+    assert of("b0") == of("b3") == ["b0", "b1", "b2", "b3"] and of("b1") == ["b1", "b2"] and of("d0") == ["d0"] and 2 < len(of("a9")) < 10
+
+
+def test_recorded_paths_are_the_same_for_small_and_large_models(spark, monkeypatch):
+    objects = boxes_of(spark, [("a", f"a{i}", 130.0 * i, 40.0) for i in range(30)] + [("b", "b0", 0.0, 10.0), ("b", "b1", 900.0, 10.0), ("c", "c0", 0.0, 10.0)])
+    ends = [(m, (0.0, 0.0, 0.0), (600.0, 12.0 * k, 3.0 * k)) for m in "abcd" for k in range(3)]
+    paths = spark.createDataFrame([(f"p{i}", m, *a, *b) for i, (m, a, b) in enumerate(ends)], "path_id string, model_id string, sx double, sy double, sz double, ex double, ey double, ez double")
+    told = []
+    for whole in (0, 10, 1000):
+        monkeypatch.setattr(spatial, "WHOLE", whole)
+        found = spatial.record_paths(objects, paths, grid=True).collect()
+        told.append(sorted((r["path_id"], tuple(r["hits"]), r["clearance"] is not None and round(r["clearance"], 6), round(r["length"], 6)) for r in found))
+    assert told[0] == told[1] == told[2] and len(told[0]) == 9
+
+
+def test_cells_and_paths_meet_where_their_model_is(spark):
+    assert "Exchange" not in executed(object_queries.g10(spark, TABLES))
+    plan = executed(object_queries.g22b(spark, TABLES))  # a row for each path is dealt out, and no cell
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(path_id") == 1
